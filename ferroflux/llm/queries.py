@@ -21,6 +21,24 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import digest, scan
+
+    return digest(scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -52,8 +70,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op4_packing": op4_packing, "op6_language": op6_language, "op8_topk": op8_topk, "op10_warc": op10_warc}
+    return {
+        "op1_minhash": op1_minhash,
+        "op2_secrets": op2_secrets,
+        "op3_decontamination": op3_decontamination,
+        "op4_packing": op4_packing,
+        "op6_language": op6_language,
+        "op8_topk": op8_topk,
+        "op10_warc": op10_warc,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import secrets
+
+    return {"op2_secrets": secrets.oracle()}
