@@ -60,6 +60,15 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(vectors.filter("id % 20 = 0"), vectors, 20)
 
 
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import fit, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(docs.filter(F.coalesce(remainder(7) != 2, F.lit(True))))
+    told = score(docs, model)
+    return told.select("doc_id", F.coalesce(remainder(7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .base import scratch
     from .warc import read, write
@@ -77,6 +86,7 @@ def queries() -> dict:
         "op4_packing": op4_packing,
         "op6_language": op6_language,
         "op8_topk": op8_topk,
+        "op9_lm": op9_lm,
         "op10_warc": op10_warc,
     }
 
