@@ -53,6 +53,12 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), keep_bytes=False)
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import quantize, search
 
@@ -85,6 +91,7 @@ def queries() -> dict:
         "op3_decontamination": op3_decontamination,
         "op4_packing": op4_packing,
         "op6_language": op6_language,
+        "op7_substrings": op7_substrings,
         "op8_topk": op8_topk,
         "op9_lm": op9_lm,
         "op10_warc": op10_warc,
