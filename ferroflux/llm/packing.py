@@ -8,7 +8,7 @@ in randomised groups, so no task sees more than about ``group_size`` pieces.
 
 from __future__ import annotations
 
-import re
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -21,45 +21,38 @@ from .base import cached, materialize, small_batches
 
 LENGTH = 1024
 END_ID = 0
-#: Words whose ids a worker remembers before it starts anew.
-CACHE_WORDS = 200_000
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"\s\s|^\s|\s$")
+#: The byte-level tokenizer's own split into pre-tokens.
+SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def _encoder(path: str):
-    """text -> ids as little-endian unsigned 32-bit, through a cache of words.
+    """text -> ids as little-endian unsigned 32-bit, with the vocabulary of the tokenizers file at ``path``.
 
-    A pre-token of the byte-level tokenizer holds a space at its start only, so a
-    text can be cut before any lone space without changing its ids.
+    In a byte-level BPE file ids rise in the order of merges, so its vocabulary is
+    a table of ranks and tiktoken gives the same ids in a fourth of the time.
+    Files of any other make go through the tokenizers library.
     """
 
     def build():
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        if (told.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not told.get("normalizer") and told["model"]["type"] == "BPE":
+            import tiktoken
+
+            shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that the file writes as themselves
+            letters = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+            special = {t["content"] for t in told.get("added_tokens", [])}
+            ranks = {bytes(letters[c] for c in word): i for word, i in told["model"]["vocab"].items() if word not in special}
+            encoding = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+            return lambda texts: [np.asarray(encoding.encode_ordinary(t), dtype="<u4").tobytes() for t in texts]
+
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True
-        return t
-
-    tokenizer = cached(f"tokenizer {path}", build)
-    known: dict[str, bytes] = cached(f"ids {path}", dict)
-
-    def encode(texts: list[str]) -> list[bytes]:
-        parts = []
-        for text in texts:
-            words = _CUT.split(text) if _ODD.search(text) else text.split(" ")
-            parts.append(words[:1] + [" " + w for w in words[1:]])
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new = list({w for p in parts for w in p if w not in known})
-        for i in range(0, len(new), 4096):
-            batch = new[i : i + 4096]
-            for w, e in zip(batch, tokenizer.encode_batch_fast(batch, add_special_tokens=False)):
-                known[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-        get = known.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
-
-    return encode
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+        return lambda texts: [np.asarray(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    return cached(f"tokenizer {path}", build)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, keep_ids: bool = False) -> DataFrame:
