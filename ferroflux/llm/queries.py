@@ -45,6 +45,15 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"))
+    labels = table(spark, sf_dir, "labels").filter(remainder(5) != 0).select("doc_id", "toxic")
+    told = score(docs, fit(docs.filter("not held_out"), labels))
+    return told.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import fit, predict
 
@@ -90,6 +99,7 @@ def queries() -> dict:
         "op2_secrets": op2_secrets,
         "op3_decontamination": op3_decontamination,
         "op4_packing": op4_packing,
+        "op5_toxicity": op5_toxicity,
         "op6_language": op6_language,
         "op7_substrings": op7_substrings,
         "op8_topk": op8_topk,
