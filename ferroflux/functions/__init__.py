@@ -1,0 +1,117 @@
+"""Column functions: guarded arithmetic, strict numbers, clipping, spectra, wavelets."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from ..schema import DB4_LOW, SAMPLE_RATE
+
+_NUMBER = r"^[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|[iI][nN][fF](?:[iI][nN][iI][tT][yY])?|[nN][aA][nN])$"
+
+
+def safe_divide(a: Column, b: Column, fill: float = 0.0) -> Column:
+    """a / b, or ``fill`` where b is 0."""
+    return F.coalesce(F.try_divide(a, b), F.lit(fill))
+
+
+def strict_double(token: Column) -> Column:
+    """The number that a token spells, or null; no suffixes, separators or blanks."""
+    low = F.lower(token)
+    sign = F.when(F.startswith(low, F.lit("-")), -1.0).otherwise(1.0)
+    word = F.regexp_replace(low, r"^[+-]", "")
+    special = F.when(word.isin("inf", "infinity"), sign * F.lit(float("inf"))).when(word == "nan", F.lit(float("nan")))
+    return F.when(F.rlike(token, F.lit(_NUMBER)), F.coalesce(special, token.try_cast("double")))
+
+
+def clip(x: Column, low: Column, high: Column) -> Column:
+    return F.least(F.greatest(x, low), high)
+
+
+def quantile(sorted_array: Column, q: float) -> Column:
+    """Quantile of a sorted array of numbers, interpolated linearly."""
+    at = (F.size(sorted_array) - 1) * F.lit(q)
+    low = F.floor(at).cast("int")
+    a = F.get(sorted_array, low)
+    b = F.get(sorted_array, F.least(low + 1, F.size(sorted_array) - 1))
+    return a + (b - a) * (at - low)
+
+
+def total(array: Column) -> Column:
+    return F.aggregate(array, F.lit(0.0), lambda acc, v: acc + v)
+
+
+def mean(array: Column) -> Column:
+    return total(array) / F.size(array)
+
+
+def moment(array: Column, center: Column, power: int) -> Column:
+    """Mean of the deviations from ``center`` to an integer power."""
+
+    def grown(d: Column) -> Column:
+        out = d
+        for _ in range(power - 1):
+            out = out * d
+        return out
+
+    return mean(F.transform(array, lambda v: grown(v - center)))
+
+
+def std_pop(array: Column, center: Column) -> Column:
+    return F.sqrt(moment(array, center, 2))
+
+
+def _matrix(rows: list[list[float]]) -> Column:
+    return F.array(*[F.array(*[F.lit(v) for v in row]) for row in rows])
+
+
+def _product(matrix: Column, x: Column) -> Column:
+    return F.transform(matrix, lambda row: total(F.zip_with(row, x, lambda a, b: a * b)))
+
+
+def welch(n: int, rate: float = SAMPLE_RATE) -> tuple[list[list[float]], list[list[float]], list[float], list[float]]:
+    """Cosine and sine rows with the periodic Hann window applied, scale and frequency of each bin of one segment."""
+    w = [0.5 - 0.5 * math.cos(2 * math.pi * p / n) for p in range(n)]
+    bins = range(n // 2 + 1)
+    cos = [[w[p] * math.cos(2 * math.pi * k * p / n) for p in range(n)] for k in bins]
+    sin = [[w[p] * math.sin(2 * math.pi * k * p / n) for p in range(n)] for k in bins]
+    power = rate * sum(v * v for v in w)
+    scale = [(1.0 if k == 0 or 2 * k == n else 2.0) / power for k in bins]
+    return cos, sin, scale, [k * rate / n for k in bins]
+
+
+def psd(x: Column, center: Column, n: int, rate: float = SAMPLE_RATE) -> Column:
+    """One-sided power spectral density of an array of ``n`` samples."""
+    cos, sin, scale, _ = welch(n, rate)
+    flat = F.transform(x, lambda v: v - center)
+    power = F.zip_with(_product(_matrix(cos), flat), _product(_matrix(sin), flat), lambda a, b: a * a + b * b)
+    return F.zip_with(power, F.array(*[F.lit(s) for s in scale]), lambda a, s: a * s)
+
+
+def wavelet_rows(n: int) -> tuple[list[list[float]], list[list[float]], list[list[float]]]:
+    """Rows that turn n samples into the coefficients (approximation 2, detail 2, detail 1)."""
+    taps = len(DB4_LOW)
+    high = [(-1) ** (j + 1) * DB4_LOW[taps - 1 - j] for j in range(taps)]
+
+    def step(size: int, filt) -> list[list[float]]:
+        rows = []
+        for k in range((size + taps - 1) // 2):
+            row = [0.0] * size
+            for j in range(taps):
+                at = (2 * k + 1 - j) % (2 * size)  # the mirrored signal repeats after twice its length
+                row[at if at < size else 2 * size - 1 - at] += filt[j]
+            rows.append(row)
+        return rows
+
+    def chain(outer, inner):
+        return [[sum(row[k] * inner[k][p] for k in range(len(inner))) for p in range(n)] for row in outer]
+
+    first = step(n, DB4_LOW)
+    return chain(step(len(first), DB4_LOW), first), chain(step(len(first), high), first), step(n, high)
+
+
+def wavelet(x: Column, n: int) -> list[Column]:
+    """Coefficient arrays [approximation 2, detail 2, detail 1] of an array of ``n`` samples."""
+    return [_product(_matrix(rows), x) for rows in wavelet_rows(n)]

@@ -1,0 +1,126 @@
+"""Sources and sinks: simulated and replayed lines, a serial stream, CSV logs, cached datasets."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import strict_double
+from ..schema import AXES, SENSORS
+
+
+def simulated(spark: SparkSession, records: int, rate: float = 10.0, seed: int = 0) -> DataFrame:
+    """Batch of simulated records (ms, sensor, t, X, Y, Z): sinusoids a quarter turn apart, temperature 24.0 to 25.9."""
+    rows = spark.range(records).select((F.col("id") * (1000.0 / rate)).alias("ms"), F.explode(F.sequence(F.lit(0), F.lit(SENSORS - 1))).alias("sensor"))
+    return rows.select("ms", "sensor", *_signal(F.col("ms") / 1000, F.col("sensor"), seed))
+
+
+def simulated_stream(spark: SparkSession, rate: int = 10, seed: int = 0) -> DataFrame:
+    """The same records as an endless stream at about ``rate`` records a second."""
+    rows = spark.readStream.format("rate").option("rowsPerSecond", rate).load()
+    rows = rows.select((F.col("value") * (1000.0 / rate)).alias("ms"), F.explode(F.sequence(F.lit(0), F.lit(SENSORS - 1))).alias("sensor"))
+    return rows.select("ms", "sensor", *_signal(F.col("ms") / 1000, F.col("sensor"), seed))
+
+
+def _signal(seconds, sensor, seed: int):
+    angle = seconds + sensor * F.lit(math.pi / 2)
+    t = 25.0 + (F.floor(F.rand(seed) * 20) - 10) / 10
+    return t.alias("t"), (100 * F.sin(angle)).alias("X"), (100 * F.cos(angle)).alias("Y"), (50 * F.sin(2 * angle)).alias("Z")
+
+
+def as_lines(records: DataFrame) -> DataFrame:
+    """17-token lines ``ms T X Y Z ...`` of simulated records."""
+    parts = records.groupBy("ms").agg(F.array_sort(F.collect_list(F.struct("sensor", "t", "X", "Y", "Z"))).alias("s"))
+    words = F.flatten(F.transform("s", lambda r: F.array(*[F.format_number(r[c], "0.00") for c in ("t", "X", "Y", "Z")])))
+    return parts.select("ms", F.concat_ws(" ", F.col("ms").cast("long").cast("string"), F.array_join(words, " ")).alias("value"))
+
+
+def replay(spark: SparkSession, path: str, session: str = "replay", stream: bool = False, files_per_trigger: int = 1) -> DataFrame:
+    """Lines (session, file, value) of text files, as a batch or as a stream."""
+    reader = spark.readStream.option("maxFilesPerTrigger", files_per_trigger) if stream else spark.read
+    lines = reader.text(path)
+    return lines.select(F.lit(session).alias("session"), F.col("_metadata.file_path").alias("file"), "value")
+
+
+def write_log(records: DataFrame, path: str, **partition: str) -> None:
+    """Wide or narrow CSV log; ``partition`` names constants such as material, sensor and run that become folders."""
+    for name, value in partition.items():
+        records = records.withColumn(name, F.lit(value))
+    writer = records.write.option("header", True).mode("append")
+    (writer.partitionBy(*partition) if partition else writer).csv(path)
+
+
+def scan_logs(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
+    """(file, file_name, header, lines) of all CSV files below ``path``, each with its own header."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
+    rows = files.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("file_name"), F.split("value", r"\r?\n").alias("lines"))
+    header = F.transform(F.split(F.get("lines", F.lit(0)), ","), lambda c: F.trim(c))
+    return rows.select("file", "file_name", header.alias("header"), F.slice("lines", 2, 2**31 - 1).alias("lines"))
+
+
+def usable(logs: DataFrame, columns: tuple[str, ...] = AXES) -> DataFrame:
+    """Logs whose header has all columns; others are skipped."""
+    return logs.filter(F.array_size(F.array_intersect("header", F.array(*map(F.lit, columns)))) == len(columns))
+
+
+def decode(logs: DataFrame, columns: tuple[str, ...] = AXES) -> DataFrame:
+    """(file, file_name, i, columns): numbers by name, an empty cell is NaN, blank lines go.
+
+    A cell that is no number makes its whole file go, see ``broken``.
+    """
+    rows = _cells(usable(logs, columns), columns)
+    bad = broken(logs, columns).select("file")
+    return rows.join(bad, "file", "left_anti").select("file", "file_name", "i", *columns)
+
+
+def broken(logs: DataFrame, columns: tuple[str, ...] = AXES) -> DataFrame:
+    """(file, cells) of logs with cells that are no number: the quarantine."""
+    rows = _cells(usable(logs, columns), columns)
+    bad = F.array_contains(F.array(*[F.col(c).isNull() for c in columns]), True)
+    return rows.filter(bad).groupBy("file").agg(F.count("*").alias("cells"))
+
+
+def _cells(logs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    lines = logs.select("file", "file_name", "header", F.posexplode(F.filter("lines", lambda x: F.trim(x) != "")).alias("i", "line"))
+    cells = lines.withColumn("cells", F.split("line", ","))
+
+    def cell(name: str):
+        text = F.trim(F.coalesce(F.get("cells", (F.array_position("header", F.lit(name)) - 1).cast("int")), F.lit("")))
+        return F.when(text == "", F.lit(float("nan"))).otherwise(strict_double(text)).alias(name)
+
+    return cells.select("file", "file_name", F.col("i").cast("long").alias("i"), *[cell(c) for c in columns])
+
+
+def with_materials(files: DataFrame, dim: DataFrame) -> DataFrame:
+    """Files joined to each material whose code stands between underscores in their name; two codes give two rows."""
+    match = F.contains(F.col("file_name"), F.concat(F.lit("_"), F.col("code"), F.lit("_"))) & F.endswith(F.col("file_name"), F.lit(".csv"))
+    return files.join(F.broadcast(dim), match)
+
+
+def missing_materials(files: DataFrame, dim: DataFrame) -> DataFrame:
+    """Materials that no file names."""
+    found = with_materials(files.select("file_name").distinct(), dim).select("code").distinct()
+    return dim.join(found, "code", "left_anti")
+
+
+def require_rows(rows: DataFrame, what: str = "features") -> DataFrame:
+    if rows.isEmpty():
+        raise ValueError(f"no {what}")
+    return rows
+
+
+def cached_dataset(spark: SparkSession, folder: str, key: str, build) -> DataFrame:
+    """The Parquet dataset of ``key`` below ``folder``; built and stored if it isn't there."""
+    from pyspark.errors import AnalysisException
+
+    path = f"{folder.rstrip('/')}/{hashlib.sha256(key.encode()).hexdigest()[:16]}"
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+    build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

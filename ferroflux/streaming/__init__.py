@@ -1,0 +1,111 @@
+"""Live statistics over streams: parsed records, bounded state, ranges with hysteresis.
+
+A micro-batch reaches a state function in shuffle order, so every stateful
+operator sorts by ``seq`` within its key first.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..operators.ingest import accepted, long_form, parse
+from ..schema import RETAIN, STRIDE, WINDOW
+
+
+def live_records(lines: DataFrame, sensor: int | None = None) -> DataFrame:
+    """Accepted records of a stream of lines, a row per sensor and axis."""
+    return long_form(accepted(parse(lines, sensor)))
+
+
+def retain(rows: DataFrame, key: str = "session", cap: int = RETAIN) -> DataFrame:
+    """(key, n, first_seq, last_seq) of the at most ``cap`` latest rows that each key holds, after each batch.
+
+    ``rows`` has key, seq, v. State is bounded by ``cap`` values a key.
+    """
+
+    def keep(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        old = state.get if state.exists else ([], [])
+        new = pd.concat(list(frames)).sort_values("seq")
+        seq, v = list(old[0]) + new["seq"].tolist(), list(old[1]) + new["v"].tolist()
+        order = sorted(range(len(seq)), key=seq.__getitem__)[-cap:]
+        seq, v = [seq[i] for i in order], [v[i] for i in order]
+        state.update((seq, v))
+        yield pd.DataFrame({key: [k[0]], "n": [len(seq)], "first_seq": [seq[0]], "last_seq": [seq[-1]], "total": [float(sum(v))]})
+
+    schema = f"{key} string, n long, first_seq long, last_seq long, total double"
+    return rows.groupBy(key).applyInPandasWithState(keep, schema, "seq array<long>, v array<double>", "update", GroupStateTimeout.NoTimeout)
+
+
+def stream_windows(rows: DataFrame, size: int = WINDOW, stride: int = STRIDE) -> DataFrame:
+    """(session, win_start, vs): count windows of a stream (session, seq, v), seq counting from 0 without gaps.
+
+    A window comes out once a row beyond its end is there, as in the batch
+    operator; the state holds fewer than size + stride rows and what came early.
+    """
+
+    def cut(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        start, seq, v = state.get if state.exists else (0, [], [])
+        new = pd.concat(list(frames))
+        held = dict(zip(list(seq) + new["seq"].tolist(), list(v) + new["v"].tolist()))
+        out = []
+        while all(i in held for i in range(start, start + size + 1)):
+            out.append((k[0], start, [held[i] for i in range(start, start + size)]))
+            start += stride
+            held = {i: x for i, x in held.items() if i >= start}
+        state.update((start, list(held), list(held.values())))
+        yield pd.DataFrame(out, columns=["session", "win_start", "vs"])
+
+    return rows.groupBy("session").applyInPandasWithState(cut, "session string, win_start long, vs array<double>", "start long, seq array<long>, v array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
+def fold_range(current: tuple[float, float], wanted: list[tuple[float, float, float, float]]) -> tuple[float, float]:
+    """The axis range after the sensors' wishes (ymin, ymax, spread, pad) in turn.
+
+    It changes only if a wish lies outside it or it is over three times as wide as needed.
+    """
+    low, high = current
+    for ymin, ymax, spread, pad in wanted:
+        if ymin < low or ymax > high or high - low > 3 * (spread + 2 * pad):
+            low, high = ymin, ymax
+    return low, high
+
+
+def live_range(wishes: DataFrame, calibration: bool = False) -> DataFrame:
+    """(session, ymin, ymax) after each batch of ``wishes`` (session, seq, sensor, ymin, ymax, spread, pad)."""
+    first = 300.0 if calibration else 150.0
+
+    def fold(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        current = state.get if state.exists else (-first, first)
+        rows = pd.concat(list(frames)).sort_values(["seq", "sensor"])
+        current = fold_range(current, list(rows[["ymin", "ymax", "spread", "pad"]].itertuples(index=False, name=None)))
+        state.update(current)
+        yield pd.DataFrame({"session": [k[0]], "ymin": [current[0]], "ymax": [current[1]]})
+
+    return wishes.groupBy("session").applyInPandasWithState(fold, "session string, ymin double, ymax double", "low double, high double", "update", GroupStateTimeout.NoTimeout)
+
+
+def start(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, every: str = "50 milliseconds", mode: str = "update"):
+    """Start a query that hands each micro-batch to ``each``."""
+    return stream.writeStream.foreachBatch(each).outputMode(mode).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
+def run_for(query, duration: float = 0) -> None:
+    """Wait ``duration`` seconds, or without limit if 0, then stop."""
+    query.awaitTermination(duration) if duration else query.awaitTermination()
+    query.stop()
+
+
+def within(records: DataFrame, duration: float = 0) -> DataFrame:
+    """Replayed records up to ``duration`` seconds; 0 keeps all."""
+    return records.filter(F.col("t_s") <= duration) if duration else records
+
+
+def banner(elapsed, duration: int = 0):
+    """ "12s" or "12/60s"."""
+    whole = F.floor(elapsed).cast("long").cast("string")
+    return F.concat(whole, F.lit(f"/{duration}s" if duration else "s"))
