@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column
@@ -18,12 +19,9 @@ def safe_divide(a: Column, b: Column, fill: float = 0.0) -> Column:
 
 
 def strict_double(token: Column) -> Column:
-    """The number that a token spells, or null; no suffixes, separators or blanks."""
-    low = F.lower(token)
-    sign = F.when(F.startswith(low, F.lit("-")), -1.0).otherwise(1.0)
-    word = F.regexp_replace(low, r"^[+-]", "")
-    special = F.when(word.isin("inf", "infinity"), sign * F.lit(float("inf"))).when(word == "nan", F.lit(float("nan")))
-    return F.when(F.rlike(token, F.lit(_NUMBER)), F.coalesce(special, token.try_cast("double")))
+    """The number that a token spells, or null; no suffixes, separators or blanks. A sign before nan is ignored."""
+    number = F.coalesce(token.try_cast("double"), F.when(F.lower(token).isin("+nan", "-nan"), F.lit(float("nan"))))
+    return F.when(F.rlike(token, F.lit(_NUMBER)), number)
 
 
 def clip(x: Column, low: Column, high: Column) -> Column:
@@ -63,8 +61,10 @@ def std_pop(array: Column, center: Column) -> Column:
     return F.sqrt(moment(array, center, 2))
 
 
-def _matrix(rows: list[list[float]]) -> Column:
-    return F.array(*[F.array(*[F.lit(v) for v in row]) for row in rows])
+def constants(values: list) -> Column:
+    """A list of numbers, or of lists of them, as one literal that the optimizer folds."""
+    kind = "array<array<double>>" if isinstance(values[0], list) else "array<double>"
+    return F.from_json(F.lit(json.dumps(values)), kind)
 
 
 def _product(matrix: Column, x: Column) -> Column:
@@ -86,8 +86,8 @@ def psd(x: Column, center: Column, n: int, rate: float = SAMPLE_RATE) -> Column:
     """One-sided power spectral density of an array of ``n`` samples."""
     cos, sin, scale, _ = welch(n, rate)
     flat = F.transform(x, lambda v: v - center)
-    power = F.zip_with(_product(_matrix(cos), flat), _product(_matrix(sin), flat), lambda a, b: a * a + b * b)
-    return F.zip_with(power, F.array(*[F.lit(s) for s in scale]), lambda a, s: a * s)
+    power = F.zip_with(_product(constants(cos), flat), _product(constants(sin), flat), lambda a, b: a * a + b * b)
+    return F.zip_with(power, constants(scale), lambda a, s: a * s)
 
 
 def wavelet_rows(n: int) -> tuple[list[list[float]], list[list[float]], list[list[float]]]:
@@ -114,4 +114,4 @@ def wavelet_rows(n: int) -> tuple[list[list[float]], list[list[float]], list[lis
 
 def wavelet(x: Column, n: int) -> list[Column]:
     """Coefficient arrays [approximation 2, detail 2, detail 1] of an array of ``n`` samples."""
-    return [_product(_matrix(rows), x) for rows in wavelet_rows(n)]
+    return [_product(constants(rows), x) for rows in wavelet_rows(n)]

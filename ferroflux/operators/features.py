@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import mean, moment, psd, quantile, safe_divide, std_pop, total, wavelet, welch
+from ..functions import constants, mean, moment, psd, quantile, safe_divide, std_pop, total, wavelet, welch
 from ..schema import AXES, SAMPLE_RATE, WINDOW
 
 
@@ -36,10 +36,10 @@ def spectral_features(windows: DataFrame, axis: str, n: int = WINDOW, rate: floa
     """Add {axis}_f0 to {axis}_f11: powers by band and their shares, peak, entropy, mean, deviation, largest."""
     name = f"{axis}_f"
     bins = welch(n, rate)[3]
-    band = lambda low, high: total(F.transform(F.filter(F.arrays_zip(F.col("_p").alias("p"), F.array(*[F.lit(b) for b in bins]).alias("f")), lambda r: (r["f"] >= low) & (r["f"] < high)), lambda r: r["p"]))
+    band = lambda low, high: total(F.transform(F.filter(F.arrays_zip(F.col("_p").alias("p"), constants(bins).alias("f")), lambda r: (r["f"] >= low) & (r["f"] < high)), lambda r: r["p"]))
     df = _with(windows, _p=psd(F.col(axis), mean(F.col(axis)), n, rate))
     df = _with(df, _all=total(F.col("_p")), _low=band(0.0, 10.0), _mid=band(10.0, 50.0), _high=band(50.0, float("inf")), _mean=mean(F.col("_p")), _top=F.array_max("_p"))
-    peak = F.get(F.array(*[F.lit(b) for b in bins]), (F.array_position("_p", F.col("_top")) - 1).cast("int"))
+    peak = F.get(constants(bins), (F.array_position("_p", F.col("_top")) - 1).cast("int"))
     values = [
         F.col("_all"), F.col("_low"), F.col("_mid"), F.col("_high"),
         *[safe_divide(F.col(b), F.col("_all")) for b in ("_low", "_mid", "_high")],

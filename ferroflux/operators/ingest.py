@@ -36,19 +36,21 @@ def parse(lines: DataFrame, sensor: int | None = None) -> DataFrame:
     temperatures and repeated stamps may be anything.
     """
     check_sensor(sensor)
-    rows = tokens(lines)
+    count = F.size("tok")
+    # Other counts than 17 and 20 need no numbers. The generator is one that filters on
+    # the outcome don't pass, so each token is read once.
+    rows = tokens(lines).withColumn("_n", F.explode(F.array(F.when(count.isin(17, 20), F.transform("tok", strict_double)))))
     sensors = range(SENSORS) if sensor is None else [sensor]
-    number = lambda i: strict_double(F.get("tok", F.lit(i)))
 
-    def values(shape: int) -> Column:
-        return F.array(*[F.struct(F.lit(s).alias("sensor"), *[number(_place(shape, s, a)).alias(name) for a, name in enumerate(AXES)]) for s in sensors])
+    def place(s: int, a: int) -> Column:
+        return F.get("_n", F.when(count == 20, _place(20, s, a)).otherwise(_place(17, s, a)))
 
-    count = F.size("tok")
-    rows = rows.withColumn("ms", number(0)).withColumn("raw", F.when(count == 20, values(20)).when(count == 17, values(17)))
+    raw = F.array(*[F.struct(F.lit(s).alias("sensor"), *[place(s, a).alias(name) for a, name in enumerate(AXES)]) for s in sensors])
+    rows = rows.withColumn("ms", F.get("_n", F.lit(0))).withColumn("raw", raw)
     bad = F.col("ms").isNull() | F.exists("raw", lambda r: r["X"].isNull() | r["Y"].isNull() | r["Z"].isNull())
-    every = F.forall("tok", lambda t: strict_double(t).isNotNull())
+    every = F.forall("_n", lambda v: v.isNotNull())
     reason = F.when(~count.isin(17, 20), F.lit("count")).when(bad | ((count == 17) & ~every), F.lit("number"))
-    return rows.withColumn("reason", reason)
+    return rows.withColumn("reason", reason).drop("_n")
 
 
 def accepted(parsed: DataFrame) -> DataFrame:

@@ -78,13 +78,13 @@ def _wavelet_table() -> str:
 
 def _long(table: str, names: list[str], extra: str = "") -> str:
     pairs = ", ".join(f"{{'k': '{n}', 'v': {n}}}" for n in names)
-    return f"{BASE}{extra}, f as ({table}), l as (select series, win_start, a, unnest([{pairs}], recursive := true) from f) select series, win_start, a || '_' || k as feature, {_clean('v', 4)} as value from l"
+    return f"{BASE}{extra}, f as ({table}), l as (select series, win_start, a, unnest([{pairs}], recursive := true) from f) select series, win_start, a || '_' || k as feature, {_clean('v')} as value from l"
 
 
 def _wide() -> str:
     psd, spectral = _spectral_table()
     names = [f"t{i}" for i in range(15)] + [f"f{i}" for i in range(12)] + [f"w{i}" for i in range(15)]
-    columns = ", ".join(f"{_clean(f'max({n}) filter (where a = {chr(39)}{a}{chr(39)})', 4)} as {a}_{n}" for a in AXES for n in names)
+    columns = ", ".join(f"{_clean(f'max({n}) filter (where a = {chr(39)}{a}{chr(39)})')} as {a}_{n}" for a in AXES for n in names)
     return f"""{BASE}, {psd}, t as ({_time_table()}), f as ({spectral}), w_ as ({_wavelet_table()}),
     every as (select * from t join f using (series, win_start, a) join w_ using (series, win_start, a)), {_MATERIALS}
     select series, win_start, label, {columns} from every join (select label, row_number() over (order by label) - 1 as k from materials) on series % 8 = k
@@ -173,7 +173,7 @@ def oracle_sql() -> dict[str, str]:
         "spectral_features": _long(spectral, [f"f{i}" for i in range(12)], f", {psd}"),
         "wavelet_features": _long(_wavelet_table(), [f"w{i}" for i in range(15)]),
         "feature_matrix": _wide(),
-        "feature_variance": f"{BASE}, t as ({_time_table()}), l as (select a, unnest([{time_pairs}], recursive := true) from t), v as (select a || '_' || k as feature, case when count(*) filter (where isnan(v)) > 0 then 'nan'::double else var_pop(case when isnan(v) then null else v end) end as var from l group by all) select feature, {_clean('var', 3)} as var, var > 0 and not isnan(var) as kept from v",
+        "feature_variance": f"{BASE}, t as ({_time_table()}), l as (select a, unnest([{time_pairs}], recursive := true) from t), v as (select a || '_' || k as feature, case when count(*) filter (where isnan(v)) > 0 then 'nan'::double else var_pop(case when isnan(v) then null else v end) end as var from l group by all) select feature, {_clean('var', 4)} as var, var > 0 and not isnan(var) as kept from v",
         "vector_scaling": f"with {_vectors(8)} select vec_id, label, {scaled} from vectors",
         "vector_correlation": f"with {_vectors(16)} {corr}",
         "label_codes": f"with {_MATERIALS}, m as (select label, row_number() over (order by label) - 1 as k from materials), seen as (select distinct label from events join m on user_id % 8 = k) select label, row_number() over (order by label) - 1 as code from seen",

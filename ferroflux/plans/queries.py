@@ -62,7 +62,7 @@ def window_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _features(kind: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         wide = features.extract(s.windows(spark, sf_dir), kind)
-        return rounded(wide.unpivot(["series", "win_start"], [c for c in feature_names() if c[2] == kind], "feature", "value"), 4)
+        return rounded(wide.unpivot(["series", "win_start"], [c for c in feature_names() if c[2] == kind], "feature", "value"))
 
     return query
 
@@ -70,13 +70,13 @@ def _features(kind: str):
 def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 126 features of every window with its material: the flagship query."""
     wide = s.feature_rows(spark, sf_dir)
-    return rounded(wide.select("series", "win_start", "label", *feature_names()), 4)
+    return rounded(wide.select("series", "win_start", "label", *feature_names()))
 
 
 def feature_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = features.extract(s.windows(spark, sf_dir), "t")
     names = [c for c in feature_names() if c[2] == "t"]
-    return rounded(prep.variances(wide, names).select("feature", "var", ((F.col("var") > 0) & ~F.isnan("var")).alias("kept")), 3)
+    return rounded(prep.variances(wide, names).select("feature", "var", ((F.col("var") > 0) & ~F.isnan("var")).alias("kept")), 4)
 
 
 def vector_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
