@@ -34,7 +34,7 @@ def _signal(seconds, sensor, seed: int):
 def as_lines(records: DataFrame) -> DataFrame:
     """17-token lines ``ms T X Y Z ...`` of simulated records."""
     parts = records.groupBy("ms").agg(F.array_sort(F.collect_list(F.struct("sensor", "t", "X", "Y", "Z"))).alias("s"))
-    words = F.flatten(F.transform("s", lambda r: F.array(*[F.format_number(r[c], "0.00") for c in ("t", "X", "Y", "Z")])))
+    words = F.flatten(F.transform("s", lambda r: F.array(*[F.format_string("%.2f", r[c]) for c in ("t", "X", "Y", "Z")])))
     return parts.select("ms", F.concat_ws(" ", F.col("ms").cast("long").cast("string"), F.array_join(words, " ")).alias("value"))
 
 
