@@ -36,7 +36,9 @@ LENGTH = 50
 #: Bytes of a minimizer: 25 of them start in each string.
 K = 26
 #: Text whose minimizers or segments meet in one bucket.
-BUCKET_BYTES = 64 << 20
+BUCKET_BYTES = 16 << 20
+#: Text of a block; a worker's arrays are some fifty times as large.
+BLOCK_BYTES = 1 << 20
 #: Bits of a minimizer's hash in the first exchange, which only rules out what nobody else holds.
 FILTER_BITS = 44
 NO_DOC = np.iinfo(np.int64).max
@@ -224,7 +226,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, bucket_bytes: int = BU
     import zstandard
 
     spark = docs.sparkSession
-    blocks = text_blocks(docs, name="substrings")
+    blocks = text_blocks(docs, BLOCK_BYTES, name="substrings")
     buckets = max(1, -(-text_bytes(blocks) // bucket_bytes))
     shift, kind = np.uint64(64 - FILTER_BITS), np.uint8 if length < 120 else np.uint32
 
