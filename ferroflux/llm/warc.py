@@ -1,10 +1,11 @@
 """Deterministic sharded WARC archives: write, commit, read back.
 
-Records are dealt to shards by ranges of page_id whose bounds follow from the
-payload sizes alone, sorted, and written as one gzip member each. A file is
+Records are dealt to shards by ranges of page_id whose bounds follow from the ids
+and payload sizes alone, sorted, and written as one gzip member each. A file is
 rolled when its compressed size reaches ``roll_bytes``. Every file is written
 under a temporary name and renamed when whole; a shard's manifest is renamed
-into place after its files, and the archive's manifest after all shards. Names,
+into place after its files, and the archive's manifest, which holds the totals of
+all shards' manifests, at last. Names,
 headers, dates and digests depend on the rows only, so a task that runs again
 writes the same bytes.
 """
@@ -19,6 +20,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +31,12 @@ DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SHARD_BYTES = 32 << 20
 ROLL_BYTES = 8 << 20
-#: Ranges of page_id for which sizes are gathered on the driver, at most.
-BINS = 10_000
+#: Shards of an archive, at most; larger archives get larger shards.
+MOST_SHARDS = 1 << 20
+#: Parts of the ids' range, and of each part that is too large for a shard.
+BINS = 256
+MANIFEST = "shard long, file string, records long, bytes long, sha256 string"
+EMPTY = {"files": 0, "shards": 0, "records": 0, "bytes": 0, "folded": 0}
 _NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 ROWS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload string"
 
@@ -98,8 +104,39 @@ def roles(pages: DataFrame, least: int = 0) -> DataFrame:
     return rows.join(last, "payload_digest", "left").select("page_id", "payload_digest", "n", refers.alias("refers_to"))
 
 
+def shard_starts(sizes: DataFrame, shard_bytes: int) -> np.ndarray:
+    """First page_id of each shard, for ``sizes`` (page_id, n).
+
+    The range of ids is cut into parts; parts of more than a shard's bytes are cut
+    again, so neither dense nor far ids make a shard large (one id may). A few sums
+    for each shard come to the driver.
+    """
+    spark = sizes.sparkSession
+    low, high = sizes.agg(F.min("page_id"), F.max("page_id")).first()
+    bits = max(0, (high - low + 1).bit_length() - BINS.bit_length() + 1)
+    leaves: list[tuple[int, int]] = []
+    rows = sizes.withColumn("part", F.lit(None).cast("long"))
+    while True:
+        part = F.shiftleft(F.shiftright("page_id", bits), bits)
+        rows = rows.select("page_id", "n", part.alias("part"))
+        sums = [(r["part"], r["n"]) for r in rows.groupBy("part").agg(F.sum("n").alias("n")).collect()]
+        heavy = [(p,) for p, n in sums if n > shard_bytes and bits]
+        leaves += [x for x in sums if not (x[1] > shard_bytes and bits)]
+        if not heavy:
+            break
+        rows = rows.join(F.broadcast(spark.createDataFrame(heavy, "part long")), "part")  # fewer parts than shards
+        bits = max(0, bits - BINS.bit_length() + 1)
+    starts, held = [], shard_bytes
+    for start, n in sorted(leaves):
+        if held + n > shard_bytes:
+            starts.append(start)
+            held = 0
+        held += n
+    return np.array(starts, dtype=np.int64)
+
+
 def write(pages: DataFrame, path: str, least: int = 0, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
-    """Write all ``pages`` (page_id, url, html) under ``path``; returns the manifest's rows.
+    """Write all ``pages`` (page_id, url, html) under ``path``; returns the manifests' rows.
 
     html null counts as empty; a row with null page_id is left out, as no record
     can name it. Exact repeats of a row make one record each; all but the first
@@ -109,24 +146,22 @@ def write(pages: DataFrame, path: str, least: int = 0, shard_bytes: int = SHARD_
     small_batches(spark, 256)
     pages = pages.select("page_id", "url", "html").filter(F.col("page_id").isNotNull())
     role = materialize(roles(pages, least), "roles")
-    low, high = role.agg(F.min("page_id"), F.max("page_id")).first()
-    if low is None:
+    total = role.agg(F.sum("n")).first()[0]
+    if total is None:
         _open(path)[0].create_dir(_open(path)[1], recursive=True)
-        _put(f"{path}/manifest.json", b'{"shards": []}')
-        return spark.createDataFrame([], "shard long, file string, records long, bytes long, sha256 string")
-    width = max(1, -(-(high - low + 1) // BINS))
-    sizes = role.groupBy(F.floor((F.col("page_id") - low) / width).alias("bin")).agg(F.sum("n").alias("n")).orderBy("bin").collect()
-    shard, held, bins = 0, 0, []
-    for r in sizes:
-        if held and held + r["n"] > shard_bytes:
-            shard, held = shard + 1, 0
-        held += r["n"]
-        bins.append((r["bin"], shard))
-    shards = F.broadcast(spark.createDataFrame(bins, "bin long, shard long"))
+        _put(f"{path}/manifest.json", json.dumps(EMPTY).encode())
+        return spark.createDataFrame([], MANIFEST)
+    starts = shard_starts(role.select("page_id", "n"), max(shard_bytes, -(-total // MOST_SHARDS)))
+    known = spark.sparkContext.broadcast(starts)
+
+    @F.pandas_udf("long")
+    def shard_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(known.value, ids.to_numpy(np.int64), "right") - 1)
+
     both = role.select("page_id", F.lit(0).alias("part"), "payload_digest", "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))
     both = both.unionByName(pages.select("page_id", F.lit(1).alias("part"), "url", "html"), allowMissingColumns=True)
-    dealt = both.withColumn("bin", F.floor((F.col("page_id") - low) / width)).join(shards, "bin").drop("bin")
-    dealt = dealt.repartition(shard + 1, "shard").sortWithinPartitions("shard", "page_id", "part", "url", "html")
+    dealt = both.withColumn("shard", shard_of("page_id"))
+    dealt = dealt.repartitionByRange(len(starts), "shard").sortWithinPartitions("shard", "page_id", "part", "url", "html")
     system, folder = _open(path)
     system.create_dir(folder, recursive=True)
 
@@ -147,7 +182,7 @@ def write(pages: DataFrame, path: str, least: int = 0, shard_bytes: int = SHARD_
             nonlocal files
             if shard is not None:
                 roll()
-                _put(f"{path}/part-{shard:06d}.json", json.dumps(files).encode())
+                _put(f"{path}/part-{shard:06d}.json", json.dumps({"files": files}).encode())
                 done.extend(files)
             files = []
 
@@ -175,12 +210,18 @@ def write(pages: DataFrame, path: str, least: int = 0, shard_bytes: int = SHARD_
         if done:
             yield pd.DataFrame(done)
 
-    files = materialize(dealt.mapInPandas(store, "shard long, file string, records long, bytes long, sha256 string"), "manifest")
-    listed = [r.asDict() for r in files.orderBy("file").collect()]
-    _put(f"{path}/manifest.json", json.dumps({"shards": listed}).encode())
+    files = materialize(dealt.mapInPandas(store, MANIFEST), "manifest")
+    _put(f"{path}/manifest.json", json.dumps(_totals(files)).encode())
     return files
 
 
+def _totals(files: DataFrame) -> dict:
+    """What an archive's manifest says; the files' sums are folded, so that none is listed on the driver."""
+    folded = F.expr("bit_xor(xxhash64(file, sha256, records))")
+    row = files.agg(F.count("*").alias("files"), F.countDistinct("shard").alias("shards"), F.sum("records").alias("records"), F.sum("bytes").alias("bytes"), folded.alias("folded")).first()
+    return row.asDict() if row["files"] else EMPTY
+
+
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of each record of a file of gzip members."""
     while data:
@@ -204,16 +245,19 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """
     system, folder = _open(path)
     with system.open_input_stream(f"{folder}/manifest.json") as f:
-        listed = json.loads(f.read())["shards"]
-    if not listed:
+        told = json.loads(f.read())
+    if not told["files"]:
         return spark.createDataFrame([], ROWS)
-    sums = {x["file"]: x["sha256"] for x in listed}
+    listed = spark.read.schema(f"files array<struct<{MANIFEST.replace(' ', ':').replace(',:', ',')}>>").option("pathGlobFilter", "part-*.json").json(path)
+    listed = listed.select(F.explode("files").alias("f")).select("f.*")
+    if _totals(listed) != told:
+        raise ValueError("the shards' manifests differ from the archive's")
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for name, content in zip(pdf["path"], pdf["content"]):
-                if hashlib.sha256(content).hexdigest() != sums[name.rpartition("/")[2]]:
-                    raise ValueError(f"{name} differs from the manifest")
+            for name, sha256, content in zip(pdf["file"], pdf["sha256"], pdf["content"]):
+                if content is None or hashlib.sha256(content).hexdigest() != sha256:
+                    raise ValueError(f"{name} differs from its manifest")
                 rows = []
                 for headers, block in parse(bytes(content)):
                     payload = block.partition(b"\r\n\r\n")[2]
@@ -233,5 +277,6 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         out["refers_to"] = out["refers_to"].astype("Int64")
         return out
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.warc.gz").load(path).select("path", "content")
-    return files.mapInPandas(unpack, ROWS)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.warc.gz").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    small_batches(spark, 4)
+    return listed.join(files, "file", "left").select("file", "sha256", "content").mapInPandas(unpack, ROWS)
