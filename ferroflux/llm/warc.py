@@ -253,10 +253,15 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     if _totals(listed) != told:
         raise ValueError("the shards' manifests differ from the archive's")
 
+    def sums(shard: str) -> dict[str, str]:
+        system, folder = _open(path)
+        with system.open_input_stream(f"{folder}/{shard}.json") as f:
+            return {x["file"]: x["sha256"] for x in json.loads(f.read())["files"]}
+
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for name, sha256, content in zip(pdf["file"], pdf["sha256"], pdf["content"]):
-                if content is None or hashlib.sha256(content).hexdigest() != sha256:
+            for name, content in zip(pdf["file"], pdf["content"]):
+                if hashlib.sha256(content).hexdigest() != sums(name.rpartition("-")[0]).get(name):
                     raise ValueError(f"{name} differs from its manifest")
                 rows = []
                 for headers, block in parse(bytes(content)):
@@ -278,5 +283,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         return out
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.warc.gz").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    if files.select("file").count() != told["files"]:
+        raise ValueError("files are missing")
     small_batches(spark, 4)
-    return listed.join(files, "file", "left").select("file", "sha256", "content").mapInPandas(unpack, ROWS)
+    return files.mapInPandas(unpack, ROWS)
