@@ -36,7 +36,7 @@ LENGTH = 50
 #: Bytes of a minimizer: 25 of them start in each string.
 K = 26
 #: Text whose minimizers or segments meet in one bucket.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 #: Text of a block; a worker's arrays are some fifty times as large.
 BLOCK_BYTES = 1 << 20
 #: Bits of a minimizer's hash in the first exchange, which only rules out what nobody else holds.
@@ -76,7 +76,8 @@ class Segments:
         new = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (s[1:] != s[:-1] + 1))))
         self.first, self.last = s[new], s[np.concatenate((new[1:], [len(s)])) - 1]
         # Adjacent documents never share a minimizer's place, as it lies within one of them.
-        self.minimizer = grams[at[new]]
+        # Minimizers are small hashes; mixed again, they spread evenly over the buckets.
+        self.minimizer = mix64(grams[at[new]])
         self.doc = np.searchsorted(self.bounds, self.first, "right") - 1
         self.anchor = at[new] - self.first
         size = self.last - self.first + length
@@ -296,7 +297,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, bucket_bytes: int = BU
         runs, starts, docs_ = np.ones(len(one), np.int64), np.zeros(len(one), np.int64), least.copy()
         if multi.any():
             x = one[multi]
-            found = smallest_docs(raw, begin[x], windows[x], anchor[x], m[x], least[multi], length)
+            # Only their text is hashed.
+            part = raw[gathered(sizes[x], begin[x])]
+            found = smallest_docs(part, np.cumsum(sizes[x]) - sizes[x], windows[x], anchor[x], m[x], least[multi], length)
             edge = np.cumsum(windows[x]) - windows[x]
             change = np.concatenate(([True], found[1:] != found[:-1]))
             change[edge] = True
