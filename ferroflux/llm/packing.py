@@ -25,37 +25,40 @@ END_ID = 0
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def _encoder(path: str):
+def _encoder(path: str, added_tokens: bool = False):
     """text -> ids as little-endian unsigned 32-bit, with the vocabulary of the tokenizers file at ``path``.
 
     In a byte-level BPE file ids rise in the order of merges, so its vocabulary is
     a table of ranks and tiktoken gives the same ids in a fourth of the time.
-    Files of any other make go through the tokenizers library.
+    Files of any other make go through the tokenizers library. So do, with
+    ``added_tokens``, texts that hold one of the file's added tokens, which then
+    gets its own id; without, it is text like any other.
     """
 
     def build():
+        from tokenizers import Tokenizer
+
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = not added_tokens
+        slow = lambda texts: [np.asarray(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         if (told.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not told.get("normalizer") and told["model"]["type"] == "BPE":
             import tiktoken
 
             shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that the file writes as themselves
             letters = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
-            special = {t["content"] for t in told.get("added_tokens", [])}
-            ranks = {bytes(letters[c] for c in word): i for word, i in told["model"]["vocab"].items() if word not in special}
+            added = {t["content"] for t in told.get("added_tokens", [])}
+            ranks = {bytes(letters[c] for c in word): i for word, i in told["model"]["vocab"].items() if word not in added}
             encoding = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-            return lambda texts: [np.asarray(encoding.encode_ordinary(t), dtype="<u4").tobytes() for t in texts]
-
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        return lambda texts: [np.asarray(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            fast = lambda t: np.asarray(encoding.encode_ordinary(t), dtype="<u4").tobytes()
+            return lambda texts: [slow([t])[0] if added_tokens and any(x in t for x in added) else fast(t) for t in texts]
+        return slow
 
-    return cached(f"tokenizer {path}", build)
+    return cached(f"tokenizer {path} {added_tokens}", build)
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, keep_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, keep_ids: bool = False, added_tokens: bool = False) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens and, on demand, ids.
 
     A null text counts as empty and gives one piece holding the end id. Rows that
@@ -68,7 +71,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, keep_ids
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = _encoder(tokenizer)
+        encode = _encoder(tokenizer, added_tokens)
         for pdf in batches:
             texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
             rows: list[tuple] = []
@@ -139,6 +142,6 @@ def pack_pieces(pieces: DataFrame, length: int = LENGTH, group_size: int = 8192,
     return dealt.groupBy("pack_group").applyInPandas(pack, schema)
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, group_size: int = 8192, keep_ids: bool = False) -> DataFrame:
-    """Pack all documents; see token_pieces and pack_pieces for the columns."""
-    return pack_pieces(materialize(token_pieces(docs, tokenizer, length, keep_ids), "pieces"), length, group_size)
+def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, group_size: int = 8192, keep_ids: bool = False, added_tokens: bool = False) -> DataFrame:
+    """Pack all documents; see token_pieces and pack_pieces for the columns, _encoder for ``added_tokens``."""
+    return pack_pieces(materialize(token_pieces(docs, tokenizer, length, keep_ids, added_tokens), "pieces"), length, group_size)

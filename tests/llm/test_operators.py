@@ -234,6 +234,21 @@ def test_encoder_equals_tokenizers():
     assert packing._encoder(queries.tokenizer_path())(texts) == expected
 
 
+def test_packing_query_gives_added_tokens_their_ids(spark, tmp_path):
+    import corpus_pipeline as pipeline
+    from tokenizers import Tokenizer
+
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|><|endoftext|> don't", "a <|endoftext b"]
+    docs = frame(spark, list(enumerate(texts)))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    tokenizer = Tokenizer.from_file(queries.tokenizer_path())
+    ids = [tokenizer.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    assert ids[0] == [64, 50256, 65, 0]
+    expected = [(i, len(x), zlib.crc32(np.asarray(x, "<u4").tobytes())) for i, x in enumerate(ids)]
+    for got in (queries.op4_packing(spark, str(tmp_path)), pipeline.pack(spark, docs, str(tmp_path))):
+        assert sorted((r.doc_id, r.length, r.ids_crc32) for r in got.collect()) == expected
+
+
 # --- toxicity -------------------------------------------------------------------------------
 
 
