@@ -9,14 +9,11 @@ from ferroflux.llm import decontaminate, langid, minhash, packing, secrets
 from ferroflux.llm.base import materialize
 from ferroflux.llm.queries import table, tokenizer_path
 
-#: Documents whose best language holds a smaller share of their n-grams go.
-LEAST_SCORE = 0.2
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages that ``docs`` names; texts without letters or of no known language go."""
+    """Documents in one of the languages that ``docs`` names; texts without letters go, and those on which no language scores above its false positives."""
     told = langid.predict(docs, langid.fit(docs))
-    return told.filter((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_SCORE)).select(*docs.columns)
+    return told.filter((F.col("lang_pred") != "und") & (F.col("lang_score") > 0)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,9 @@ filter: position i holds a bitmask of the languages whose filter has bit i, so
 the AND of an n-gram's k positions gives every language containing it. The
 popcounts of a document per language, corrected for each language's
 false-positive rate, decide.
+
+No n-gram is left out. A filter holds up to ``SLICE`` n-grams; of more, slices by
+hash are made, and as many passes over the documents add up their popcounts.
 """
 
 from __future__ import annotations
@@ -23,9 +26,8 @@ from .base import cached, materialize, mix64, small_batches
 
 ORDERS = (3, 4)
 HASHES = 3
-#: An n-gram rarer than this share of a language's n-grams isn't stored, so a
-#: language has at most 1 / MIN_SHARE of them and the filter a proven size.
-MIN_SHARE = 1e-6
+#: N-grams of one slice of the filter, at most on average; bounds what is sent to all tasks.
+SLICE = 1 << 21
 BELONGS = 0.5
 #: Distinct n-grams that a task holds before it passes its counts on.
 FLUSH = 1 << 21
@@ -59,6 +61,7 @@ def _grams(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         gap = a == 32
         keep = ~gap
         keep[1:] |= ~gap[:-1]
+        keep[0] = True  # the first document of a run begins after a gap as the others do
         a, owner = a[keep].astype(np.uint64), owner[keep]
         gap = a == 32
         hashes, owners = [], []
@@ -83,10 +86,10 @@ def _grams(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
 @dataclass
 class Filter:
     languages: list[str]
-    #: One bitmask of languages per position and word of 64 languages.
-    table: np.ndarray
-    false_positive: np.ndarray
     prior: np.ndarray
+    #: (gram, word, mask, slice): the languages of every n-gram, 63 to a word.
+    masks: DataFrame | None
+    slices: int
 
 
 def _positions(grams: np.ndarray, k: int, size: int) -> np.ndarray:
@@ -130,30 +133,34 @@ def gram_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text")
     return rows.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", belongs: float = BELONGS) -> Filter:
+def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", belongs: float = BELONGS, slice_grams: int = SLICE) -> Filter:
     """The filter of all languages in ``docs`` (rows with null text or language don't count)."""
     counts = materialize(gram_counts(docs, lang_col, text_col), "grams")
     totals = {r["lang"]: r["total"] for r in counts.groupBy("lang").agg(F.sum("n").alias("total")).collect()}
     languages = sorted(totals)
     if not languages:
-        return Filter([], np.zeros((1, 1), np.uint64), np.zeros(0), np.zeros(0))
+        return Filter([], np.zeros(0), None, 0)
     total = F.create_map(*[F.lit(x) for lang in languages for x in (lang, float(totals[lang]))])
     index = F.create_map(*[F.lit(x) for i, lang in enumerate(languages) for x in (lang, i)])
     shares = counts.withColumn("share", F.col("n") / F.element_at(total, F.col("lang"))).withColumn("i", F.element_at(index, F.col("lang")))
     best = shares.groupBy("gram").agg(F.max("share").alias("best"))
-    member = shares.join(best, "gram").filter((F.col("share") >= belongs * F.col("best")) & (F.col("share") >= MIN_SHARE) & (F.col("n") > 1))
-    words = -(-len(languages) // 63)
-    masks = member.groupBy("gram", F.floor(F.col("i") / 63).alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(i % 63)))").alias("mask"))
-    got = masks.toPandas()
-    most = max(1, len(got))
-    size = 1 << max(12, (8 * most - 1).bit_length())
-    table = np.zeros((size, words), dtype=np.uint64)
+    member = shares.join(best, "gram").filter(F.col("share") >= belongs * F.col("best"))
+    masks = materialize(member.groupBy("gram", F.floor(F.col("i") / 63).alias("word")).agg(F.expr("bit_or(shiftleft(1L, int(i % 63)))").alias("mask")), "masks")
+    slices = max(1, -(-masks.count() // slice_grams))
+    prior = np.array([totals[x] for x in languages], dtype=float)
+    return Filter(languages, prior / prior.sum(), masks.withColumn("slice", F.pmod("gram", F.lit(slices))), slices)
+
+
+def _slice(model: Filter, at: int) -> tuple[np.ndarray, np.ndarray]:
+    """(table, false-positive rate of each language) of a slice: a bitmask of the languages per position and word."""
+    got = model.masks.filter(F.col("slice") == at).toPandas()
+    size = 1 << max(12, (8 * max(1, len(got)) - 1).bit_length())
+    table = np.zeros((size, -(-len(model.languages) // 63)), dtype=np.uint64)
     grams, word, mask = got["gram"].to_numpy(np.int64).view(np.uint64), got["word"].to_numpy(np.int64), got["mask"].to_numpy(np.int64).view(np.uint64)
     for k in range(HASHES):
         np.bitwise_or.at(table, (_positions(grams, k, size), word), mask)
-    fill = np.array([((table[:, i // 63] >> np.uint64(i % 63)) & np.uint64(1)).mean() for i in range(len(languages))])
-    prior = np.array([totals[x] for x in languages], dtype=float)
-    return Filter(languages, table, fill**HASHES, prior / prior.sum())
+    fill = np.array([((table[:, i // 63] >> np.uint64(i % 63)) & np.uint64(1)).mean() for i in range(len(model.languages))])
+    return table, fill**HASHES
 
 
 def predict(docs: DataFrame, model: Filter, text_col: str = "text") -> DataFrame:
@@ -164,17 +171,31 @@ def predict(docs: DataFrame, model: Filter, text_col: str = "text") -> DataFrame
     the text's n-grams that the language contains; ties go to the language with
     more training text, then to the first by name.
     """
-    small_batches(docs.sparkSession, 256)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        n_lang, size = len(m.languages), len(m.table)
-        narrow = m.table[:, 0].astype(np.uint8) if n_lang <= 8 else None
-        for column in batches:
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "lang_score")]
+    rows = docs.select(*kept, F.lit(None).cast("array<double>").alias("_hits"))
+    for at in range(model.slices - 1):
+        # One slice is sent out at a time, so each pass is stored before the next.
+        rows = materialize(_pass(rows, model, at, text_col, kept), "hits")
+    return _pass(rows, model, model.slices - 1, text_col, kept, last=True)
+
+
+def _pass(rows: DataFrame, model: Filter, number: int, text_col: str, kept: list, last: bool = False) -> DataFrame:
+    """Add a slice's corrected popcounts to ``_hits`` (each language's, then what each could reach); the last pass decides."""
+    small_batches(rows.sparkSession, 256)
+    n_lang, slices, names_of, prior = len(model.languages), model.slices, model.languages, model.prior
+    shared = rows.sparkSession.sparkContext.broadcast(_slice(model, number) if n_lang else None)
+
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        table, fp = shared.value if n_lang else (np.zeros((1, 1), np.uint64), np.zeros(0))
+        size = len(table)
+        narrow = table[:, 0].astype(np.uint8) if n_lang <= 8 else None
+        for column, before in batches:
             texts = [t if isinstance(t, str) else "" for t in column]
             hits, n = np.zeros((len(texts), n_lang)), np.zeros(len(texts))
             for i, j, grams, owner in _grams(texts):
+                if slices > 1:
+                    mine = grams.view(np.int64) % slices == number
+                    grams, owner = grams[mine], owner[mine]
                 n[i:j] += np.bincount(owner - i, minlength=j - i)
                 at = [_positions(grams, k, size) for k in range(HASHES)]
                 if narrow is not None:
@@ -183,21 +204,26 @@ def predict(docs: DataFrame, model: Filter, text_col: str = "text") -> DataFrame
                     bits = (np.arange(256)[:, None] >> np.arange(n_lang)) & 1
                     hits[i:j] += cells @ bits
                 else:
-                    mask = m.table[at[0]] & m.table[at[1]] & m.table[at[2]]
+                    mask = table[at[0]] & table[at[1]] & table[at[2]]
                     for lang in range(n_lang):
                         bit = (mask[:, lang // 63] >> np.uint64(lang % 63)) & np.uint64(1)
                         hits[i:j, lang] += np.bincount(owner - i, bit, j - i)
+            sums = np.concatenate((hits - fp * n[:, None], n[:, None] * (1 - np.minimum(fp, 0.99))), axis=1)
+            if number:
+                sums += np.stack([np.asarray(x, float) for x in before])
+            if not last:
+                yield pd.DataFrame({"hits": list(sums)})
+                continue
             letters = np.array([any(map(str.isalpha, t)) for t in texts], dtype=bool)
             if n_lang:
-                fp = m.false_positive
-                share = np.clip((hits - fp * n[:, None]) / np.maximum(1, n)[:, None] / (1 - np.minimum(fp, 0.99)), 0, 1)
-                best = np.argmax(np.round(share, 12) + 1e-9 * m.prior, axis=1)
+                share = np.clip(sums[:, :n_lang] / np.maximum(1e-9, sums[:, n_lang:]), 0, 1)
+                best = np.argmax(np.round(share, 12) + 1e-9 * prior, axis=1)
                 top = share[np.arange(len(texts)), best]
-                names = np.array(m.languages, dtype=object)[best]
+                names = np.array(names_of, dtype=object)[best]
             else:
                 top, names = np.zeros(len(texts)), np.full(len(texts), "und", dtype=object)
             yield pd.DataFrame({"lang_pred": np.where(letters, names, "und"), "lang_score": np.where(letters, top, 0.0)})
 
-    told = F.pandas_udf(score, "lang_pred string, lang_score double")
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "lang_score")]
-    return docs.select(*kept, told(F.col(text_col)).alias("_language")).select(*kept, "_language.lang_pred", "_language.lang_score")
+    told = F.pandas_udf(score, "lang_pred string, lang_score double" if last else "hits array<double>")
+    out = rows.select(*kept, told(F.col(text_col), F.col("_hits")).alias("_told"))
+    return out.select(*kept, *(("_told.lang_pred", "_told.lang_score") if last else (F.col("_told.hits").alias("_hits"),)))

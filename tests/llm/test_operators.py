@@ -305,6 +305,24 @@ def test_language_of_held_out_texts(spark):
     assert langid.predict(odd, langid.fit(odd.limit(0))).filter("lang_pred <> 'und'").count() == 0
 
 
+def test_language_with_one_short_text(spark):
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.choices("the quick brown fox jumps over lazy dogs".split(), k=30)), "en") for i in range(40)]
+    rare = [(100, "zħapxu ġbejniet", "mt"), (101, "日本語の文章です", "ja")]
+    docs = frame(spark, rows + rare, "doc_id long, text string, lang string")
+    whole = langid.predict(docs, langid.fit(docs))
+    got = {r.doc_id: (r.lang_pred, r.lang_score) for r in whole.collect()}
+    assert [got[i][0] for i in (0, 100, 101)] == ["en", "mt", "ja"] and min(got[100][1], got[101][1]) > 0.9
+    kept = {r.doc_id for r in pipeline.language(spark, docs, SF).collect()}
+    assert kept == {i for i, _, _ in rows + rare}
+    sliced = langid.fit(docs, slice_grams=20)
+    assert sliced.slices > 2
+    for r in langid.predict(docs, sliced).collect():
+        assert r.lang_pred == got[r.doc_id][0] and abs(r.lang_score - got[r.doc_id][1]) < 0.05
+
+
 # --- repeated substrings --------------------------------------------------------------------
 
 
