@@ -79,7 +79,7 @@ def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lm import fit, score
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit(docs.filter(F.coalesce(remainder(7) != 2, F.lit(True))))
+    model = fit(docs.filter(F.coalesce(remainder(7) != 2, F.lit(True))), order=2)
     told = score(docs, model)
     return told.select("doc_id", F.coalesce(remainder(7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 

@@ -410,6 +410,39 @@ def test_lm_base_counts_and_probabilities(spark):
     assert lm.score(docs.limit(2), empty).count() == 2 and lm.score(docs.limit(0), fitted).count() == 0
 
 
+def test_lm_conditions_on_the_previous_word(spark, monkeypatch):
+    rng = random.Random(4)
+    chain = lambda: " ".join(f"a{(k := rng.randrange(40))} b{k} c{k}" for _ in range(30))
+    rows = [(i, chain()) for i in range(60)] + [r for r in ODD if r[0] is not None]
+    mixed = rows[50][1].split()
+    rng.shuffle(mixed)
+    docs = frame(spark, rows + [(500, " ".join(mixed)), (501, "neverseen a1 b1")])
+    for bucket in (16 << 20, 4000):
+        monkeypatch.setattr(lm, "PAIR_BUCKET_BYTES", bucket)
+        fitted = lm.fit(docs.filter("doc_id < 40 or doc_id between 900 and 950"), order=2)
+        got = {r.doc_id: r.score for r in lm.score(docs, fitted, bucket_bytes=1000).collect()}
+        assert len(got) == len(rows) + 2 and got[50] > got[500] + 30
+    known = {bytes(r.word).decode(): r.p for r in fitted.words.collect()}
+    assert abs(sum(known.values()) + fitted.new - 1) < 1e-3
+    # All that may begin a text, END is one of it and hot, adds up to one: p(w | END) = p(text w) / p(END | w).
+    vocabulary = sorted(w for w in known if w != "\n")
+    texts = [(i, w) for i, w in enumerate(vocabulary)] + [(-1, ""), (-2, "neverseen")]
+    alone = {r.doc_id: r.score for r in lm.score(frame(spark, texts), fitted).collect()}
+    after = {r.doc_id: r.score for r in lm.score(frame(spark, [(i, f"neverseen {w}") for i, w in texts if w]), fitted).collect()}
+    unseen = alone[-2] - math.log10(known["\n"])
+    total = sum(10 ** (alone[i] - (after[i] - unseen - math.log10(known.get(w, fitted.new)))) for i, w in texts if w) + 10 ** alone[-1]
+    assert abs(total - 1) < 1e-3
+
+
+def test_seating_sweep_moves_all():
+    seats = lm.Seating(4, np.zeros(0, np.int64), np.zeros(0, np.int64), np.random.default_rng(0))
+    n = np.array([1, 3, 200, 0])
+    seats.seat(n, np.full(4, 1e-9), 0.1)
+    assert seats.tables()[2] == 1
+    seats.sweep(np.full(4, 1e9), 0.1)
+    assert (seats.customers() == n).all() and seats.tables()[2] > 100
+
+
 def test_seating_keeps_customers():
     rng = np.random.default_rng(0)
     n = np.array([1, 2, 50, 5000, 0])
