@@ -225,15 +225,15 @@ def dataset_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Report of a forest on held-out vectors."""
-    rows, columns = s.vectors(spark, sf_dir, 16)
+    rows, columns = s.vectors(spark, sf_dir)
     cut = prep.stratified_split(rows, "label", F.xxhash64("vec_id", F.lit(42)))
-    fitted = model.fit_forest(cut.filter("split = 'train'"), columns, trees=20, depth=8)
+    fitted = model.fit_forest(cut.filter("split = 'train'"), columns)
     return evaluate.report(model.predict(fitted, cut.filter("split = 'test'")))
 
 
 def forest_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, columns = s.vectors(spark, sf_dir, 16)
-    return evaluate.top_importances(model.importances(model.fit_forest(rows, columns, trees=20, depth=8), columns, spark), 20)
+    rows, columns = s.vectors(spark, sf_dir)
+    return evaluate.top_importances(model.importances(model.fit_forest(rows, columns), columns, spark), 20)
 
 
 def forest_shap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,9 +244,9 @@ def forest_shap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segment_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, columns = s.vectors(spark, sf_dir, 8)
+    rows, columns = s.vectors(spark, sf_dir)
     rows = win.ordinals(rows.withColumn("series", F.lit(0)), "series", "vec_id")
-    return model.segment_importances(rows, columns, columns, trees=5)
+    return model.segment_importances(rows, columns, columns)
 
 
 def learning_curve(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,6 +41,15 @@ def test_query_without_sql_has_rows(spark, name):
     assert queries.queries()[name](spark, SF).count() > 0
 
 
+def test_forests_use_all_components_and_the_defaults(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(queries.model, "fit_forest", lambda rows, columns, *a, fit=queries.model.fit_forest, **options: seen.append((len(columns), options)) or fit(rows, columns, *a, **options | {"trees": 2, "depth": 3}))
+    assert queries.forest_importance(spark, SF).count() == 20
+    assert queries.forest(spark, SF).count() > 0
+    assert queries.segment_importance(spark, SF).groupBy("segment").count().filter("count = 64").count() == 5
+    assert seen == [(64, {})] * 2 + [(64, {"trees": 100, "depth": 30, "leaf": 1})] * 5
+
+
 def test_entry_imports_without_optional_parts():
     import __spark_entry__
 
