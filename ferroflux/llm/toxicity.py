@@ -41,15 +41,19 @@ def features(text: str | None) -> set[str]:
     return words | {f"{b}*" for b in begins} | {f"{b}**" for b, n in begins.items() if n > 1}
 
 
+def _shouts(text: str, width: int = 2000) -> bool:
+    """Whether over half of the letters of the text, or of any run of ``width`` characters in it, are capitals."""
+    upper, letters = (np.concatenate(([0], np.cumsum(np.fromiter(map(f, text), bool, len(text))))) for f in (str.isupper, str.isalpha))
+    return any(bool((u[k:] - u[:-k] > 0.5 * np.maximum(20, n[k:] - n[:-k])).any()) for u, n in ((upper, letters),) for k in {len(text), min(width, len(text))} if k)
+
+
 def pattern_votes(text: str | None) -> list[int]:
     """Votes of the fixed voters: 1 toxic, -1 clean, 0 none."""
     text = text or ""
     low = text.lower()
     words = set(_WORD.findall(low))
     insults = len(words & INSULTS)
-    letters = sum(map(str.isalpha, text[:2000]))
-    shouts = sum(map(str.isupper, text[:2000])) > 0.5 * max(20, letters)
-    return [1 if insults else 0, 1 if insults > 1 else 0, 1 if insults and _ADDRESS.search(low) else 0, 1 if shouts else 0, 1 if "!!" in text else 0, -1 if not words else 0]
+    return [1 if insults else 0, 1 if insults > 1 else 0, 1 if insults and _ADDRESS.search(low) else 0, 1 if _shouts(text) else 0, 1 if "!!" in text else 0, -1 if not words else 0]
 
 
 @dataclass

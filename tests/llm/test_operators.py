@@ -272,6 +272,12 @@ def test_toxicity_separates_planted_words(spark):
     assert got[900] == got[901] < 0.5
 
 
+def test_shouting_is_found_anywhere():
+    calm, loud = "quiet words here " * 300, "GO AWAY NOW " * 200
+    votes = [toxicity.pattern_votes(t)[3] for t in (calm + loud, calm + loud + calm, loud, calm, "", None, "OK")]
+    assert votes == [1, 1, 1, 0, 0, 0, 0]
+
+
 def test_toxicity_without_labels(spark):
     docs = frame(spark, [(1, "a"), (2, None)])
     none = frame(spark, [], "doc_id long, toxic int")
