@@ -15,21 +15,33 @@ from collections.abc import Callable, Iterator
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
+_WRITTEN: list[str] = []
 #: Text is handled in slices of about this many bytes, which bounds a worker's arrays.
 CHUNK = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only if none is set."""
+    """The folder that driver and executors share, spark.checkpoint.dir; where it is unset, a temporary one in local mode only."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/ferroflux-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/ferroflux-{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove all scratch tables of this process; frames that were made from them can't be read afterwards."""
+    while _WRITTEN:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -40,9 +52,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Rows of Arrow batches, so that a batch of long texts stays small in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def runs(batches: Iterator, rows: int = 256) -> Iterator:
+    """Batches in runs of at most ``rows`` rows. Spark bounds a batch by bytes, this the arrays made of it."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.iloc[at : at + rows]
+
+
+def fresh(stem: str, columns: list[str]) -> str:
+    """A column name that none of ``columns`` has, whatever its case."""
+    taken, name = {c.lower() for c in columns}, stem
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def quoted(name: str) -> str:
+    """A column name as one identifier, whatever dots or backticks it holds."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def cached(key: str, build: Callable):
@@ -92,6 +119,15 @@ def byte_codes() -> np.ndarray:
     return cached("codes", lambda: np.random.default_rng(20240501).integers(1, 1 << 63, 256, dtype=np.uint64))
 
 
+#: Places in a word that have codes of their own.
+PLACES = 64
+
+
+def place_codes() -> np.ndarray:
+    """A random number for each place, modulo PLACES, and byte."""
+    return cached("places", lambda: np.random.default_rng(20240502).integers(0, 1 << 63, PLACES * 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+
+
 def space_table() -> np.ndarray:
     table = np.zeros(256, dtype=bool)
     table[[32, 9, 10, 11, 12, 13]] = True
@@ -121,18 +157,29 @@ def _slices(data: bytes, separates: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def word_spans(data: bytes, separates: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, end) of each word of ``data``, which is lower-cased already."""
+    """(hash, start, end) of each word of ``data``, which is lower-cased already.
+
+    A word's hash adds up a random number for each place and byte; beyond the first
+    PLACES bytes the numbers are multiplied by another one for each further run of
+    PLACES. No algebra links the numbers, so unlike words share a hash by chance only.
+    """
     hashes, starts, ends = [], [], []
-    codes = byte_codes()
+    codes = place_codes()
     for lo, hi in _slices(data, separates):
         raw = np.frombuffer(data, np.uint8, hi - lo, lo)
         gap = separates[raw]
         edge = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True])).view(np.int8)))
         s, e = edge[::2], edge[1::2]
-        up, down = powers(len(raw) + 1)
-        total = np.zeros(len(raw) + 1, dtype=np.uint64)
-        np.cumsum(codes[raw] * up[: len(raw)], out=total[1:])
-        hashes.append(mix64((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64)))
+        size = e - s
+        letters = raw[~gap]
+        ends_at = np.cumsum(size)
+        inside = np.arange(len(letters)) - np.repeat(ends_at - size, size)
+        value = codes[((inside & (PLACES - 1)) << 8) | letters]
+        far = np.flatnonzero(inside >= PLACES)
+        if len(far):
+            value[far] *= mix64((inside[far] // PLACES).astype(np.uint64)) | np.uint64(1)
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value)))
+        hashes.append(mix64(total[ends_at] - total[ends_at - size] + size.astype(np.uint64)))
         starts.append(s + lo)
         ends.append(e + lo)
     if not hashes:

@@ -16,40 +16,44 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import materialize, small_batches
+from .base import materialize, runs
 
 BLOCK_BYTES = 4 << 20
-BLOCK = "block long, ids array<long>, sizes array<long>, data binary"
 
 
-def text_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, name: str = "blocks") -> DataFrame:
-    """Blocks of all rows of ``docs`` (doc_id, text); null texts count as empty. Stored in the shared folder."""
-    small_batches(docs.sparkSession, 256)
+def text_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, name: str = "blocks", mark: str | None = None) -> DataFrame:
+    """Blocks of all rows of ``docs`` (doc_id, text); null texts count as empty. Stored in the shared folder.
+
+    With ``mark``, the name of a boolean column, blocks also have ``marks``, 1 for
+    each document of which it is true.
+    """
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
 
-        ids, texts, size = [], [], 0
+        ids, texts, marks, size = [], [], [], 0
 
         def out() -> pd.DataFrame:
             data = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
-            return pd.DataFrame({"ids": [list(ids)], "sizes": [[len(t) for t in texts]], "data": [data]})
+            return pd.DataFrame({"ids": [list(ids)], "sizes": [[len(t) for t in texts]], "data": [data], "marks": [bytes(marks)]})
 
-        for pdf in batches:
-            for i, text in zip(pdf["doc_id"].tolist(), pdf["text"]):
+        for pdf in runs(batches):
+            for i, text, m in zip(pdf["doc_id"].tolist(), pdf["text"], pdf["mark"]):
                 text = bytes(text) if text is not None else b""
                 if texts and size + len(text) > block_bytes:
                     yield out()
-                    ids, texts, size = [], [], 0
+                    ids, texts, marks, size = [], [], [], 0
                 ids.append(None if pd.isna(i) else int(i))
                 texts.append(text)
+                marks.append(int(m))
                 size += len(text)
         if texts:
             yield out()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    packed = rows.mapInPandas(pack, "ids array<long>, sizes array<long>, data binary")
-    return materialize(packed.select(F.monotonically_increasing_id().alias("block"), "ids", "sizes", "data"), name)
+    marked = F.coalesce(F.col(mark).cast("boolean"), F.lit(False)) if mark else F.lit(False)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), marked.cast("int").alias("mark"))
+    packed = rows.mapInPandas(pack, "ids array<long>, sizes array<long>, data binary, marks binary")
+    return materialize(packed.select(F.monotonically_increasing_id().alias("block"), "ids", "sizes", "data", *["marks"] * bool(mark)), name)
 
 
 def unpack(data: bytes, sizes) -> list[bytes]:

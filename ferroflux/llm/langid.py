@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import cached, materialize, mix64, small_batches
+from .base import cached, fresh, materialize, mix64, quoted
 
 ORDERS = (3, 4)
 HASHES = 3
@@ -100,8 +100,6 @@ def _positions(grams: np.ndarray, k: int, size: int) -> np.ndarray:
 
 def gram_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """(lang, gram, n) over all given documents; tasks add up before the shuffle."""
-    small_batches(docs.sparkSession, 256)
-
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[str, list] = {}
 
@@ -163,25 +161,30 @@ def _slice(model: Filter, at: int) -> tuple[np.ndarray, np.ndarray]:
     return table, fill**HASHES
 
 
-def predict(docs: DataFrame, model: Filter, text_col: str = "text") -> DataFrame:
-    """Add lang_pred and lang_score to ``docs``.
+def predict(docs: DataFrame, model: Filter, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "lang_score")) -> DataFrame:
+    """Add lang_pred and lang_score, or what ``names`` calls them, to ``docs``.
 
     lang_pred is ``und`` (score 0) if the text is null or holds no letter, or if
     no language was learned. lang_score is the false-positive-corrected share of
     the text's n-grams that the language contains; ties go to the language with
-    more training text, then to the first by name.
+    more training text, then to the first by name. Each row counts for itself,
+    whatever its doc_id. Own columns of these names are replaced, others stay; an
+    empty table gives no rows.
     """
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "lang_score")]
-    rows = docs.select(*kept, F.lit(None).cast("array<double>").alias("_hits"))
+    columns = [c for c in docs.columns if c.lower() not in {n.lower() for n in names}]
+    held = fresh("hits", columns)
+    rows = docs.select(*map(quoted, columns), F.lit(None).cast("array<double>").alias(held))
     for at in range(model.slices - 1):
         # One slice is sent out at a time, so each pass is stored before the next.
-        rows = materialize(_pass(rows, model, at, text_col, kept), "hits")
-    return _pass(rows, model, model.slices - 1, text_col, kept, last=True)
+        rows = materialize(_pass(rows, model, at, text_col, held), "hits")
+    told = fresh("told", columns)
+    done = _pass(rows, model, max(0, model.slices - 1), text_col, held, told)
+    return done.select(*map(quoted, columns), F.col(f"{told}.lang_pred").alias(names[0]), F.col(f"{told}.lang_score").alias(names[1]))
 
 
-def _pass(rows: DataFrame, model: Filter, number: int, text_col: str, kept: list, last: bool = False) -> DataFrame:
-    """Add a slice's corrected popcounts to ``_hits`` (each language's, then what each could reach); the last pass decides."""
-    small_batches(rows.sparkSession, 256)
+def _pass(rows: DataFrame, model: Filter, number: int, text_col: str, held: str, told_as: str | None = None) -> DataFrame:
+    """Add a slice's corrected popcounts to ``held`` (each language's, then what each could reach); the last pass decides, as ``told_as``."""
+    last = told_as is not None
     n_lang, slices, names_of, prior = len(model.languages), model.slices, model.languages, model.prior
     shared = rows.sparkSession.sparkContext.broadcast(_slice(model, number) if n_lang else None)
 
@@ -212,7 +215,7 @@ def _pass(rows: DataFrame, model: Filter, number: int, text_col: str, kept: list
             if number:
                 sums += np.stack([np.asarray(x, float) for x in before])
             if not last:
-                yield pd.DataFrame({"hits": list(sums)})
+                yield pd.Series(list(sums))
                 continue
             letters = np.array([any(map(str.isalpha, t)) for t in texts], dtype=bool)
             if n_lang:
@@ -224,6 +227,6 @@ def _pass(rows: DataFrame, model: Filter, number: int, text_col: str, kept: list
                 top, names = np.zeros(len(texts)), np.full(len(texts), "und", dtype=object)
             yield pd.DataFrame({"lang_pred": np.where(letters, names, "und"), "lang_score": np.where(letters, top, 0.0)})
 
-    told = F.pandas_udf(score, "lang_pred string, lang_score double" if last else "hits array<double>")
-    out = rows.select(*kept, told(F.col(text_col), F.col("_hits")).alias("_told"))
-    return out.select(*kept, *(("_told.lang_pred", "_told.lang_score") if last else (F.col("_told.hits").alias("_hits"),)))
+    told = F.pandas_udf(score, "lang_pred string, lang_score double" if last else "array<double>")
+    kept = [quoted(c) for c in rows.columns if c != held]
+    return rows.select(*kept, told(F.col(quoted(text_col)), F.col(held)).alias(told_as or held))

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import cached, doc_words, materialize, mix64, ngram_hashes, small_batches, texts_of
+from .base import cached, doc_words, materialize, mix64, ngram_hashes, runs, texts_of
 
 SHINGLE = 5
 ROWS, BANDS = 4, 32
@@ -61,10 +61,9 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     Null and wordless texts have n_shingles 0 and no bands.
     """
-    small_batches(docs.sparkSession, 256)
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in runs(batches):
             rows, ids = [], pdf["doc_id"].tolist()
             for first, words, bounds in doc_words(texts_of(pdf["text"])):
                 for k in range(len(bounds) - 1):
@@ -92,7 +91,7 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: dict[int, np.ndarray] = {}
-        for pdf in batches:
+        for pdf in runs(batches):
             new = {i: t for side in "ab" for i, t in zip(pdf[side].tolist(), pdf[f"{side}_text"]) if i not in kept}
             ids = list(new)
             for first, words, bounds in doc_words(texts_of(new.values())):
@@ -124,9 +123,11 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         ways = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = ways.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+        # Stored first, the least neighbours are a join's own input, whose hot keys Spark can split.
+        low = materialize(ways.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), "low")
         large = ways.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialize(large, "large")
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         pairs = materialize(small.filter("u <> v").distinct(), "edges")
         now = tuple(pairs.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
@@ -169,7 +170,7 @@ def _rest(opened: DataFrame, texts: DataFrame) -> DataFrame:
     """
 
     def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in runs(batches):
             sets = []
             for _, words, bounds in doc_words(texts_of(pdf["text"])):
                 sets += [shingle_set(words[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
@@ -195,21 +196,22 @@ def _rest(opened: DataFrame, texts: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
 
-    Documents without words link with nothing. Rows with null doc_id have a null
-    component and are kept. Rows that repeat a doc_id with other words count as
-    one document for links.
+    Documents without words, null texts among them, link with nothing. Rows with
+    null doc_id have a null component and are kept. Rows that repeat a doc_id with
+    other words count as one document for links. Ties go to the smaller doc_id. Other
+    columns, whatever their names, are not read; an empty table gives no rows.
     """
     sets = materialize(signatures(docs), "signatures")
     named = sets.filter("n_shingles > 0 and doc_id is not null")
     classes = named.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     heads = named.join(classes.select(F.col("rep").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi").dropDuplicates(["doc_id"])
     buckets = heads.select("doc_id", F.posexplode("bands").alias("band", "value"))
-    shared = buckets.groupBy("band", "value").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = materialize(buckets.groupBy("band", "value").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
     members = materialize(buckets.join(shared, ["band", "value"]), "members")
     # A document that shares its buckets with most others is the most central one.
     central = members.groupBy("doc_id").agg(F.sum("n").alias("weight"))
     members = members.join(central, "doc_id").withColumn("rank", F.struct("weight", (-F.col("doc_id")).alias("neg")))
-    hubs = members.groupBy("band", "value").agg(F.max("rank").alias("hub"))
+    hubs = materialize(members.groupBy("band", "value").agg(F.max("rank").alias("hub")), "hubs")
     members = materialize(members.join(hubs, ["band", "value"]).select("band", "value", "doc_id", (-F.col("hub.neg")).alias("hub"), F.col("hub")["weight"].alias("weight")), "members")
     near = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     texts = materialize(near.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
@@ -226,8 +228,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if not opened.isEmpty():
             links = materialize(links.unionByName(_rest(opened, texts)).distinct(), "links")
     found = components(links)
-    classes = classes.join(found, classes["rep"] == found["node"], "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
-    rows = sets.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2"], "left")
+    classes = materialize(classes.join(found, classes["rep"] == found["node"], "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id")), "classes")
+    # Rows without words have no class to meet; those of a large class are split by Spark, as both sides are stored.
+    has = F.col("n_shingles") > 0
+    rows = sets.select("doc_id", "n_shingles", F.when(has, F.col("h1")).alias("h1"), F.when(has, F.col("h2")).alias("h2")).join(classes, ["h1", "h2"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
     rows = rows.select("doc_id", "n_shingles", component.alias("component_id"))
     return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

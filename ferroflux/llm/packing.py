@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import cached, materialize, small_batches
+from .base import cached, materialize, runs
 
 LENGTH = 1024
 END_ID = 0
@@ -64,7 +64,6 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, keep_ids
     A null text counts as empty and gives one piece holding the end id. Rows that
     repeat a doc_id are packed as documents of their own.
     """
-    small_batches(docs.sparkSession, 256)
     end = np.asarray([END_ID], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -72,7 +71,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, keep_ids
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode = _encoder(tokenizer, added_tokens)
-        for pdf in batches:
+        for pdf in runs(batches):
             texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
             rows: list[tuple] = []
             for doc, ids in zip(pdf["doc_id"].tolist(), encode(texts)):

@@ -76,12 +76,11 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .lm import fit, score
+    from .lm import learn_and_score
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit(docs.filter(F.coalesce(remainder(7) != 2, F.lit(True))), order=2)
-    told = score(docs, model)
-    return told.select("doc_id", F.coalesce(remainder(7) == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    held_out = F.coalesce(remainder(7) == 2, F.lit(False))
+    told = learn_and_score(table(spark, sf_dir, "documents").select("doc_id", "text", (~held_out).alias("train")), "train")
+    return told.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

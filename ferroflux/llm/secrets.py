@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import materialize
+from .base import fresh, materialize, quoted
 
 try:
     from re import _constants as sre
@@ -102,16 +102,23 @@ def candidates(index: DataFrame, queries: dict[str, list[frozenset[str]]]) -> Da
     return met.filter("n = wanted").groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
 
 
+#: Matches of a text that are folded at a time; a fold copies what it has found so far.
+STEP = 128
+_NONE = "cast(array() as array<struct<start:bigint,order:int,kind:string,end:bigint>>)"
+
+
 def spans(text: Column, rule: Rule, order: int) -> Column:
     """Array of (start, order, kind, end) of a rule's leftmost non-overlapping matches.
 
-    Starts follow from the lengths of matches and of the pieces between them;
-    all count code points.
+    Starts follow from the lengths of matches and of the pieces between them; all
+    count code points. Matches are folded in steps of STEP, each from the total
+    length of the steps before it, so the cost grows in proportion to their number.
     """
     pieces = F.split(text, rule.regex, -1)
     matches = F.regexp_extract_all(text, F.lit(rule.regex), F.lit(0))
     both = F.arrays_zip(pieces.alias("p"), matches.alias("m"))
-    none = F.expr("cast(array() as array<struct<start:bigint,order:int,kind:string,end:bigint>>)")
+    none, zero = F.expr(_NONE), F.lit(0).cast("long")
+    length = lambda x: F.length(x["p"]) + F.coalesce(F.length(x["m"]), F.lit(0))
 
     def add(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["p"])
@@ -121,34 +128,45 @@ def spans(text: Column, rule: Rule, order: int) -> Column:
         good = x["m"].isNotNull() & (F.length(held) >= rule.least)
         return F.struct(F.coalesce(end, acc["at"]).alias("at"), F.when(good, F.concat(acc["found"], F.array(one))).otherwise(acc["found"]).alias("found"))
 
-    found = F.aggregate(both, F.struct(F.lit(0).cast("long").alias("at"), none.alias("found")), add, lambda acc: acc["found"])
-    return F.when(F.rlike(text, F.lit(rule.regex)), found).otherwise(none)
+    def step(x: Column) -> Column:
+        start = F.struct(x["at"].alias("at"), none.alias("found"))
+        return F.aggregate(x["part"], start, add, lambda acc: acc["found"])
+
+    def place(acc: Column, part: Column) -> Column:
+        size = F.aggregate(part, zero, lambda n, x: n + length(x))
+        return F.struct((acc["at"] + size).alias("at"), F.concat(acc["parts"], F.array(F.struct(acc["at"].alias("at"), part.alias("part")))).alias("parts"))
+
+    kind = "cast(array() as array<struct<at:bigint,part:array<struct<p:string,m:string>>>>)"
+    cut = F.transform(F.sequence(F.lit(1), F.size(both), F.lit(STEP)), lambda i: F.slice(both, i, F.lit(STEP)))
+    placed = F.aggregate(cut, F.struct(zero.alias("at"), F.expr(kind).alias("parts")), place, lambda acc: acc["parts"])
+    return F.when(F.rlike(text, F.lit(rule.regex)), F.flatten(F.transform(placed, step))).otherwise(none)
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Add ``secrets``, the sorted spans of all rules, to every row of ``docs`` (doc_id, text, ...).
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, into: str = "secrets") -> DataFrame:
+    """Add ``into``, the sorted spans of all rules, to every row of ``docs`` (doc_id, text, ...).
 
-    A null text has no spans. Rows with a null doc_id can't be named by postings
-    and are scanned by every rule; rows that repeat a doc_id are each scanned
-    if any of them is a candidate. An own column ``secrets`` is replaced.
+    A null or empty text has no spans. Rows with a null doc_id can't be named by
+    postings and are scanned by every rule; rows that repeat a doc_id are each
+    scanned if any of them is a candidate. Spans that start together are in order
+    of rule. An own column of the name ``into`` is replaced, other columns stay,
+    whatever their names; an empty table gives no rows.
     """
-    docs = docs.drop("secrets")
+    columns = [c for c in docs.columns if c.lower() != into.lower()]
+    doc, kinds = fresh("doc", columns), fresh("kinds", columns)
     queries = {r.kind: q for r in rules if (q := trigram_query(r.regex))}
     trigrams = sorted({t for q in queries.values() for alt in q for t in alt})
-    found = candidates(build_index(docs, trigrams), queries) if queries else None
-    rows = docs
-    if found is not None:
-        found = materialize(found, "candidates").select(F.col("doc_id").alias("_doc_id"), F.col("kinds").alias("_kinds"))
-        rows = docs.join(found, docs["doc_id"] == found["_doc_id"], "left")
+    rows = docs.select(*map(quoted, columns))
+    if queries:
+        found = materialize(candidates(build_index(rows, trigrams), queries), "candidates")
+        rows = rows.join(found.select(F.col("doc_id").alias(doc), F.col("kinds").alias(kinds)), F.col("doc_id") == F.col(doc), "left")
     text = F.coalesce(F.col("text"), F.lit(""))
     parts = []
     for order, rule in enumerate(rules):
         own = spans(text, rule, order)
         if rule.kind in queries:
-            none = F.expr("cast(array() as array<struct<start:bigint,order:int,kind:string,end:bigint>>)")
-            own = F.when(F.col("doc_id").isNull() | F.coalesce(F.array_contains("_kinds", F.lit(rule.kind)), F.lit(False)), own).otherwise(none)
+            own = F.when(F.col("doc_id").isNull() | F.coalesce(F.array_contains(kinds, F.lit(rule.kind)), F.lit(False)), own).otherwise(F.expr(_NONE))
         parts.append(own)
-    return rows.select(*[docs[c] for c in docs.columns], F.array_sort(F.concat(*parts)).alias("secrets"))
+    return rows.select(*map(quoted, columns), F.array_sort(F.concat(*parts)).alias(into))
 
 
 def as_text(found: Column) -> Column:
@@ -163,9 +181,9 @@ def digest(scanned: DataFrame, rules: tuple[Rule, ...] = BASE_RULES) -> DataFram
     return scanned.select("doc_id", *n, F.sha2(as_text(base).cast("binary"), 256).alias("base_sha256"), as_text(F.col("secrets")).alias("spans"))
 
 
-def redact(scanned: DataFrame, mask: str = "[SECRET]") -> DataFrame:
-    """Replace the spans in ``text`` by ``mask``; overlapping spans become one mask."""
-    text, found = F.col("text"), F.col("secrets")
+def redact(scanned: DataFrame, mask: str = "[SECRET]", column: str = "secrets") -> DataFrame:
+    """Replace the spans of ``column`` in ``text`` by ``mask``; overlapping spans become one mask."""
+    text, found = F.col("text"), F.col(quoted(column))
 
     def put(acc: Column, s: Column) -> Column:
         at = F.greatest(acc["at"], s["start"])

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import byte_codes, materialize, mix64, powers, small_batches
+from .base import byte_codes, materialize, mix64, powers
 from .blocks import cuts, text_blocks, text_bytes, unpack
 
 LENGTH = 50
@@ -351,7 +351,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, bucket_bytes: int = BU
                 out["doc_id"] = out["doc_id"].astype("Int64")
                 yield out
 
-    small_batches(spark, 4)
     asked = blocks.mapInPandas(ask, "bucket long, block long, keys binary")
     flags = asked.groupBy("bucket").applyInPandas(several, "block long, bucket long, flags binary")
     flags = materialize(flags.groupBy("block").agg(F.collect_list(F.struct("bucket", "flags")).alias("parts")), "flags")

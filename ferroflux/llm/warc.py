@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import materialize, small_batches
+from .base import materialize
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -100,6 +100,8 @@ def roles(pages: DataFrame, least: int = 0) -> DataFrame:
     rows = pages.select("page_id", F.col("html").cast("binary").alias("html")).mapInPandas(told, "page_id long, payload_digest string, n long")
     rows = materialize(rows.distinct(), "digests")
     last = rows.filter(F.col("n") >= least).groupBy("payload_digest").agg(F.max("page_id").alias("last"), F.count("*").alias("copies")).filter("copies > 1")
+    # Stored first, so that Spark can split the rows of a payload that most pages share.
+    last = materialize(last, "copied")
     refers = F.when(F.col("page_id") != F.col("last"), F.col("last"))
     return rows.join(last, "payload_digest", "left").select("page_id", "payload_digest", "n", refers.alias("refers_to"))
 
@@ -143,7 +145,6 @@ def write(pages: DataFrame, path: str, least: int = 0, shard_bytes: int = SHARD_
     revisit it.
     """
     spark = pages.sparkSession
-    small_batches(spark, 256)
     pages = pages.select("page_id", "url", "html").filter(F.col("page_id").isNotNull())
     role = materialize(roles(pages, least), "roles")
     total = role.agg(F.sum("n")).first()[0]
@@ -223,12 +224,18 @@ def _totals(files: DataFrame) -> dict:
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of a file of gzip members."""
-    while data:
-        unpacker = zlib.decompressobj(31)
-        text = unpacker.decompress(data)
-        data = unpacker.unused_data
-        head, _, rest = text.partition(b"\r\n\r\n")
+    """(headers, block) of each record of a file of gzip members; the file is walked by offset."""
+    at = 0
+    while at < len(data):
+        unpacker, parts = zlib.decompressobj(31), []
+        while not unpacker.eof:
+            piece = data[at : at + (1 << 14)]
+            if not piece:
+                raise ValueError("a record is cut off")
+            parts.append(unpacker.decompress(piece))
+            at += len(piece)
+        at -= len(unpacker.unused_data)
+        head, _, rest = b"".join(parts).partition(b"\r\n\r\n")
         lines = head.decode().split("\r\n")
         headers = dict(x.split(": ", 1) for x in lines[1:])
         block = rest[: int(headers["Content-Length"])]
@@ -285,5 +292,4 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.warc.gz").load(path).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
     if files.select("file").count() != told["files"]:
         raise ValueError("files are missing")
-    small_batches(spark, 4)
     return files.mapInPandas(unpack, ROWS)

@@ -168,7 +168,7 @@ def test_reordered_passages_are_found(spark):
     moved = " ".join(w[20:] + ["and"] + w[:20])
     docs = [(1, prose(300, 1) + " " + passage.upper() + ". " + prose(50, 2)), (2, "x " + moved), (3, prose(400, 3)), (4, None), (5, ""), (5, " ".join(w[:15])), (None, passage)]
     bench = frame(spark, [(10, passage), (11, None), (12, ""), (13, "too short"), (10, passage)], "item_id long, text string")
-    got = decontaminate.contaminated(frame(spark, docs), bench, block_bytes=100).collect()
+    got = decontaminate.contaminated(frame(spark, docs), bench).collect()
     assert Counter((r.doc_id, r.item_id, r.n_covered, r.n_tiles) for r in got) == {(1, 10, 40, 1): 2, (2, 10, 40, 2): 2, (None, 10, 40, 1): 2}
     assert decontaminate.contaminated(frame(spark, []), bench).count() == 0
     assert decontaminate.contaminated(frame(spark, docs), bench.limit(0)).count() == 0
@@ -398,67 +398,87 @@ def test_topk_matches_brute_force(spark):
 # --- language model -------------------------------------------------------------------------
 
 
-def test_lm_base_counts_and_probabilities(spark):
+def lm_scores(docs, train, **options):
+    told = lm.learn_and_score(docs.withColumn("train", F.expr(train)), "train", **options)
+    return {r.doc_id: r for r in told.collect()}
+
+
+def test_lm_base_counts_and_odd_rows(spark):
     rows = [(i, prose(80, i, 60) + (" new" + str(i)) * (i % 3)) for i in range(60)] + [r for r in ODD if r[0] is not None]
-    docs = frame(spark, rows)
-    fitted = lm.fit(docs.filter("doc_id < 40"))
+    docs = frame(spark, rows).withColumn("score", F.lit("clash")).withColumn("a.b", F.lit(1))
     counts = Counter(w for i, t in rows if i < 40 for w in WORD.findall(lower(t)) + ["\n"])
     n, v = sum(counts.values()), len(counts)
-    assert (fitted.tokens, fitted.kinds) == (n, v)
-    known = {bytes(r.word).decode(): r.p for r in fitted.words.collect()}
-    assert abs(sum(known.values()) + fitted.new - 1) < 1e-3
-    for r in lm.score(docs.withColumn("score", F.lit("clash")), fitted, bucket_bytes=1000).collect():
-        w = WORD.findall(lower(dict(rows)[r.doc_id])) + ["\n"]
-        assert (r.n_tokens, r.n_known) == (len(w), sum(counts[x] > 0 for x in w))
+    got = lm_scores(docs, "case when doc_id < 900 then doc_id < 40 end", word_bucket_bytes=1000, pair_bucket_bytes=2000)
+    assert len(got) == len(rows)
+    for i, r in got.items():
+        w = WORD.findall(lower(dict(rows)[i])) + ["\n"]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(counts[x] > 0 for x in w), n)
         assert abs(r.base_score - sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w)) < 1e-6
-        assert abs(r.score - sum(math.log10(known.get(x, fitted.new)) for x in w)) < 1e-3
-    empty = lm.fit(docs.limit(0))
-    assert lm.score(docs.limit(2), empty).count() == 2 and lm.score(docs.limit(0), fitted).count() == 0
+        assert r.score < 0 and math.isfinite(r.score)
+    untrained = lm_scores(docs.limit(3), "false")
+    assert len(untrained) == 3 and all(r.n_known == 0 and math.isfinite(r.score) for r in untrained.values())
+    assert lm_scores(docs.limit(0), "true") == {}
+    twice = lm.learn_and_score(frame(spark, [(1, "a b"), (1, "a b"), (None, "a b")]).withColumn("train", F.lit(True)), "train").collect()
+    assert len(twice) == 3 and len({r.score for r in twice}) == 1
 
 
-def test_lm_conditions_on_the_previous_word(spark, monkeypatch):
+def test_lm_conditions_on_the_previous_word(spark):
     rng = random.Random(4)
     chain = lambda: " ".join(f"a{(k := rng.randrange(40))} b{k} c{k}" for _ in range(30))
-    rows = [(i, chain()) for i in range(60)] + [r for r in ODD if r[0] is not None]
+    rows = [(i, chain()) for i in range(60)]
     mixed = rows[50][1].split()
     rng.shuffle(mixed)
-    docs = frame(spark, rows + [(500, " ".join(mixed)), (501, "neverseen a1 b1")])
-    for bucket in (16 << 20, 4000):
-        monkeypatch.setattr(lm, "PAIR_BUCKET_BYTES", bucket)
-        fitted = lm.fit(docs.filter("doc_id < 40 or doc_id between 900 and 950"), order=2)
-        got = {r.doc_id: r.score for r in lm.score(docs, fitted, bucket_bytes=1000).collect()}
-        assert len(got) == len(rows) + 2 and got[50] > got[500] + 30
-    known = {bytes(r.word).decode(): r.p for r in fitted.words.collect()}
-    assert abs(sum(known.values()) + fitted.new - 1) < 1e-3
-    # All that may begin a text, END is one of it and hot, adds up to one: p(w | END) = p(text w) / p(END | w).
-    vocabulary = sorted(w for w in known if w != "\n")
-    texts = [(i, w) for i, w in enumerate(vocabulary)] + [(-1, ""), (-2, "neverseen")]
-    alone = {r.doc_id: r.score for r in lm.score(frame(spark, texts), fitted).collect()}
-    after = {r.doc_id: r.score for r in lm.score(frame(spark, [(i, f"neverseen {w}") for i, w in texts if w]), fitted).collect()}
-    unseen = alone[-2] - math.log10(known["\n"])
-    total = sum(10 ** (alone[i] - (after[i] - unseen - math.log10(known.get(w, fitted.new)))) for i, w in texts if w) + 10 ** alone[-1]
-    assert abs(total - 1) < 1e-3
-
-
-def test_seating_sweep_moves_all():
-    seats = lm.Seating(4, np.zeros(0, np.int64), np.zeros(0, np.int64), np.random.default_rng(0))
-    n = np.array([1, 3, 200, 0])
-    seats.seat(n, np.full(4, 1e-9), 0.1)
-    assert seats.tables()[2] == 1
-    seats.sweep(np.full(4, 1e9), 0.1)
-    assert (seats.customers() == n).all() and seats.tables()[2] > 100
-
-
-def test_seating_keeps_customers():
-    rng = np.random.default_rng(0)
-    n = np.array([1, 2, 50, 5000, 0])
-    seats = lm.Seating(5, np.zeros(0, np.int64), np.zeros(0, np.int64), rng)
-    weight = np.full(5, 3.0)
-    seats.seat(n, weight, 0.5)
-    for _ in range(20):
-        seats.move(weight, 0.5)
-        assert (seats.customers() == n).all() and (seats.size > 0).all() and (seats.tables() <= n).all()
-    assert seats.tables()[3] > seats.tables()[1] >= 1
+    docs = frame(spark, rows + [(500, " ".join(mixed)), (501, "a41 a42"), (502, "\u30c6\u30b9 \u30c8\u30c6")])
+    for size in (16 << 20, 4000):
+        got = lm_scores(docs, "doc_id < 40", pair_bucket_bytes=size)
+        assert got[50].score > got[500].score + 30
+        # Unseen words are charged what their spelling costs.
+        assert got[501].score > got[502].score + 5 and got[502].score < -12
+
+
+def test_lm_words_are_a_distribution(spark):
+    rng = random.Random(2)
+    counts = {("w%d" % rng.randrange(500)).encode(): rng.randrange(1, 60) for _ in range(300)}
+    rows = spark.createDataFrame([(bytearray(w), n, n) for w, n in counts.items()], "word binary, n long, m long")
+    words = lm.seat_words(rows, 1, 2, 0)
+    pdf = words.rows.toPandas()
+    p, base = words.known()(pdf), [np.exp(lm.log_spelled(list(pdf["word"]), lm.log_cells(levels))).sum() for _, levels in words.samples]
+    rest = [r for r, _ in words.samples]
+    assert (p > 0).all() and abs(p.sum() + np.mean([r * (1 - b) for r, b in zip(rest, base)]) - 1) < 1e-4
+
+
+def exact_tables(n, discount, strength, others, base):
+    """The law of a dish's tables, from the numbers of seatings."""
+    ways = [1.0] + [0.0] * n
+    for i in range(n):
+        ways = [(ways[t - 1] if t else 0.0) + (i - discount * t) * ways[t] for t in range(n + 1)]
+    weight = [w * base**t * math.prod(strength + discount * (others + i) for i in range(t)) if t else 0.0 for t, w in enumerate(ways)]
+    return np.array(weight) / sum(weight)
+
+
+@pytest.mark.parametrize("few", [0, 1 << 30])
+def test_seating_follows_the_exact_law(monkeypatch, few):
+    monkeypatch.setattr(lm, "FEW", few)
+    n, runs = 9, 4000
+    seats = lm.Seating(np.full(runs, n), 0.6, np.random.default_rng(0))
+    for k in range(12):
+        seats.sweep(np.full(runs, 7), np.full(runs, 0.2), 1.0, first=k == 0)
+    assert np.abs(np.bincount(seats.tables(), minlength=n + 1) / runs - exact_tables(n, 0.6, 1.0, 7, 0.2)).max() < 0.03
+
+
+def test_seating_of_large_and_empty_dishes():
+    n = np.array([1, 0, 10**7, 50])
+    seats = lm.Seating(n, 0.5, np.random.default_rng(0))
+    for k in range(4):
+        seats.sweep(np.full(4, 100), np.full(4, 0.01), 10.0, first=k == 0)
+        t = seats.tables()
+        assert t[0] == 1 and t[1] == 0 and 1 < t[2] < 1000 and 1 <= t[3] <= 50
+        assert (seats.at < n[seats.row]).all() and (np.diff(seats.row) >= 0).all()
+
+
+def test_narrow_hashes_keep_their_first_bytes():
+    h = np.random.default_rng(0).integers(0, 1 << 63, 50, dtype=np.uint64)
+    assert (lm.wide(lm.narrow(h, 8), 8) == h).all() and (lm.wide(lm.narrow(h, 5), 5) == (h >> np.uint64(24)) << np.uint64(24)).all()
 
 
 def test_spelling_is_a_distribution():
