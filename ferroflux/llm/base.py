@@ -6,6 +6,7 @@ A-Z, so all helpers work on UTF-8 bytes and leave other letters alone.
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 import types
@@ -52,6 +53,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of frames that nobody holds any more, which it does when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def runs(batches: Iterator, rows: int = 256) -> Iterator:
     """Batches in runs of at most ``rows`` rows. Spark bounds a batch by bytes, this the arrays made of it."""
     for batch in batches:
