@@ -1,14 +1,13 @@
-"""Column functions: guarded arithmetic, strict numbers, clipping, spectra, wavelets."""
+"""Column functions (guarded arithmetic, strict numbers, clipping, names) and the tables of spectra and wavelets."""
 
 from __future__ import annotations
 
-import json
 import math
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import DB4_LOW, SAMPLE_RATE
+from ..schema import DB4_LOW, LSB_TO_UT, SAMPLE_RATE
 
 _NUMBER = r"^[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|[iI][nN][fF](?:[iI][nN][iI][tT][yY])?|[nN][aA][nN])$"
 
@@ -37,43 +36,9 @@ def quantile(sorted_array: Column, q: float) -> Column:
     return a + (b - a) * (at - low)
 
 
-def total(array: Column) -> Column:
-    return F.aggregate(array, F.lit(0.0), lambda acc, v: acc + v)
-
-
-def mean(array: Column) -> Column:
-    return total(array) / F.size(array)
-
-
-def moment(array: Column, center: Column, power: int) -> Column:
-    """Mean of the deviations from ``center`` to an integer power."""
-
-    def grown(d: Column) -> Column:
-        out = d
-        for _ in range(power - 1):
-            out = out * d
-        return out
-
-    return mean(F.transform(array, lambda v: grown(v - center)))
-
-
-def std_pop(array: Column, center: Column) -> Column:
-    return F.sqrt(moment(array, center, 2))
-
-
-def constants(values: list) -> Column:
-    """A list of numbers, or of lists of them, as one literal that the optimizer folds."""
-    kind = "array<array<double>>" if isinstance(values[0], list) else "array<double>"
-    return F.from_json(F.lit(json.dumps(values)), kind)
-
-
-def _product(matrix: Column, x: Column) -> Column:
-    return F.transform(matrix, lambda row: total(F.zip_with(row, x, lambda a, b: a * b)))
-
-
 def welch(n: int, rate: float = SAMPLE_RATE) -> tuple[list[list[float]], list[list[float]], list[float], list[float]]:
     """Cosine and sine rows with the periodic Hann window applied, scale and frequency of each bin of one segment."""
-    w = [0.5 - 0.5 * math.cos(2 * math.pi * p / n) for p in range(n)]
+    w = [0.5 - 0.5 * math.cos(2 * math.pi * p / n) for p in range(n)] if n > 1 else [1.0]
     bins = range(n // 2 + 1)
     cos = [[w[p] * math.cos(2 * math.pi * k * p / n) for p in range(n)] for k in bins]
     sin = [[w[p] * math.sin(2 * math.pi * k * p / n) for p in range(n)] for k in bins]
@@ -82,16 +47,14 @@ def welch(n: int, rate: float = SAMPLE_RATE) -> tuple[list[list[float]], list[li
     return cos, sin, scale, [k * rate / n for k in bins]
 
 
-def psd(x: Column, center: Column, n: int, rate: float = SAMPLE_RATE) -> Column:
-    """One-sided power spectral density of an array of ``n`` samples."""
-    cos, sin, scale, _ = welch(n, rate)
-    flat = F.transform(x, lambda v: v - center)
-    power = F.zip_with(_product(constants(cos), flat), _product(constants(sin), flat), lambda a, b: a * a + b * b)
-    return F.zip_with(power, constants(scale), lambda a, s: a * s)
+def wavelet_level(n: int) -> int:
+    """Levels of decomposition of ``n`` samples: two, or fewer for windows that the filter would not fit."""
+    taps = len(DB4_LOW)
+    return min(2, max(0, int(math.log2(n / (taps - 1))))) if n >= taps - 1 else 0
 
 
-def wavelet_rows(n: int) -> tuple[list[list[float]], list[list[float]], list[list[float]]]:
-    """Rows that turn n samples into the coefficients (approximation 2, detail 2, detail 1)."""
+def wavelet_rows(n: int) -> list[list[list[float]]]:
+    """Rows that turn n samples into the coefficients, the approximation first, then details from the last level on."""
     taps = len(DB4_LOW)
     high = [(-1) ** (j + 1) * DB4_LOW[taps - 1 - j] for j in range(taps)]
 
@@ -108,10 +71,20 @@ def wavelet_rows(n: int) -> tuple[list[list[float]], list[list[float]], list[lis
     def chain(outer, inner):
         return [[sum(row[k] * inner[k][p] for k in range(len(inner))) for p in range(n)] for row in outer]
 
-    first = step(n, DB4_LOW)
-    return chain(step(len(first), DB4_LOW), first), chain(step(len(first), high), first), step(n, high)
+    low, details = None, []
+    for _ in range(wavelet_level(n)):
+        size = n if low is None else len(low)
+        through = (lambda rows: rows) if low is None else (lambda rows, low=low: chain(rows, low))
+        details.insert(0, through(step(size, high)))
+        low = through(step(size, DB4_LOW))
+    return [low, *details] if low else []
+
+
+def elapsed_name(ts: Column, prefix: str, suffix: str = ".csv") -> Column:
+    """The name of a log that began at a timestamp."""
+    return F.concat(F.lit(f"{prefix}_"), F.date_format(ts, "yyyyMMdd_HHmmss"), F.lit(suffix))
 
 
-def wavelet(x: Column, n: int) -> list[Column]:
-    """Coefficient arrays [approximation 2, detail 2, detail 1] of an array of ``n`` samples."""
-    return [_product(constants(rows), x) for rows in wavelet_rows(n)]
+def raw_counts(ut: Column) -> Column:
+    """The sensor's counts of a reading in microtesla: the inverse scale."""
+    return ut / F.lit(LSB_TO_UT)

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -80,18 +84,31 @@ def learning_summary(folds: DataFrame) -> DataFrame:
 def correlations(rows: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, r): Pearson's r of every pair of columns, NaN where one is constant.
 
-    One aggregation over sums and products; the columns are centred by a first one.
+    Columns are centred by a first aggregation; tasks add up the products of a
+    batch as one matrix product, so hundreds of columns are still one pass. Rows
+    with a null in a column make that column's r NaN.
     """
-    means = rows.agg(*[F.avg(c).alias(f"_m_{c}") for c in columns])
-    flat = rows.crossJoin(F.broadcast(means)).select(*[(F.col(c) - F.col(f"_m_{c}")).alias(c) for c in columns])  # means are one row
-    sums = flat.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns) if i <= j])
-
-    def r(i: int, j: int) -> Column:
-        norm = F.sqrt(F.col(f"{i}_{i}")) * F.sqrt(F.col(f"{j}_{j}"))
-        return F.coalesce(F.try_divide(F.col(f"{min(i, j)}_{max(i, j)}"), norm), F.lit(float("nan")))
-
-    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r(i, j).alias("r")) for i, a in enumerate(columns) for j, b in enumerate(columns)])
-    return sums.select(F.explode(pairs).alias("p")).select("p.*")
+    n = len(columns)
+    means = rows.agg(F.array(*[F.avg(c) for c in columns]).alias("_means"))
+    flat = rows.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("x")).crossJoin(F.broadcast(means))  # means are one row
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = np.zeros((n, n))
+        for pdf in batches:
+            if len(pdf):
+                x = np.array([np.asarray(v, float) for v in pdf["x"]]) - np.asarray(pdf["_means"].iloc[0], float)
+                held += x.T @ x
+        i, j = np.triu_indices(n)
+        yield pd.DataFrame({"i": i, "j": j, "s": held[i, j]})
+
+    sums = flat.mapInPandas(products, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
+    diagonal = sums.filter("i = j").select("i", F.sqrt("s").alias("d"))
+    both = sums.join(diagonal, "i").join(diagonal.select(F.col("i").alias("j"), F.col("d").alias("e")), "j")
+    r = F.coalesce(F.try_divide("s", F.col("d") * F.col("e")), F.lit(float("nan")))
+    names = F.array(*map(F.lit, columns))
+    pair = lambda i, j: F.struct(F.get(names, i).alias("a"), F.get(names, j).alias("b"), r.alias("r"))
+    sides = F.when(F.col("i") == F.col("j"), F.array(pair("i", "j"))).otherwise(F.array(pair("i", "j"), pair("j", "i")))
+    return both.select(F.explode(sides).alias("p")).select("p.*")
 
 
 def top_importances(importances: DataFrame, k: int = 20, ascending: bool = False) -> DataFrame:

@@ -1,77 +1,99 @@
-"""The 126 features of a window: time domain, spectrum and wavelet, per axis."""
+"""The 126 features of a window: time domain, spectrum and wavelet, per axis.
+
+Windows are bounded arrays, so a batch of them is a matrix, and each group of
+features is a few matrix operations over it in the task that built the windows.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import constants, mean, moment, psd, quantile, safe_divide, std_pop, total, wavelet, welch
-from ..schema import AXES, SAMPLE_RATE, WINDOW
-
-
-def _with(df: DataFrame, **columns: Column) -> DataFrame:
-    return df.withColumns(columns)
-
-
-def time_features(windows: DataFrame, axis: str) -> DataFrame:
-    """Add {axis}_t0 to {axis}_t14 of the array column ``axis``.
-
-    skew and kurtosis of a constant window are NaN; a sign change counts -0.0 as 0.
-    """
-    x, name = F.col(axis), f"{axis}_t"
-    df = _with(windows, _m=mean(x), _sorted=F.array_sort(x), _d=F.zip_with(F.slice(x, 2, WINDOW * 1000), F.slice(x, 1, F.size(x) - 1), lambda a, b: a - b))
-    df = _with(df, _v=moment(x, F.col("_m"), 2))
-    shaped = lambda power, over: F.when(F.col("_v") > 0, moment(x, F.col("_m"), power) / over).otherwise(F.lit(float("nan")))
-    flips = F.zip_with(F.slice(x, 2, WINDOW * 1000), F.slice(x, 1, F.size(x) - 1), lambda a, b: F.when((a < 0) != (b < 0), 1.0).otherwise(0.0))
-    values = [
-        F.col("_m"), F.sqrt("_v"), F.array_min(x), F.array_max(x), F.array_max(x) - F.array_min(x),
-        shaped(3, F.col("_v") * F.sqrt("_v")), shaped(4, F.col("_v") * F.col("_v")) - 3,
-        total(F.transform(x, lambda v: v * v)), total(F.transform("_d", lambda v: F.abs(v))), total(F.transform("_d", lambda v: v * v)), total(flips),
-        quantile(F.col("_sorted"), 0.25), quantile(F.col("_sorted"), 0.75), quantile(F.col("_sorted"), 0.5), mean(F.transform(x, lambda v: F.abs(v))),
-    ]
-    return _with(df, **{f"{name}{i}": v for i, v in enumerate(values)}).drop("_m", "_v", "_sorted", "_d")
-
-
-def spectral_features(windows: DataFrame, axis: str, n: int = WINDOW, rate: float = SAMPLE_RATE) -> DataFrame:
-    """Add {axis}_f0 to {axis}_f11: powers by band and their shares, peak, entropy, mean, deviation, largest."""
-    name = f"{axis}_f"
-    bins = welch(n, rate)[3]
-    band = lambda low, high: total(F.transform(F.filter(F.arrays_zip(F.col("_p").alias("p"), constants(bins).alias("f")), lambda r: (r["f"] >= low) & (r["f"] < high)), lambda r: r["p"]))
-    df = _with(windows, _p=psd(F.col(axis), mean(F.col(axis)), n, rate))
-    df = _with(df, _all=total(F.col("_p")), _low=band(0.0, 10.0), _mid=band(10.0, 50.0), _high=band(50.0, float("inf")), _mean=mean(F.col("_p")), _top=F.array_max("_p"))
-    peak = F.get(constants(bins), (F.array_position("_p", F.col("_top")) - 1).cast("int"))
-    values = [
-        F.col("_all"), F.col("_low"), F.col("_mid"), F.col("_high"),
-        *[safe_divide(F.col(b), F.col("_all")) for b in ("_low", "_mid", "_high")],
-        F.coalesce(peak, F.lit(0.0)), -total(F.transform("_p", lambda p: p * F.log2(p + 1e-10))), F.col("_mean"), std_pop(F.col("_p"), F.col("_mean")), F.col("_top"),
-    ]
-    return _with(df, **{f"{name}{i}": v for i, v in enumerate(values)}).drop("_p", "_all", "_low", "_mid", "_high", "_mean", "_top")
-
-
-def wavelet_features(windows: DataFrame, axis: str, n: int = WINDOW) -> DataFrame:
-    """Add {axis}_w0 to {axis}_w14: mean, deviation, least, largest, energy of each coefficient array."""
-    df = _with(windows, **{f"_c{i}": c for i, c in enumerate(wavelet(F.col(axis), n))})
-    values = []
-    for i in range(3):
-        c = F.col(f"_c{i}")
-        df = _with(df, **{f"_m{i}": mean(c)})
-        values += [F.col(f"_m{i}"), std_pop(c, F.col(f"_m{i}")), F.array_min(c), F.array_max(c), total(F.transform(c, lambda v: v * v))]
-    return _with(df, **{f"{axis}_w{i}": v for i, v in enumerate(values)}).drop(*[f"_{k}{i}" for k in "cm" for i in range(3)])
-
-
-def extract(windows: DataFrame, kinds: str = "tfw", axes: tuple[str, ...] = AXES) -> DataFrame:
-    """Replace the array columns of windows by their features.
-
-    Windows are bounded arrays, so all of this runs in the task that built them.
-    """
-    steps = {"t": time_features, "f": spectral_features, "w": wavelet_features}
+from ..functions import wavelet_rows, wavelet_level, welch
+from ..schema import AXES, SAMPLE_RATE
+
+COUNTS = {"t": 15, "f": 12, "w": 15}
+#: Samples of a segment of the spectrum, at most; longer windows average over halfway overlapping segments.
+SEGMENT = 256
+
+
+def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.divide(a, b, out=np.zeros(len(a)), where=b != 0)
+
+
+def time_values(x: np.ndarray) -> np.ndarray:
+    """The 15 time features of each row: skew and kurtosis of a constant window are NaN; a sign change counts -0.0 as 0."""
+    mean = x.mean(axis=1)
+    d, step = x - mean[:, None], np.diff(x, axis=1)
+    v, low, high = (d * d).mean(axis=1), x.min(axis=1), x.max(axis=1)
+    varies = (v > 0) & (low < high)
+    shaped = lambda power, over: np.divide((d**power).mean(axis=1), over, out=np.full(len(x), np.nan), where=varies)
+    ordered = np.sort(x, axis=1)
+
+    def quantile(q: float) -> np.ndarray:
+        at = (x.shape[1] - 1) * q
+        a, b = ordered[:, int(at)], ordered[:, min(int(at) + 1, x.shape[1] - 1)]
+        return a + (b - a) * (at - int(at))
+
+    flips = ((x[:, 1:] < 0) != (x[:, :-1] < 0)).sum(axis=1).astype(float)
+    return np.stack((mean, np.sqrt(v), low, high, high - low, shaped(3, v * np.sqrt(v)), shaped(4, v * v) - 3, (x * x).sum(axis=1), np.abs(step).sum(axis=1), (step * step).sum(axis=1), flips, quantile(0.25), quantile(0.75), quantile(0.5), np.abs(x).mean(axis=1)), axis=1)
+
+
+def spectral_values(x: np.ndarray, rate: float = SAMPLE_RATE) -> np.ndarray:
+    """The 12 spectral features of each row: powers by band and their shares, peak, entropy, mean, deviation, largest."""
+    n = min(SEGMENT, x.shape[1])
+    cos, sin, scale, bins = (np.array(v) for v in welch(n, rate))
+    starts = range(0, x.shape[1] - n + 1, n - n // 2)
+    p = np.zeros((len(x), len(bins)))
+    for s in starts:
+        part = x[:, s : s + n] - x[:, s : s + n].mean(axis=1, keepdims=True)
+        p += ((part @ cos.T) ** 2 + (part @ sin.T) ** 2) * scale / len(starts)
+    total = p.sum(axis=1)
+    bands = [p[:, (bins >= a) & (bins < b)].sum(axis=1) for a, b in ((0, 10), (10, 50), (50, np.inf))]
+    return np.stack((total, *bands, *(_ratio(b, total) for b in bands), bins[p.argmax(axis=1)], -(p * np.log2(p + 1e-10)).sum(axis=1), p.mean(axis=1), p.std(axis=1), p.max(axis=1)), axis=1)
+
+
+def wavelet_values(x: np.ndarray) -> np.ndarray:
+    """Mean, deviation, least, largest and energy of each coefficient array; shorter windows have fewer, and zeros for the rest."""
+    parts = [x @ np.array(rows).T for rows in wavelet_rows(x.shape[1])] if wavelet_level(x.shape[1]) else [x]
+    values = [f for c in parts for f in (c.mean(axis=1), c.std(axis=1), c.min(axis=1), c.max(axis=1), (c * c).sum(axis=1))]
+    return np.stack(values + [np.zeros(len(x))] * (COUNTS["w"] - len(values)), axis=1)
+
+
+def values(x: np.ndarray, kinds: str = "tfw", rate: float = SAMPLE_RATE) -> np.ndarray:
+    """All features of rows of equal length. Of empty windows the time features are NaN, the others 0."""
+    if not x.shape[1]:
+        return np.concatenate([np.full((len(x), COUNTS[k]), np.nan if k == "t" else 0.0) for k in kinds], axis=1)
+    steps = {"t": time_values, "f": lambda v: spectral_values(v, rate), "w": wavelet_values}
+    return np.concatenate([steps[k](x) for k in kinds], axis=1)
+
+
+def extract(windows: DataFrame, kinds: str = "tfw", axes: tuple[str, ...] = AXES, rate: float = SAMPLE_RATE) -> DataFrame:
+    """Replace the array columns of windows by their features; windows may differ in length, a null one is empty."""
+    names = [f"{a}_{k}{i}" for a in axes for k in kinds for i in range(COUNTS[k])]
+
+    def told(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for columns in batches:
+            out = []
+            for column in columns:
+                arrays = [np.zeros(0) if a is None else np.asarray(a, float) for a in column]
+                sizes = np.array([len(a) for a in arrays])
+                found = np.zeros((len(arrays), sum(COUNTS[k] for k in kinds)))
+                for n in np.unique(sizes):
+                    some = np.flatnonzero(sizes == n)
+                    with np.errstate(invalid="ignore"):
+                        found[some] = values(np.stack([arrays[i] for i in some]), kinds, rate)
+                out.append(found)
+            yield pd.DataFrame(np.concatenate(out, axis=1), columns=names)
+
+    def alone(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from told((b,) for b in batches)
+
+    made = F.pandas_udf(told if len(axes) > 1 else alone, ", ".join(f"{n} double" for n in names))
     keys = [c for c in windows.columns if c not in axes]
-    # One row per axis, so the expressions are planned once; its rows stay in the
-    # partition of their window, and gathering them needs no shuffle.
-    rows = windows.select(*keys, F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).alias("v")) for a in axes])).alias("_a")).select(*keys, "_a.axis", "_a.v")
-    for kind in kinds:
-        rows = steps[kind](rows, "v")
-    names = [c for c in rows.columns if c.startswith("v_")]
-    held = rows.select(*keys, "axis", F.struct(*names).alias("_f")).groupBy(*keys)
-    wide = held.agg(*[F.first(F.when(F.col("axis") == a, F.col("_f")), ignorenulls=True).alias(f"_{a}") for a in axes])
-    return wide.select(*keys, *[F.col(f"_{a}.{n}").alias(f"{a}{n[1:]}") for a in axes for n in names])
+    # NaN comes back as null.
+    return windows.select(*keys, made(*axes).alias("_f")).select(*keys, *[F.coalesce(f"_f.{n}", F.lit(float("nan"))).alias(n) for n in names])

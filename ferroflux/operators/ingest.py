@@ -82,4 +82,12 @@ def wide_form(records: DataFrame) -> DataFrame:
 
 def elapsed(records: DataFrame, session: str = "session") -> DataFrame:
     """Add ``t_s``, seconds since the session's first clock."""
-    return records.withColumn("t_s", (F.col("ms") - F.min("ms").over(Window.partitionBy(session))) / 1000)
+    first = records.groupBy(session).agg(F.min("ms").alias("_first"))  # summed up before the shuffle
+    return records.join(first, session).withColumn("t_s", (F.col("ms") - F.col("_first")) / 1000).drop("_first")
+
+
+def device_state(commands: DataFrame, session: str = "session", seq: str = "seq") -> DataFrame:
+    """Add ``streaming`` to the lines that a host sends: whether the device streams after the line, which g switches on and s off."""
+    word = F.trim("value")
+    last = F.max(F.when(word.isin("g", "s"), F.struct(F.col(seq), word.alias("word")))).over(Window.partitionBy(session).orderBy(seq))
+    return commands.withColumn("streaming", F.coalesce(last["word"] == "g", F.lit(False)))

@@ -7,6 +7,7 @@ the least leaf size, and splits are chosen among binned thresholds.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .prep import fit_scaler, label_codes, scaled, varying
 from .windows import segments
 
 TREES, DEPTH, LEAF, SEED = 200, 12, 2, 42
@@ -89,6 +91,40 @@ def load(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+@dataclass
+class Bundle:
+    """All that scoring needs: the forest, the labels with their codes, the scaler and the columns kept."""
+
+    forest: PipelineModel
+    codes: DataFrame
+    scaler: DataFrame
+    columns: list[str]
+
+    def save(self, path: str) -> None:
+        """Write the four parts below ``path``."""
+        save(self.forest, f"{path}/forest")
+        self.codes.write.mode("overwrite").parquet(f"{path}/codes")
+        self.scaler.write.mode("overwrite").parquet(f"{path}/scaler")
+        rows = [(i, c) for i, c in enumerate(self.columns)]
+        self.codes.sparkSession.createDataFrame(rows, "idx int, feature string").write.mode("overwrite").parquet(f"{path}/mask")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Bundle:
+        mask = spark.read.parquet(f"{path}/mask").orderBy("idx").collect()
+        return cls(load(f"{path}/forest"), spark.read.parquet(f"{path}/codes"), spark.read.parquet(f"{path}/scaler"), [r["feature"] for r in mask])
+
+    def predict(self, rows: DataFrame, label: str = "label") -> DataFrame:
+        """Scale by the training rows' statistics and predict."""
+        return predict(self.forest, scaled(rows, self.scaler), label)
+
+
+def fit_bundle(rows: DataFrame, columns: list[str], label: str = "label", **options) -> Bundle:
+    """Mask, scaler, codes and forest, all learned from ``rows``."""
+    kept = varying(rows, columns)
+    scaler = fit_scaler(rows, kept)
+    return Bundle(fit_forest(scaled(rows, scaler), kept, label, **options), label_codes(rows, label), scaler, kept)
+
+
 def _trees(model: RandomForestClassificationModel) -> list[list[tuple]]:
     """Nodes (left, right, feature, threshold, weight, class shares) of each tree; a forest's size is set by its parameters."""
     out = []

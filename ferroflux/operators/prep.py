@@ -19,14 +19,30 @@ def varying(rows: DataFrame, columns: list[str]) -> list[str]:
     return [c for c in columns if c in found]
 
 
-def standardized(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """(x - mean) / population deviation over all rows; constant columns become 0.
+def masks(train: DataFrame, test: DataFrame, columns: list[str], legacy: bool = False) -> tuple[list[str], list[str]]:
+    """The columns that train and test keep: those that vary in train, for both; with ``legacy`` each by its own rows."""
+    kept = varying(train, columns)
+    return kept, varying(test, columns) if legacy else kept
 
-    The statistics are one row, which is joined back to every row.
-    """
-    stats = rows.agg(*[F.avg(c).alias(f"_m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"_s_{c}") for c in columns])
-    out = rows.crossJoin(F.broadcast(stats))  # a single row
-    return out.withColumns({c: F.coalesce(F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}")), F.lit(0.0)) for c in columns}).drop(*[f"_{k}_{c}" for k in "ms" for c in columns])
+
+def fit_scaler(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(feature, mean, std) of each column, std over the population."""
+    one = rows.agg(F.map_from_arrays(F.array(*map(F.lit, columns)), F.array(*[F.struct(F.avg(c).alias("mean"), F.stddev_pop(c).alias("std")) for c in columns])).alias("m"))
+    return one.select(F.explode("m").alias("feature", "s")).select("feature", "s.mean", "s.std")
+
+
+def scaled(rows: DataFrame, scaler: DataFrame) -> DataFrame:
+    """(x - mean) / std of the scaler's features; constant ones become 0. The scaler is a row per feature, sent as one row."""
+    columns = [c for c in rows.columns if c in {r["feature"] for r in scaler.select("feature").collect()}]
+    one = scaler.groupBy().pivot("feature", columns).agg(F.first(F.struct("mean", "std")))
+    one = one.select(*[F.col(c).alias(f"_s_{c}") for c in columns])
+    out = rows.crossJoin(F.broadcast(one))  # a single row
+    return out.withColumns({c: F.coalesce(F.try_divide(F.col(c) - F.col(f"_s_{c}.mean"), F.col(f"_s_{c}.std")), F.lit(0.0)) for c in columns}).drop(*[f"_s_{c}" for c in columns])
+
+
+def standardized(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(x - mean) / population deviation over all rows; constant columns become 0."""
+    return scaled(rows, fit_scaler(rows, columns))
 
 
 def label_codes(rows: DataFrame, label: str = "label") -> DataFrame:
@@ -52,6 +68,10 @@ def temporal_split(windows: DataFrame, lengths: DataFrame, size: int = 50, share
     with ``legacy`` their starts count from the series' head instead, which
     repeats train windows. ``windows`` has any columns beside series and win_start.
     """
+    return _plan(lengths, size, share, legacy, stride).join(windows, ["series", "win_start"])
+
+
+def _plan(lengths: DataFrame, size: int = 50, share: float = 0.8, legacy: bool = False, stride: int = 25) -> DataFrame:
     head = F.floor(F.col("n") * F.lit(share)).cast("long")
 
     def starts(n: Column, offset: Column) -> Column:
@@ -59,10 +79,9 @@ def temporal_split(windows: DataFrame, lengths: DataFrame, size: int = 50, share
 
     plan = lengths.withColumn("_train", starts(head, F.lit(0).cast("long"))).withColumn("_test", starts(F.col("n") - head, F.lit(0).cast("long") if legacy else head))
     cut = plan.select("series", F.explode(F.concat(F.transform("_train", lambda s: F.struct(s.alias("win_start"), F.lit("train").alias("split"))), F.transform("_test", lambda s: F.struct(s.alias("win_start"), F.lit("test").alias("split"))))).alias("_c"))
-    return cut.select("series", "_c.win_start", "_c.split").join(windows, ["series", "win_start"])
+    return cut.select("series", "_c.win_start", "_c.split")
 
 
 def planned_windows(lengths: DataFrame, **options) -> DataFrame:
     """(series, win_start, split) alone; see temporal_split."""
-    every = lengths.select("series", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n"), F.lit(0).cast("long")))).alias("win_start"))
-    return temporal_split(every, lengths, **options)
+    return _plan(lengths, **options)

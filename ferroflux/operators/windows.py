@@ -12,9 +12,32 @@ from ..functions import clip, quantile
 from ..schema import AXES, RETAIN, STRIDE, WINDOW
 
 
-def ordinals(rows: DataFrame, series: str, *order: str) -> DataFrame:
-    """Add ``i``, the ordinal of each row in its series."""
-    return rows.withColumn("i", F.row_number().over(Window.partitionBy(series).orderBy(*order)).cast("long") - 1)
+def ordinals(rows: DataFrame, series: str, *order: str, chunk: Column | None = None) -> DataFrame:
+    """Add ``i``, the ordinal of each row in its series.
+
+    With ``chunk``, a coarse key that rises with the order, such as the day, rows
+    are numbered within chunks and the chunks' sizes added up, so that a series of
+    any length is sorted by many tasks.
+    """
+    if chunk is None:
+        return rows.withColumn("i", F.row_number().over(Window.partitionBy(series).orderBy(*order)).cast("long") - 1)
+    cut = rows.withColumn("_chunk", chunk)
+    before = Window.partitionBy(series).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cut.groupBy(series, "_chunk").agg(F.count("*").alias("_size"))
+    starts = sizes.select(F.col(series).alias("_series"), F.col("_chunk").alias("_part"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy(series, "_chunk").orderBy(*order)).cast("long") - 1
+    joined = cut.withColumn("_inside", inside).join(starts, F.col(series).eqNullSafe(F.col("_series")) & F.col("_chunk").eqNullSafe(F.col("_part")))
+    return joined.withColumn("i", F.col("_inside") + F.col("_start")).drop("_chunk", "_part", "_series", "_inside", "_start")
+
+
+def with_totals(rows: DataFrame, by: list[str], **totals: Column) -> DataFrame:
+    """Add aggregates over each group to its rows.
+
+    They are summed up before the shuffle and joined back, so that a group of most
+    rows is no single task's; few groups are sent to all tasks, if Spark finds them small.
+    """
+    found = rows.groupBy(*by).agg(*[c.alias(n) for n, c in totals.items()])
+    return rows.join(found, by)
 
 
 def clip_series(rows: DataFrame, columns: tuple[str, ...] = AXES, low: float = 0.01, high: float = 0.99) -> DataFrame:
@@ -40,11 +63,10 @@ def assign_windows(rows: DataFrame, size: int = WINDOW, stride: int = STRIDE) ->
 
     A window is there only if a row beyond its end is, hence the count of rows.
     """
-    n = F.count("*").over(Window.partitionBy("series"))
     last = F.floor(F.col("i") / stride) * stride
     starts = F.transform(F.sequence(F.lit(0), F.lit((size - 1) // stride)), lambda k: (last - k * stride).cast("long"))
     good = F.filter(starts, lambda s: (s >= 0) & (s < F.col("_n") - size) & (F.col("i") < s + size))
-    return rows.withColumn("_n", n).withColumn("win_start", F.explode(good)).drop("_n")
+    return with_totals(rows, ["series"], _n=F.count("*")).withColumn("win_start", F.explode(good)).drop("_n")
 
 
 def window_arrays(rows: DataFrame, columns: tuple[str, ...] = AXES, low: float = 0.01, high: float = 0.99, size: int = WINDOW, stride: int = STRIDE) -> DataFrame:
@@ -60,8 +82,8 @@ def window_arrays(rows: DataFrame, columns: tuple[str, ...] = AXES, low: float =
 
 
 def from_end(rows: DataFrame, by: str = "series") -> DataFrame:
-    """Add ``back``, 1 for the last row of each series."""
-    return rows.withColumn("back", F.row_number().over(Window.partitionBy(by).orderBy(F.col("i").desc())))
+    """Add ``back``, 1 for the last row of each series, whose ordinals count from 0 without gaps."""
+    return with_totals(rows, [by], _n=F.count("*")).withColumn("back", F.col("_n") - F.col("i")).drop("_n")
 
 
 def trailing(rows: DataFrame, n: int = 100) -> DataFrame:
@@ -75,34 +97,30 @@ def retained(rows: DataFrame, n: int = RETAIN) -> DataFrame:
 
 def decimated(rows: DataFrame, limit: int = 5000, head: int = 1000) -> DataFrame:
     """Every second of the first ``head`` rows of series longer than ``limit``; other rows stay."""
-    n = F.count("*").over(Window.partitionBy("series"))
-    return rows.withColumn("_n", n).filter((F.col("_n") <= limit) | (F.col("i") >= head) | (F.col("i") % 2 == 0)).drop("_n")
+    return with_totals(rows, ["series"], _n=F.count("*")).filter((F.col("_n") <= limit) | (F.col("i") >= head) | (F.col("i") % 2 == 0)).drop("_n")
 
 
 def recent_view(rows: DataFrame, time: str = "t_s", seconds: int = 30, ahead: int = 5) -> DataFrame:
     """Rows of each series within [max(0, int(latest - seconds)), latest + ahead]."""
-    latest = F.max(time).over(Window.partitionBy("series"))
     from_ = F.greatest(F.lit(0), F.col("_latest").cast("double") - seconds).cast("long")
-    return rows.withColumn("_latest", latest).filter((F.col(time) >= from_) & (F.col(time) <= F.col("_latest") + ahead)).drop("_latest")
+    return with_totals(rows, ["series"], _latest=F.max(time)).filter((F.col(time) >= from_) & (F.col(time) <= F.col("_latest") + ahead)).drop("_latest")
 
 
 def markers(rows: DataFrame, last: int = 20, every: int = 4) -> DataFrame:
     """Every fourth of the last 20 rows of each series, from the first of them on."""
-    n = F.least(F.count("*").over(Window.partitionBy("series")), F.lit(last))
-    return from_end(rows).withColumn("_n", n).filter((F.col("back") <= last) & (F.pmod(F.col("_n") - F.col("back"), F.lit(every)) == 0)).drop("back", "_n")
+    found = with_totals(rows, ["series"], _n=F.count("*")).withColumn("_back", F.col("_n") - F.col("i"))
+    return found.filter((F.col("_back") <= last) & (F.pmod(F.least("_n", F.lit(last)) - F.col("_back"), F.lit(every)) == 0)).drop("_back", "_n")
 
 
 def segments(rows: DataFrame, count: int = 5) -> DataFrame:
     """Add ``segment``: equal runs of n div count rows, the last with the remainder."""
-    n = F.count("*").over(Window.partitionBy("series"))
-    size = F.greatest(F.lit(1), F.floor(n / count))
-    return rows.withColumn("segment", F.least(F.floor(F.col("i") / size), F.lit(count - 1)).cast("int"))
+    size = F.greatest(F.lit(1), F.floor(F.col("_n") / count))
+    return with_totals(rows, ["series"], _n=F.count("*")).withColumn("segment", F.least(F.floor(F.col("i") / size), F.lit(count - 1)).cast("int")).drop("_n")
 
 
 def three_sigma(rows: DataFrame, by: list[str], value: str = "v") -> DataFrame:
     """Rows strictly within three population deviations of their group's mean; a constant group keeps none."""
-    w = Window.partitionBy(*by)
-    kept = rows.withColumn("_m", F.avg(value).over(w)).withColumn("_s", F.stddev_pop(value).over(w))
+    kept = with_totals(rows, by, _m=F.avg(value), _s=F.stddev_pop(value))
     return kept.filter(F.abs(F.col(value) - F.col("_m")) < 3 * F.col("_s")).drop("_m", "_s")
 
 
@@ -113,7 +131,7 @@ def pooled(rows: DataFrame, columns: tuple[str, ...] = AXES) -> DataFrame:
 
 def pooled_stats(rows: DataFrame, n: int = 100) -> DataFrame:
     """Mean, deviation, least and largest of the last ``n`` rows of all axes of each series with over 5 rows."""
-    last = trailing(rows.withColumn("_n", F.count("*").over(Window.partitionBy("series"))).filter("_n > 5").drop("_n"), n)
+    last = trailing(with_totals(rows, ["series"], _n=F.count("*")).filter("_n > 5").drop("_n"), n)
     v = pooled(last.select("series", "i", *AXES))
     return v.groupBy("series").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n"))
 
@@ -121,7 +139,7 @@ def pooled_stats(rows: DataFrame, n: int = 100) -> DataFrame:
 def axis_range(rows: DataFrame, n: int = 100, calibration: bool = False) -> DataFrame:
     """(series, dmin, dmax, pad, ymin, ymax) that a live view wants after 3-sigma filtering; without state."""
     outer, inner = (300.0, 50.0) if calibration else (150.0, 20.0)
-    last = trailing(rows.withColumn("_n", F.count("*").over(Window.partitionBy("series"))).filter("_n > 5").drop("_n"), n)
+    last = trailing(with_totals(rows, ["series"], _n=F.count("*")).filter("_n > 5").drop("_n"), n)
     kept = three_sigma(pooled(last.select("series", "i", *AXES)), ["series"])
     out = kept.groupBy("series").agg(F.min("v").alias("dmin"), F.max("v").alias("dmax"))
     out = out.withColumn("pad", F.greatest(F.lit(20.0), 0.2 * (F.col("dmax") - F.col("dmin"))))

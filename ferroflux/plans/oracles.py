@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ..functions import wavelet_rows, welch
-from ..schema import AXES, LSB_TO_UT, MATERIALS, SENSORS, WINDOW
+from ..functions import welch
+from ..schema import AXES, DB4_LOW, LSB_TO_UT, MATERIALS, SENSORS, WINDOW
 
 _CODES = "('fanguangbu', 'tianerong', 'dengxinrong', 'muoshayuyi', 'shawang', 'luowenbu')"
 
@@ -68,11 +68,21 @@ def _spectral_table() -> str:
 
 
 def _wavelet_table() -> str:
+    """Two levels of the filter bank, each a sum over the taps of the mirrored signal."""
+    low = ", ".join(f"({j}, {v!r}::double, {(-1) ** (j + 1) * DB4_LOW[7 - j]!r}::double)" for j, v in enumerate(DB4_LOW))
+
+    def level(source: str, n: int) -> str:
+        at = f"(2 * k + 1 - j + {2 * n}) % {2 * n}"
+        return f"""select series, win_start, a, k, sum(v * h) as y, sum(v * g) as z from (
+          select k, j, h, g, case when {at} < {n} then {at} else {2 * n - 1} - {at} end as p from range({(n + 7) // 2}) r(k), (values {low}) t(j, h, g))
+          join {source} using (p) group by all"""
+
+    first = f"({level('d', WINDOW)})"
+    second = f"({level(f'(select series, win_start, a, k as p, y as v from {first})', (WINDOW + 7) // 2)})"
     parts = []
-    for g, rows in enumerate(wavelet_rows(WINDOW)):
-        coef = f"select series, win_start, a, k, sum(v * c) as y from d join {_numbers(rows)} t(k, p, c) using (p) group by all"
-        values = ["avg(y)", "stddev_pop(y)", "min(y)", "max(y)", "sum(y * y)"]
-        parts.append(f"(select series, win_start, a, {', '.join(f'{v} as w{5 * g + i}' for i, v in enumerate(values))} from ({coef}) group by series, win_start, a)")
+    for g, (source, c) in enumerate(((second, "y"), (second, "z"), (first, "z"))):
+        values = [f"avg({c})", f"stddev_pop({c})", f"min({c})", f"max({c})", f"sum({c} * {c})"]
+        parts.append(f"(select series, win_start, a, {', '.join(f'{v} as w{5 * g + i}' for i, v in enumerate(values))} from {source} group by series, win_start, a)")
     return f"select * from {parts[0]} join {parts[1]} using (series, win_start, a) join {parts[2]} using (series, win_start, a)"
 
 
@@ -156,7 +166,11 @@ def oracle_sql() -> dict[str, str]:
       else 'log_sensor0_' || {pick('c_custkey')} || '_' || c_custkey || '.csv' end as file_name from customer), {_MATERIALS},
       matched as (select * from files join materials on file_name like '%\\_' || code || '\\_%.csv' escape '\\')"""
     scaled = ", ".join(f"{_clean(f'coalesce((v{i} - avg(v{i}) over ()) / nullif(stddev_pop(v{i}) over (), 0), 0)')} as v{i}" for i in range(8))
-    corr = " union all ".join(f"select 'v{i}' as a, 'v{j}' as b, {_clean(f'corr(v{i}, v{j})')} as r from vectors" for i in range(16) for j in range(16))
+    vector_pairs = ", ".join(f"{{'k': 'v{i}', 'v': v{i}}}" for i in range(64))
+    corr = f"l as (select vec_id, unnest([{vector_pairs}], recursive := true) from vectors) select x.k as a, y.k as b, {_clean('corr(x.v, y.v)')} as r from l x join l y using (vec_id) group by all"
+    train = ", ".join(f"{_clean(f'coalesce((v{i} - avg(v{i}) filter (where vec_id % 2 = 0) over ()) / nullif(stddev_pop(v{i}) filter (where vec_id % 2 = 0) over (), 0), 0)')} as v{i}" for i in range(8))
+    cell = lambda n: f"(event_id % {n})"
+    logs = f"logs as (select user_id, 'log_' || user_id || '.csv' as file_name, event_id, row_number() over (partition by user_id order by event_id) - 1 as i, user_id % 5 as kind, user_id % 5 = 3 and event_id % 11 = 0 as bad from events)"
     wide = ", ".join(f"cast(case when len(tok) = 20 then tok[{5 * k + a + 3}] else tok[{4 * k + a + 3}] end as double) as S{k}_{n}" for k in range(SENSORS) for a, n in enumerate(AXES))
     time_pairs = ", ".join(f"{{'k': 't{i}', 'v': t{i}}}" for i in range(15))
     return {
@@ -175,7 +189,17 @@ def oracle_sql() -> dict[str, str]:
         "feature_matrix": _wide(),
         "feature_variance": f"{BASE}, t as ({_time_table()}), l as (select a, unnest([{time_pairs}], recursive := true) from t), v as (select a || '_' || k as feature, case when count(*) filter (where isnan(v)) > 0 then 'nan'::double else var_pop(case when isnan(v) then null else v end) end as var from l group by all) select feature, {_clean('var', 4)} as var, var > 0 and not isnan(var) as kept from v",
         "vector_scaling": f"with {_vectors(8)} select vec_id, label, {scaled} from vectors",
-        "vector_correlation": f"with {_vectors(16)} {corr}",
+        "vector_correlation": f"with {_vectors(64)}, {corr}",
+        "scaled_split": f"with {_vectors(8)} select vec_id, label, {train} from vectors",
+        "split_masks": "select 'v' || i as feature, i <> 1 as train, i <> 1 as test from range(4) t(i)",
+        "split_masks_legacy": "select 'v' || i as feature, i <> 1 as train, i <> 2 as test from range(4) t(i)",
+        "log_guard": f"with {logs} select file_name, count(*) as n from logs where kind <> 2 group by file_name",
+        "log_quarantine": f"with {logs} select '/logs/' || file_name as file, count(*) as cells from logs where bad group by file_name",
+        "log_decoded": f"with {logs} select file_name, i, event_id::double as X, {cell(7)}::double as Y, {cell(5)}::double as Z from logs where kind <> 2 and user_id not in (select user_id from logs where bad)",
+        "inverse_scale": _parsed(range(SENSORS)).replace("select session, seq, ms, sensor, axis, raw, ", "select session, seq, sensor, axis, ").replace(f"raw * {LSB_TO_UT}", f"raw * {LSB_TO_UT} / {LSB_TO_UT}").replace("as ut from good", "as raw from good"),
+        "data_received": "with l as (select cast(event_id % 40 as varchar) as session, event_id % 10 < 8 as data from events) select session, count(*) filter (where data) as lines, count(*) filter (where data) > 0 as received, case when count(*) filter (where data) > 0 then 'receiving data' else 'waiting for data' end as message from l group by session",
+        "device_state": "with c as (select user_id as session, event_id as seq, case when event_id % 5 = 0 then 'g' when event_id % 7 = 0 then 's' end as word from events) select session, seq, coalesce(last_value(word ignore nulls) over (partition by session order by seq) = 'g', false) as streaming from c",
+        "log_names": "select user_id as session, 'log_' || strftime(min(ts), '%Y%m%d_%H%M%S') || '.csv' as name from events group by user_id",
         "label_codes": f"with {_MATERIALS}, m as (select label, row_number() over (order by label) - 1 as k from materials), seen as (select distinct label from events join m on user_id % 8 = k) select label, row_number() over (order by label) - 1 as code from seen",
         "random_split": "select vec_id, label, case when row_number() over (partition by label order by (vec_id * 7919 + 42) % 104729, vec_id) <= round(count(*) over (partition by label) * 0.2) then 'test' else 'train' end as split from embeddings",
         "temporal_split": _split(False),

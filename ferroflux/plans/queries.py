@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import sources
+from ..functions import elapsed_name, raw_counts
 from ..operators import evaluate, features, ingest, model, prep
 from ..operators import windows as win
 from ..schema import AXES, feature_names, materials
-from ..streaming import banner, within
+from ..streaming import banner, received, within
 from . import signals as s
 
 
@@ -85,10 +86,74 @@ def vector_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, columns = s.vectors(spark, sf_dir, 16)
+    rows, columns = s.vectors(spark, sf_dir)
     return rounded(evaluate.correlations(rows, columns))
 
 
+def feature_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of the 126 window features."""
+    return rounded(evaluate.correlations(features.extract(s.windows(spark, sf_dir)), feature_names()))
+
+
+def scaled_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors scaled by the statistics of the rows that an even vec_id makes train rows."""
+    rows, columns = s.vectors(spark, sf_dir, 8)
+    return rounded(prep.scaled(rows, prep.fit_scaler(rows.filter("vec_id % 2 = 0"), columns)))
+
+
+def _masks(legacy: bool):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows, columns = s.vectors(spark, sf_dir, 4)
+        # v1 is constant in train rows, v2 in test rows.
+        train = rows.filter("vec_id % 5 <> 0").withColumn("v1", F.lit(1.0))
+        test = rows.filter("vec_id % 5 = 0").withColumn("v2", F.lit(1.0))
+        kept = prep.masks(train, test, columns, legacy)
+        return spark.createDataFrame([(c, c in kept[0], c in kept[1]) for c in columns], "feature string, train boolean, test boolean")
+
+    return query
+
+
+def log_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.usable(s.logs(spark, sf_dir)).select("file_name", F.size("lines").cast("long").alias("n"))
+
+
+def log_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.broken(s.logs(spark, sf_dir))
+
+
+def log_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.decode(s.logs(spark, sf_dir)).select("file_name", "i", *AXES)
+
+
+def inverse_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ingest.long_form(ingest.accepted(ingest.parse(s.lines(spark, sf_dir))))
+    return rounded(rows.select("session", "seq", "sensor", "axis", raw_counts(F.col("ut")).alias("raw")))
+
+
+def data_received(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return received(s.lines(spark, sf_dir).withColumn("session", (F.col("seq") % 40).cast("string")))
+
+
+def device_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = s.table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), F.col("event_id").alias("seq"))
+    word = F.when(F.col("seq") % 5 == 0, F.lit("g")).when(F.col("seq") % 7 == 0, F.lit("s ")).otherwise(F.lit("#"))
+    return ingest.device_state(e.withColumn("value", word)).select("session", "seq", "streaming")
+
+
+def log_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = s.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("session")).agg(F.min("ts").alias("began"))
+    return rows.select("session", elapsed_name(F.col("began"), "log").alias("name"))
+
+
+def material_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From signals to a report: windows, 126 features, split by time, mask, scaler, forest with its defaults, report on the test windows."""
+    rows = s.feature_rows(spark, sf_dir)
+    longest = F.max("win_start").over(Window.partitionBy("series"))
+    cut = rows.withColumn("_last", longest).withColumn("split", F.when((F.col("win_start") == F.col("_last")) & (F.col("_last") > 0), "test").otherwise("train")).drop("_last").cache()
+    bundle = model.fit_bundle(cut.filter("split = 'train'"), feature_names())
+    return evaluate.report(bundle.predict(cut.filter("split = 'test'")))
+
+
 def label_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prep.label_codes(s.labelled(s.signal(spark, sf_dir), spark))
 
@@ -261,7 +326,8 @@ def queries() -> dict:
         temporal_split_legacy, prefix_suffix, confusion, report, roc, auc, probability_histogram, learning_summary, top_features,
         top_features_ascending, pooled_stats, three_sigma, axis_range, recent_view, retained, decimated, markers, segments,
         file_materials, missing_materials, english_names, dataset_shape, forest, forest_importance, forest_shap, segment_importance, learning_curve,
+        feature_correlation, scaled_split, log_guard, log_quarantine, log_decoded, inverse_scale, data_received, device_state, log_names, material_report,
     )]
-    return dict(named) | {"time_features": _features("t"), "spectral_features": _features("f"), "wavelet_features": _features("w")}
+    return dict(named) | {"time_features": _features("t"), "spectral_features": _features("f"), "wavelet_features": _features("w"), "split_masks": _masks(False), "split_masks_legacy": _masks(True)}
 
 

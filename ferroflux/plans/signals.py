@@ -20,7 +20,7 @@ def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     seconds = lambda a, b: F.timestamp_diff("MICROSECOND", a, b) / 1e6
     e = e.withColumn("gap", F.coalesce(seconds(F.lag("ts").over(w), F.col("ts")), F.lit(0.0))).withColumn("t_s", seconds(F.first("ts").over(w), F.col("ts")))
     k = F.get_json_object("props", "$.k").cast("double")
-    return ordinals(e, "series", "ts", "event_id").select("series", "i", "t_s", (F.col("value") - 40).alias("X"), (k - 50).alias("Y"), (F.col("gap") / 3600).alias("Z"))
+    return ordinals(e, "series", "ts", "event_id", chunk=F.to_date("ts")).select("series", "i", "t_s", (F.col("value") - 40).alias("X"), (k - 50).alias("Y"), (F.col("gap") / 3600).alias("Z"))
 
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,3 +73,16 @@ def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled(extract(windows(spark, sf_dir)), spark)
 
 
+def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, file_name, header, lines) of CSV logs, one per user: event ids under the columns X, Y, Z.
+
+    Of every five users one has a log in other order, one lacks Z, and one has a cell that is no number.
+    """
+    e = table(spark, sf_dir, "events").select("user_id", "event_id")
+    kind = F.col("user_id") % 5
+    cells = [F.col("event_id").cast("string"), (F.col("event_id") % 7).cast("string"), F.when((kind == 3) & (F.col("event_id") % 11 == 0), F.lit("oops")).otherwise((F.col("event_id") % 5).cast("string"))]
+    line = F.when(kind == 1, F.concat_ws(",", cells[2], F.lit("0"), cells[0], cells[1])).when(kind == 2, F.concat_ws(",", *cells[:2])).otherwise(F.concat_ws(",", F.lit("0"), *cells))
+    header = F.when(kind == 1, F.lit("Z,ms,X,Y")).when(kind == 2, F.lit("X,Y")).otherwise(F.lit("ms,X,Y,Z"))
+    files = e.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))), lambda r: r["line"]).alias("lines"), F.max(header).alias("header"))
+    name = F.concat(F.lit("log_"), F.col("user_id").cast("string"), F.lit(".csv"))
+    return files.select(F.concat(F.lit("/logs/"), name).alias("file"), name.alias("file_name"), F.split("header", ",").alias("header"), "lines")

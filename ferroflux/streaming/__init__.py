@@ -109,3 +109,21 @@ def banner(elapsed, duration: int = 0):
     """ "12s" or "12/60s"."""
     whole = F.floor(elapsed).cast("long").cast("string")
     return F.concat(whole, F.lit(f"/{duration}s" if duration else "s"))
+
+
+def received(lines: DataFrame, by: str = "session") -> DataFrame:
+    """(by, lines, received, message): whether any line but comments and blanks came in, valid or not, and what a live view says."""
+    text = F.trim("value")
+    data = (text != "") & ~F.startswith(text, F.lit("#"))
+    out = lines.groupBy(by).agg(F.count_if(data).alias("lines"))
+    out = out.withColumn("received", F.col("lines") > 0)
+    return out.withColumn("message", F.when(F.col("received"), F.lit("receiving data")).otherwise(F.lit("waiting for data")))
+
+
+def poll_interval(points: int, interval_ms: int = 50, slow_ms: int = 500, many: int = 300) -> str:
+    """The trigger interval for a live view of so many points: beyond ``many`` of them it backs off.
+
+    A query's trigger is fixed when it starts, so a view that grows is restarted from
+    its checkpoint with the interval told here.
+    """
+    return f"{slow_ms if points > many else interval_ms} milliseconds"

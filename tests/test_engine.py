@@ -87,6 +87,72 @@ def test_sign_changes_and_wavelet_shape(spark):
     assert len(feature_names()) == 126
 
 
+def test_wavelet_against_direct_convolution():
+    from ferroflux.schema import DB4_LOW
+
+    rng = np.random.default_rng(2)
+    low = np.array(DB4_LOW)
+    high = np.array([(-1) ** (j + 1) * low[7 - j] for j in range(8)])
+
+    def half(x, taps):
+        mirrored = np.concatenate((x[::-1], x, x[::-1]))
+        return np.convolve(mirrored, taps)[len(x) + 1 : len(x) + len(x) + 7 : 2]
+
+    x = rng.normal(size=50)
+    a = half(x, low)
+    expected = [half(a, low), half(a, high), half(x, high)]
+    for rows, y in zip(fn.wavelet_rows(50), expected):
+        assert np.allclose(np.array(rows) @ x, y[: len(rows)])
+
+
+def test_short_and_long_windows(spark):
+    assert [fn.wavelet_level(n) for n in (0, 6, 7, 13, 14, 27, 28, 500)] == [0, 0, 0, 0, 1, 1, 2, 2]
+    assert [len(fn.wavelet_rows(n)) for n in (10, 20, 50)] == [0, 2, 3]
+    df = spark.createDataFrame([(n, [float(i % 5) for i in range(n)]) for n in (1, 10, 20, 50, 600)] + [(0, []), (-1, None)], "n long, X array<double>")
+    got = {r.n: r for r in features.extract(df, "tfw", ("X",)).collect()}
+    assert len(got) == 7 and math.isnan(got[0].X_t0) and got[0].X_f0 == got[-1].X_f0 == got[0].X_w0 == 0
+    assert got[10].X_w0 == got[10].X_t0 and got[10].X_w5 == 0 and got[20].X_w5 != 0 and got[20].X_w10 == 0 and got[50].X_w10 != 0
+    assert got[1].X_f0 == 0 and got[600].X_f0 > 0 and got[600].X_f7 == pytest.approx(20, abs=1)
+
+
+def test_ordinals_by_chunks(spark):
+    rows = spark.range(500).select((F.col("id") % 3).alias("s"), ((F.col("id") * 37) % 499).alias("t"), "id")
+    plain = win.ordinals(rows, "s", "t", "id").select("id", "i")
+    cut = win.ordinals(rows, "s", "t", "id", chunk=F.floor(F.col("t") / 50)).select("id", "i")
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, cut.collect()))
+
+
+def test_correlation_of_many_columns(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(60, 126))
+    x[:, 5] = 1.0
+    names = [f"c{i}" for i in range(126)]
+    df = spark.createDataFrame(x.tolist(), ", ".join(f"{c} double" for c in names)).repartition(3)
+    got = {(r.a, r.b): r.r for r in evaluate.correlations(df, names).collect()}
+    assert len(got) == 126 * 126 and math.isnan(got["c5", "c0"])
+    expected = np.corrcoef(np.delete(x, 5, axis=1).T)
+    rest = [c for c in names if c != "c5"]
+    assert all(abs(got[a, b] - expected[i, j]) < 1e-9 for i, a in enumerate(rest) for j, b in enumerate(rest))
+
+
+def test_bundle_scores_new_rows(spark, tmp_path):
+    rows = [(i, float(i % 2) + i / 1000, 7.0, float(i % 5), "ab"[i % 2]) for i in range(80)]
+    df = spark.createDataFrame(rows, "id long, x double, same double, y double, label string")
+    bundle = model.fit_bundle(df, ["x", "same", "y"], trees=5, depth=3)
+    assert bundle.columns == ["x", "y"]
+    bundle.save(str(tmp_path / "b"))
+    again = model.Bundle.load(spark, str(tmp_path / "b"))
+    one = df.limit(1)  # a row alone is scaled by the training rows
+    assert [r.prediction for r in again.predict(one).collect()] == [r.label for r in one.collect()]
+    assert again.columns == bundle.columns and sorted(map(tuple, again.codes.collect())) == [("a", 0), ("b", 1)]
+
+
+def test_idle_views_and_back_off(spark):
+    lines = spark.createDataFrame([("a", "# hello"), ("a", " "), ("b", "not valid"), ("b", "#")], "session string, value string")
+    assert {r.session: (r.lines, r.received) for r in streaming.received(lines).collect()} == {"a": (0, False), "b": (1, True)}
+    assert [streaming.poll_interval(n) for n in (300, 301)] == ["50 milliseconds", "500 milliseconds"]
+
+
 def test_nan_makes_the_axis_nan(spark):
     rows = [(1, i, float("nan") if i == 3 else float(i), float(i)) for i in range(60)]
     df = spark.createDataFrame(rows, "series long, i long, X double, Y double")
