@@ -53,6 +53,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Remove a stored table that nothing reads any more."""
+    spark = df.sparkSession
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()[:1]}:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def squeezed(values: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
+
+
+def unsqueezed(parts, kind) -> np.ndarray:
+    """The values of all parts, one after another."""
+    import zstandard
+
+    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(zstandard.ZstdDecompressor().decompress(x), kind) for x in parts)])
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of frames that nobody holds any more, which it does when the driver collects its garbage."""
     gc.collect()

@@ -108,6 +108,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import secrets
+    from . import oracles, secrets
 
-    return {"op2_secrets": secrets.oracle()}
+    return oracles.oracle_sql() | {"op2_secrets": secrets.oracle()}
