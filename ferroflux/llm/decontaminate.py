@@ -24,6 +24,8 @@ LEAST = 5
 THRESHOLD = 0.5
 #: Bits of the filter of seeds that is sent to all tasks, at most, as a power of two.
 FILTER_BITS = 27
+#: Places of a seed's bits in the filter: shifts of its hash.
+PROBES = (0, 18, 36)
 #: Candidate items of a text that meet one copy of it.
 SHARE = 256
 #: Leaks that are sent to all tasks, at most; more are joined by a shuffle.
@@ -152,8 +154,8 @@ def seed_table(items: DataFrame, least: int) -> DataFrame:
 def seed_filter(seeds: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     """A Bloom filter of the seeds, of at most 2**bits bits whatever their number: a fuller one lets more through to the join."""
     count = seeds.select("seed").distinct().count()
-    size = min(bits, max(12, (16 * max(1, count) - 1).bit_length()))
-    spots = F.array(*[F.shiftrightunsigned("seed", k * 32).bitwiseAND(F.lit((1 << size) - 1)) for k in (0, 1)])
+    size = min(bits, max(12, (64 * max(1, count) - 1).bit_length()))
+    spots = F.array(*[F.shiftrightunsigned("seed", k).bitwiseAND(F.lit((1 << size) - 1)) for k in PROBES])
     cells = seeds.select(F.explode(spots).alias("at")).select(F.shiftright("at", 6).alias("cell"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit"))
     got = cells.groupBy("cell").agg(F.bit_or("bit").alias("bit")).toPandas()
     out = np.zeros(1 << max(0, size - 6), np.uint64)
@@ -175,7 +177,7 @@ def touched(docs: DataFrame, seeds: DataFrame, least: int) -> DataFrame:
                 for n in lengths:
                     seed = _named(ngram_hashes(words, n), n).view(np.uint64)
                     held = np.ones(len(seed), bool)
-                    for k in (0, 32):
+                    for k in PROBES:
                         at = (seed >> np.uint64(k)) & mask
                         held &= ((cells[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
                     at = np.flatnonzero(held)
