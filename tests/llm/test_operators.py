@@ -81,6 +81,17 @@ def test_near_duplicates_odd_rows(spark):
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_words_of_one_pattern_and_its_complement_differ():
+    from ferroflux.llm.base import space_table, word_spans
+
+    pattern = b"a"
+    while len(pattern) < 1024:  # polynomial hashes modulo a power of two can't tell these words
+        pattern += pattern.translate(bytes.maketrans(b"ab", b"ba"))
+    other = pattern.translate(bytes.maketrans(b"ab", b"ba"))
+    h, start, end = word_spans(b" ".join((pattern, other, pattern, b"ab", b"ba")) + b" ", space_table())
+    assert h[0] != h[1] and h[0] == h[2] and len(set(h.tolist())) == 4 and (end - start).tolist() == [1024, 1024, 1024, 2, 2]
+
+
 def test_circulant_signature_estimates_jaccard():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
