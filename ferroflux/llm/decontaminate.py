@@ -53,7 +53,6 @@ def _matches(item: np.ndarray, doc: np.ndarray, mi: np.ndarray, md: np.ndarray,
     hd, sd = _windows(doc, md, s)
     order = np.argsort(hi, kind="stable")
     hi, si = hi[order], si[order]
-    lo, n = np.searchsorted(hi, hd), 0
     lo = np.searchsorted(hi, hd)
     n = np.searchsorted(hi, hd, "right") - lo
     some = np.flatnonzero(n)

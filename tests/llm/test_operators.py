@@ -490,6 +490,8 @@ def test_seating_of_large_and_empty_dishes():
 def test_narrow_hashes_keep_their_first_bytes():
     h = np.random.default_rng(0).integers(0, 1 << 63, 50, dtype=np.uint64)
     assert (lm.wide(lm.narrow(h, 8), 8) == h).all() and (lm.wide(lm.narrow(h, 5), 5) == (h >> np.uint64(24)) << np.uint64(24)).all()
+    assert (lm.unplaned(lm.planes(h)) == h).all() and (lm.unplaned(lm.planes(h, 5), 5) == lm.wide(lm.narrow(h, 5), 5)).all()
+    assert len(lm.unplaned(lm.planes(h[:0], 5), 5)) == 0
 
 
 def test_spelling_is_a_distribution():
