@@ -92,6 +92,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, path).drop("payload", "url")
 
 
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .trie import conversation_trie
+
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
     return {
         "op1_minhash": op1_minhash,
@@ -104,6 +110,7 @@ def queries() -> dict:
         "op8_topk": op8_topk,
         "op9_lm": op9_lm,
         "op10_warc": op10_warc,
+        "op13_trie": op13_trie,
     }
 
 
