@@ -92,6 +92,20 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, path).drop("payload", "url")
 
 
+def op11_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_join
+
+    return jaccard_join(table(spark, sf_dir, "documents"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .alignment import alignment_counts
+
+    return alignment_counts(table(spark, sf_dir, "documents"), tokenizer_path(), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .trie import conversation_trie
 
@@ -110,6 +124,8 @@ def queries() -> dict:
         "op8_topk": op8_topk,
         "op9_lm": op9_lm,
         "op10_warc": op10_warc,
+        "op11_jaccard": op11_jaccard,
+        "op12_alignment": op12_alignment,
         "op13_trie": op13_trie,
     }
 
