@@ -40,6 +40,8 @@ NUM, DEN = 90, 100
 COUNTERS, SLICES = 1 << 18, 16
 #: Members of a block of an index list, of a component.
 BLOCK, PART = 128, 256
+#: Bits of the filter of doc_ids whose texts are read again, at most, as a power of two, and shifts of a hash that give their places.
+FILTER_BITS, PROBES = 27, (0, 31)
 
 
 def shingle_set(words: np.ndarray) -> np.ndarray:
@@ -114,8 +116,13 @@ def prefix_size(n: int) -> int:
     return n - -(-NUM * n // DEN) + 1
 
 
+def bitmap_width(n: int) -> int:
+    """Bits of a set's bitmap, a power of two of at least half its elements: unlike sets of one size differ in a quarter of those, linking ones in a tenth at most."""
+    return max(64, 1 << max(0, (n - 1).bit_length() - 1))
+
+
 def index_rows(docs: DataFrame, classes: np.ndarray) -> DataFrame:
-    """(doc_id, h1, h2, n, bits, prefix) of texts with words: the bitmap has a power of two of bits, n or more; the prefix the first shingles in order."""
+    """(doc_id, h1, h2, n, bits, prefix) of texts with words: their bitmaps; the prefix the first shingles in order."""
 
     def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shift = np.uint64(64 - COUNTERS.bit_length() + 1)
@@ -125,7 +132,7 @@ def index_rows(docs: DataFrame, classes: np.ndarray) -> DataFrame:
                 n = len(s)
                 if not n or pd.isna(ids[k]):
                     continue
-                width = max(64, 1 << (n - 1).bit_length())
+                width = bitmap_width(n)
                 mixed = mix64(s)
                 flips = np.bincount((mixed & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
                 order = classes[(s >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(55) | mixed >> np.uint64(9)
@@ -375,17 +382,37 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
 
 
+def id_filter(ids: DataFrame, column: str) -> np.ndarray:
+    """A Bloom filter of ids, as 64-bit cells, of at most 2**FILTER_BITS bits whatever their number: a fuller one lets more through to the join."""
+    size = min(FILTER_BITS, max(12, (16 * max(1, ids.count()) - 1).bit_length()))
+    spots = F.array(*[F.shiftrightunsigned(F.xxhash64(column), k).bitwiseAND(F.lit((1 << size) - 1)) for k in PROBES])
+    cells = ids.select(F.explode(spots).alias("at")).select(F.shiftright("at", 6).alias("cell"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit"))
+    got = cells.groupBy("cell").agg(F.bit_or("bit").alias("bit")).toArrow().to_pandas()
+    out = np.zeros(1 << max(0, size - 6), np.uint64)
+    out[got["cell"].to_numpy(np.int64)] = got["bit"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
 def _texts_of(docs: DataFrame, heads: DataFrame, pairs: DataFrame) -> DataFrame:
     """(sid, text) of the sets in ``pairs``. A doc_id that several texts have is told apart by its set's name."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     wanted = materialize(heads.join(wanted, "sid"), "wanted")
+    # Most texts are in no pair; the filter spares their shuffle.
+    sent = docs.sparkSession.sparkContext.broadcast(id_filter(wanted, "doc_id"))
+
+    @F.pandas_udf("boolean")
+    def may_be(names: pd.Series) -> pd.Series:
+        cells, h = sent.value, names.to_numpy(np.int64).view(np.uint64)
+        at = [(h >> np.uint64(k)) & np.uint64(len(cells) * 64 - 1) for k in PROBES]
+        hits = [((cells[(a >> np.uint64(6)).astype(np.int64)] >> (a & np.uint64(63))) & np.uint64(1)).astype(bool) for a in at]
+        return pd.Series(np.logical_and.reduce(hits))
 
     def matching(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in runs(batches):
             keep = [k for k, s in _sets(pdf) if names_of(s) == (pdf["h1"].iloc[k], pdf["h2"].iloc[k])]
             yield pdf.iloc[keep][["sid", "text"]]
 
-    found = _texts(docs).join(wanted, "doc_id").select("sid", "h1", "h2", "text").mapInPandas(matching, "sid long, text binary")
+    found = _texts(docs).filter(may_be(F.xxhash64("doc_id"))).join(wanted, "doc_id").select("sid", "h1", "h2", "text").mapInPandas(matching, "sid long, text binary")
     return materialize(found.dropDuplicates(["sid"]), "texts")
 
 

@@ -114,7 +114,7 @@ def test_bitmaps_bound_the_difference():
         y = np.union1d(x[rng.random(len(x)) < 0.9], rng.integers(0, 1 << 63, rng.integers(0, 40)).astype(np.uint64))
         bits = []
         for s in (x, y):
-            width = max(64, 1 << (len(s) - 1).bit_length())
+            width = jaccard.bitmap_width(len(s))
             bits.append(np.packbits((np.bincount((jaccard.mix64(s) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).astype(np.uint8)).tobytes())
         assert jaccard.least_difference(*bits) <= len(np.setxor1d(x, y))
 
