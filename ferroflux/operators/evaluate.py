@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scan import prefix_scan
+
 
 def confusion(rows: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """(label, prediction, n) for every pair of classes seen, absent pairs with 0."""
@@ -50,22 +52,23 @@ def report(rows: DataFrame, label: str = "label", prediction: str = "prediction"
 def roc(scores: DataFrame) -> DataFrame:
     """(class, threshold, tp, fp, tpr, fpr) at every distinct score of ``scores`` (class, score, positive).
 
-    Equal scores are counted before the running sums, so those see a row per
-    distinct score, not per sample.
+    Equal scores are counted first; the sums then run over ranges of scores, so
+    that no task holds a class.
     """
     steps = scores.groupBy("class", "score").agg(F.sum(F.col("positive").cast("long")).alias("p"), F.sum((~F.col("positive")).cast("long")).alias("n"))
-    run = Window.partitionBy("class").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("class")
-    out = steps.select("class", F.col("score").alias("threshold"), F.sum("p").over(run).alias("tp"), F.sum("n").over(run).alias("fp"), F.sum("p").over(whole).alias("_p"), F.sum("n").over(whole).alias("_n"))
+    run = prefix_scan(steps, ["class"], [F.col("score").desc()], tp=("sum", F.col("p")), fp=("sum", F.col("n")))
+    whole = steps.groupBy(F.col("class").alias("_class")).agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
     zero = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
-    return out.select("class", "threshold", "tp", "fp", zero(F.col("tp"), F.col("_p")).alias("tpr"), zero(F.col("fp"), F.col("_n")).alias("fpr"))
+    out = run.join(whole, F.col("class").eqNullSafe(F.col("_class")))
+    return out.select("class", F.col("score").alias("threshold"), "tp", "fp", zero(F.col("tp"), F.col("_p")).alias("tpr"), zero(F.col("fp"), F.col("_n")).alias("fpr"))
 
 
 def auc(curve: DataFrame) -> DataFrame:
-    """(class, auc) by trapezoids from (0, 0) through the points of a curve."""
-    w = Window.partitionBy("class").orderBy(F.col("threshold").desc())
-    steps = curve.withColumn("_t", F.coalesce(F.lag("tpr").over(w), F.lit(0.0))).withColumn("_f", F.coalesce(F.lag("fpr").over(w), F.lit(0.0)))
-    return steps.groupBy("class").agg(F.sum((F.col("fpr") - F.col("_f")) * (F.col("tpr") + F.col("_t")) / 2).alias("auc"))
+    """(class, auc) by trapezoids from (0, 0) through the points of a curve, which rise in fpr and tpr."""
+    rates = curve.select("class", "fpr", "tpr")
+    steps = prefix_scan(rates, ["class"], ["fpr", "tpr"], _f=("last", F.col("fpr"), "before"), _t=("last", F.col("tpr"), "before"))
+    zero = F.lit(0.0)
+    return steps.groupBy("class").agg(F.sum((F.col("fpr") - F.coalesce("_f", zero)) * (F.col("tpr") + F.coalesce("_t", zero)) / 2).alias("auc"))
 
 
 def probability_histogram(scores: DataFrame, bins: int = 50) -> DataFrame:
@@ -82,21 +85,24 @@ def learning_summary(folds: DataFrame) -> DataFrame:
 
 
 def correlations(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, r): Pearson's r of every pair of columns, NaN where one is constant.
+    """(a, b, r): Pearson's r of every pair of columns, within [-1, 1]; NaN where one is constant.
 
     Columns are centred by a first aggregation; tasks add up the products of a
-    batch as one matrix product, so hundreds of columns are still one pass. Rows
-    with a null in a column make that column's r NaN.
+    batch as one matrix product, so hundreds of columns are still one pass. Whether
+    a column is constant is told by its extremes, not by sums that leave rounding. Rows
+    with a null or NaN in a column make that column's r NaN.
     """
     n = len(columns)
-    means = rows.agg(F.array(*[F.avg(c) for c in columns]).alias("_means"))
-    flat = rows.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("x")).crossJoin(F.broadcast(means))  # means are one row
+    one = rows.agg(*[f(c).alias(f"{k}{i}") for i, c in enumerate(columns) for k, f in (("m", F.avg), ("a", F.min), ("b", F.max))]).first()
+    means = np.array([np.nan if one[f"m{i}"] is None else one[f"m{i}"] for i in range(n)], float)
+    still = [one[f"a{i}"] is None or one[f"a{i}"] == one[f"b{i}"] for i in range(n)]
+    flat = rows.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("x"))
 
     def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = np.zeros((n, n))
         for pdf in batches:
             if len(pdf):
-                x = np.array([np.asarray(v, float) for v in pdf["x"]]) - np.asarray(pdf["_means"].iloc[0], float)
+                x = np.array([np.asarray(v, float) for v in pdf["x"]]) - means
                 held += x.T @ x
         i, j = np.triu_indices(n)
         yield pd.DataFrame({"i": i, "j": j, "s": held[i, j]})
@@ -104,7 +110,10 @@ def correlations(rows: DataFrame, columns: list[str]) -> DataFrame:
     sums = flat.mapInPandas(products, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
     diagonal = sums.filter("i = j").select("i", F.sqrt("s").alias("d"))
     both = sums.join(diagonal, "i").join(diagonal.select(F.col("i").alias("j"), F.col("d").alias("e")), "j")
-    r = F.coalesce(F.try_divide("s", F.col("d") * F.col("e")), F.lit(float("nan")))
+    constant, nan = F.array(*map(F.lit, still)), F.lit(float("nan"))
+    ratio = F.try_divide("s", F.col("d") * F.col("e"))
+    bounded = F.when(F.isnan(ratio), nan).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio)))
+    r = F.when(F.get(constant, "i") | F.get(constant, "j"), nan).otherwise(F.coalesce(bounded, nan))
     names = F.array(*map(F.lit, columns))
     pair = lambda i, j: F.struct(F.get(names, i).alias("a"), F.get(names, j).alias("b"), r.alias("r"))
     sides = F.when(F.col("i") == F.col("j"), F.array(pair("i", "j"))).otherwise(F.array(pair("i", "j"), pair("j", "i")))

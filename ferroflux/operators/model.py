@@ -1,8 +1,4 @@
-"""Random forests and their evaluation: fit, predict, importances, learning curve, SHAP.
-
-Spark's forest has no least node size for a split; ``minInstancesPerNode`` is
-the least leaf size, and splits are chosen among binned thresholds.
-"""
+"""Random forests over DataFrames: fit, predict, importances, learning curve, SHAP; they are grown in ``forest``."""
 
 from __future__ import annotations
 
@@ -11,37 +7,41 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .forest import DEPTH, LEAF, SEED, SPLIT, TREES, Forest, bin_edges, grow, path_tables, shap, store_bins
 from .prep import fit_scaler, label_codes, scaled, varying
+from .scan import numbered
 from .windows import segments
 
-TREES, DEPTH, LEAF, SEED = 200, 12, 2, 42
-
 
-def forest_pipeline(columns: list[str], label: str = "label", trees: int = TREES, depth: int = DEPTH, leaf: int = LEAF, seed: int = SEED) -> Pipeline:
-    index = StringIndexer(inputCol=label, outputCol="_code", stringOrderType="alphabetAsc", handleInvalid="keep")
-    gather = VectorAssembler(inputCols=columns, outputCol="_features", handleInvalid="keep")
-    forest = RandomForestClassifier(labelCol="_code", featuresCol="_features", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=seed, featureSubsetStrategy="sqrt", impurity="gini")
-    return Pipeline(stages=[index, gather, forest])
+def _labels(rows: DataFrame, label: str) -> list[str]:
+    """The distinct labels as text, in order; they are few."""
+    return sorted(r[0] for r in rows.select(F.col(label).cast("string")).distinct().collect() if r[0] is not None)
 
 
-def fit_forest(rows: DataFrame, columns: list[str], label: str = "label", **options) -> PipelineModel:
-    return forest_pipeline(columns, label, **options).fit(rows.withColumn(label, F.col(label).cast("string")))
+def fit_forest(rows: DataFrame, columns: list[str], label: str = "label", trees: int = TREES, depth: int = DEPTH, leaf: int = LEAF, split: int = SPLIT, seed: int = SEED) -> Forest:
+    """A forest of rows with a label; those without one aren't learned from."""
+    labels, edges = _labels(rows, label), bin_edges(rows, columns)
+    return grow(store_bins(rows, columns, edges, labels, label), labels, columns, edges, trees=trees, depth=depth, leaf=leaf, split=split, seed=seed)
 
 
-def predict(model: PipelineModel, rows: DataFrame, label: str = "label") -> DataFrame:
+def predict(model: Forest, rows: DataFrame, label: str = "label") -> DataFrame:
     """Add prediction (the label's text) and probability (one number per label in sorted order)."""
-    labels = model.stages[0].labels
-    told = model.transform(rows.withColumn(label, F.col(label).cast("string")))
-    names = F.array(*[F.lit(x) for x in labels])
-    out = told.withColumn("_p", F.slice(vector_to_array("probability"), 1, len(labels))).withColumn("_c", F.get(names, F.col("prediction").cast("int")))
-    return out.drop("probability", "prediction", "rawPrediction", "_features", "_code").withColumnsRenamed({"_p": "probability", "_c": "prediction"})
+    sent = rows.sparkSession.sparkContext.broadcast(model)  # its size is set by the forest's parameters
+
+    @F.pandas_udf("array<double>")
+    def told(x: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype=object)
+        held = sent.value
+        return pd.Series(list(held.probabilities(held.binned(np.array(x.tolist(), float)))))
+
+    names = F.array(*[F.lit(x) for x in model.labels])
+    out = rows.withColumn("probability", told(F.array(*[F.col(c).cast("double") for c in model.columns])))
+    best = F.array_position("probability", F.array_max("probability")) - 1
+    return out.withColumn("prediction", F.get(names, best.cast("int"))).withColumn(label, F.col(label).cast("string"))
 
 
 def class_scores(told: DataFrame, labels: list[str], label: str = "label") -> DataFrame:
@@ -50,68 +50,76 @@ def class_scores(told: DataFrame, labels: list[str], label: str = "label") -> Da
     return told.select(F.col(label).alias("_l"), F.explode(cells).alias("x")).select(F.col("x.c").alias("class"), F.col("x.p").alias("score"), (F.col("_l") == F.col("x.c")).alias("positive"))
 
 
-def importances(model: PipelineModel, columns: list[str], spark: SparkSession) -> DataFrame:
+def importances(model: Forest, spark: SparkSession, fit: int = 0) -> DataFrame:
     """(feature, idx, importance): mean decrease of impurity, normalised."""
-    values = model.stages[-1].featureImportances.toArray()
-    return spark.createDataFrame([(c, i, float(v)) for i, (c, v) in enumerate(zip(columns, values))], "feature string, idx int, importance double")
+    return spark.createDataFrame([(c, i, float(v)) for i, (c, v) in enumerate(zip(model.columns, model.importances(fit)))], "feature string, idx int, importance double")
 
 
 def segment_importances(rows: DataFrame, columns: list[str], top: list[str], label: str = "label", count: int = 5, trees: int = 100) -> DataFrame:
-    """(segment, feature, importance) of forests fitted on consecutive segments of rows (series, i, ...)."""
-    spark, cut, out = rows.sparkSession, segments(rows, count).cache(), None
-    for k in range(count):
-        model = fit_forest(cut.filter(F.col("segment") == k), columns, label, trees=trees, depth=30, leaf=1)
-        one = importances(model, columns, spark).filter(F.col("feature").isin(top)).select(F.lit(k).alias("segment"), "feature", "importance")
-        out = one if out is None else out.unionByName(one)
-    cut.unpersist()
-    return out
-
+    """(segment, feature, importance) of forests fitted on consecutive segments of rows (series, i, ...), grown side by side."""
+    cut, labels, edges = segments(rows, count), _labels(rows, label), bin_edges(rows, columns)
+    stored = store_bins(cut, columns, edges, labels, label, F.array("segment"))
+    model = grow(stored, labels, columns, edges, fits=count, trees=trees, depth=30, leaf=1, split=2)
+    told = [(k, c, float(v)) for k in range(count) for c, v in zip(columns, model.importances(k)) if c in top]
+    return rows.sparkSession.createDataFrame(told, "segment int, feature string, importance double")
 
-def learning_curve(rows: DataFrame, columns: list[str], key: str, label: str = "label", sizes: int = 10, folds: int = 5, trees: int = TREES) -> DataFrame:
-    """(size, fold, train, validation): accuracies of forests on growing shares of each fold's training rows."""
-    w = Window.partitionBy(label).orderBy(key)
-    cut = rows.withColumn("_fold", (F.row_number().over(w) - 1) % folds)
-    cut = cut.withColumn("_share", F.percent_rank().over(Window.partitionBy(label, "_fold").orderBy(key))).cache()
-    accuracy = lambda model, part: predict(model, part, label).agg(F.avg((F.col("prediction") == F.col(label).cast("string")).cast("double"))).first()[0]
-    found = []
-    for size in np.linspace(1 / sizes, 1, sizes):
-        for fold in range(folds):
-            train = cut.filter((F.col("_fold") != fold) & (F.col("_share") <= float(size)))
-            model = fit_forest(train, columns, label, trees=trees)
-            found.append((round(float(size), 6), fold, accuracy(model, train), accuracy(model, cut.filter(F.col("_fold") == fold))))
-    cut.unpersist()
-    return rows.sparkSession.createDataFrame(found, "size double, fold int, train double, validation double")
 
+def learning_curve(rows: DataFrame, columns: list[str], key: str, label: str = "label", sizes: int = 10, folds: int = 5, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
+    """(size, fold, train, validation): accuracies of forests on growing shares of each fold's training rows.
 
-def save(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
-
+    Rows are dealt to folds within their label in order of a hash of ``key``. All sizes and
+    folds are grown in the same passes over one binned table, and scored in one more.
+    """
+    labels, edges = _labels(rows, label), bin_edges(rows, columns)
+    dealt = numbered(rows.withColumn("_h", F.xxhash64(key)), [label], ["_h", key], "_i")
+    dealt = dealt.withColumn("_fold", (F.col("_i") % folds).cast("int")).withColumn("_j", F.floor(F.col("_i") / folds))
+    held = dealt.groupBy(F.col(label).alias("_label"), F.col("_fold").alias("_of")).agg(F.count("*").alias("_n"))
+    dealt = dealt.join(held, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_fold") == F.col("_of")))
+    every = F.sequence(F.lit(0), F.lit(sizes * folds - 1))
+    mine = lambda k: (k % folds != F.col("_fold")) & (F.col("_j") < F.greatest(F.lit(1), F.round(F.col("_n") * (F.floor(k / folds) + 1) / sizes)))
+    stored = store_bins(dealt, columns, edges, labels, label, F.filter(every, mine), ["_fold"])
+    model = grow(stored, labels, columns, edges, fits=sizes * folds, trees=trees, depth=depth)
+    sent = rows.sparkSession.sparkContext.broadcast(model)
+
+    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forest = sent.value
+        for pdf in batches:
+            x = np.frombuffer(b"".join(pdf["bins"]), np.uint8).reshape(len(pdf), -1)
+            code, fold = pdf["code"].to_numpy(), pdf["_fold"].to_numpy()
+            train = [set(f) for f in pdf["fits"]]
+            told = []
+            for fit in range(forest.fits):
+                hit = forest.probabilities(x, fit).argmax(axis=1) == code
+                for part, some in (("train", np.array([fit in t for t in train])), ("validation", fold == fit % folds)):
+                    told.append((fit, part, int((hit & some).sum()), int(some.sum())))
+            yield pd.DataFrame(told, columns=["fit", "part", "hits", "n"])
 
-def load(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+    told = stored.filter("code >= 0").mapInPandas(scored, "fit int, part string, hits long, n long").groupBy("fit").pivot("part", ["train", "validation"]).agg(F.sum("hits") / F.sum("n"))
+    size = F.round((F.floor(F.col("fit") / folds) + 1) / sizes, 6)
+    return told.select(size.alias("size"), (F.col("fit") % folds).cast("int").alias("fold"), "train", "validation")
 
 
 @dataclass
 class Bundle:
     """All that scoring needs: the forest, the labels with their codes, the scaler and the columns kept."""
 
-    forest: PipelineModel
+    forest: Forest
     codes: DataFrame
     scaler: DataFrame
     columns: list[str]
 
     def save(self, path: str) -> None:
         """Write the four parts below ``path``."""
-        save(self.forest, f"{path}/forest")
+        spark = self.codes.sparkSession
+        self.forest.save(spark, f"{path}/forest")
         self.codes.write.mode("overwrite").parquet(f"{path}/codes")
         self.scaler.write.mode("overwrite").parquet(f"{path}/scaler")
-        rows = [(i, c) for i, c in enumerate(self.columns)]
-        self.codes.sparkSession.createDataFrame(rows, "idx int, feature string").write.mode("overwrite").parquet(f"{path}/mask")
+        spark.createDataFrame(list(enumerate(self.columns)), "idx int, feature string").write.mode("overwrite").parquet(f"{path}/mask")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Bundle:
         mask = spark.read.parquet(f"{path}/mask").orderBy("idx").collect()
-        return cls(load(f"{path}/forest"), spark.read.parquet(f"{path}/codes"), spark.read.parquet(f"{path}/scaler"), [r["feature"] for r in mask])
+        return cls(Forest.load(spark, f"{path}/forest"), spark.read.parquet(f"{path}/codes"), spark.read.parquet(f"{path}/scaler"), [r["feature"] for r in mask])
 
     def predict(self, rows: DataFrame, label: str = "label") -> DataFrame:
         """Scale by the training rows' statistics and predict."""
@@ -119,106 +127,32 @@ class Bundle:
 
 
 def fit_bundle(rows: DataFrame, columns: list[str], label: str = "label", **options) -> Bundle:
-    """Mask, scaler, codes and forest, all learned from ``rows``."""
+    """Mask, scaler, codes and forest, all learned from ``rows``, which should be a stored table."""
     kept = varying(rows, columns)
-    scaler = fit_scaler(rows, kept)
+    # A row per feature, computed once.
+    scaler = rows.sparkSession.createDataFrame(fit_scaler(rows, kept).collect(), "feature string, mean double, std double")
     return Bundle(fit_forest(scaled(rows, scaler), kept, label, **options), label_codes(rows, label), scaler, kept)
 
 
-def _trees(model: RandomForestClassificationModel) -> list[list[tuple]]:
-    """Nodes (left, right, feature, threshold, weight, class shares) of each tree; a forest's size is set by its parameters."""
-    out = []
-    for tree in model.trees:
-        nodes: list[tuple] = []
-
-        def walk(node) -> int:
-            at = len(nodes)
-            stats = np.array(list(node.impurityStats().stats()))
-            nodes.append(())
-            share = (stats / max(stats.sum(), 1e-12)).tolist()
-            if node.subtreeDepth() == 0:
-                nodes[at] = (-1, -1, -1, 0.0, float(stats.sum()), share)
-            else:
-                split = node.split()
-                left = walk(node.leftChild())
-                nodes[at] = (left, walk(node.rightChild()), split.featureIndex(), split.threshold(), float(stats.sum()), share)
-            return at
-
-        walk(tree._call_java("rootNode"))
-        out.append(nodes)
-    return out
-
-
-def tree_shap(nodes: list[tuple], x: np.ndarray, classes: int) -> np.ndarray:
-    """SHAP values (features, classes) of one row for one tree, conditional on the tree's paths.
-
-    Walks every path once, holding for each feature on it the shares of rows that
-    go on when the feature is hidden (``zero``) or known (``one``) and the weights
-    of the sets of features known so far.
-    """
-    out = np.zeros((len(x), classes))
-
-    def extend(path: list, zero: float, one: float, feature: int) -> list:
-        path = [list(p) for p in path] + [[feature, zero, one, 1.0 if not path else 0.0]]
-        n = len(path)
-        for i in range(n - 2, -1, -1):
-            path[i + 1][3] += one * path[i][3] * (i + 1) / n
-            path[i][3] = zero * path[i][3] * (n - 1 - i) / n
-        return path
-
-    def unwind(path: list, k: int) -> list:
-        path, n = [list(p) for p in path], len(path)
-        _, zero, one, _ = path[k]
-        last = path[-1][3]
-        for i in range(n - 2, -1, -1):
-            if one:
-                kept = path[i][3]
-                path[i][3] = last * n / ((i + 1) * one)
-                last = kept - path[i][3] * zero * (n - 1 - i) / n
-            else:
-                path[i][3] = path[i][3] * n / (zero * (n - 1 - i))
-        for i in range(k, n - 1):
-            path[i][:3] = path[i + 1][:3]
-        return path[:-1]
-
-    def visit(at: int, path: list, zero: float, one: float, feature: int) -> None:
-        path = extend(path, zero, one, feature)
-        left, right, split, threshold, weight, share = nodes[at]
-        if left < 0:
-            value = np.array(share)
-            for k in range(1, len(path)):
-                total = sum(p[3] for p in unwind(path, k))
-                out[path[k][0]] += total * (path[k][2] - path[k][1]) * value
-            return
-        hot, cold = (left, right) if x[split] <= threshold else (right, left)
-        zero, one = 1.0, 1.0
-        for k in range(1, len(path)):
-            if path[k][0] == split:
-                zero, one = path[k][1], path[k][2]
-                path = unwind(path, k)
-                break
-        visit(hot, path, zero * nodes[hot][4] / weight, one, split)
-        visit(cold, path, zero * nodes[cold][4] / weight, 0.0, split)
-
-    visit(0, [], 1.0, 1.0, -1)
-    return out
-
-
-def shap_values(model: PipelineModel, rows: DataFrame, columns: list[str], key: str) -> DataFrame:
+def shap_values(model: Forest, rows: DataFrame, key: str) -> DataFrame:
     """(key, class, feature, shap) of each row: what each feature adds to each class's probability."""
-    labels = model.stages[0].labels
-    forest = rows.sparkSession.sparkContext.broadcast(_trees(model.stages[-1]))
+    sent = rows.sparkSession.sparkContext.broadcast((model.labels, model.columns, path_tables(model)))
+    stored = store_bins(rows.withColumn("_none", F.lit(None).cast("string")), model.columns, model.edges, model.labels, "_none", keep=[key])
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trees = forest.value
-        classes = len(trees[0][0][5])
+        labels, columns, paths = sent.value
         for pdf in batches:
-            for k, x in zip(pdf[key].tolist(), pdf[columns].to_numpy(float)):
-                phi = sum(tree_shap(t, x, classes) for t in trees) / len(trees)
-                yield pd.DataFrame([(k, c, f, float(phi[i, j])) for j, c in enumerate(labels) for i, f in enumerate(columns)], columns=[key, "class", "feature", "shap"])
+            for at in range(0, len(pdf), 128):
+                part = pdf.iloc[at : at + 128]
+                x = np.frombuffer(b"".join(part["bins"]), np.uint8).reshape(len(part), -1)
+                phi = shap(paths, x, len(columns))
+                size = len(labels) * len(columns)
+                yield pd.DataFrame(
+                    {key: np.repeat(part[key].to_numpy(), size), "class": np.tile(np.repeat(np.array(labels, object), len(columns)), len(part)), "feature": np.tile(np.array(columns, object), len(part) * len(labels)), "shap": phi.transpose(0, 2, 1).ravel()}
+                )
 
     kind = dict(rows.dtypes)[key]
-    return rows.select(key, *columns).mapInPandas(explain, f"`{key}` {kind}, class string, feature string, shap double")
+    return stored.select(key, "bins").mapInPandas(explain, f"`{key}` {kind}, class string, feature string, shap double")
 
 
 def shap_summary(values: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .select import smallest
+
 
 def variances(rows: DataFrame, columns: list[str]) -> DataFrame:
     """(feature, var): population variance of each column; NaN where a value is NaN."""
@@ -32,12 +34,10 @@ def fit_scaler(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def scaled(rows: DataFrame, scaler: DataFrame) -> DataFrame:
-    """(x - mean) / std of the scaler's features; constant ones become 0. The scaler is a row per feature, sent as one row."""
-    columns = [c for c in rows.columns if c in {r["feature"] for r in scaler.select("feature").collect()}]
-    one = scaler.groupBy().pivot("feature", columns).agg(F.first(F.struct("mean", "std")))
-    one = one.select(*[F.col(c).alias(f"_s_{c}") for c in columns])
-    out = rows.crossJoin(F.broadcast(one))  # a single row
-    return out.withColumns({c: F.coalesce(F.try_divide(F.col(c) - F.col(f"_s_{c}.mean"), F.col(f"_s_{c}.std")), F.lit(0.0)) for c in columns}).drop(*[f"_s_{c}" for c in columns])
+    """(x - mean) / std of the scaler's features; constant ones become 0. The scaler, a row per feature, comes to the driver once."""
+    held = {r["feature"]: r for r in scaler.collect()}
+    cell = lambda c: F.coalesce(F.try_divide(F.col(c) - F.lit(held[c]["mean"]), F.lit(held[c]["std"])), F.lit(0.0))
+    return rows.withColumns({c: cell(c) for c in rows.columns if c in held})
 
 
 def standardized(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -54,11 +54,13 @@ def encoded(rows: DataFrame, codes: DataFrame, label: str = "label") -> DataFram
     return rows.join(codes, label, "left")
 
 
-def stratified_split(rows: DataFrame, label: str, key: Column, share: float = 0.2) -> DataFrame:
-    """Add ``split``: within each label the share with the smallest ``key`` is test, rounded."""
-    w = Window.partitionBy(label)
-    rank = F.row_number().over(w.orderBy(key))
-    return rows.withColumn("split", F.when(rank <= F.round(F.count("*").over(w) * F.lit(share)), "test").otherwise("train"))
+def stratified_split(rows: DataFrame, label: str, key: Column, tie: list[str], share: float = 0.2) -> DataFrame:
+    """Add ``split``: within each label the share with the smallest ``key``, a number, is test, rounded; ties go by ``tie``.
+
+    The key at each label's border is selected by rank, so no label is sorted.
+    """
+    cut = smallest(rows.withColumn("_key", key), [label], "_key", tie, lambda n: F.round(n * F.lit(share)), "_test")
+    return cut.withColumn("split", F.when(F.col("_test"), "test").otherwise("train")).drop("_key", "_test")
 
 
 def temporal_split(windows: DataFrame, lengths: DataFrame, size: int = 50, share: float = 0.8, legacy: bool = False, stride: int = 25) -> DataFrame:

@@ -10,17 +10,20 @@ from pyspark.sql import functions as F
 
 from ..functions import clip, quantile
 from ..schema import AXES, RETAIN, STRIDE, WINDOW
+from ..store import materialize
+from .scan import numbered
+from .select import exact_quantiles
 
 
 def ordinals(rows: DataFrame, series: str, *order: str, chunk: Column | None = None) -> DataFrame:
     """Add ``i``, the ordinal of each row in its series.
 
-    With ``chunk``, a coarse key that rises with the order, such as the day, rows
-    are numbered within chunks and the chunks' sizes added up, so that a series of
-    any length is sorted by many tasks.
+    Rows are numbered by ranges, see ``scan``, so that a series of any length is many
+    tasks'. With ``chunk``, a coarse key that rises with the order, such as the day,
+    the chunks are the ranges, and nothing is stored.
     """
     if chunk is None:
-        return rows.withColumn("i", F.row_number().over(Window.partitionBy(series).orderBy(*order)).cast("long") - 1)
+        return numbered(rows, [series], list(order))
     cut = rows.withColumn("_chunk", chunk)
     before = Window.partitionBy(series).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     sizes = cut.groupBy(series, "_chunk").agg(F.count("*").alias("_size"))
@@ -41,16 +44,19 @@ def with_totals(rows: DataFrame, by: list[str], **totals: Column) -> DataFrame:
 
 
 def clip_series(rows: DataFrame, columns: tuple[str, ...] = AXES, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """Clamp each column to its exact quantiles over the whole series.
+    """Clamp each column to its exact quantiles over the whole series, selected by rank without gathering it.
 
     NaN in a column makes the whole column of its series NaN.
     """
-    bounds = rows.groupBy("series").agg(*[F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(f"_{c}") for c in columns], *[F.max(F.isnan(c)).alias(f"_nan_{c}") for c in columns])
-    out = rows.join(bounds, "series")
+    held = rows.select("series", *columns).unpivot(["series"], list(columns), "_axis", "v")
+    found = exact_quantiles(held.filter(~F.isnan("v")), ["series", "_axis"], [low, high])
+    nan = held.groupBy("series", "_axis").agg(F.max(F.isnan("v")).alias("nan"))
+    per = nan.join(found, ["series", "_axis"], "left").groupBy("series").agg(F.map_from_entries(F.collect_list(F.struct("_axis", F.struct("q", "nan")))).alias("_bounds"))
+    out = rows.join(materialize(per, "bounds"), "series")
     for c in columns:
-        value = clip(F.col(c), F.col(f"_{c}")[0], F.col(f"_{c}")[1])
-        out = out.withColumn(c, F.when(F.col(f"_nan_{c}"), F.lit(float("nan"))).otherwise(value)).drop(f"_{c}", f"_nan_{c}")
-    return out
+        b = F.col("_bounds")[c]
+        out = out.withColumn(c, F.when(b["nan"], F.lit(float("nan"))).otherwise(clip(F.col(c), b["q"][0], b["q"][1])))
+    return out.drop("_bounds")
 
 
 def window_starts(n: Column, size: int = WINDOW, stride: int = STRIDE) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions import welch
-from ..schema import AXES, DB4_LOW, LSB_TO_UT, MATERIALS, SENSORS, WINDOW
+from ..schema import AXES, DB4_LOW, LSB_TO_UT, MATERIALS, SENSORS, WINDOW, feature_names
 
 _CODES = "('fanguangbu', 'tianerong', 'dengxinrong', 'muoshayuyi', 'shawang', 'luowenbu')"
 
@@ -165,14 +165,15 @@ def oracle_sql() -> dict[str, str]:
     files = f"""files as (select case when c_custkey % 7 = 0 then 'log_' || c_custkey || '_none_05.csv' when c_custkey % 9 = 0 then 'x_' || {pick('c_custkey')} || '_' || {pick('c_custkey + 1')} || '_' || c_custkey || '.csv'
       else 'log_sensor0_' || {pick('c_custkey')} || '_' || c_custkey || '.csv' end as file_name from customer), {_MATERIALS},
       matched as (select * from files join materials on file_name like '%\\_' || code || '\\_%.csv' escape '\\')"""
-    scaled = ", ".join(f"{_clean(f'coalesce((v{i} - avg(v{i}) over ()) / nullif(stddev_pop(v{i}) over (), 0), 0)')} as v{i}" for i in range(8))
+    scaled = ", ".join(f"{_clean(f'coalesce((v{i} - avg(v{i}) over ()) / nullif(stddev_pop(v{i}) over (), 0), 0)')} as v{i}" for i in range(64))
     vector_pairs = ", ".join(f"{{'k': 'v{i}', 'v': v{i}}}" for i in range(64))
     corr = f"l as (select vec_id, unnest([{vector_pairs}], recursive := true) from vectors) select x.k as a, y.k as b, {_clean('corr(x.v, y.v)')} as r from l x join l y using (vec_id) group by all"
-    train = ", ".join(f"{_clean(f'coalesce((v{i} - avg(v{i}) filter (where vec_id % 2 = 0) over ()) / nullif(stddev_pop(v{i}) filter (where vec_id % 2 = 0) over (), 0), 0)')} as v{i}" for i in range(8))
+    train = ", ".join(f"{_clean(f'coalesce((v{i} - avg(v{i}) filter (where vec_id % 2 = 0) over ()) / nullif(stddev_pop(v{i}) filter (where vec_id % 2 = 0) over (), 0), 0)')} as v{i}" for i in range(64))
     cell = lambda n: f"(event_id % {n})"
     logs = f"logs as (select user_id, 'log_' || user_id || '.csv' as file_name, event_id, row_number() over (partition by user_id order by event_id) - 1 as i, user_id % 5 as kind, user_id % 5 = 3 and event_id % 11 = 0 as bad from events)"
     wide = ", ".join(f"cast(case when len(tok) = 20 then tok[{5 * k + a + 3}] else tok[{4 * k + a + 3}] end as double) as S{k}_{n}" for k in range(SENSORS) for a, n in enumerate(AXES))
-    time_pairs = ", ".join(f"{{'k': 't{i}', 'v': t{i}}}" for i in range(15))
+    feature_pairs = ", ".join(f"{{'k': '{c}', 'v': {c}}}" for c in feature_names())
+    masks = f"with {_vectors(64)}, l as (select vec_id % 5 <> 0 as train, unnest([{vector_pairs}], recursive := true) from vectors), c as (select train, k, case when k = 'v1' and train or k = 'v2' and not train then 1.0 else v end as v from l), kept as (select k as feature, coalesce(max(v) filter (train) > min(v) filter (train), false) as train, coalesce(max(v) filter (not train) > min(v) filter (not train), false) as test from c group by k)"
     return {
         "parse_all": _parsed(range(SENSORS)),
         "parse_one_sensor": _parsed([2]),
@@ -187,12 +188,13 @@ def oracle_sql() -> dict[str, str]:
         "spectral_features": _long(spectral, [f"f{i}" for i in range(12)], f", {psd}"),
         "wavelet_features": _long(_wavelet_table(), [f"w{i}" for i in range(15)]),
         "feature_matrix": _wide(),
-        "feature_variance": f"{BASE}, t as ({_time_table()}), l as (select a, unnest([{time_pairs}], recursive := true) from t), v as (select a || '_' || k as feature, case when count(*) filter (where isnan(v)) > 0 then 'nan'::double else var_pop(case when isnan(v) then null else v end) end as var from l group by all) select feature, {_clean('var', 4)} as var, var > 0 and not isnan(var) as kept from v",
-        "vector_scaling": f"with {_vectors(8)} select vec_id, label, {scaled} from vectors",
+        "feature_variance": f"with m as ({_wide()}), l as (select unnest([{feature_pairs}], recursive := true) from m), v as (select k as feature, case when count(*) filter (where isnan(v)) > 0 then 'nan'::double else var_pop(case when isnan(v) then null else v end) end as var from l group by k) select feature, case when var < 1e6 then round(var, 4) else round(var, -2) end as var, var > 0 and not isnan(var) as kept from v",
+        "feature_correlation": f"with m as ({_wide()}), l as (select series, win_start, unnest([{feature_pairs}, {{'k': 'flat', 'v': 0.1::double}}], recursive := true) from m), odd as (select k, min(v) = max(v) or count(*) filter (where isnan(v)) > 0 as odd from l group by k), p as (select x.k as a, y.k as b, x.v as s, y.v as t from l x join l y using (series, win_start) where x.k not in (select k from odd where odd) and y.k not in (select k from odd where odd)) select a, b, {_clean('greatest(-1, least(1, corr(s, t)))')} as r from p group by all union all select x.k, y.k, 'nan'::double from odd x cross join odd y where x.odd or y.odd",
+        "vector_scaling": f"with {_vectors(64)} select vec_id, label, {scaled} from vectors",
         "vector_correlation": f"with {_vectors(64)}, {corr}",
-        "scaled_split": f"with {_vectors(8)} select vec_id, label, {train} from vectors",
-        "split_masks": "select 'v' || i as feature, i <> 1 as train, i <> 1 as test from range(4) t(i)",
-        "split_masks_legacy": "select 'v' || i as feature, i <> 1 as train, i <> 2 as test from range(4) t(i)",
+        "scaled_split": f"with {_vectors(64)} select vec_id, label, {train} from vectors",
+        "split_masks": f"{masks} select feature, train, train as test from kept",
+        "split_masks_legacy": f"{masks} select feature, train, test from kept",
         "log_guard": f"with {logs} select file_name, count(*) as n from logs where kind <> 2 group by file_name",
         "log_quarantine": f"with {logs} select '/logs/' || file_name as file, count(*) as cells from logs where bad group by file_name",
         "log_decoded": f"with {logs} select file_name, i, event_id::double as X, {cell(7)}::double as Y, {cell(5)}::double as Z from logs where kind <> 2 and user_id not in (select user_id from logs where bad)",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import sources
@@ -10,6 +10,7 @@ from ..functions import elapsed_name, raw_counts
 from ..operators import evaluate, features, ingest, model, prep
 from ..operators import windows as win
 from ..schema import AXES, feature_names, materials
+from ..store import materialize
 from ..streaming import banner, received, within
 from . import signals as s
 
@@ -75,13 +76,13 @@ def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feature_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = features.extract(s.windows(spark, sf_dir), "t")
-    names = [c for c in feature_names() if c[2] == "t"]
-    return rounded(prep.variances(wide, names).select("feature", "var", ((F.col("var") > 0) & ~F.isnan("var")).alias("kept")), 4)
+    """The variance of each of the 126 features, as they are told by feature_matrix; large ones to the hundred."""
+    found = prep.variances(rounded(features.extract(s.windows(spark, sf_dir))), feature_names())
+    return found.select("feature", F.when(F.col("var") < 1e6, F.round("var", 4)).otherwise(F.round("var", -2)).alias("var"), ((F.col("var") > 0) & ~F.isnan("var")).alias("kept"))
 
 
 def vector_scaling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, columns = s.vectors(spark, sf_dir, 8)
+    rows, columns = s.vectors(spark, sf_dir)
     return rounded(prep.standardized(rows, columns))
 
 
@@ -91,19 +92,20 @@ def vector_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feature_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of the 126 window features."""
-    return rounded(evaluate.correlations(features.extract(s.windows(spark, sf_dir)), feature_names()))
+    """All pairs of the 126 window features, as they are told by feature_matrix, and of a constant."""
+    rows = rounded(features.extract(s.windows(spark, sf_dir))).withColumn("flat", F.lit(0.1))
+    return rounded(evaluate.correlations(materialize(rows, "features"), [*feature_names(), "flat"]))
 
 
 def scaled_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors scaled by the statistics of the rows that an even vec_id makes train rows."""
-    rows, columns = s.vectors(spark, sf_dir, 8)
+    rows, columns = s.vectors(spark, sf_dir)
     return rounded(prep.scaled(rows, prep.fit_scaler(rows.filter("vec_id % 2 = 0"), columns)))
 
 
 def _masks(legacy: bool):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows, columns = s.vectors(spark, sf_dir, 4)
+        rows, columns = s.vectors(spark, sf_dir)
         # v1 is constant in train rows, v2 in test rows.
         train = rows.filter("vec_id % 5 <> 0").withColumn("v1", F.lit(1.0))
         test = rows.filter("vec_id % 5 = 0").withColumn("v2", F.lit(1.0))
@@ -147,11 +149,11 @@ def log_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def material_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From signals to a report: windows, 126 features, split by time, mask, scaler, forest with its defaults, report on the test windows."""
-    rows = s.feature_rows(spark, sf_dir)
-    longest = F.max("win_start").over(Window.partitionBy("series"))
-    cut = rows.withColumn("_last", longest).withColumn("split", F.when((F.col("win_start") == F.col("_last")) & (F.col("_last") > 0), "test").otherwise("train")).drop("_last").cache()
+    rows = materialize(s.feature_rows(spark, sf_dir), "features")
+    last = rows.groupBy("series").agg(F.max("win_start").alias("_last"))
+    cut = rows.join(last, "series").withColumn("split", F.when((F.col("win_start") == F.col("_last")) & (F.col("_last") > 0), "test").otherwise("train"))
     bundle = model.fit_bundle(cut.filter("split = 'train'"), feature_names())
-    return evaluate.report(bundle.predict(cut.filter("split = 'test'")))
+    return evaluate.report(materialize(bundle.predict(cut.filter("split = 'test'")).select("label", "prediction"), "told"))
 
 
 def label_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,7 +162,7 @@ def label_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def random_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = s.table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    return prep.stratified_split(rows, "label", F.struct((F.col("vec_id") * 7919 + 42) % 104729, "vec_id"))
+    return prep.stratified_split(rows, "label", (F.col("vec_id") * 7919 + 42) % 104729, ["vec_id"])
 
 
 def _lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -291,21 +293,21 @@ def dataset_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
 def forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Report of a forest on held-out vectors."""
     rows, columns = s.vectors(spark, sf_dir)
-    cut = prep.stratified_split(rows, "label", F.xxhash64("vec_id", F.lit(42)))
+    cut = materialize(prep.stratified_split(rows, "label", F.xxhash64("vec_id", F.lit(42)), ["vec_id"]), "split")
     fitted = model.fit_forest(cut.filter("split = 'train'"), columns)
-    return evaluate.report(model.predict(fitted, cut.filter("split = 'test'")))
+    return evaluate.report(materialize(model.predict(fitted, cut.filter("split = 'test'")).select("label", "prediction"), "told"))
 
 
 def forest_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, columns = s.vectors(spark, sf_dir)
-    return evaluate.top_importances(model.importances(model.fit_forest(rows, columns), columns, spark), 20)
+    return evaluate.top_importances(model.importances(model.fit_forest(rows, columns), spark), 20)
 
 
 def forest_shap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean absolute SHAP values of a small forest over all vectors."""
-    rows, columns = s.vectors(spark, sf_dir, 8)
-    fitted = model.fit_forest(rows, columns, trees=4, depth=4)
-    return model.shap_summary(model.shap_values(fitted, rows, columns, "vec_id"))
+    """Mean absolute SHAP values of a forest with its defaults over the 126 features of all windows."""
+    rows = s.feature_rows(spark, sf_dir).select(F.concat_ws("/", "series", "win_start").alias("window"), "label", *feature_names())
+    rows = materialize(rows, "features")
+    return model.shap_summary(model.shap_values(model.fit_forest(rows, feature_names()), rows, "window"))
 
 
 def segment_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -315,8 +317,9 @@ def segment_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def learning_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, columns = s.vectors(spark, sf_dir, 8)
-    return evaluate.learning_summary(model.learning_curve(rows, columns, "vec_id", sizes=2, folds=3, trees=5))
+    """Ten sizes and five folds of forests with their defaults."""
+    rows, columns = s.vectors(spark, sf_dir)
+    return evaluate.learning_summary(model.learning_curve(rows, columns, "vec_id"))
 
 
 def queries() -> dict:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.windows import clip_series, ordinals, window_arrays
+from ..operators.scan import prefix_scan
+from ..operators.windows import clip_series, window_arrays
 from ..schema import materials
 
 
@@ -16,11 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(series, i, t_s, X, Y, Z): a series per user in order of time, times from the series' first event."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("series"), "ts", "event_id", "value", "props")
-    w = Window.partitionBy("series").orderBy("ts", "event_id")
+    e = prefix_scan(e, ["series"], ["ts", "event_id"], i=("count", F.lit(1), "before"), before=("last", F.col("ts"), "before"), began=("first", F.col("ts")))
     seconds = lambda a, b: F.timestamp_diff("MICROSECOND", a, b) / 1e6
-    e = e.withColumn("gap", F.coalesce(seconds(F.lag("ts").over(w), F.col("ts")), F.lit(0.0))).withColumn("t_s", seconds(F.first("ts").over(w), F.col("ts")))
+    gap = F.coalesce(seconds(F.col("before"), F.col("ts")), F.lit(0.0))
     k = F.get_json_object("props", "$.k").cast("double")
-    return ordinals(e, "series", "ts", "event_id", chunk=F.to_date("ts")).select("series", "i", "t_s", (F.col("value") - 40).alias("X"), (k - 50).alias("Y"), (F.col("gap") / 3600).alias("Z"))
+    return e.select("series", F.col("i").cast("long").alias("i"), seconds(F.col("began"), F.col("ts")).alias("t_s"), (F.col("value") - 40).alias("X"), (k - 50).alias("Y"), (gap / 3600).alias("Z"))
 
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:

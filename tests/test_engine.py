@@ -4,11 +4,12 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ferroflux import functions as fn
 from ferroflux import sources, streaming
-from ferroflux.operators import evaluate, features, ingest, model, prep
+from ferroflux.operators import evaluate, features, forest, ingest, model, prep, scan, select
 from ferroflux.operators import windows as win
 from ferroflux.schema import feature_names, materials
 from ferroflux.sources import serial
@@ -293,26 +294,188 @@ def test_range_hysteresis():
     assert streaming.fold_range((-20.0, 20.0), [wish(-30, 10), wish(-10, 40)]) == (-10, 40)
 
 
-def test_forest_shap_and_persistence(spark, tmp_path):
+def labelled_points(spark, n=200):
     rng = np.random.default_rng(0)
-    rows = [(i, float(a), float(b), "p" if a + 0.1 * b > 0 else "q") for i, (a, b) in enumerate(rng.normal(size=(200, 2)))]
-    df = spark.createDataFrame(rows, "id long, a double, b double, label string")
-    fitted = model.fit_forest(df, ["a", "b"], trees=5, depth=3)
+    rows = [(i, float(a), float(b), 1.0, "p" if a + 0.1 * b > 0 else "q") for i, (a, b) in enumerate(rng.normal(size=(n, 2)))]
+    return spark.createDataFrame(rows, "id long, a double, b double, same double, label string"), ["a", "b", "same"]
+
+
+def test_forest_shap_and_persistence(spark, tmp_path):
+    df, columns = labelled_points(spark)
+    fitted = model.fit_forest(df, columns, trees=20, depth=5)
     told = model.predict(fitted, df)
-    assert told.filter("prediction = label").count() > 180
-    values = model.shap_values(fitted, df.limit(20), ["a", "b"], "id").groupBy("id", "class").agg(F.sum("shap").alias("s")).collect()
-    trees = model._trees(fitted.stages[-1])
-
-    def expected(nodes, at=0):
-        left, right, _, _, weight, share = nodes[at]
-        if left < 0:
-            return np.array(share)
-        return (expected(nodes, left) * nodes[left][4] + expected(nodes, right) * nodes[right][4]) / weight
-
-    base = sum(expected(t) for t in trees) / len(trees)
-    probability = {(r.id, c): p for r in told.collect() for c, p in zip(fitted.stages[0].labels, r.probability)}
-    order = {c: j for j, c in enumerate(fitted.stages[0].labels)}
+    assert told.filter("prediction = label").count() > 185
+    shown = df.filter("id < 20")
+    values = model.shap_values(fitted, shown, "id").collect()
+    assert len(values) == 20 * 2 * 3 and not any(r.shap for r in values if r.feature == "same")
+    base = forest.expected(fitted, forest.path_tables(fitted))
+    added = {}
     for r in values:
-        assert abs(base[order[r["class"]]] + r.s - probability[r.id, r["class"]]) < 1e-6
-    model.save(fitted, str(tmp_path / "m"))
-    assert model.predict(model.load(str(tmp_path / "m")), df).filter("prediction = label").count() == told.filter("prediction = label").count()
+        added[r.id, r["class"]] = added.get((r.id, r["class"]), 0.0) + r.shap
+    probability = {(r.id, c): p for r in told.filter("id < 20").collect() for c, p in zip(fitted.labels, r.probability)}
+    assert added.keys() == probability.keys()
+    assert all(abs(base[fitted.labels.index(c)] + added[i, c] - p) < 1e-9 for (i, c), p in probability.items())
+    fitted.save(spark, str(tmp_path / "m"))
+    again = model.predict(forest.Forest.load(spark, str(tmp_path / "m")), df)
+    key = lambda d: sorted((r.id, r.prediction, tuple(r.probability)) for r in d.collect())
+    assert key(again) == key(told)
+
+
+def test_forest_nodes_and_partitions(spark):
+    """No node under ``split`` rows is split, no side has under ``leaf``; children hold what their parent holds; partitions change nothing."""
+    df, columns = labelled_points(spark, 300)
+    df = df.withColumn("label", F.when(F.col("id") % 7 == 0, "q").otherwise(F.col("label")))
+    one = model.fit_forest(df.repartition(1), columns, trees=15, depth=8, split=9, leaf=3)
+    inner = one.feature >= 0
+    assert inner.sum() > 50 and one.rows[inner].min() >= 9 and one.rows[one.left[inner]].min() >= 3 and one.rows[one.right[inner]].min() >= 3
+    assert (one.rows[one.left[inner]] + one.rows[one.right[inner]] == one.rows[inner]).all()
+    assert np.allclose(one.counts[one.left[inner]] + one.counts[one.right[inner]], one.counts[inner])
+    other = model.fit_forest(df.repartition(6), columns, trees=15, depth=8, split=9, leaf=3)
+    for a in ("root", "feature", "cut", "left", "right", "counts", "rows"):
+        assert (getattr(one, a) == getattr(other, a)).all()
+
+
+def test_forest_without_rows_labels_or_splits(spark):
+    df, columns = labelled_points(spark, 40)
+    lone = model.fit_forest(df.withColumn("label", F.lit("k")), columns, trees=3)
+    assert (lone.feature < 0).all() and {r.prediction for r in model.predict(lone, df).collect()} == {"k"}
+    some = df.withColumn("label", F.when(F.col("id") < 20, F.col("label"))).withColumn("a", F.when(F.col("id") % 5 == 0, float("nan")).otherwise(F.col("a")))
+    fitted = model.fit_forest(some, columns, trees=3)
+    assert fitted.labels == ["p", "q"] and fitted.rows[fitted.root].max() <= 20
+    assert model.predict(fitted, df.limit(0)).collect() == []
+
+
+def test_best_splits_against_brute_force():
+    rng = np.random.default_rng(3)
+    n = rng.integers(0, 4, (5, 2, 6))
+    w = np.where(n[..., None] > 0, rng.integers(0, 5, (5, 2, 6, 3)), 0).astype(float)
+    n[:, 1], w[:, 1] = n[:, 0][:, ::-1], w[:, 0][:, ::-1]  # both features hold the same rows
+    got = forest.best_splits(w, n, np.tile([4, 9], (5, 1)), 0, 2)
+    gini = lambda x: x.sum() - (x**2).sum() / max(x.sum(), 1e-300)
+    for k, r in enumerate(got.itertuples()):
+        every = {(f, c): gini(w[k, s].sum(0)) - gini(w[k, s, : c + 1].sum(0)) - gini(w[k, s, c + 1 :].sum(0)) for s, f in enumerate((4, 9)) for c in range(6) if n[k, s, : c + 1].sum() >= 2 and n[k, s, c + 1 :].sum() >= 2}
+        best = max(every.values(), default=0.0)
+        assert abs(r.gain - max(best, 0.0)) < 1e-9 and (best <= 0 or abs(every[r.feature, r.cut] - best) < 1e-9)
+
+
+def test_shap_is_shapley():
+    """Against the definition over all sets of features, on trees that use a feature several times on a path."""
+    import itertools
+
+    rng = np.random.default_rng(1)
+    nodes: dict[str, list] = {k: [] for k in ("feature", "cut", "left", "right", "counts")}
+
+    def build(depth, counts):
+        k = len(nodes["feature"])
+        for name, v in zip(nodes, (-1, 0, -1, -1, counts)):
+            nodes[name].append(v)
+        left = np.floor(counts * rng.random(3))
+        if depth and left.sum() and (counts - left).sum():
+            nodes["feature"][k], nodes["cut"][k] = int(rng.integers(4)), int(rng.integers(8))
+            nodes["left"][k] = build(depth - 1, left)
+            nodes["right"][k] = build(depth - 1, counts - left)
+        return k
+
+    roots = np.array([build(6, rng.integers(9, 60, 3).astype(float)) for _ in range(3)] + [build(0, np.ones(3))])
+    one = forest.Forest(list("abc"), list("wxyz"), [np.arange(8)] * 4, 4, roots, *[np.array(nodes[k]) for k in nodes], np.zeros(len(nodes["cut"])))
+    shares, weight, x = one.shares(), one.counts.sum(1), rng.integers(0, 9, (6, 4)).astype(np.uint8)
+    paths = forest.path_tables(one)
+    got = forest.shap(paths, x, 4, cells=30)
+
+    def told(k, row, known):
+        f, a, b = one.feature[k], one.left[k], one.right[k]
+        if f < 0:
+            return shares[k]
+        if f in known:
+            return told(a if row[f] <= one.cut[k] else b, row, known)
+        return (told(a, row, known) * weight[a] + told(b, row, known) * weight[b]) / weight[k]
+
+    for i, j in itertools.product(range(6), range(4)):
+        rest = [g for g in range(4) if g != j]
+        want = sum(math.factorial(n) * math.factorial(3 - n) / 24 * (told(r, x[i], {*s, j}) - told(r, x[i], {*s})) / 4 for n in range(4) for s in itertools.combinations(rest, n) for r in roots)
+        assert np.allclose(got[i, j], want)
+    assert np.allclose(forest.expected(one, paths) + got.sum(axis=1), one.probabilities(x))
+
+
+def test_fits_side_by_side_equal_single_ones(spark):
+    df, columns = labelled_points(spark, 120)
+    curve = {(r.size, r.fold): (r.train, r.validation) for r in model.learning_curve(df, columns, "id", sizes=2, folds=3, trees=4, depth=4).collect()}
+    assert set(curve) == {(s, f) for s in (0.5, 1.0) for f in range(3)}
+    assert all(t > 0.8 and 0.5 < v <= 1 for t, v in curve.values())
+    rows = df.withColumn("series", F.lit(1)).withColumn("i", F.col("id"))
+    told = model.segment_importances(rows, columns, ["a"], count=3, trees=5).collect()
+    assert sorted(r.segment for r in told) == [0, 1, 2] and all(r.importance > 0.5 for r in told)
+
+
+def test_running_aggregates(spark):
+    rng = np.random.default_rng(2)
+    keys = [None if i % 50 == 0 else "a" if rng.random() < 0.6 else "bcdefgh"[rng.integers(7)] for i in range(3000)]
+    rows = [(k, int(rng.integers(500)), i, None if rng.random() < 0.2 else int(rng.integers(-99, 99))) for i, k in enumerate(keys)]
+    df = spark.createDataFrame(rows, "k string, o long, id long, v long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so that a key spans ranges
+    got = scan.prefix_scan(df, ["k"], ["o", "id"], c=("count", F.lit(1), "before"), s=("sum", F.col("v")), m=("max", F.col("v"), "before"), x=("xor", F.col("v")), f=("first", F.col("v")), l=("last", F.col("v"), "before"))
+    w = Window.partitionBy("k").orderBy("o", "id")
+    past, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
+    want = df.select("id", F.count(F.lit(1)).over(past), F.sum("v").over(upto), F.max("v").over(past), F.bit_xor("v").over(upto), F.first("v", True).over(upto), F.last("v", True).over(past))
+    assert sorted(tuple(r) for r in got.select("id", *"csmxfl").collect()) == sorted(tuple(r) for r in want.collect())
+    assert sorted(r.i for r in scan.numbered(df, [], ["o", "id"]).collect()) == list(range(3000))
+    assert scan.numbered(df.limit(0), ["k"], ["o"]).collect() == []
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_selection_by_rank(spark):
+    """Brackets are narrowed to 20 values, over ties, constants, nulls and a null key."""
+    rng = np.random.default_rng(0)
+    rows = [("a", float(x)) for x in rng.normal(size=2000)] + [("b", float(x)) for x in rng.integers(0, 3, 1500)] + [(None, float(x)) for x in np.concatenate([np.full(900, 5.0), rng.random(900) * 10])]
+    rows += [("c", 7.0), ("d", None), ("e", float("inf")), ("e", 1e300), ("e", -0.0)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(3)
+    shares = [0.0, 0.01, 0.37, 0.5, 0.99, 1.0]
+    got = {r.k: r.q for r in select.exact_quantiles(df, ["k"], shares, most=20).collect()}
+    for k in ("a", "b", None, "c"):
+        assert np.allclose(got[k], np.quantile([v for key, v in rows if key == k], shares), atol=0, rtol=1e-15)
+    assert set(got) == {"a", "b", None, "c", "e"} and got["e"][0] == 0 and got["e"][-1] == math.inf
+    big = spark.range(1 << 62, (1 << 62) + 3000).withColumnRenamed("id", "v")  # doubles can't tell these apart
+    assert [r.v - (1 << 62) for r in select.order_statistics(big, [], lambda n: F.array(n - 1, F.lit(7).cast("long"), n), most=20).orderBy("v").collect()] == [7, 2999]
+    chosen = select.smallest(df.withColumn("id", F.monotonically_increasing_id()), ["k"], "v", ["id"], lambda n: F.round(n * 0.2)).filter("chosen")
+    assert {(r.k, r.n, r.top) for r in chosen.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("top")).collect()} == {
+        (k, round(len(x) * 0.2), x[round(len(x) * 0.2) - 1]) for k in ("a", "b", None, "e") for x in [sorted(v for key, v in rows if key == k)]
+    }
+
+
+def test_scaling_runs_one_job(spark):
+    columns = [f"c{i}" for i in range(40)]
+    df = spark.range(60).select(*[((F.col("id") * (i + 3)) % 17).cast("double").alias(c) for i, c in enumerate(columns)])
+    scaler = prep.fit_scaler(df, columns)
+    spark.sparkContext.setJobGroup("scaled", "scaled")
+    prep.scaled(df, scaler)
+    found = spark.sparkContext.statusTracker().getJobIdsForGroup("scaled")
+    spark.sparkContext.setJobGroup("rest", "rest")
+    assert len(found) <= 2  # one query, whose exchange adaptive execution runs as a job of its own
+
+
+def test_correlation_of_constants(spark):
+    df = spark.range(1000).select(F.lit(0.1).alias("c"), F.col("id").cast("double").alias("x"), (-F.col("id")).cast("double").alias("y"), F.lit(None).cast("double").alias("n"))
+    got = {(r.a, r.b): r.r for r in evaluate.correlations(df, ["c", "x", "y", "n"]).collect()}
+    assert len(got) == 16 and all(math.isnan(v) for k, v in got.items() if {"c", "n"} & {*k})
+    assert got["x", "x"] == 1 and got["x", "y"] == -1
+    near = spark.range(100).select((F.lit(1e9) + F.col("id") * 1e-6).alias("a"))
+    near = near.withColumn("b", F.col("a"))
+    assert all(-1 <= r.r <= 1 for r in evaluate.correlations(near, ["a", "b"]).collect())
+
+
+def test_curves_over_ranges_of_scores(spark):
+    """Running sums of classes that span many ranges, against sorting."""
+    rng = np.random.default_rng(5)
+    rows = [(c, float(s), bool(rng.random() < s)) for c in "uv" for s in np.round(rng.random(800), 2)] + [("w", 0.5, False)]
+    df = spark.createDataFrame(rows, "class string, score double, positive boolean").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    curve = evaluate.roc(df)
+    points, area = curve.collect(), {r["class"]: r.auc for r in evaluate.auc(curve).collect()}
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for c in "uv":
+        own = [(s, p) for k, s, p in rows if k == c]
+        for r in (r for r in points if r["class"] == c):
+            assert (r.tp, r.fp) == (sum(p for s, p in own if s >= r.threshold), sum(not p for s, p in own if s >= r.threshold))
+        wins = sum((a > b) + (a == b) / 2 for a, p in own if p for b, q in own if not q)
+        assert abs(area[c] - wins / (sum(p for _, p in own) * sum(not p for _, p in own))) < 1e-9
+    assert area["w"] == 0
