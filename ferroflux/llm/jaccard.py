@@ -40,6 +40,8 @@ NUM, DEN = 90, 100
 COUNTERS, SLICES = 1 << 18, 16
 #: Members of a block of an index list, of a component.
 BLOCK, PART = 128, 256
+#: Bytes of the bitmaps in blocks of lists.
+NARROW = 64
 #: Bits of the filter of doc_ids whose texts are read again, at most, as a power of two, and shifts of a hash that give their places.
 FILTER_BITS, PROBES = 27, (0, 31)
 
@@ -212,7 +214,7 @@ def differences(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def index_lists(index: DataFrame) -> DataFrame:
-    """(token, band, sid, n, pos, leader, leader_n, leader_pos) of the lists in which several sets of near sizes meet.
+    """(token, band, sid, n, pos, c, leader, leader_n, leader_pos) of the lists in which several sets of near sizes meet.
 
     Bands of sizes overlap, so sets whose sizes allow a link share one. A list's
     leader is the set that meets most others over all lists.
@@ -226,7 +228,7 @@ def index_lists(index: DataFrame) -> DataFrame:
     ranked = materialize(ranked.select("token", "band", "sid", "n", "pos", "rank"), "ranked")
     leaders = materialize(ranked.groupBy("token", "band").agg(F.count("*").alias("c"), F.max("rank").alias("top")).filter("c > 1"), "leaders")
     top = [(-F.col("top.neg")).alias("leader"), F.col("top.n").alias("leader_n"), F.col("top.pos").alias("leader_pos")]
-    return materialize(ranked.drop("rank").join(leaders.select("token", "band", *top), ["token", "band"]), "lists")
+    return materialize(ranked.drop("rank").join(leaders.select("token", "band", "c", *top), ["token", "band"]), "lists")
 
 
 def _ahead(n, pos, m, at):
@@ -238,13 +240,14 @@ def crossing(lists: DataFrame, index: DataFrame, members: DataFrame) -> DataFram
     """Pairs (a, b) of sets in different components that meet in a list, aren't its leader's and aren't excluded by a bound.
 
     Lists are cut into blocks in order of component and position. Blocks of one and the same
-    component don't meet, nor do those whose sizes or positions exclude any link.
+    component don't meet, nor do those whose sizes or positions exclude any link. A
+    set is in many lists, so blocks hold bitmaps folded to NARROW bytes; whole ones are asked of what is left.
     """
-    named = lists.join(members, "sid")
-    several = named.groupBy("token", "band").agg(F.count("*").alias("c"), F.min("component").alias("low"), F.max("component").alias("high")).filter("c > 2 and low <> high")
+    named = lists.filter("c > 2").join(members, "sid")
+    several = named.groupBy("token", "band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
     opened = named.filter("sid <> leader").join(materialize(several.select("token", "band"), "several"), ["token", "band"]).select("token", "band", "sid", "n", "pos", "component")
     placed = numbered(opened, ["token", "band"], ["component", "pos", "sid"], "place").withColumn("block", F.floor(F.col("place") / BLOCK))
-    held = placed.join(index.select("sid", "bits"), "sid")
+    held = placed.join(narrowed(index), "sid")
     blocks = held.groupBy("token", "band", "block").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("room"), F.collect_list(F.struct("sid", "n", "pos", "component", "bits")).alias("m")
     )
@@ -259,7 +262,24 @@ def crossing(lists: DataFrame, index: DataFrame, members: DataFrame) -> DataFram
             hits = {pair for p, q in zip(pdf["m_x"], pdf["m_y"]) for pair in _open_pairs(p, q)}
             yield pd.DataFrame(list(hits), columns=["a", "b"], dtype="int64")
 
-    return pairs.select("m_x", "m_y").mapInPandas(told, "a long, b long").distinct()
+    found = pairs.select("m_x", "m_y").mapInPandas(told, "a long, b long").distinct()
+    return may_link(materialize(found, "met"), index)
+
+
+def narrowed(index: DataFrame) -> DataFrame:
+    """(sid, bits): bitmaps folded to at most NARROW bytes."""
+
+    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for bits in pdf["bits"]:
+                b = np.frombuffer(bits, np.uint8)
+                while len(b) > NARROW:
+                    b = _folded(b)
+                out.append(b.tobytes())
+            yield pdf.assign(bits=out)
+
+    return index.select("sid", "bits").mapInPandas(told, "sid long, bits binary")
 
 
 def _open_pairs(x: list, y: list) -> Iterator[tuple[int, int]]:
@@ -400,19 +420,18 @@ def _texts_of(docs: DataFrame, heads: DataFrame, pairs: DataFrame) -> DataFrame:
     # Most texts are in no pair; the filter spares their shuffle.
     sent = docs.sparkSession.sparkContext.broadcast(id_filter(wanted, "doc_id"))
 
-    @F.pandas_udf("boolean")
-    def may_be(names: pd.Series) -> pd.Series:
-        cells, h = sent.value, names.to_numpy(np.int64).view(np.uint64)
-        at = [(h >> np.uint64(k)) & np.uint64(len(cells) * 64 - 1) for k in PROBES]
-        hits = [((cells[(a >> np.uint64(6)).astype(np.int64)] >> (a & np.uint64(63))) & np.uint64(1)).astype(bool) for a in at]
-        return pd.Series(np.logical_and.reduce(hits))
-
-    def matching(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def may_be(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cells = sent.value
+        mask = np.uint64(len(cells) * 64 - 1)
         for pdf in runs(batches):
-            keep = [k for k, s in _sets(pdf) if names_of(s) == (pdf["h1"].iloc[k], pdf["h2"].iloc[k])]
-            yield pdf.iloc[keep][["sid", "text"]]
-
-    found = _texts(docs).filter(may_be(F.xxhash64("doc_id"))).join(wanted, "doc_id").select("sid", "h1", "h2", "text").mapInPandas(matching, "sid long, text binary")
+            h = pdf["h"].to_numpy(np.int64).view(np.uint64)
+            at = [(h >> np.uint64(k)) & mask for k in PROBES]
+            pdf = pdf[np.logical_and.reduce([((cells[(a >> np.uint64(6)).astype(np.int64)] >> (a & np.uint64(63))) & np.uint64(1)).astype(bool) for a in at])]
+            names = [names_of(s) if len(s) else (0, 0) for _, s in _sets(pdf)]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(np.int64), "h1": [x for x, _ in names], "h2": [x for _, x in names], "text": pdf["text"].to_numpy()})
+
+    rows = _texts(docs).filter("doc_id is not null").withColumn("h", F.xxhash64("doc_id"))
+    found = rows.mapInPandas(may_be, "doc_id long, h1 long, h2 long, text binary").join(wanted, ["doc_id", "h1", "h2"]).select("sid", "text")
     return materialize(found.dropDuplicates(["sid"]), "texts")
 
 
