@@ -33,29 +33,33 @@ def prefix_scan(rows: DataFrame, keys: list[str], order: list, **running: tuple)
     ``order`` come in any order. Null keys are a key like others.
     """
     order = [F.col(c) if isinstance(c, str) else c for c in order]
-    asked = {f"_run{i}": (name, *spec) for i, (name, spec) in enumerate(running.items())}
+    own = "_scan"
+    while any(c.lower().startswith(own) for c in rows.columns):
+        own += "_"
+    part, at, head, more = (own + x for x in ("_range", "_at", "_head", "_more"))
+    asked = {f"{own}{i}": (name, *spec) for i, (name, spec) in enumerate(running.items())}
     held = rows.withColumns({x: spec[2] for x, spec in asked.items()})
-    ranged = materialize(held.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    ranged = materialize(held.repartitionByRange(*keys, *order).withColumn(part, F.spark_partition_id()), "ranges")
 
     # Only the first key of a range can have begun in an earlier one, so no other key's sums are of use.
     totals = ranged
     if keys:
-        heads = ranged.groupBy("_range").agg(F.min(F.struct(*keys)).alias("_head")).select("_head").distinct()
-        totals = ranged.join(F.broadcast(heads), F.struct(*keys).eqNullSafe(F.col("_head")), "left_semi")  # a row per range at most
-    totals = totals.groupBy("_range", *keys).agg(*[KINDS[kind][0](x).alias(x) for x, (_, kind, *_) in asked.items() if kind not in ("first", "last")], *_ends(asked, order))
-    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        heads = ranged.groupBy(part).agg(F.min(F.struct(*keys)).alias(head)).select(head).distinct()
+        totals = ranged.join(F.broadcast(heads), F.struct(*keys).eqNullSafe(F.col(head)), "left_semi")  # a row per range at most
+    totals = totals.groupBy(part, *keys).agg(*[KINDS[kind][0](x).alias(x) for x, (_, kind, *_) in asked.items() if kind not in ("first", "last")], *_ends(asked, order))
+    earlier = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     merge = {"count": F.sum, "sum": F.sum, "max": F.max, "xor": F.bit_xor, "first": KINDS["first"][0], "last": KINDS["last"][0]}
-    carried = totals.withColumn("_more", F.row_number().over(Window.partitionBy(*keys).orderBy("_range")) > 1)
-    carried = carried.withColumns({x: merge[kind](x).over(earlier) for x, (_, kind, *_) in asked.items()}).filter("_more")
-    carried = carried.select(F.col("_range").alias("_at"), *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], *[F.col(x).alias(f"{x}_before") for x in asked])
+    carried = totals.withColumn(more, F.row_number().over(Window.partitionBy(*keys).orderBy(part)) > 1)
+    carried = carried.withColumns({x: merge[kind](x).over(earlier) for x, (_, kind, *_) in asked.items()}).filter(more)
+    carried = carried.select(F.col(part).alias(at), *[F.col(k).alias(f"{own}_key{i}") for i, k in enumerate(keys)], *[F.col(x).alias(f"{x}_before") for x in asked])
 
     out = ranged
     for x, (_, kind, _, *before) in asked.items():
-        w = Window.partitionBy("_range", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+        w = Window.partitionBy(part, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
         out = out.withColumn(f"{x}_own", KINDS[kind][0](x).over(w))
-    same = F.col("_range") == F.col("_at")
+    same = F.col(part) == F.col(at)
     for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+        same = same & F.col(k).eqNullSafe(F.col(f"{own}_key{i}"))
     out = out.join(F.broadcast(carried), same, "left")  # a row per range at most
     final = {}
     for x, (name, kind, *_) in asked.items():

@@ -181,7 +181,7 @@ def oracle_sql() -> dict[str, str]:
         "reject_counts": f"with {_lines()} select coalesce(reason, 'accepted') as outcome, count(*) as n from judged group by all",
         "parse_wide": f"{_elapsed()} select session, seq, ms, {_clean('t_s')} as t_s, {wide} from timed",
         "duration_limit": f"{_elapsed()} select session, seq, {_clean('t_s')} as t_s, floor(t_s)::bigint || '/600s' as banner from timed where t_s <= 600",
-        "simulated": f"with r as (select i * 100.0::double as ms, unnest(range(4))::int as sensor from range(1000) t(i)), a as (select *, ms / 1000 + sensor * pi() / 2 as angle from r) select ms, sensor, {_clean('100 * sin(angle)')} as X, {_clean('100 * cos(angle)')} as Y, {_clean('50 * sin(2 * angle)')} as Z from a",
+        "simulated": f"with r as (select i * 100.0::double as ms, unnest(range(4))::int as sensor from (select event_id as i from events)), a as (select *, ms / 1000 + sensor * pi() / 2 as angle from r) select ms, sensor, {_clean('100 * sin(angle)')} as X, {_clean('100 * cos(angle)')} as Y, {_clean('50 * sin(2 * angle)')} as Z from a",
         "clipped": f"with {SIGNAL}, {CLIPPED} select series, i, {', '.join(f'{_clean(a)} as {a}' for a in AXES)} from clipped",
         "window_index": f"with {SIGNAL}, {STARTS} select g.series, win_start, count(*) as n, min(i) as first_i, max(i) as last_i from signal g join starts s on g.series = s.series and i >= win_start and i < win_start + 50 group by all",
         "time_features": _long(_time_table(), [f"t{i}" for i in range(15)]),

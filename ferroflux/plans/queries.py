@@ -10,7 +10,7 @@ from ..functions import elapsed_name, raw_counts
 from ..operators import evaluate, features, ingest, model, prep
 from ..operators import windows as win
 from ..schema import AXES, feature_names, materials
-from ..store import materialize
+from ..store import materialize, scratch
 from ..streaming import banner, received, within
 from . import signals as s
 
@@ -44,7 +44,8 @@ def reject_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def simulated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(sources.simulated(spark, 1000).select("ms", "sensor", *AXES))
+    """Records at the ticks that events name."""
+    return rounded(sources.simulated(s.table(spark, sf_dir, "events").select(F.col("event_id").alias("id"))).select("ms", "sensor", *AXES))
 
 
 def duration_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,15 +117,15 @@ def _masks(legacy: bool):
 
 
 def log_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sources.usable(s.logs(spark, sf_dir)).select("file_name", F.size("lines").cast("long").alias("n"))
+    return sources.usable(s.logs(spark, sf_dir)).groupBy("file_name").agg(F.count("*").alias("n"))
 
 
 def log_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sources.broken(s.logs(spark, sf_dir))
+    return sources.broken(sources.cells(s.logs(spark, sf_dir)))
 
 
 def log_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sources.decode(s.logs(spark, sf_dir)).select("file_name", "i", *AXES)
+    return sources.decode(sources.cells(s.logs(spark, sf_dir))).select("file_name", "i", *AXES)
 
 
 def inverse_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +153,9 @@ def material_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = materialize(s.feature_rows(spark, sf_dir), "features")
     last = rows.groupBy("series").agg(F.max("win_start").alias("_last"))
     cut = rows.join(last, "series").withColumn("split", F.when((F.col("win_start") == F.col("_last")) & (F.col("_last") > 0), "test").otherwise("train"))
-    bundle = model.fit_bundle(cut.filter("split = 'train'"), feature_names())
+    path = scratch(spark, "bundle")
+    model.fit_bundle(cut.filter("split = 'train'"), feature_names()).save(path)
+    bundle = model.Bundle.load(spark, path)  # what a later job would score with
     return evaluate.report(materialize(bundle.predict(cut.filter("split = 'test'")).select("label", "prediction"), "told"))
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..operators.scan import prefix_scan
 from ..operators.windows import clip_series, window_arrays
 from ..schema import materials
+from ..sources import scan_logs
+from ..store import scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,8 +76,8 @@ def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labelled(extract(windows(spark, sf_dir)), spark)
 
 
-def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(file, file_name, header, lines) of CSV logs, one per user: event ids under the columns X, Y, Z.
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user_id, place, line): lines of CSV logs, one log per user, in order of place; the header has place -1.
 
     Of every five users one has a log in other order, one lacks Z, and one has a cell that is no number.
     """
@@ -84,6 +86,14 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = [F.col("event_id").cast("string"), (F.col("event_id") % 7).cast("string"), F.when((kind == 3) & (F.col("event_id") % 11 == 0), F.lit("oops")).otherwise((F.col("event_id") % 5).cast("string"))]
     line = F.when(kind == 1, F.concat_ws(",", cells[2], F.lit("0"), cells[0], cells[1])).when(kind == 2, F.concat_ws(",", *cells[:2])).otherwise(F.concat_ws(",", F.lit("0"), *cells))
     header = F.when(kind == 1, F.lit("Z,ms,X,Y")).when(kind == 2, F.lit("X,Y")).otherwise(F.lit("ms,X,Y,Z"))
-    files = e.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))), lambda r: r["line"]).alias("lines"), F.max(header).alias("header"))
-    name = F.concat(F.lit("log_"), F.col("user_id").cast("string"), F.lit(".csv"))
-    return files.select(F.concat(F.lit("/logs/"), name).alias("file"), name.alias("file_name"), F.split("header", ",").alias("header"), "lines")
+    heads = e.select("user_id").distinct().select("user_id", F.lit(-1).cast("long").alias("place"), header.alias("line"))
+    return e.select("user_id", F.col("event_id").alias("place"), line.alias("line")).unionByName(heads)
+
+
+def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, file_name, header, i, line) of the logs of log_lines, read from CSV files that are written first, a folder per user."""
+    path = scratch(spark, "logs")
+    log_lines(spark, sf_dir).repartition("user_id").sortWithinPartitions("user_id", "place").select("user_id", "line").write.partitionBy("user_id").option("fileExtension", "csv").text(path)
+    read = scan_logs(spark, path, "*")
+    name = F.concat(F.lit("log_"), F.regexp_extract("file", r"/user_id=(\d+)/", 1), F.lit(".csv"))
+    return read.withColumn("file_name", name).withColumn("file", F.concat(F.lit("/logs/"), name))

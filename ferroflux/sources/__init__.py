@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import math
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import strict_double
+from ..operators.scan import numbered
 from ..schema import AXES, SENSORS
+from ..store import materialize
 
 
-def simulated(spark: SparkSession, records: int, rate: float = 10.0, seed: int = 0) -> DataFrame:
-    """Batch of simulated records (ms, sensor, t, X, Y, Z): sinusoids a quarter turn apart, temperature 24.0 to 25.9."""
-    rows = spark.range(records).select((F.col("id") * (1000.0 / rate)).alias("ms"), F.explode(F.sequence(F.lit(0), F.lit(SENSORS - 1))).alias("sensor"))
+def simulated(ticks: DataFrame, rate: float = 10.0, seed: int = 0) -> DataFrame:
+    """Simulated records (ms, sensor, t, X, Y, Z) of ticks (id): sinusoids a quarter turn apart, temperature 24.0 to 25.9."""
+    rows = ticks.select((F.col("id") * (1000.0 / rate)).alias("ms"), F.explode(F.sequence(F.lit(0), F.lit(SENSORS - 1))).alias("sensor"))
     return rows.select("ms", "sensor", *_signal(F.col("ms") / 1000, F.col("sensor"), seed))
 
 
@@ -54,44 +59,48 @@ def write_log(records: DataFrame, path: str, **partition: str) -> None:
 
 
 def scan_logs(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFrame:
-    """(file, file_name, header, lines) of all CSV files below ``path``, each with its own header."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
-    rows = files.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("file_name"), F.split("value", r"\r?\n").alias("lines"))
-    header = F.transform(F.split(F.get("lines", F.lit(0)), ","), lambda c: F.trim(c))
-    return rows.select("file", "file_name", header.alias("header"), F.slice("lines", 2, 2**31 - 1).alias("lines"))
+    """(file, file_name, header, i, line) of all CSV files below ``path``, each with its own header.
+
+    Files are read line by line in splits, so that a file of any size is many tasks'. A
+    line's place is its split's offset in the file and its order in the split; the
+    lines with any text are numbered from these, by ranges. The first line is
+    the file's header; a file of none has no rows.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+    meta = [F.col(f"_metadata.{m}").alias(n) for m, n in (("file_path", "file"), ("file_name", "file_name"), ("file_block_start", "_split"))]
+    # Stored, since the order within a split is told by the task that reads it.
+    held = materialize(lines.select(*meta, F.monotonically_increasing_id().alias("_at"), F.rtrim(F.col("value"), F.lit("\r")).alias("line")), "lines")
+    heads = held.groupBy("file").agg(F.min(F.struct("_split", "_at", "line")).alias("_first"))
+    heads = materialize(heads.select("file", F.col("_first._split").alias("_s"), F.col("_first._at").alias("_a"), F.transform(F.split("_first.line", ","), F.trim).alias("header")), "headers")
+    rest = held.filter(F.trim("line") != "").join(heads, "file").filter((F.col("_split") != F.col("_s")) | (F.col("_at") != F.col("_a")))
+    return numbered(rest, ["file"], ["_split", "_at"]).select("file", "file_name", "header", "i", "line")
 
 
 def usable(logs: DataFrame, columns: tuple[str, ...] = AXES) -> DataFrame:
-    """Logs whose header has all columns; others are skipped."""
+    """Lines of logs whose header has all columns; other logs are skipped."""
     return logs.filter(F.array_size(F.array_intersect("header", F.array(*map(F.lit, columns)))) == len(columns))
 
 
-def decode(logs: DataFrame, columns: tuple[str, ...] = AXES) -> DataFrame:
-    """(file, file_name, i, columns): numbers by name, an empty cell is NaN, blank lines go.
+def cells(logs: DataFrame, columns: tuple[str, ...] = AXES) -> DataFrame:
+    """(file, file_name, i, columns) stored: numbers by name, an empty cell is NaN, one that is no number null. Lines are decoded once, here."""
+    split = usable(logs, columns).withColumn("_cells", F.split("line", ","))
 
-    A cell that is no number makes its whole file go, see ``broken``.
-    """
-    rows = _cells(usable(logs, columns), columns)
-    bad = broken(logs, columns).select("file")
-    return rows.join(bad, "file", "left_anti").select("file", "file_name", "i", *columns)
+    def cell(name: str):
+        text = F.trim(F.coalesce(F.get("_cells", (F.array_position("header", F.lit(name)) - 1).cast("int")), F.lit("")))
+        return F.when(text == "", F.lit(float("nan"))).otherwise(strict_double(text)).alias(name)
 
+    return materialize(split.select("file", "file_name", "i", *[cell(c) for c in columns]), "cells")
 
-def broken(logs: DataFrame, columns: tuple[str, ...] = AXES) -> DataFrame:
-    """(file, cells) of logs with cells that are no number: the quarantine."""
-    rows = _cells(usable(logs, columns), columns)
-    bad = F.array_contains(F.array(*[F.col(c).isNull() for c in columns]), True)
-    return rows.filter(bad).groupBy("file").agg(F.count("*").alias("cells"))
 
+def decode(decoded: DataFrame, columns: tuple[str, ...] = AXES) -> DataFrame:
+    """Of ``cells``, those of files without a cell that is no number; see ``broken``."""
+    return decoded.join(broken(decoded, columns).select("file"), "file", "left_anti")
 
-def _cells(logs: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    lines = logs.select("file", "file_name", "header", F.posexplode(F.filter("lines", lambda x: F.trim(x) != "")).alias("i", "line"))
-    cells = lines.withColumn("cells", F.split("line", ","))
 
-    def cell(name: str):
-        text = F.trim(F.coalesce(F.get("cells", (F.array_position("header", F.lit(name)) - 1).cast("int")), F.lit("")))
-        return F.when(text == "", F.lit(float("nan"))).otherwise(strict_double(text)).alias(name)
-
-    return cells.select("file", "file_name", F.col("i").cast("long").alias("i"), *[cell(c) for c in columns])
+def broken(decoded: DataFrame, columns: tuple[str, ...] = AXES) -> DataFrame:
+    """(file, cells) of files with lines that hold a cell that is no number, and those lines' number: the quarantine."""
+    bad = F.array_contains(F.array(*[F.col(c).isNull() for c in columns]), True)
+    return decoded.filter(bad).groupBy("file").agg(F.count("*").alias("cells"))
 
 
 def with_materials(files: DataFrame, dim: DataFrame) -> DataFrame:
@@ -112,15 +121,31 @@ def require_rows(rows: DataFrame, what: str = "features") -> DataFrame:
     return rows
 
 
-def cached_dataset(spark: SparkSession, folder: str, key: str, build) -> DataFrame:
-    """The Parquet dataset of ``key`` below ``folder``; built and stored if it isn't there."""
-    from pyspark.errors import AnalysisException
+def fingerprint(spark: SparkSession, path: str, settings: dict, glob: str = "*") -> str:
+    """A name for the files below ``path``, by paths, sizes and times of change, and for the settings; nothing of the files is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
+    one = files.agg(F.count("*"), F.sum("length"), *[F.bit_xor(F.xxhash64(F.lit(seed), "path", "length", "modificationTime")) for seed in (1, 2)]).first()
+    return hashlib.sha256(json.dumps([list(one), settings], sort_keys=True, default=str).encode()).hexdigest()[:32]
 
-    path = f"{folder.rstrip('/')}/{hashlib.sha256(key.encode()).hexdigest()[:16]}"
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-    build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+
+def cached_dataset(spark: SparkSession, folder: str, path: str, settings: dict, build: Callable[[], DataFrame], glob: str = "*") -> DataFrame:
+    """The Parquet dataset that ``build`` makes of the files below ``path`` with ``settings``, kept below ``folder``.
+
+    Another file, size or time of change, or another setting, is another dataset, so a stale one
+    is never read. A dataset is written under a name of its own and renamed when it is whole; of
+    two writers the first to rename wins, and the other one's work is dropped for it.
+    """
+    fs = spark._jvm.org.apache.hadoop.fs
+    whole = f"{folder.rstrip('/')}/{fingerprint(spark, path, settings, glob)}"
+    home = fs.Path(whole).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not home.exists(fs.Path(whole)):
+        part = f"{whole}.{uuid.uuid4().hex}"
+        build().write.parquet(part)
+        rename = spark.sparkContext._gateway.new_array(fs.Options.Rename, 0)
+        try:
+            fs.FileContext.getFileContext(fs.Path(whole).toUri() if "://" in whole else home.getUri(), spark._jsc.hadoopConfiguration()).rename(fs.Path(part), fs.Path(whole), rename)
+        except Exception:
+            if not home.exists(fs.Path(whole)):
+                raise
+            home.delete(fs.Path(part), True)
+    return spark.read.parquet(whole)

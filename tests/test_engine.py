@@ -1,6 +1,7 @@
 """Kernels, parsers, windows, sources and streams on small fixtures."""
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -43,7 +44,7 @@ def test_parser_outcomes(spark):
 
 
 def test_wide_form_and_simulated_lines(spark):
-    sim = sources.as_lines(sources.simulated(spark, 3)).withColumn("session", F.lit("s")).withColumn("seq", F.lit(0))
+    sim = sources.as_lines(sources.simulated(spark.range(3))).withColumn("session", F.lit("s")).withColumn("seq", F.lit(0))
     wide = ingest.wide_form(ingest.accepted(ingest.parse(sim))).orderBy("ms").first()
     assert (wide.S0_X, wide.S0_Y, wide.S1_X, wide.S2_Y, wide.S3_X) == (0.0, 100.0, 100.0, -100.0, -100.0)
 
@@ -195,10 +196,11 @@ def test_csv_scan(spark, tmp_path):
     (tmp_path / "wide_shawang_1.csv").write_text("ms,S0_X\n0,1\n")
     (tmp_path / "bad_luowenbu_1.csv").write_text("ms,X,Y,Z\n0,1,zz,3\n")
     logs = sources.scan_logs(spark, str(tmp_path))
-    rows = sources.decode(logs)
+    held = sources.cells(logs)
+    rows = sources.decode(held)
     got = sorted((r.file_name, r.i, r.X, str(r.Y), r.Z) for r in rows.collect())
     assert got == [("log_sensor0_2_fanguangbu_05.csv", 0, 1.0, "2.0", 3.0), ("x_shawang_tianerong_1.csv", 0, 1.0, "2.0", 3.0), ("x_shawang_tianerong_1.csv", 1, 4.0, "nan", 6.0)]
-    assert sources.broken(logs).count() == 1
+    assert [(r.file.endswith('bad_luowenbu_1.csv'), r.cells) for r in sources.broken(held).collect()] == [(True, 1)]
     files = rows.select("file_name").distinct()
     assert sorted(r.code for r in sources.with_materials(files, materials(spark)).collect()) == ["fanguangbu", "shawang", "tianerong"]
     assert sources.missing_materials(files, materials(spark)).count() == 5
@@ -206,10 +208,61 @@ def test_csv_scan(spark, tmp_path):
         sources.require_rows(rows.filter("i > 9"))
 
 
-def test_cached_dataset_and_log_sink(spark, tmp_path):
-    build = lambda: spark.range(3)
-    assert sources.cached_dataset(spark, str(tmp_path), "k", build).count() == 3
-    assert sources.cached_dataset(spark, str(tmp_path), "k", None).count() == 3
+def test_large_csv_is_read_in_splits(spark, tmp_path):
+    """Ordinals and header of a file that many tasks read, with blank lines and CRLF."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    text = [f"{k},{k * 2},{k % 7}" + ("\r\n\r\n" if k % 5 == 0 else "\r\n") for k in range(4000)]
+    (folder / "x_shawang_1.csv").write_bytes(("Y,X,Z\r\n" + "".join(text)).encode())
+    (folder / "empty.csv").write_bytes(b"")
+    (folder / "head.csv").write_bytes(b"X,Y,Z")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    assert spark.read.text(str(folder)).rdd.getNumPartitions() > 5
+    got = sources.decode(sources.cells(sources.scan_logs(spark, str(folder)))).orderBy("i").collect()
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [(r.i, r.X, r.Y, r.Z) for r in got] == [(k, 2.0 * k, float(k), float(k % 7)) for k in range(4000)]
+
+
+def test_cached_dataset_follows_its_files(spark, tmp_path):
+    source, folder = tmp_path / "in", str(tmp_path / "cache")
+    source.mkdir()
+    (source / "a.csv").write_text("1\n")
+    built = []
+
+    def build():
+        built.append(1)
+        return spark.read.text(str(source))
+
+    get = lambda **settings: sorted(r.value for r in sources.cached_dataset(spark, folder, str(source), settings, build).collect())
+    assert get(size=50) == ["1"] and get(size=50) == ["1"] and len(built) == 1
+    assert get(size=25) == ["1"] and len(built) == 2
+    (source / "a.csv").write_text("1\n2\n")
+    assert get(size=50) == ["1", "2"] and len(built) == 3
+    (source / "b.csv").write_text("3\n")
+    assert get(size=50) == ["1", "2", "3"] and get(size=50) == ["1", "2", "3"] and len(built) == 4
+
+
+def test_two_writers_of_a_cached_dataset(spark, tmp_path):
+    """Both build before either is done; one dataset is left, and both read it."""
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    source, folder = tmp_path / "in", tmp_path / "cache"
+    source.mkdir()
+    (source / "a.csv").write_text("1\n")
+    both = Barrier(2)
+
+    def build():
+        both.wait(60)
+        return spark.read.text(str(source))
+
+    with ThreadPoolExecutor(2) as pool:
+        found = [f.result() for f in [pool.submit(sources.cached_dataset, spark, str(folder), str(source), {}, build) for _ in range(2)]]
+    assert [[r.value for r in d.collect()] for d in found] == [["1"], ["1"]]
+    assert len([p for p in folder.iterdir() if p.is_dir()]) == 1
+
+
+def test_log_sink(spark, tmp_path):
     sources.write_log(spark.range(2), str(tmp_path / "log"), material="x", run="05")
     assert spark.read.option("header", True).csv(str(tmp_path / "log")).columns == ["id", "material", "run"]
 
@@ -276,17 +329,74 @@ def collect_stream(spark, df, name, mode, tmp_path):
     return spark.table(name).collect()
 
 
-def test_stateful_streams(spark, tmp_path):
+@pytest.fixture
+def rocksdb(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield
+    spark.conf.unset(key)
+
+
+def test_stateful_streams(spark, tmp_path, rocksdb):
     schema = "session string, seq long, v double"
     rows = [("s", i, float(i)) for i in range(120)]
     src = stream_of(spark, tmp_path, [rows[60:], rows[:60]], schema)
     kept = collect_stream(spark, streaming.retain(src, cap=50), "kept", "update", tmp_path)
-    assert (kept[-1].n, kept[-1].first_seq, kept[-1].last_seq) == (50, 70, 119)
+    assert (kept[-1].n, kept[-1].first_seq, kept[-1].last_seq, kept[-1].total) == (50, 70, 119, sum(range(70, 120)))
     cut = collect_stream(spark, streaming.stream_windows(src), "cut", "append", tmp_path)
     batch = win.assign_windows(spark.range(120).select(F.lit(1).alias("series"), F.col("id").alias("i"))).groupBy("win_start").agg(F.sum("i").alias("s"))
     assert {r.win_start: sum(r.vs) for r in cut} == {r.win_start: float(r.s) for r in batch.collect()}
 
 
+def test_live_range_from_lines_equals_batch(spark, tmp_path, rocksdb):
+    """Each tick's range is that of the batch operator over all lines so far, folded."""
+    folder = tmp_path / "ticks"
+    folder.mkdir()
+    rng, made, ticks = np.random.default_rng(3), [], (3, 4, 60, 90, 5)
+    for k, n in enumerate(ticks):
+        some = [(len(made) + j, " ".join(["5"] + [str(int(x)) for x in rng.normal(0, 900 if k == 3 else 60 * (k + 1), 16)])) for j in range(n)]
+        some[0] = (some[0][0], "# note" if k % 2 else some[0][1])
+        made += some
+        spark.createDataFrame([("s", i, v) for i, v in some], "session string, seq long, value string").coalesce(1).write.parquet(str(folder / str(k)))
+        time.sleep(0.01)
+    src = spark.readStream.schema("session string, seq long, value string").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(folder))
+    seen = []
+    q = streaming.live_range(src, last=80).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "c")).foreachBatch(lambda d, _: seen.extend(d.collect())).start()
+    q.processAllAvailable()
+    q.stop()
+    assert len(seen) == len(ticks)
+    current, upto = (-150.0, 150.0), 0
+    for r, n in zip(sorted(seen, key=lambda r: r.records), ticks):
+        upto += n
+        good = ingest.long_form(ingest.accepted(ingest.parse(lines(spark, [v for _, v in made[:upto]]))))
+        rows = good.groupBy(F.col("sensor").alias("series"), F.col("seq")).pivot("axis", ["X", "Y", "Z"]).agg(F.first("ut"))
+        wished = win.axis_range(win.ordinals(rows, "series", "seq"), 80).orderBy("series").collect()
+        current = streaming.fold_range(current, [(w.ymin, w.ymax, w.dmax - w.dmin, w.pad) for w in wished])
+        assert (r.ymin, r.ymax) == pytest.approx(current)
+        assert r.last_seq == upto - 1
+
+
+def test_back_off_takes_effect(spark, tmp_path):
+    """Over 300 points the poll goes from 50 to 500 ms; the query goes on from its checkpoint without a lost or repeated row."""
+    schema = "seq long"
+    for k in range(4):
+        spark.range(k * 100, k * 100 + 100).select(F.col("id").alias("seq")).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    source = lambda: spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    seen = []
+
+    def each(rows, _):
+        seen.extend(r.seq for r in rows.collect())
+        return len(seen)
+
+    live = streaming.LiveQuery(source, each, str(tmp_path / "c"), "append")
+    live.run(12)
+    spark.range(400, 450).select(F.col("id").alias("seq")).coalesce(1).write.parquet(str(tmp_path / "in/9"))
+    live = streaming.LiveQuery(source, each, str(tmp_path / "c"), "append")
+    live.run(6)
+    assert sorted(seen) == list(range(450))
+    assert live.intervals[-1] == "500 milliseconds" and not live.query.isActive
+
+
 def test_range_hysteresis():
     wish = lambda low, high: (low, high, high - low, 20.0)
     assert streaming.fold_range((-150.0, 150.0), [wish(-100, 100)]) == (-150.0, 150.0)
