@@ -57,7 +57,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import fit, predict
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (remainder(4) == 2).alias("held_out"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.coalesce(remainder(4) == 2, F.lit(False)).alias("held_out"))
     told = predict(docs.select("doc_id", "held_out", "text"), fit(docs.filter("not held_out")))
     return told.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
 

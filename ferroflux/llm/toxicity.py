@@ -2,9 +2,10 @@
 
 Voters are lexicon entries (words and word beginnings found in the labelled
 rows, and a fixed list of insults), patterns of writing, and the labels
-themselves, which may be wrong. The label model is a mixture of toxic and clean
-documents with an accuracy for each voter and its correlation with one voter
-before it, which EM and the rest within the classes estimate. A logistic regression over
+themselves, a voter like the others, which may be wrong. The label model is one likelihood:
+a document is toxic or clean, a voter votes or abstains by a law of its own for each, and a voter
+that leans on another one repeats its vote with some probability. EM estimates the share of toxic
+documents, all laws, and so the accuracies, and all these correlations together. A logistic regression over
 words and word beginnings is trained on the posterior labels. Only the training
 rows are sampled, up to ``sample`` of them; every document is scored whole.
 """
@@ -58,19 +59,29 @@ def pattern_votes(text: str | None) -> list[int]:
 
 @dataclass
 class LabelModel:
-    """Prior, accuracy of each voter, and for each voter one before it and their correlation."""
+    """Share of toxic, each voter's law P(vote | class) over -1, 0, 1, the voter it leans on (-1: none) and how often it repeats what that one does, abstaining too."""
 
     prior: float
-    accuracy: np.ndarray
+    law: np.ndarray  # (voter, class, vote + 1)
     parents: np.ndarray
     correlation: np.ndarray
 
+    @property
+    def accuracy(self) -> np.ndarray:
+        """Of the votes that each voter casts by itself, the share that is right."""
+        cast = self.law[:, :, [0, 2]] * np.array([1 - self.prior, self.prior])[None, :, None]
+        return (cast[:, 0, 0] + cast[:, 1, 1]) / cast.sum(axis=(1, 2))
+
+    def terms(self, votes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, voter, class): the likelihood of each vote, and how likely it is a repeated one."""
+        own = self.law[np.arange(votes.shape[1])[None, :, None], np.arange(2)[None, None, :], votes[:, :, None] + 1]
+        repeats = self.correlation * (votes == votes[:, self.parents])  # 0 for voters that lean on none
+        whole = repeats[:, :, None] + (1 - self.correlation)[None, :, None] * own
+        return whole, repeats[:, :, None] / whole
+
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        """P(toxic): a vote counts its accuracy's log odds; abstaining says nothing, and what
-        repeats a correlated voter's vote counts less by their correlation."""
-        repeats = (votes != 0) & (votes == votes[:, self.parents])
-        weight = np.log(self.accuracy / (1 - self.accuracy)) * (1 - self.correlation * repeats)
-        z = np.log(self.prior / (1 - self.prior)) + (votes * weight).sum(axis=1)
+        """P(toxic) of each row of votes."""
+        z = np.log(self.terms(votes)[0]).sum(axis=1) @ np.array([-1.0, 1.0]) + np.log(self.prior / (1 - self.prior))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -93,30 +104,45 @@ def cover(x: np.ndarray, toxic: np.ndarray, most: int) -> list[int]:
     return out
 
 
-def fit_labels(votes: np.ndarray, start: np.ndarray, rounds: int = 20, trust: float = 0.5) -> LabelModel:
-    """EM over ``votes`` (rows, voters) in -1, 0, 1 from the ``start`` of the posterior.
+#: Votes -1, 0, 1 that every voter is taken to have given in each class before any is seen: more right than wrong ones.
+_BEFORE = np.array([[1.5, 1.0, 0.5], [0.5, 1.0, 1.5]])
+
 
-    Each voter may lean on the one before it with which it correlates most within
-    the classes. Voter 0 is the label: a prior of ``trust`` votes per row says
-    that it is right 98 times in 100.
+def fit_labels(votes: np.ndarray, rounds: int = 30) -> LabelModel:
+    """EM over ``votes`` (rows, voters) in -1, 0, 1, from the majority of each row's votes.
+
+    First without correlations; then each voter may lean on the one before it whose votes it repeats
+    beyond what the classes explain, if that gains more likelihood than a further parameter
+    costs (Schwarz), and all parameters are estimated anew together.
     """
     n, voters = votes.shape
-    p, parents, correlation = start, np.zeros(voters, np.int64), np.zeros(voters)
+    each = [votes == v for v in (-1, 0, 1)]
+    p = np.clip(0.5 + 0.2 * votes.sum(axis=1), 0.1, 0.9)
+    model = LabelModel(0.5, np.tile(_BEFORE / _BEFORE.sum(axis=1, keepdims=True), (voters, 1, 1)), np.full(voters, -1), np.zeros(voters))
     for phase in range(2):
         for _ in range(rounds):
-            right = (votes == 1).T @ p + (votes == -1).T @ (1 - p) + 0.8
-            cast = (votes != 0).sum(axis=0) + 1.0
-            right[0], cast[0] = right[0] + 0.98 * trust * n, cast[0] + trust * n
-            model = LabelModel(float((p.sum() + 1) / (n + 2)), np.clip(right / cast, 0.02, 0.99), parents, correlation)
+            both = np.stack((1 - p, p), axis=1)
+            repeated = model.terms(votes)[1]
+            alone = both[:, None, :] * (1 - repeated)
+            law = np.stack([(alone * x[:, :, None]).sum(axis=0) for x in each], axis=2) + _BEFORE[None]
+            correlation = ((both[:, None, :] * repeated).sum(axis=(0, 2)) + 0.1) / (n + 1.0)
+            model = LabelModel(float((p.sum() + 1) / (n + 2)), law / law.sum(axis=2, keepdims=True), model.parents, np.where(model.parents >= 0, np.clip(correlation, 0.0, 0.98), 0.0))
             p = model.posterior(votes)
         if phase == 0:
-            mean = [np.average(votes, axis=0, weights=w + 1e-9) for w in (1 - p, p)]
-            rest = votes - np.where(p[:, None] > 0.5, mean[1], mean[0])
-            scale = np.sqrt((rest**2).sum(axis=0)) + 1e-9
-            corr = np.clip(rest.T @ rest / scale / scale[:, None], 0, 1)
-            parents = np.array([0, 0, *(1 + np.argmax(corr[j, 1:j]) for j in range(2, voters))])[:voters]
-            correlation = corr[np.arange(voters), parents]
-            correlation[:2] = 0
+            share, law = np.array([(1 - p).sum(), p.sum()]), model.law
+            parents, start = np.full(voters, -1), np.zeros(voters)
+            for j in range(1, voters):
+                # Of the rows in which either voter casts a vote, the part in which both cast the same one, and what the classes let expect.
+                size = ((votes[:, :j] != 0) | (votes[:, [j]] != 0)).sum(axis=0)
+                same = ((votes[:, :j] != 0) & (votes[:, :j] == votes[:, [j]])).sum(axis=0) / np.maximum(size, 1)
+                alike = ((law[:j] * law[j])[:, :, [0, 2]].sum(axis=2) * share).sum(axis=1)
+                expected = alike / ((1 - law[:j, :, 1] * law[j, :, 1]) * share).sum(axis=1)
+                same, expected = np.clip(same, 1e-6, 1 - 1e-6), np.clip(expected, 1e-6, 1 - 1e-6)
+                gain = np.where(same > expected, size * (same * np.log(same / expected) + (1 - same) * np.log((1 - same) / (1 - expected))), 0.0)
+                best = int(np.argmax(gain))
+                if gain[best] > np.log(max(2, n)):
+                    parents[j], start[j] = best, min(0.9, (same[best] - expected[best]) / (1 - expected[best]))
+            model = LabelModel(model.prior, model.law, parents, start)
     return model
 
 
@@ -150,8 +176,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_features: in
     """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic).
 
     Labels that are null or neither 0 nor 1 don't count; of several labels of a
-    document the largest does. Without labels of both classes all documents get
-    the share of toxic labels, or 0, as their score.
+    document the largest does. Rows that repeat a doc_id are each learned from, with its
+    label; those of a null one have none. Null and empty texts vote clean. Equal
+    hashes and strengths go by doc_id and feature. Without labels of both classes, an empty table
+    among them, all documents get the share of toxic labels, or 0, as their score.
+    Other columns, whatever their names, are not read. ``n_features`` and ``n_voters`` set the
+    size of the model, not what is read: every feature of the sample is counted.
     """
     told = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = told.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # bounded, thus broadcast
@@ -199,17 +229,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_features: in
     lexicon = cover(x, got["toxic"].to_numpy() == 1, n_voters)
     found = x[:, lexicon].astype(np.int64)
     fixed = np.array(got["votes"].tolist(), np.int64)
-    nothing = np.where((found.sum(axis=1) + (fixed > 0).sum(axis=1)) == 0, -1, 0)[:, None]
     label = np.where(got["toxic"] == 1, 1, -1)[:, None]
-    votes = np.concatenate((label, nothing, fixed, found), axis=1)
-    model = fit_labels(votes, np.where(got["toxic"] == 1, 0.9, 0.1))
+    votes = np.concatenate((label, fixed, found), axis=1)
+    model = fit_labels(votes)
     weights, bias = logistic(x, model.posterior(votes).astype(np.float32))
-    voters = ["label", "nothing found", "insult", "insults", "insult and address", "shouting", "exclamation", "no words"] + [names[i] for i in lexicon]
+    voters = ["label", "insult", "insults", "insult and address", "shouting", "exclamation", "no words"] + [names[i] for i in lexicon]
     return Model({f: float(w) for f, w in zip(names, weights)}, bias, voters, model.accuracy.tolist(), model.parents.tolist())
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Add ``score``, the probability of toxic, to every row; null and empty texts get the bias alone."""
+    """Add ``score``, the probability of toxic, to every row; null and empty texts get the bias alone.
+
+    Every row is scored by its own whole text, whatever its doc_id; a column named score is
+    replaced, others stay. An empty table gives none.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
 
     def tell(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
