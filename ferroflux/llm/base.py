@@ -8,57 +8,25 @@ from __future__ import annotations
 
 import gc
 import sys
-import tempfile
 import types
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-_WRITTEN: list[str] = []
-#: Text is handled in slices of about this many bytes, which bounds a worker's arrays.
-CHUNK = 1 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, spark.checkpoint.dir; where it is unset, a temporary one in local mode only."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        path = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/ferroflux-{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
-    return path
+from ..store import clear, materialize, remove, scratch, shared_dir
 
+__all__ = ["clear", "materialize", "scratch", "shared_dir"]
 
-def clear(spark: SparkSession) -> None:
-    """Remove all scratch tables of this process; frames that were made from them can't be read afterwards."""
-    while _WRITTEN:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back (cuts lineage)."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Text is handled in slices of about this many bytes, which bounds a worker's arrays.
+CHUNK = 1 << 20
 
 
 def forget(df: DataFrame) -> None:
     """Remove a stored table that nothing reads any more."""
     spark = df.sparkSession
     for path in {f.rpartition("/")[0] for f in df.inputFiles()[:1]}:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        remove(spark, path)
 
 
 def squeezed(values: np.ndarray) -> bytes:

@@ -56,15 +56,19 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).withColumn("mark", F.xxhash64("text"))
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2, bands): h1 and h2 name the set, bands its buckets.
+    """(doc_id, mark, n_shingles, h1, h2, bands): mark names the text, h1 and h2 the set, bands its buckets.
 
     Null and wordless texts have n_shingles 0 and no bands.
     """
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in runs(batches):
-            rows, ids = [], pdf["doc_id"].tolist()
+            rows, ids, marks = [], pdf["doc_id"].tolist(), pdf["mark"].tolist()
             for first, words, bounds in doc_words(texts_of(pdf["text"])):
                 for k in range(len(bounds) - 1):
                     s = shingle_set(words[bounds[k] : bounds[k + 1]])
@@ -72,15 +76,14 @@ def signatures(docs: DataFrame) -> DataFrame:
                         name = [int(mix64(s ^ np.uint64(x)).sum(dtype=np.uint64).astype(np.int64)) for x in (1, 2)]
                         sig = signature(s).reshape(BANDS, ROWS).astype(np.uint64)
                         band = mix64((sig[:, 0] << np.uint64(32) | sig[:, 1]) * np.uint64(0x9E3779B97F4A7C15) + (sig[:, 2] << np.uint64(32) | sig[:, 3]))
-                        rows.append((ids[first + k], len(s), *name, band.view(np.int64)))
+                        rows.append((ids[first + k], marks[first + k], len(s), *name, band.view(np.int64)))
                     else:
-                        rows.append((ids[first + k], 0, 0, 0, []))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "h1", "h2", "bands"])
+                        rows.append((ids[first + k], marks[first + k], 0, 0, 0, []))
+            out = pd.DataFrame(rows, columns=["doc_id", "mark", "n_shingles", "h1", "h2", "bands"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInPandas(sign, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>")
+    return _texts(docs).mapInPandas(sign, "doc_id long, mark long, n_shingles long, h1 long, h2 long, bands array<long>")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -197,14 +200,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
 
     Documents without words, null texts among them, link with nothing. Rows with
-    null doc_id have a null component and are kept. Rows that repeat a doc_id with
-    other words count as one document for links. Ties go to the smaller doc_id. Other
+    null doc_id have a null component and are kept. Of rows that repeat a doc_id with
+    other words, each is in the class of its own set; for links the doc_id, where it is its
+    class's smallest, stands for the one set whose hashed name is smallest. Ties go to the smaller doc_id. Other
     columns, whatever their names, are not read; an empty table gives no rows.
     """
     sets = materialize(signatures(docs), "signatures")
     named = sets.filter("n_shingles > 0 and doc_id is not null")
     classes = named.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    heads = named.join(classes.select(F.col("rep").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi").dropDuplicates(["doc_id"])
+    heads = named.join(classes.select(F.col("rep").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi")
+    # A doc_id that several rows have stands for the set of the smallest name.
+    heads = heads.groupBy("doc_id").agg(F.min(F.struct("h1", "h2", "mark", "bands")).alias("one")).select("doc_id", "one.mark", "one.bands")
+    heads = materialize(heads, "heads")
     buckets = heads.select("doc_id", F.posexplode("bands").alias("band", "value"))
     shared = materialize(buckets.groupBy("band", "value").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
     members = materialize(buckets.join(shared, ["band", "value"]), "members")
@@ -213,8 +220,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = members.join(central, "doc_id").withColumn("rank", F.struct("weight", (-F.col("doc_id")).alias("neg")))
     hubs = materialize(members.groupBy("band", "value").agg(F.max("rank").alias("hub")), "hubs")
     members = materialize(members.join(hubs, ["band", "value"]).select("band", "value", "doc_id", (-F.col("hub.neg")).alias("hub"), F.col("hub")["weight"].alias("weight")), "members")
-    near = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    texts = materialize(near.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
+    wanted = heads.select("doc_id", "mark").join(members.select("doc_id").distinct(), "doc_id", "left_semi")
+    texts = materialize(_texts(docs).join(wanted, ["doc_id", "mark"], "left_semi").select("doc_id", "text"), "texts")
 
     others = members.filter("doc_id <> hub")
     first = others.groupBy(F.col("doc_id").alias("a")).agg(F.max(F.struct("weight", (-F.col("hub")).alias("neg"))).alias("best"))

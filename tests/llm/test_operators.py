@@ -81,6 +81,20 @@ def test_near_duplicates_odd_rows(spark):
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_repeated_ids_with_other_words_are_defined(spark):
+    """Whatever the order of rows, the same rows come out, and every row meets the copies of its own text."""
+    a, b = prose(40, 1, 900), prose(40, 2, 900)
+    docs = [(5, a), (5, b), (6, a), (7, b), (8, a + " tail"), (9, b + " tail")]
+    told = set()
+    for k in range(4):
+        random.Random(k).shuffle(docs)
+        rows = minhash.near_duplicates(frame(spark, docs).repartition(k + 1)).collect()
+        told.add(tuple(sorted(tuple(r) for r in rows)))
+    assert len(told) == 1
+    found = {r[0]: r[2] for r in told.pop()}
+    assert found[6] == found[7] == 5 and {found[8], found[9]} in ({5, 8}, {5, 9}, {5})
+
+
 def test_words_of_one_pattern_and_its_complement_differ():
     from ferroflux.llm.base import space_table, word_spans
 
