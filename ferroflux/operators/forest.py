@@ -225,12 +225,13 @@ def _level(train: DataFrame, one: Forest, new: np.ndarray, level: int, sizes: tu
     classes, m, bins = sizes
     columns, trees, total = len(one.columns), one.trees, len(one.root)
     cells = m * bins * classes
-    sent = context.broadcast((one, new))
+    sent = context.broadcast((vars(one), new))  # plain values, as workers may not have this module on their path
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        forest, border = sent.value
+        told, border = sent.value
+        forest = Forest(**told)
         place = np.full(len(forest.feature), -1, np.int64)
         place[border] = np.arange(len(border))
         features = chosen_features(border, columns, seed)
@@ -261,8 +262,8 @@ def _level(train: DataFrame, one: Forest, new: np.ndarray, level: int, sizes: tu
                         size = len(held[0][0])
         keys, weights, rows = _added(*held)
         cuts = np.searchsorted(keys, np.arange(0, len(border) + CHUNK, CHUNK) * cells)
-        told = [(c, TaskContext.get().partitionId(), keys[i:j].tobytes(), weights[i:j].tobytes(), rows[i:j].tobytes()) for c, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
-        yield pd.DataFrame(told, columns=["chunk", "part", "keys", "weights", "rows"])
+        out = [(c, TaskContext.get().partitionId(), keys[i:j].tobytes(), weights[i:j].tobytes(), rows[i:j].tobytes()) for c, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
+        yield pd.DataFrame(out, columns=["chunk", "part", "keys", "weights", "rows"])
 
     def merged(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return _added(*[[np.frombuffer(b, np.int64) for b in pdf[c]] for c in ("keys", "weights", "rows")])

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .forest import DEPTH, LEAF, SEED, SPLIT, TREES, Forest, bin_edges, grow, path_tables, shap, store_bins
+from .forest import DEPTH, LEAF, SEED, SPLIT, TREES, Forest, Paths, bin_edges, grow, path_tables, shap, store_bins
 from .prep import fit_scaler, label_codes, scaled, varying
 from .scan import numbered
 from .windows import segments
@@ -29,13 +29,13 @@ def fit_forest(rows: DataFrame, columns: list[str], label: str = "label", trees:
 
 def predict(model: Forest, rows: DataFrame, label: str = "label") -> DataFrame:
     """Add prediction (the label's text) and probability (one number per label in sorted order)."""
-    sent = rows.sparkSession.sparkContext.broadcast(model)  # its size is set by the forest's parameters
+    sent = rows.sparkSession.sparkContext.broadcast(vars(model))  # its size is set by the forest's parameters
 
     @F.pandas_udf("array<double>")
     def told(x: pd.Series) -> pd.Series:
         if not len(x):
             return pd.Series([], dtype=object)
-        held = sent.value
+        held = Forest(**sent.value)
         return pd.Series(list(held.probabilities(held.binned(np.array(x.tolist(), float)))))
 
     names = F.array(*[F.lit(x) for x in model.labels])
@@ -79,10 +79,10 @@ def learning_curve(rows: DataFrame, columns: list[str], key: str, label: str = "
     mine = lambda k: (k % folds != F.col("_fold")) & (F.col("_j") < F.greatest(F.lit(1), F.round(F.col("_n") * (F.floor(k / folds) + 1) / sizes)))
     stored = store_bins(dealt, columns, edges, labels, label, F.filter(every, mine), ["_fold"])
     model = grow(stored, labels, columns, edges, fits=sizes * folds, trees=trees, depth=depth)
-    sent = rows.sparkSession.sparkContext.broadcast(model)
+    sent = rows.sparkSession.sparkContext.broadcast(vars(model))
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        forest = sent.value
+        forest = Forest(**sent.value)
         for pdf in batches:
             x = np.frombuffer(b"".join(pdf["bins"]), np.uint8).reshape(len(pdf), -1)
             code, fold = pdf["code"].to_numpy(), pdf["_fold"].to_numpy()
@@ -136,11 +136,12 @@ def fit_bundle(rows: DataFrame, columns: list[str], label: str = "label", **opti
 
 def shap_values(model: Forest, rows: DataFrame, key: str) -> DataFrame:
     """(key, class, feature, shap) of each row: what each feature adds to each class's probability."""
-    sent = rows.sparkSession.sparkContext.broadcast((model.labels, model.columns, path_tables(model)))
+    sent = rows.sparkSession.sparkContext.broadcast((model.labels, model.columns, vars(path_tables(model))))
     stored = store_bins(rows.withColumn("_none", F.lit(None).cast("string")), model.columns, model.edges, model.labels, "_none", keep=[key])
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        labels, columns, paths = sent.value
+        labels, columns, told = sent.value
+        paths = Paths(**told)
         for pdf in batches:
             for at in range(0, len(pdf), 128):
                 part = pdf.iloc[at : at + 128]
