@@ -17,9 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.scan import numbered
 from .base import cached, doc_words, materialize, mix64, ngram_hashes, runs, texts_of
 
 SHINGLE = 5
@@ -147,53 +148,63 @@ def _opened(members: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(named.join(several.select("band", "value"), ["band", "value"]), "open")
 
 
+def bitmap(shingles: np.ndarray) -> bytes:
+    """Bits that flip with each shingle, a power of two of at least half as many as there are: they differ in no more places than the sets."""
+    width = max(64, 1 << max(0, (len(shingles) - 1).bit_length() - 1))
+    flips = np.bincount((mix64(shingles) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(flips.astype(np.uint8)).tobytes()
+
+
+def _folded(bits: bytes, size: int) -> np.ndarray:
+    """A bitmap of ``size`` bytes: the parts of a wider one flip each other."""
+    return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint8).reshape(-1, size), axis=0)
+
+
 def _crossing(x: list, y: list) -> list[tuple[int, int]]:
-    """Links between members (doc_id, component, set) of two blocks, across components."""
-    sets = [np.frombuffer(m["shingles"], np.uint64) for m in (*x, *y)]
-    sizes = np.array([len(s) for s in sets])
-    _, at = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    common = np.zeros((len(x), len(y)), dtype=np.float32)
-    for lo in range(0, int(at.max(initial=-1)) + 1, 1 << 14):  # bounded slices of the vocabulary
-        here = (at >= lo) & (at < lo + (1 << 14))
-        held = np.zeros((len(sets), 1 << 14), dtype=np.float32)
-        held[owner[here], at[here] - lo] = 1
-        common += held[: len(x)] @ held[len(x) :].T
-    union = sizes[: len(x), None] + sizes[None, len(x) :] - common
-    comp = np.array([m["component"] for m in (*x, *y)])
-    hits = (DEN * common >= NUM * union) & (comp[: len(x), None] != comp[None, len(x) :])
-    return [(x[i]["doc_id"], y[j]["doc_id"]) for i, j in zip(*np.nonzero(hits))]
+    """Pairs of members (doc_id, component, n, bits) of two blocks, across components, that sizes and bitmaps don't exclude."""
+    size = min(len(m["bits"]) for m in (*x, *y))
+    bits = np.array([_folded(m["bits"], size) for m in (*x, *y)]).view(np.uint64)
+    n, comp = (np.array([m[c] for m in (*x, *y)], dtype=np.int64) for c in ("n", "component"))
+    out, k = [], len(x)
+    for i in range(k):
+        both = n[k:] + n[i]
+        apart = np.bitwise_count(bits[k:] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        hit = (comp[k:] != comp[i]) & (DEN * np.minimum(n[k:], n[i]) >= NUM * np.maximum(n[k:], n[i])) & ((DEN + NUM) * ((both - apart) // 2) >= NUM * both)
+        out += [(x[i]["doc_id"], y[j]["doc_id"]) for j in np.flatnonzero(hit)]
+    return out
 
 
 def _rest(opened: DataFrame, texts: DataFrame) -> DataFrame:
     """Links between components within buckets, pair by pair in blocks.
 
     A bucket's members are cut into blocks in order of component, and blocks
-    that hold one and the same component don't meet.
+    that hold one and the same component don't meet. Blocks hold bitmaps, not sets; the
+    pairs that these don't exclude, each once, are confirmed on the full sets.
     """
 
-    def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def bitmaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in runs(batches):
             sets = []
             for _, words, bounds in doc_words(texts_of(pdf["text"])):
-                sets += [shingle_set(words[a:b]).tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "shingles": sets})
+                sets += [shingle_set(words[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": [len(s) for s in sets], "bits": [bitmap(s) for s in sets]})
 
     wanted = texts.join(opened.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = wanted.mapInPandas(shingles, "doc_id long, shingles binary")
-    order = Window.partitionBy("band", "value").orderBy("component", "doc_id")
-    ranked = opened.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK)).join(sets, "doc_id")
-    blocks = ranked.groupBy("band", "value", "block").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.collect_list(F.struct("doc_id", "component", "shingles")).alias("m"))
+    sets = materialize(wanted.mapInPandas(bitmaps, "doc_id long, n long, bits binary"), "bitmaps")
+    placed = numbered(opened.select("band", "value", "doc_id", "component"), ["band", "value"], ["component", "doc_id"], "place")
+    ranked = placed.withColumn("block", F.floor(F.col("place") / BLOCK)).join(sets, "doc_id")
+    blocks = ranked.groupBy("band", "value", "block").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.collect_list(F.struct("doc_id", "component", "n", "bits")).alias("m"))
     blocks = materialize(blocks, "blocks")
     x, y = (blocks.select("band", "value", *[F.col(c).alias(f"{c}_{s}") for c in ("block", "low", "high", "m")]) for s in "xy")
     pairs = x.join(y, ["band", "value"]).filter("block_x <= block_y and (low_x <> high_y or high_x <> low_y)")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = {hit for x, y in zip(pdf["m_x"], pdf["m_y"]) for hit in _crossing(x, y)}
+            found = {(min(hit), max(hit)) for x, y in zip(pdf["m_x"], pdf["m_y"]) for hit in _crossing(x, y)}
             yield pd.DataFrame(list(found), columns=["a", "b"], dtype="int64")
 
-    return pairs.select("m_x", "m_y").mapInPandas(search, "a long, b long")
+    near = materialize(pairs.select("m_x", "m_y").mapInPandas(search, "a long, b long").distinct(), "near")
+    return confirm(near, texts)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -81,6 +81,21 @@ def test_near_duplicates_odd_rows(spark):
     assert minhash.near_duplicates(frame(spark, [])).count() == 0
 
 
+def test_blocks_lose_no_link_across_components():
+    """Bitmaps of any widths leave every linking pair of two blocks, and few others."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for g in range(12):
+        base = rng.integers(0, 1 << 63, rng.integers(5, 700)).astype(np.uint64)
+        for _ in range(6):
+            s = np.unique(np.concatenate((base[rng.random(len(base)) < rng.choice([1.0, 0.95, 0.9])], rng.integers(0, 1 << 63, rng.integers(0, 1 + len(base) // 9)).astype(np.uint64))))
+            rows.append({"doc_id": len(rows), "component": len(rows) % 3, "n": len(s), "bits": minhash.bitmap(s), "s": s})
+    x, y = rows[::2], rows[1::2]
+    told = set(minhash._crossing(x, y))
+    true = {(a["doc_id"], b["doc_id"]) for a in x for b in y if a["component"] != b["component"] and minhash.linked(a["s"], b["s"])}
+    assert len(true) > 30 and true <= told and len(told) < 3 * len(true)
+
+
 def test_repeated_ids_with_other_words_are_defined(spark):
     """Whatever the order of rows, the same rows come out, and every row meets the copies of its own text."""
     a, b = prose(40, 1, 900), prose(40, 2, 900)
