@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import strict_double
 from ..schema import AXES, LSB_TO_UT, SENSORS
+from .scan import prefix_scan
 
 
 def check_sensor(sensor: int | None) -> None:
@@ -89,5 +90,5 @@ def elapsed(records: DataFrame, session: str = "session") -> DataFrame:
 def device_state(commands: DataFrame, session: str = "session", seq: str = "seq") -> DataFrame:
     """Add ``streaming`` to the lines that a host sends: whether the device streams after the line, which g switches on and s off."""
     word = F.trim("value")
-    last = F.max(F.when(word.isin("g", "s"), F.struct(F.col(seq), word.alias("word")))).over(Window.partitionBy(session).orderBy(seq))
-    return commands.withColumn("streaming", F.coalesce(last["word"] == "g", F.lit(False)))
+    told = prefix_scan(commands, [session], [seq], _switch=("last", F.when(word.isin("g", "s"), word)))
+    return told.withColumn("streaming", F.coalesce(F.col("_switch") == "g", F.lit(False))).drop("_switch")
