@@ -1,15 +1,17 @@
-"""Random forests grown level by level from histograms that Spark's tasks sum up.
+"""Random forests grown from histograms at the top and within tasks below.
 
-Columns are cut into bins once and rows stored as bytes. A level is one pass over
-those rows: each task sends its rows down the trees grown so far, counts (node,
-feature, bin, class) of the nodes at the border, and the counts are added up by
-chunks of nodes, in which the best splits are searched. Only the splits, whose
-number the forest's parameters bound, come to the driver. Several fits on parts of the
-same rows, such as folds, grow side by side in the same passes.
+Columns are cut into bins once and rows stored as bytes. Nodes of more than ``LOCAL`` rows are
+split level by level: each task sends its rows down the trees grown so far, counts (node,
+feature, bin, class) of the nodes at the border, hands on what it has counted whenever that
+is much, and the counts are added up by chunks of nodes, in which the best splits are
+searched. Then each drawn row moves once to its small node, groups of which are bounded
+by ``LOCAL``, and a task grows all that is below. Several fits on parts of the same rows,
+such as folds, grow side by side.
 
 A node is split only if it holds at least ``split`` rows; each side keeps at least
-``leaf``. Rows are drawn for a tree with Poisson weights from a hash of their
-features, so results don't depend on how rows lie in partitions.
+``leaf``. Rows are drawn for a tree with Poisson weights from a hash of their features, and
+a node's features by a hash of its place in the tree, so results don't depend on how
+rows lie in partitions or where the border between large and small nodes is.
 """
 
 from __future__ import annotations
@@ -25,8 +27,10 @@ from pyspark.sql import functions as F
 from ..store import materialize
 
 TREES, DEPTH, LEAF, SPLIT, SEED, BINS = 200, 12, 2, 5, 42, 64
-#: Nodes whose histograms one task searches, parts of a histogram that are added up at once, (row, tree) pairs held at once.
-CHUNK, PARTS, CELLS = 256, 64, 1 << 18
+#: Nodes whose histograms are searched at once, counts and (row, tree) pairs that a task holds at once.
+CHUNK, COUNTS, CELLS = 16, 1 << 20, 1 << 18
+#: Rows of a node whose whole subtree one task grows, and of a group of such nodes but for its last one.
+LOCAL = 1 << 15
 #: Weights above this many draws don't occur; the law is Poisson's with mean 1.
 _DRAWS = np.cumsum(np.exp(-1.0) / np.cumprod(np.concatenate(([1.0], np.arange(1.0, 8.0)))))
 
@@ -91,9 +95,9 @@ class Forest:
         """Class shares of each node."""
         return self.counts / np.maximum(self.counts.sum(axis=1, keepdims=True), 1e-300)
 
-    def probabilities(self, x: np.ndarray, fit: int = 0) -> np.ndarray:
-        """Mean class shares of the leaves that rows of bins reach."""
-        shares, out = self.shares(), np.zeros((len(x), len(self.labels)))
+    def probabilities(self, x: np.ndarray, fit: int = 0, shares: np.ndarray | None = None) -> np.ndarray:
+        """Mean class shares of the leaves that rows of bins reach; ``shares``, if they are at hand, spare their division."""
+        shares, out = self.shares() if shares is None else shares, np.zeros((len(x), len(self.labels)))
         step = max(1, CELLS // max(1, len(x)))
         for t in range(fit * self.trees, (fit + 1) * self.trees, step):
             out += shares[self.descend(x, slice(t, min(t + step, (fit + 1) * self.trees)))].sum(axis=1)
@@ -130,8 +134,8 @@ class Forest:
     def load(cls, spark: SparkSession, path: str) -> Forest:
         n = spark.read.parquet(f"{path}/nodes").toPandas().sort_values("node")
         m = spark.read.parquet(f"{path}/meta").first()
-        arrays = [n[c].to_numpy(np.int64) for c in ("feature", "cut", "left", "right")]
-        return cls(list(m["labels"]), list(m["columns"]), [np.array(e) for e in m["edges"]], m["trees"], np.array(m["root"]), *arrays, np.array(n["counts"].tolist()).reshape(len(n), -1), n["rows"].to_numpy(np.int64))
+        arrays = [n[c].to_numpy(kind) for c, kind in (("feature", np.int16), ("cut", np.uint8), ("left", np.int32), ("right", np.int32))]
+        return cls(list(m["labels"]), list(m["columns"]), [np.array(e) for e in m["edges"]], m["trees"], np.array(m["root"]), *arrays, np.array(n["counts"].tolist()).reshape(len(n), -1), n["rows"].to_numpy(np.int32))
 
 
 def binned(values: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
@@ -185,139 +189,313 @@ def _added(keys: list[np.ndarray], weights: list[np.ndarray], rows: list[np.ndar
     return flat[first], add(weights), add(rows)
 
 
-def grow(stored: DataFrame, labels: list[str], columns: list[str], edges: list[np.ndarray], fits: int = 1, trees: int = TREES, depth: int = DEPTH, leaf: int = LEAF, split: int = SPLIT, seed: int = SEED) -> Forest:
+def below(ids: np.ndarray, side: int) -> np.ndarray:
+    """Names of the left (0) or right (1) children of nodes: the tree in the lowest 20 bits, then the place in it, a root's being 0."""
+    low = np.uint64((1 << 20) - 1)
+    return ((ids >> np.uint64(20)) * np.uint64(2) + np.uint64(1 + side)) << np.uint64(20) | (ids & low)
+
+
+def _drawn(batches: Iterator[pd.DataFrame], fits: int, trees: int, seed: int) -> Iterator[tuple]:
+    """(bins, labels' places, trees, weights of (row, tree)) of runs of rows and trees."""
+    total = fits * trees
+    for pdf in batches:
+        for lo in range(0, len(pdf), 4096):
+            part = pdf.iloc[lo : lo + 4096]
+            x, code, h = _matrix(part), part["code"].to_numpy(np.int64), part["h"].to_numpy(np.int64)
+            within = np.zeros((len(part), fits), bool)
+            for k, f in enumerate(part["fits"]):
+                within[k, np.asarray(f, np.int64)] = True
+            step = max(1, CELLS // len(part))
+            for t in range(0, total, step):
+                some = np.arange(t, min(t + step, total))
+                yield x, code, some, draws(h, some, seed) * within[:, some // trees]
+
+
+@dataclass
+class Grown:
+    """Forests of several fits: the nodes above ``LOCAL`` rows, and the subtrees below them as rows of Spark.
+
+    ``subtrees`` has (grp, fit, sizes, feature, cut, left, counts, rows, tree, gain): packed arrays of the nodes of a
+    group, its roots, ``members``, first, and for each of its trees what its splits gain by feature.
+    """
+
+    top: Forest
+    gains: np.ndarray  # (tree, feature) of the splits in ``top``
+    members: list[np.ndarray]
+    subtrees: DataFrame
+
+    def stored(self) -> Grown:
+        return Grown(self.top, self.gains, self.members, materialize(self.subtrees, "subtrees"))
+
+    def forest(self, first: int = 0, last: int | None = None) -> Forest:
+        """The fits ``first`` to ``last`` as arrays, whose size the forest's parameters bound."""
+        top = self.top
+        last = top.fits if last is None else last
+        found = self.subtrees.filter(F.col("fit").between(first, last - 1)).select("grp", "feature", "cut", "left", "counts", "rows").toArrow().to_pandas().sort_values("grp")
+        arrays = {c: [getattr(top, c).copy()] for c in ("feature", "cut", "left", "counts", "rows")}
+        kinds = {"feature": np.int16, "cut": np.uint8, "left": np.int32, "counts": np.int32, "rows": np.int32}
+        size = len(top.feature)
+        for r in found.itertuples():
+            roots = self.members[r.grp]
+            for c, kind in kinds.items():
+                part = np.frombuffer(getattr(r, c), kind)
+                if c == "counts":
+                    part = part.reshape(-1, len(top.labels))
+                elif c == "left":  # children are no roots, so they all move alike
+                    part = np.where(part >= 0, part + (size - len(roots)), -1)
+                arrays[c][0][roots] = part[: len(roots)]
+                arrays[c].append(part[len(roots) :].astype(arrays[c][0].dtype))
+            size += len(part) - len(roots)
+        whole = {c: np.concatenate(parts) for c, parts in arrays.items()}
+        left = whole["left"]
+        return Forest(top.labels, top.columns, top.edges, top.trees, top.root[first * top.trees : last * top.trees].copy(), whole["feature"], whole["cut"], left, np.where(left >= 0, left + 1, -1), whole["counts"], whole["rows"])
+
+    def importances(self) -> np.ndarray:
+        """(fit, feature): see Forest.importances; the subtrees' nodes stay with the tasks that grew them."""
+        trees, total = self.top.trees, self.gains.copy()
+        parts = self.subtrees.select(F.explode(F.arrays_zip("tree", "gain")).alias("x")).select("x.tree", F.posexplode("x.gain").alias("at", "gain"))
+        for tree, at, gain in parts.groupBy("tree", "at").agg(F.sum("gain")).toArrow().to_pandas().itertuples(index=False):
+            total[tree, at] += gain
+        over = total.sum(axis=1, keepdims=True)
+        each = (total / np.where(over > 0, over, 1.0)).reshape(-1, trees, total.shape[1]).sum(axis=1)
+        over = each.sum(axis=1, keepdims=True)
+        return each / np.where(over > 0, over, 1.0)
+
+
+def grow(stored: DataFrame, labels: list[str], columns: list[str], edges: list[np.ndarray], fits: int = 1, trees: int = TREES, depth: int = DEPTH, leaf: int = LEAF, split: int = SPLIT, seed: int = SEED) -> Grown:
     """Forests of ``fits`` parts of the rows of store_bins."""
     classes, m, bins = len(labels), max(1, int(np.sqrt(len(columns)))), max(len(e) for e in edges) + 1
     total = fits * trees
-    new = np.arange(total)
-    one = Forest(labels, columns, edges, trees, new.copy(), np.full(total, -1), np.zeros(total, np.int64), np.full(total, -1), np.full(total, -1), np.zeros((total, classes)), np.zeros(total, np.int64))
-    context = stored.sparkSession.sparkContext
+    none = np.zeros(0, np.int32)
+    one = Forest(labels, columns, edges, trees, np.arange(total, dtype=np.int32), np.full(total, -1, np.int16), np.zeros(total, np.uint8), np.full(total, -1, np.int32), np.full(total, -1, np.int32), np.zeros((total, classes)), np.zeros(total, np.int32))
     train = stored.filter((F.col("code") >= 0) & (F.size("fits") > 0))
-    for level in range(depth):
+
+    def sized(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(total, np.int64)
+        for _, _, some, weight in _drawn(batches, fits, trees, seed):
+            n[some] += (weight > 0).sum(axis=0)
+        yield pd.DataFrame({"tree": np.flatnonzero(n), "n": n[n > 0]})
+
+    rows = train.mapInPandas(sized, "tree int, n long").groupBy("tree").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+    one.rows[rows["tree"]] = rows["n"]
+    ids, tree, level = np.arange(total, dtype=np.uint64), np.arange(total, dtype=np.int32), np.zeros(total, np.int32)
+    gains = np.zeros((total, len(columns)))
+    new = np.flatnonzero(one.rows > LOCAL)
+    for k in range(depth):
         if not len(new):
             break
-        found = _level(train, one, new, level, (classes, m, bins), context, leaf, seed)
+        found = _level(train, one, ids, new, k, (classes, m, bins), leaf, seed).sort_values("node")
         at = new[found["node"].to_numpy(np.int64)]
         sums = lambda c: np.frombuffer(b"".join(found[c]), np.float64).reshape(len(found), classes)
-        if level == 0:
-            one.counts[at], one.rows[at] = sums("lefts") + sums("rights"), found["n_left"].to_numpy() + found["n_right"].to_numpy()
+        if k == 0:
+            one.counts[at] = sums("lefts") + sums("rights")
         good = ((found["gain"] > 1e-9) & (one.rows[at] >= split)).to_numpy()
         at, found = at[good], found[good]
-        n = len(one.feature)
-        left, right = n + 2 * np.arange(len(at)), n + 2 * np.arange(len(at)) + 1
-        one.feature[at], one.cut[at], one.left[at], one.right[at] = found["feature"].to_numpy(), found["cut"].to_numpy(), left, right
+        n, grown = len(one.feature), 2 * len(at)
+        one.feature[at], one.cut[at], one.left[at], one.right[at] = found["feature"].to_numpy(), found["cut"].to_numpy(), n + 2 * np.arange(len(at)), n + 2 * np.arange(len(at)) + 1
+        np.add.at(gains, (tree[at], found["feature"].to_numpy(np.int64)), found["gain"].to_numpy())
         pair = lambda a, b: np.stack((a, b), axis=1).reshape(2 * len(at), *a.shape[1:])
-        grown = 2 * len(at)
-        one.feature = np.concatenate((one.feature, np.full(grown, -1)))
-        one.cut = np.concatenate((one.cut, np.zeros(grown, np.int64)))
-        one.left = np.concatenate((one.left, np.full(grown, -1)))
-        one.right = np.concatenate((one.right, np.full(grown, -1)))
-        one.counts = np.concatenate((one.counts, pair(sums("lefts"), sums("rights"))))
-        one.rows = np.concatenate((one.rows, pair(found["n_left"].to_numpy(np.int64), found["n_right"].to_numpy(np.int64))))
+        more = {"feature": np.full(grown, -1), "cut": np.zeros(grown), "left": np.full(grown, -1), "right": np.full(grown, -1), "counts": pair(sums("lefts"), sums("rights")), "rows": pair(found["n_left"].to_numpy(np.int64), found["n_right"].to_numpy(np.int64))}
+        for c, v in more.items():
+            setattr(one, c, np.concatenate((getattr(one, c), v.astype(getattr(one, c).dtype))))
+        ids = np.concatenate((ids, pair(below(ids[at], 0), below(ids[at], 1))))
+        tree, level = np.concatenate((tree, np.repeat(tree[at], 2))), np.concatenate((level, np.full(grown, k + 1, np.int32)))
         new = np.arange(n, n + grown)
-        pure = (one.counts[new] > 0).sum(axis=1) < 2
-        new = new[~pure & (one.rows[new] >= max(split, 2 * leaf))]
-    return one
-
-
-def _level(train: DataFrame, one: Forest, new: np.ndarray, level: int, sizes: tuple, context, leaf: int, seed: int) -> pd.DataFrame:
+        new = new[((one.counts[new] > 0).sum(axis=1) > 1) & (one.rows[new] > LOCAL)]
+
+    # Roots of small nodes are searched in any case, as their counts are told there.
+    small = np.flatnonzero((one.feature < 0) & (one.rows <= LOCAL) & (one.rows > 0) & ((level == 0) | ((level < depth) & (one.rows >= max(split, 2 * leaf)) & ((one.counts > 0).sum(axis=1) > 1))))
+    small = small[np.argsort(tree[small], kind="stable")]
+    sizes, fit = one.rows[small].astype(np.int64), tree[small] // trees
+    before = np.cumsum(sizes) - sizes
+    heads = np.searchsorted(fit, np.arange(fits))  # groups hold one fit
+    run = (before - before[np.minimum(heads[fit], max(0, len(small) - 1))]) // LOCAL if len(small) else none
+    cuts = np.flatnonzero((np.diff(fit, prepend=-1) != 0) | (np.diff(run, prepend=-1) != 0)) if len(small) else none
+    members = np.split(small, cuts[1:]) if len(small) else []
+    group, slot = np.full(len(one.feature), -1, np.int32), np.zeros(len(one.feature), np.int32)
+    for g, some in enumerate(members):
+        group[some], slot[some] = g, np.arange(len(some))
+    facts = [(int(tree[some[0]]) // trees, ids[some], tree[some], depth - level[some]) for some in members]
+    return Grown(one, gains, members, _small(train, one, group, slot, facts, (classes, m, bins), leaf, split, seed))
+
+
+def _level(train: DataFrame, one: Forest, ids: np.ndarray, new: np.ndarray, level: int, sizes: tuple, leaf: int, seed: int) -> pd.DataFrame:
     """The best split of each of the nodes ``new`` at the border: node (its place in ``new``), feature, cut, gain and both sides' counts."""
     classes, m, bins = sizes
-    columns, trees, total = len(one.columns), one.trees, len(one.root)
+    columns, trees, fits = len(one.columns), one.trees, one.fits
     cells = m * bins * classes
-    sent = context.broadcast((vars(one), new))  # plain values, as workers may not have this module on their path
+    context = train.sparkSession.sparkContext
+    sent = context.broadcast((vars(one), ids, new))  # plain values, as workers may not have this module on their path
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        told, border = sent.value
+        told, ids, border = sent.value
         forest = Forest(**told)
         place = np.full(len(forest.feature), -1, np.int64)
         place[border] = np.arange(len(border))
-        features = chosen_features(border, columns, seed)
+        features = chosen_features(ids[border], columns, seed)
+
+        def packed(keys, weights, rows):
+            cuts = np.searchsorted(keys, np.arange(0, len(border) + CHUNK, CHUNK) * cells)
+            out = [(c, (keys[i:j] - c * CHUNK * cells).astype(np.int32).tobytes(), weights[i:j].astype(np.int32).tobytes(), rows[i:j].astype(np.int32).tobytes()) for c, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
+            return pd.DataFrame(out, columns=["chunk", "keys", "weights", "rows"])
+
         held: tuple[list, list, list] = ([], [], [])
         size = 0
+        for x, code, some, weight in _drawn(batches, fits, trees, seed):
+            node = place[forest.descend(x, slice(some[0], some[-1] + 1), level)]
+            r, c = np.nonzero((weight > 0) & (node >= 0))
+            for lo in range(0, len(r), 1 << 16):
+                ri, ci = r[lo : lo + (1 << 16)], c[lo : lo + (1 << 16)]
+                a = node[ri, ci]
+                key = ((a[:, None] * m + np.arange(m)) * bins + x[ri[:, None], features[a]]) * classes + code[ri][:, None]
+                often = np.broadcast_to(weight[ri, ci].astype(np.int64)[:, None], key.shape)
+                for parts, x_ in zip(held, sums := _added([key.ravel()], [often.ravel()], [np.ones(key.size, np.int64)])):
+                    parts.append(x_)
+                size += len(sums[0])
+                if size > COUNTS:
+                    held = tuple([x_] for x_ in _added(*held))
+                    size = len(held[0][0])
+                    if size > COUNTS // 2:  # more may be counted than a task should hold
+                        yield packed(*[x_[0] for x_ in held])
+                        held, size = ([], [], []), 0
+        yield packed(*_added(*held))
+
+    def searched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _, ids, border = sent.value
+        now, w, n = None, None, None
+
+        def best():
+            some = border[now * CHUNK : (now + 1) * CHUNK]
+            shape = (-1, m, bins, classes)
+            return best_splits(w.reshape(shape)[: len(some)], n.reshape(shape)[: len(some)].sum(axis=-1), chosen_features(ids[some], columns, seed), now * CHUNK, leaf)
+
         for pdf in batches:
-            for lo in range(0, len(pdf), 4096):
-                part = pdf.iloc[lo : lo + 4096]
-                x, code, h = _matrix(part), part["code"].to_numpy(np.int64), part["h"].to_numpy(np.int64)
-                fits = np.zeros((len(part), total // trees), bool)
-                for k, f in enumerate(part["fits"]):
-                    fits[k, np.asarray(f, np.int64)] = True
-                step = max(1, CELLS // len(part))
-                for t in range(0, total, step):
-                    some = np.arange(t, min(t + step, total))
-                    weight = draws(h, some, seed) * fits[:, some // trees]
-                    node = place[forest.descend(x, slice(some[0], some[-1] + 1), level)]
-                    r, c = np.nonzero((weight > 0) & (node >= 0))
-                    a = node[r, c]
-                    key = ((a[:, None] * m + np.arange(m)) * bins + x[r[:, None], features[a]]) * classes + code[r][:, None]
-                    often = np.broadcast_to(weight[r, c].astype(np.int64)[:, None], key.shape)
-                    sums = _added([key.ravel()], [often.ravel()], [np.ones(key.size, np.int64)])
-                    for parts, x_ in zip(held, sums):
-                        parts.append(x_)
-                    size += len(sums[0])
-                    if size > 1 << 22:
-                        held = tuple([x_] for x_ in _added(*held))
-                        size = len(held[0][0])
-        keys, weights, rows = _added(*held)
-        cuts = np.searchsorted(keys, np.arange(0, len(border) + CHUNK, CHUNK) * cells)
-        out = [(c, TaskContext.get().partitionId(), keys[i:j].tobytes(), weights[i:j].tobytes(), rows[i:j].tobytes()) for c, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if j > i]
-        yield pd.DataFrame(out, columns=["chunk", "part", "keys", "weights", "rows"])
-
-    def merged(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return _added(*[[np.frombuffer(b, np.int64) for b in pdf[c]] for c in ("keys", "weights", "rows")])
-
-    def added(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(pdf["chunk"].iloc[0], pdf["part"].min() // PARTS, *[x.tobytes() for x in merged(pdf)])], columns=["chunk", "part", "keys", "weights", "rows"])
-
-    def searched(pdf: pd.DataFrame) -> pd.DataFrame:
-        border = sent.value[1]
-        first = int(pdf["chunk"].iloc[0]) * CHUNK
-        some = border[first : first + CHUNK]
-        keys, weights, rows = merged(pdf)
-        shape = (len(some), m, bins, classes)
-        flat = keys - first * cells
-        w = np.bincount(flat, weights=weights, minlength=int(np.prod(shape))).reshape(shape)
-        n = np.bincount(flat // classes, weights=rows, minlength=int(np.prod(shape[:3]))).reshape(shape[:3])
-        return best_splits(w, n, chosen_features(some, columns, seed), first, leaf)
-
-    parts = train.mapInPandas(counted, "chunk long, part long, keys binary, weights binary, rows binary")
-    spread = train.rdd.getNumPartitions()
-    while spread > PARTS:  # a histogram's parts are added up PARTS at a time
-        parts = parts.groupBy("chunk", F.floor(F.col("part") / PARTS).alias("_to")).applyInPandas(added, "chunk long, part long, keys binary, weights binary, rows binary")
-        spread = -(-spread // PARTS)
-    found = parts.groupBy("chunk").applyInPandas(searched, "node long, feature int, cut int, gain double, lefts binary, rights binary, n_left long, n_right long").toArrow().to_pandas()
+            for chunk, *parts in zip(pdf["chunk"], pdf["keys"], pdf["weights"], pdf["rows"]):
+                if chunk != now:
+                    if now is not None:
+                        yield best()
+                    now, w, n = chunk, np.zeros(CHUNK * cells), np.zeros(CHUNK * cells)
+                keys, weights, rows = (np.frombuffer(b, np.int32) for b in parts)
+                w[keys] += weights
+                n[keys] += rows
+        if now is not None:
+            yield best()
+
+    parts = train.mapInPandas(counted, "chunk int, keys binary, weights binary, rows binary")
+    found = parts.repartition("chunk").sortWithinPartitions("chunk").mapInPandas(searched, "node long, feature int, cut int, gain double, lefts binary, rights binary, n_left long, n_right long").toArrow().to_pandas()
     sent.destroy()
     return found
 
 
-def best_splits(w: np.ndarray, n: np.ndarray, features: np.ndarray, first: int, leaf: int) -> pd.DataFrame:
-    """Of weights (node, feature, bin, class) and rows (node, feature, bin), each node's split of most Gini gain; gain 0 if none leaves ``leaf`` rows on both sides."""
-    left, n_left = np.cumsum(w, axis=2), np.cumsum(n, axis=2)
-    whole, n_whole = left[:, :, -1:], n_left[:, :, -1:]
-    right, n_right = whole - left, n_whole - n_left
-    purity = lambda x: (x**2).sum(axis=-1) / np.maximum(x.sum(axis=-1), 1e-300)
-    gain = purity(left) + purity(right) - purity(whole)
-    gain = np.where((n_left >= leaf) & (n_right >= leaf), gain, 0.0)
+def _small(train: DataFrame, one: Forest, group: np.ndarray, slot: np.ndarray, facts: list, sizes: tuple, leaf: int, split: int, seed: int) -> DataFrame:
+    """The subtrees of the nodes that have a ``group``; see Grown. ``facts`` has each group's fit and its nodes' names, trees and levels left."""
+    columns, trees, fits = len(one.columns), one.trees, one.fits
+    sent = train.sparkSession.sparkContext.broadcast((vars(one), group, slot, facts))
+
+    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        told, group, slot, _ = sent.value
+        forest = Forest(**told)
+        for x, code, some, weight in _drawn(batches, fits, trees, seed):
+            node = forest.descend(x, slice(some[0], some[-1] + 1))
+            r, c = np.nonzero((weight > 0) & (group[node] >= 0))
+            at = node[r, c]
+            order = np.argsort(group[at], kind="stable")
+            r, c, at = r[order], c[order], at[order]
+            cuts = np.flatnonzero(np.diff(group[at], prepend=-1))
+            out = []
+            for i, j in zip(cuts, np.append(cuts[1:], len(at))):
+                out.append((int(group[at[i]]), slot[at[i:j]].tobytes(), code[r[i:j]].astype(np.int32).tobytes(), weight[r[i:j], c[i:j]].astype(np.uint8).tobytes(), x[r[i:j]].tobytes()))
+            yield pd.DataFrame(out, columns=["grp", "slot", "code", "weight", "bins"])
+
+    def grown(pdf: pd.DataFrame) -> pd.DataFrame:
+        fit, ids, tree, levels = sent.value[3][int(pdf["grp"].iloc[0])]
+        at, code = (np.frombuffer(b"".join(pdf[c]), np.int32) for c in ("slot", "code"))
+        weight, x = np.frombuffer(b"".join(pdf["weight"]), np.uint8), np.frombuffer(b"".join(pdf["bins"]), np.uint8).reshape(len(at), columns)
+        feature, cut, left, counts, rows, gain = subtrees(x, code, weight, at, ids, levels, sizes, leaf, split, seed)
+        which, place = np.unique(tree, return_inverse=True)
+        added = np.zeros((len(which), columns))
+        np.add.at(added, place, gain)
+        told = [x_.tobytes() for x_ in (feature.astype(np.int16), cut.astype(np.uint8), left.astype(np.int32), counts.astype(np.int32), rows.astype(np.int32))]
+        return pd.DataFrame([(int(pdf["grp"].iloc[0]), fit, len(feature), *told, which.tolist(), added.tolist())], columns=["grp", "fit", "sizes", "feature", "cut", "left", "counts", "rows", "tree", "gain"])
+
+    moved = train.mapInPandas(dealt, "grp int, slot binary, code binary, weight binary, bins binary")
+    return moved.groupBy("grp").applyInPandas(grown, "grp int, fit int, sizes int, feature binary, cut binary, left binary, counts binary, rows binary, tree array<int>, gain array<array<double>>")
+
+
+def subtrees(x: np.ndarray, code: np.ndarray, weight: np.ndarray, at: np.ndarray, ids: np.ndarray, levels: np.ndarray, sizes: tuple, leaf: int, split: int, seed: int) -> tuple:
+    """(feature, cut, left, counts, rows) of all nodes below the roots ``ids``, roots first, right children beside left ones, and (root, feature) gains; row k lies in root ``at[k]``."""
+    classes, m, bins = sizes
+    roots, columns = len(ids), x.shape[1]
+    counts = np.bincount(at.astype(np.int64) * classes + code, weights=weight, minlength=roots * classes).reshape(roots, classes)
+    rows, gain = np.bincount(at, minlength=roots), np.zeros((roots, columns))
+    told = {"feature": [np.full(roots, -1)], "cut": [np.zeros(roots, np.int64)], "left": [np.full(roots, -1)], "counts": [counts], "rows": [rows]}
+    # The last level's nodes: their first number, names, root and the rows that lie in them, in order of node.
+    first, root, left_over = 0, np.arange(roots), levels.astype(np.int64)
+    order = np.argsort(at, kind="stable")
+    node = at[order].astype(np.int64)
+    while True:
+        last = {c: told[c][-1] for c in told}
+        open_ = (last["rows"] >= max(split, 2 * leaf)) & ((last["counts"] > 0).sum(axis=1) > 1) & (left_over > 0)
+        keep = open_[node]
+        order, node = order[keep], node[keep]
+        if not len(order):
+            break
+        border = np.flatnonzero(open_)
+        starts = np.searchsorted(node, np.append(border, len(open_)))
+        found = []
+        for lo in range(0, len(border), 4 * CHUNK):
+            some = border[lo : lo + 4 * CHUNK]
+            mine = slice(starts[lo], starts[min(lo + 4 * CHUNK, len(border))])
+            features = chosen_features(ids[some], columns, seed)
+            rel = np.searchsorted(some, node[mine])
+            pick = order[mine]
+            cell = (rel[:, None] * m + np.arange(m)) * classes
+            key = (cell + code[pick][:, None]) * bins + x[pick[:, None], features[rel]]
+            w = np.bincount(key.ravel(), weights=np.repeat(weight[pick].astype(float), m), minlength=len(some) * m * classes * bins).reshape(len(some), m, classes, bins)
+            n = np.bincount((key - (cell // classes * (classes - 1) + code[pick][:, None]) * bins).ravel(), minlength=len(some) * m * bins).reshape(len(some), m, bins)
+            found.append(_best(w, n, features, leaf))
+        f, cut, won, lefts, rights, n_left, n_right = (np.concatenate(v) for v in zip(*found))
+        good = won > 1e-9
+        at_, f, cut, won = border[good], f[good], cut[good], won[good]
+        np.add.at(gain, (root[at_], f), won)
+        base = first + len(open_)
+        last["feature"][at_], last["cut"][at_], last["left"][at_] = f, cut, base + 2 * np.arange(len(at_))
+        pair = lambda a, b: np.stack((a, b), axis=1).reshape(2 * len(at_), *a.shape[1:])
+        grown = 2 * len(at_)
+        for c, v in {"feature": np.full(grown, -1), "cut": np.zeros(grown, np.int64), "left": np.full(grown, -1), "counts": pair(lefts[good], rights[good]), "rows": pair(n_left[good], n_right[good])}.items():
+            told[c].append(v)
+        inner = last["feature"][node] >= 0
+        order, node = order[inner], node[inner]
+        node = last["left"][node] - base + (x[order, last["feature"][node]] > last["cut"][node])
+        again = np.argsort(node, kind="stable")
+        order, node = order[again], node[again]
+        ids, root, left_over, first = pair(below(ids[at_], 0), below(ids[at_], 1)), np.repeat(root[at_], 2), np.repeat(left_over[at_] - 1, 2), base
+    return (*[np.concatenate(v) for v in told.values()], gain)
+
+
+def _best(w: np.ndarray, n: np.ndarray, features: np.ndarray, leaf: int) -> tuple:
+    """Of weights (node, feature, class, bin) and rows (node, feature, bin), each node's best split: feature, cut, gain, both sides' counts and rows."""
+    left, n_left = np.cumsum(w, axis=3), np.cumsum(n, axis=2)
+    right, n_right = left[..., -1:] - left, n_left[..., -1:] - n_left
+    purity = lambda x: np.einsum("abcd,abcd->abd", x, x) / np.maximum(x.sum(axis=2), 1e-300)
+    pure = purity(left)
+    gain = np.where((n_left >= leaf) & (n_right >= leaf), pure + purity(right) - pure[..., -1:], 0.0)
     flat = gain.reshape(len(w), -1)
-    best = flat.argmax(axis=1)
-    at = np.arange(len(w))
-    slot, cut = best // w.shape[2], best % w.shape[2]
-    sides = {"lefts": left[at, slot, cut], "rights": right[at, slot, cut]}
-    return pd.DataFrame(
-        {"node": first + at, "feature": features[at, slot], "cut": cut, "gain": flat[at, best], **{k: [x.tobytes() for x in v] for k, v in sides.items()}, "n_left": n_left[at, slot, cut].astype(np.int64), "n_right": n_right[at, slot, cut].astype(np.int64)}
-    )
+    best, at = flat.argmax(axis=1), np.arange(len(w))
+    slot, cut = best // w.shape[3], best % w.shape[3]
+    return features[at, slot], cut, flat[at, best], left[at, slot, :, cut], right[at, slot, :, cut], n_left[at, slot, cut], n_right[at, slot, cut]
 
 
-#: Points and weights on (0, 1) that integrate polynomials up to degree 2 * 16 - 1 exactly, so paths of 32 features.
-_POINTS, _WEIGHTS = np.polynomial.legendre.leggauss(16)
-_POINTS, _WEIGHTS = (_POINTS + 1) / 2, _WEIGHTS / 2
+def best_splits(w: np.ndarray, n: np.ndarray, features: np.ndarray, first: int, leaf: int) -> pd.DataFrame:
+    """Of weights (node, feature, bin, class) and rows (node, feature, bin), each node's split of most Gini gain; gain 0 if none leaves ``leaf`` rows on both sides."""
+    feature, cut, gain, lefts, rights, n_left, n_right = _best(w.transpose(0, 1, 3, 2), n, features, leaf)
+    sides = {k: [x.tobytes() for x in v] for k, v in {"lefts": lefts, "rights": rights}.items()}
+    return pd.DataFrame({"node": first + np.arange(len(w)), "feature": feature, "cut": cut, "gain": gain, **sides, "n_left": n_left.astype(np.int64), "n_right": n_right.astype(np.int64)})
 
 
 @dataclass
 class Paths:
-    """The leaves of a fit as tables: a row per leaf and feature on its path, in order of leaf."""
+    """The leaves of a fit as tables: a row per leaf and feature on its path, in order of leaf; leaves of fewer features come first."""
 
     feature: np.ndarray
     low: np.ndarray  # bins in (low, high] stay on the path
@@ -329,27 +507,63 @@ class Paths:
 
 
 def path_tables(forest: Forest, fit: int = 0) -> Paths:
+    """All paths of a fit, followed level by level."""
     shares, weight = forest.shares(), forest.counts.sum(axis=1)
-    rows: list[tuple] = []
-    start, value, alone = [], [], np.zeros(len(forest.labels))
-    for r in forest.root[fit * forest.trees : (fit + 1) * forest.trees]:
-        todo: list[tuple[int, dict]] = [(int(r), {})]
-        while todo:
-            k, path = todo.pop()
-            f = int(forest.feature[k])
-            if f < 0:
-                if not path:
-                    alone += shares[k] / forest.trees
-                    continue
-                start.append(len(rows))
-                value.append(shares[k] / forest.trees)
-                rows += [(g, *p) for g, p in path.items()]
-                continue
-            low, high, zero = path.get(f, (-1, 255, 1.0))
-            for child, bounds in ((int(forest.left[k]), (low, min(high, int(forest.cut[k])))), (int(forest.right[k]), (max(low, int(forest.cut[k])), high))):
-                todo.append((child, path | {f: (*bounds, zero * weight[child] / weight[k])}))
-    table = np.array(rows, dtype=np.float64).reshape(len(rows), 4)
-    return Paths(table[:, 0].astype(np.int64), table[:, 1], table[:, 2], table[:, 3], np.array(start, np.int64), np.array(value).reshape(len(start), -1), alone)
+    node = np.asarray(forest.root[fit * forest.trees : (fit + 1) * forest.trees], np.int64)
+    alone = shares[node[forest.feature[node] < 0]].sum(axis=0) / forest.trees
+    node = node[forest.feature[node] >= 0]
+    # A path's distinct features in order of their first place, -1 beyond the last one.
+    width = min(len(forest.columns), 1)
+    path = {"feature": np.full((len(node), width), -1, np.int16), "low": np.full((len(node), width), -1, np.int16), "high": np.full((len(node), width), 255, np.int16), "zero": np.ones((len(node), width))}
+    leaves: list[tuple] = []
+    while len(node):
+        f, cut, at = forest.feature[node], forest.cut[node], np.arange(len(node))
+        same = path["feature"] == f[:, None]
+        size = (path["feature"] >= 0).sum(axis=1)
+        place = np.where(same.any(axis=1), same.argmax(axis=1), size)
+        if place.max() >= width:
+            width += 1
+            path = {c: np.concatenate((v, np.full((len(v), 1), {"feature": -1, "low": -1, "high": 255, "zero": 1}[c], v.dtype)), axis=1) for c, v in path.items()}
+        path["feature"][at, place] = f
+        both = []
+        for side, child in enumerate((forest.left[node], forest.right[node])):
+            one = {c: v.copy() for c, v in path.items()}
+            if side:
+                one["low"][at, place] = np.maximum(one["low"][at, place], cut)
+            else:
+                one["high"][at, place] = np.minimum(one["high"][at, place], cut)
+            one["zero"][at, place] *= weight[child] / weight[node]
+            both.append(one)
+        node = np.concatenate((forest.left[node], forest.right[node])).astype(np.int64)
+        path = {c: np.concatenate([one[c] for one in both]) for c in path}
+        ends = forest.feature[node] < 0
+        size = (path["feature"][ends] >= 0).sum(axis=1)
+        for d in np.unique(size):
+            some = np.flatnonzero(ends)[size == d]
+            leaves.append((d, {c: v[some, :d] for c, v in path.items()}, shares[node[some]] / forest.trees))
+        node, path = node[~ends], {c: v[~ends] for c, v in path.items()}
+    leaves.sort(key=lambda x: x[0])
+    flat = {c: np.concatenate([np.zeros(0, v), *[one[c].ravel() for _, one, _ in leaves]]) for c, v in (("feature", np.int16), ("low", np.int16), ("high", np.int16), ("zero", float))}
+    many = np.repeat([d for d, _, _ in leaves], [len(v) for _, _, v in leaves]).astype(np.int64)
+    return Paths(*flat.values(), np.cumsum(many) - many, np.concatenate([np.zeros((0, len(forest.labels))), *[v for _, _, v in leaves]]), alone)
+
+
+def _products(one: np.ndarray, yes: np.ndarray, no: np.ndarray) -> np.ndarray:
+    """(leaf, row, point): products over a leaf's entries of ``yes`` where ``one`` (leaf, entry, row) holds, of ``no`` elsewhere; both (leaf, entry, point).
+
+    The products of up to 6 entries are looked up by the bits of these.
+    """
+    leaves, many, rows = one.shape
+    out = None
+    for lo in range(0, many, 6):
+        table = np.ones((leaves, 1, yes.shape[2]))
+        bits = np.zeros((leaves, rows), np.uint8)
+        for k, j in enumerate(range(lo, min(lo + 6, many))):
+            table = np.concatenate((table * no[:, j, None], table * yes[:, j, None]), axis=1)
+            bits |= one[:, j].view(np.uint8) << np.uint8(k)
+        found = table.reshape(-1, yes.shape[2])[bits + (np.arange(leaves) * table.shape[1])[:, None]]
+        out = found if out is None else np.multiply(out, found, out=out)
+    return out
 
 
 def shap(paths: Paths, x: np.ndarray, columns: int, cells: int = 1 << 21) -> np.ndarray:
@@ -357,34 +571,39 @@ def shap(paths: Paths, x: np.ndarray, columns: int, cells: int = 1 << 21) -> np.
 
     With t the share of features known before, a leaf's weights of feature sets are an integral over
     t of the product of ``zero + (one - zero) * t`` over the path's other features, a polynomial
-    that Gauss's points integrate exactly. So a run of leaves is a few products of
-    matrices over (row, path entry), and nothing walks a tree.
+    that half as many of Gauss's points as there are features integrate exactly. The product over
+    all features of a path is looked up once for each row and leaf; a matrix product over the
+    points divides each feature out, and features that are not met share one result.
     """
     classes = paths.value.shape[1] if len(paths.value) else len(paths.alone)
-    out = np.zeros((len(x), columns, classes))
-    ends = np.append(paths.start[1:], len(paths.feature))
-    leaf_of = np.repeat(np.arange(len(paths.start)), ends - paths.start)
-    limit, lo = max(64, cells // max(1, len(x))), 0
-    while lo < len(paths.start):
-        hi = max(lo + 1, int(np.searchsorted(ends, paths.start[lo] + limit, side="right")))
-        rows = slice(paths.start[lo], ends[hi - 1])
-        f, zero = paths.feature[rows], paths.zero[rows]
-        own = x[:, f].astype(np.float64)
-        one = (own > paths.low[rows]) & (own <= paths.high[rows])
-        at = paths.start[lo:hi] - paths.start[lo]
-        which = leaf_of[rows] - lo
-        total = np.zeros(one.shape)
-        for t, w in zip(_POINTS, _WEIGHTS):
-            hidden = zero * (1 - t)
-            term = np.where(one, hidden + t, hidden)
-            total += w * np.multiply.reduceat(term, at, axis=1)[:, which] / term
-        total *= one - zero
+    out = np.zeros((columns, classes, len(x)))
+    turned = np.ascontiguousarray(x.T)
+    many = np.diff(np.append(paths.start, len(paths.feature)))
+    lo = 0
+    while lo < len(many) and len(x):
+        d = int(many[lo])
+        hi = min(int(np.searchsorted(many, d, side="right")), lo + max(1, cells // (d * len(x))))
+        rows = slice(paths.start[lo], paths.start[lo] + d * (hi - lo))
+        t, w = np.polynomial.legendre.leggauss((d + 1) // 2)
+        t, w = (t + 1) / 2, w / 2
+        f, zero = paths.feature[rows].astype(np.int64), paths.zero[rows].reshape(-1, d)
+        low = (paths.low[rows] + 1).astype(np.uint8)[:, None]
+        one = (turned[f] - low < np.maximum(paths.high[rows] - paths.low[rows], 0).astype(np.uint8)[:, None]).reshape(hi - lo, d, -1)
+        no = zero[:, :, None] * (1 - t)
+        yes = no + t
+        product = _products(one, yes, no)
+        # Gauss's weights over the divided-out term, for each feature that is met, and once for those that aren't.
+        parts = np.concatenate((w * (1 - zero[:, :, None]) / yes, np.broadcast_to(-w / (1 - t), (hi - lo, 1, len(t)))), axis=1)
+        told = np.matmul(parts, product.transpose(0, 2, 1))
+        told = np.where(one, told[:, :d], told[:, d:]).reshape(-1, len(x))
+        value = np.repeat(paths.value[lo:hi], d, axis=0)
         order = np.argsort(f, kind="stable")
         cuts = np.flatnonzero(np.diff(f[order], prepend=-1))
-        for c in range(classes):
-            out[:, f[order][cuts], c] += np.add.reduceat((total * paths.value[lo:hi, c][which])[:, order], cuts, axis=1)
+        for i, j in zip(cuts, np.append(cuts[1:], len(f))):
+            some = order[i:j]
+            out[f[some[0]]] += value[some].T @ told[some]
         lo = hi
-    return out
+    return out.transpose(2, 0, 1)
 
 
 def expected(forest: Forest, paths: Paths) -> np.ndarray:

@@ -10,11 +10,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..store import materialize
 from .forest import DEPTH, LEAF, SEED, SPLIT, TREES, Forest, Paths, bin_edges, grow, path_tables, shap, store_bins
 from .prep import fit_scaler, label_codes, scaled, varying
 from .scan import numbered
 from .windows import segments
 
+#: Nodes of forests that a task holds at once to score rows by.
+NODES = 1 << 20
+
 
 def _labels(rows: DataFrame, label: str) -> list[str]:
     """The distinct labels as text, in order; they are few."""
@@ -24,7 +28,7 @@ def _labels(rows: DataFrame, label: str) -> list[str]:
 def fit_forest(rows: DataFrame, columns: list[str], label: str = "label", trees: int = TREES, depth: int = DEPTH, leaf: int = LEAF, split: int = SPLIT, seed: int = SEED) -> Forest:
     """A forest of rows with a label; those without one aren't learned from."""
     labels, edges = _labels(rows, label), bin_edges(rows, columns)
-    return grow(store_bins(rows, columns, edges, labels, label), labels, columns, edges, trees=trees, depth=depth, leaf=leaf, split=split, seed=seed)
+    return grow(store_bins(rows, columns, edges, labels, label), labels, columns, edges, trees=trees, depth=depth, leaf=leaf, split=split, seed=seed).forest()
 
 
 def predict(model: Forest, rows: DataFrame, label: str = "label") -> DataFrame:
@@ -32,11 +36,11 @@ def predict(model: Forest, rows: DataFrame, label: str = "label") -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(vars(model))  # its size is set by the forest's parameters
 
     @F.pandas_udf("array<double>")
-    def told(x: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype=object)
+    def told(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         held = Forest(**sent.value)
-        return pd.Series(list(held.probabilities(held.binned(np.array(x.tolist(), float)))))
+        shares = held.shares()
+        for x in batches:
+            yield pd.Series(list(held.probabilities(held.binned(np.array(x.tolist(), float)), shares=shares)) if len(x) else [], dtype=object)
 
     names = F.array(*[F.lit(x) for x in model.labels])
     out = rows.withColumn("probability", told(F.array(*[F.col(c).cast("double") for c in model.columns])))
@@ -60,7 +64,7 @@ def segment_importances(rows: DataFrame, columns: list[str], top: list[str], lab
     cut, labels, edges = segments(rows, count), _labels(rows, label), bin_edges(rows, columns)
     stored = store_bins(cut, columns, edges, labels, label, F.array("segment"))
     model = grow(stored, labels, columns, edges, fits=count, trees=trees, depth=30, leaf=1, split=2)
-    told = [(k, c, float(v)) for k in range(count) for c, v in zip(columns, model.importances(k)) if c in top]
+    told = [(k, c, float(v)) for k, one in enumerate(model.importances()) for c, v in zip(columns, one) if c in top]
     return rows.sparkSession.createDataFrame(told, "segment int, feature string, importance double")
 
 
@@ -68,7 +72,7 @@ def learning_curve(rows: DataFrame, columns: list[str], key: str, label: str = "
     """(size, fold, train, validation): accuracies of forests on growing shares of each fold's training rows.
 
     Rows are dealt to folds within their label in order of a hash of ``key``. All sizes and
-    folds are grown in the same passes over one binned table, and scored in one more.
+    folds are grown side by side over one binned table, and scored in runs.
     """
     labels, edges = _labels(rows, label), bin_edges(rows, columns)
     dealt = numbered(rows.withColumn("_h", F.xxhash64(key)), [label], ["_h", key], "_i")
@@ -78,23 +82,39 @@ def learning_curve(rows: DataFrame, columns: list[str], key: str, label: str = "
     every = F.sequence(F.lit(0), F.lit(sizes * folds - 1))
     mine = lambda k: (k % folds != F.col("_fold")) & (F.col("_j") < F.greatest(F.lit(1), F.round(F.col("_n") * (F.floor(k / folds) + 1) / sizes)))
     stored = store_bins(dealt, columns, edges, labels, label, F.filter(every, mine), ["_fold"])
-    model = grow(stored, labels, columns, edges, fits=sizes * folds, trees=trees, depth=depth)
-    sent = rows.sparkSession.sparkContext.broadcast(vars(model))
-
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        forest = Forest(**sent.value)
-        for pdf in batches:
-            x = np.frombuffer(b"".join(pdf["bins"]), np.uint8).reshape(len(pdf), -1)
-            code, fold = pdf["code"].to_numpy(), pdf["_fold"].to_numpy()
-            train = [set(f) for f in pdf["fits"]]
-            told = []
-            for fit in range(forest.fits):
-                hit = forest.probabilities(x, fit).argmax(axis=1) == code
-                for part, some in (("train", np.array([fit in t for t in train])), ("validation", fold == fit % folds)):
-                    told.append((fit, part, int((hit & some).sum()), int(some.sum())))
-            yield pd.DataFrame(told, columns=["fit", "part", "hits", "n"])
-
-    told = stored.filter("code >= 0").mapInPandas(scored, "fit int, part string, hits long, n long").groupBy("fit").pivot("part", ["train", "validation"]).agg(F.sum("hits") / F.sum("n"))
+    grown = grow(stored, labels, columns, edges, fits=sizes * folds, trees=trees, depth=depth).stored()
+
+    def score(first: int, last: int) -> DataFrame:
+        """Hits of the fits ``first`` to ``last``, which are sent to all tasks."""
+        sent = rows.sparkSession.sparkContext.broadcast(vars(grown.forest(first, last)))
+
+        def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            forest = Forest(**sent.value)
+            shares = forest.shares()
+            for pdf in batches:
+                x = np.frombuffer(b"".join(pdf["bins"]), np.uint8).reshape(len(pdf), -1)
+                code, fold = pdf["code"].to_numpy(), pdf["_fold"].to_numpy()
+                train = [set(f) for f in pdf["fits"]]
+                told = []
+                for fit in range(first, last):
+                    hit = forest.probabilities(x, fit - first, shares).argmax(axis=1) == code
+                    for part, some in (("train", np.array([fit in t for t in train])), ("validation", fold == fit % folds)):
+                        told.append((fit, part, int((hit & some).sum()), int(some.sum())))
+                yield pd.DataFrame(told, columns=["fit", "part", "hits", "n"])
+
+        found = materialize(stored.filter("code >= 0").mapInPandas(scored, "fit int, part string, hits long, n long").groupBy("fit", "part").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n")), "scores")
+        sent.destroy()
+        return found
+
+    # Fits are scored in runs of about NODES nodes, one at least, so what is sent doesn't grow with their number.
+    nodes = {r["fit"]: r["n"] for r in grown.subtrees.groupBy("fit").agg(F.sum("sizes").alias("n")).collect()}
+    told, first, held = None, 0, 0
+    for fit in range(sizes * folds):
+        held += nodes.get(fit, 0)
+        if fit + 1 == sizes * folds or held + nodes.get(fit + 1, 0) > NODES:
+            part = score(first, fit + 1)
+            told, first, held = part if told is None else told.unionByName(part), fit + 1, 0
+    told = told.groupBy("fit").pivot("part", ["train", "validation"]).agg(F.sum("hits") / F.sum("n"))
     size = F.round((F.floor(F.col("fit") / folds) + 1) / sizes, 6)
     return told.select(size.alias("size"), (F.col("fit") % folds).cast("int").alias("fold"), "train", "validation")
 
@@ -143,17 +163,16 @@ def shap_values(model: Forest, rows: DataFrame, key: str) -> DataFrame:
         labels, columns, told = sent.value
         paths = Paths(**told)
         for pdf in batches:
-            for at in range(0, len(pdf), 128):
-                part = pdf.iloc[at : at + 128]
-                x = np.frombuffer(b"".join(part["bins"]), np.uint8).reshape(len(part), -1)
-                phi = shap(paths, x, len(columns))
-                size = len(labels) * len(columns)
-                yield pd.DataFrame(
-                    {key: np.repeat(part[key].to_numpy(), size), "class": np.tile(np.repeat(np.array(labels, object), len(columns)), len(part)), "feature": np.tile(np.array(columns, object), len(part) * len(labels)), "shap": phi.transpose(0, 2, 1).ravel()}
-                )
-
-    kind = dict(rows.dtypes)[key]
-    return stored.select(key, "bins").mapInPandas(explain, f"`{key}` {kind}, class string, feature string, shap double")
+            for at in range(0, len(pdf), 1024):
+                part = pdf.iloc[at : at + 1024]
+                phi = shap(paths, np.frombuffer(b"".join(part["bins"]), np.uint8).reshape(len(part), -1), len(columns))
+                # All values of a row are one array, which Spark takes apart.
+                yield pd.DataFrame({key: part[key].to_numpy(), "_phi": list(phi.transpose(0, 2, 1).reshape(len(part), -1))})
+
+    kind, n = dict(rows.dtypes)[key], len(model.columns)
+    wide = stored.select(key, "bins").mapInPandas(explain, f"`{key}` {kind}, _phi array<double>").select(key, F.posexplode("_phi").alias("_at", "shap"))
+    name = lambda names, at: F.get(F.array(*[F.lit(x) for x in names]), at.cast("int"))
+    return wide.select(key, name(model.labels, F.floor(F.col("_at") / n)).alias("class"), name(model.columns, F.col("_at") % n).alias("feature"), "shap")
 
 
 def shap_summary(values: DataFrame) -> DataFrame:

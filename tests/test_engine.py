@@ -517,6 +517,56 @@ def test_fits_side_by_side_equal_single_ones(spark):
     assert sorted(r.segment for r in told) == [0, 1, 2] and all(r.importance > 0.5 for r in told)
 
 
+def test_large_nodes_grow_as_small_ones(spark, monkeypatch):
+    """Forests don't depend on where histograms end and subtrees begin, nor on how often a task hands on its counts."""
+    df, columns = labelled_points(spark, 400)
+    df = df.withColumn("series", F.lit(1)).withColumn("i", F.col("id")).withColumn("label", F.when(F.col("id") % 7 == 0, "q").otherwise(F.col("label")))
+    told = []
+    for local, counts in ((1 << 15, 1 << 20), (60, 1 << 20), (60, 64), (0, 64)):
+        monkeypatch.setattr(forest, "LOCAL", local)
+        monkeypatch.setattr(forest, "COUNTS", counts)
+        one = model.fit_forest(df.repartition(3), columns, trees=8, depth=6)
+        segments = {(r.segment, r.feature): r.importance for r in model.segment_importances(df, columns, columns, count=2, trees=4).collect()}
+        probability = one.probabilities(one.binned(np.array([r[1:4] for r in df.orderBy("id").collect()])))
+        told.append((len(one.feature), one.rows.sum(), one.counts.sum(), probability, one.importances(), segments))
+    assert told[0][0] > 60
+    for other in told[1:]:
+        assert other[:3] == told[0][:3] and (other[3] == told[0][3]).all() and np.allclose(other[4], told[0][4])
+        assert other[5].keys() == told[0][5].keys() and all(abs(v - told[0][5][k]) < 1e-9 for k, v in other[5].items())
+
+
+def test_learning_curve_sends_bounded_runs_of_fits(spark, monkeypatch):
+    df, columns = labelled_points(spark, 120)
+    curve = lambda: sorted(map(tuple, model.learning_curve(df, columns, "id", sizes=2, folds=3, trees=4, depth=4).collect()))
+    whole, sizes, build = curve(), [], forest.Grown.forest
+    monkeypatch.setattr(model, "NODES", 1)
+    monkeypatch.setattr(forest.Grown, "forest", lambda self, *fits: sizes.append(fits) or build(self, *fits))
+    assert curve() == whole and sizes == [(k, k + 1) for k in range(6)]
+
+
+def test_shap_of_many_leaves_takes_seconds():
+    """30 trees of 1024 leaves each and 256 rows: a run of products per point and leaf took 16 points for each of 10 entries."""
+    rng = np.random.default_rng(5)
+    trees, depth = 30, 10
+    size = (1 << (depth + 1)) - 1
+    k = np.arange(size)
+    inner = k < (1 << depth) - 1
+    feature = np.concatenate([np.where(inner, rng.integers(0, 40, size), -1) for _ in range(trees)])
+    left = np.concatenate([np.where(inner, 2 * k + 1 + t * size, -1) for t in range(trees)])
+    counts = np.zeros((trees, size, 3))
+    counts[:, ~inner] = rng.integers(1, 9, (trees, int((~inner).sum()), 3))
+    for i in range((1 << depth) - 2, -1, -1):
+        counts[:, i] = counts[:, 2 * i + 1] + counts[:, 2 * i + 2]
+    counts = counts.reshape(-1, 3)
+    one = forest.Forest(list("abc"), [f"v{i}" for i in range(40)], [np.arange(63)] * 40, trees, np.arange(trees) * size, feature, rng.integers(0, 63, trees * size), left, np.where(left >= 0, left + 1, -1), counts, counts.sum(1))
+    x = rng.integers(0, 64, (256, 40)).astype(np.uint8)
+    began = time.process_time()
+    paths = forest.path_tables(one)
+    got = forest.shap(paths, x, 40)
+    assert time.process_time() - began < 8
+    assert np.allclose(forest.expected(one, paths) + got.sum(axis=1), one.probabilities(x))
+
+
 def test_running_aggregates(spark):
     rng = np.random.default_rng(2)
     keys = [None if i % 50 == 0 else "a" if rng.random() < 0.6 else "bcdefgh"[rng.integers(7)] for i in range(3000)]
