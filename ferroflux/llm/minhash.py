@@ -6,7 +6,8 @@ the positions shifted by k, gives coordinate k of the signature:
 Links are confirmed on the full sets. Only links that can join two components
 are looked at: each member of a bucket is first held against the bucket's
 smallest document, components are formed, and only buckets that still hold
-several components are searched further, at last pair by pair in blocks. So a
+several components are searched further, at last in blocks of bitmaps: first by the nearest
+pairs that would join them, then by all that are left between those still apart. So a
 group of thousands of copies costs a link per member, and no link between
 components is lost.
 """
@@ -149,8 +150,8 @@ def _opened(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
-    """Bits that flip with each shingle, a power of two of at least half as many as there are: they differ in no more places than the sets."""
-    width = max(64, 1 << max(0, (len(shingles) - 1).bit_length() - 1))
+    """Bits that flip with each shingle, a power of two of at least four times as many as there are: they differ in no more places than the sets, and hardly in fewer."""
+    width = max(64, 1 << (max(0, len(shingles) - 1).bit_length() + 2))
     flips = np.bincount((mix64(shingles) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(flips.astype(np.uint8)).tobytes()
 
@@ -160,27 +161,39 @@ def _folded(bits: bytes, size: int) -> np.ndarray:
     return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint8).reshape(-1, size), axis=0)
 
 
-def _crossing(x: list, y: list) -> list[tuple[int, int]]:
-    """Pairs of members (doc_id, component, n, bits) of two blocks, across components, that sizes and bitmaps don't exclude."""
+def _crossing(x: list, y: list, spanning: bool = False) -> list[tuple[int, int]]:
+    """Pairs of members (doc_id, component, n, bits) of two blocks, across components, that sizes and bitmaps don't exclude.
+
+    With ``spanning``, nearest pairs first, only those that join components which no earlier pair has joined.
+    """
     size = min(len(m["bits"]) for m in (*x, *y))
     bits = np.array([_folded(m["bits"], size) for m in (*x, *y)]).view(np.uint64)
     n, comp = (np.array([m[c] for m in (*x, *y)], dtype=np.int64) for c in ("n", "component"))
-    out, k = [], len(x)
+    found, k = [], len(x)
     for i in range(k):
         both = n[k:] + n[i]
         apart = np.bitwise_count(bits[k:] ^ bits[i]).sum(axis=1, dtype=np.int64)
         hit = (comp[k:] != comp[i]) & (DEN * np.minimum(n[k:], n[i]) >= NUM * np.maximum(n[k:], n[i])) & ((DEN + NUM) * ((both - apart) // 2) >= NUM * both)
-        out += [(x[i]["doc_id"], y[j]["doc_id"]) for j in np.flatnonzero(hit)]
-    return out
+        found += [(apart[j] / both[j], i, j) for j in np.flatnonzero(hit)]
+    if spanning:
+        up = {c: c for c in comp.tolist()}
 
+        def top(c: int) -> int:
+            while up[c] != c:
+                c = up[c]
+            return c
 
-def _rest(opened: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links between components within buckets, pair by pair in blocks.
+        every, found = sorted(found), []
+        for apart, i, j in every:
+            a, b = top(int(comp[i])), top(int(comp[k + j]))
+            if a != b:
+                up[a] = b
+                found.append((apart, i, j))
+    return [(x[i]["doc_id"], y[j]["doc_id"]) for _, i, j in found]
 
-    A bucket's members are cut into blocks in order of component, and blocks
-    that hold one and the same component don't meet. Blocks hold bitmaps, not sets; the
-    pairs that these don't exclude, each once, are confirmed on the full sets.
-    """
+
+def _bitmaps(opened: DataFrame, texts: DataFrame) -> DataFrame:
+    """(doc_id, n, bits) of the members of open buckets."""
 
     def bitmaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in runs(batches):
@@ -190,7 +203,15 @@ def _rest(opened: DataFrame, texts: DataFrame) -> DataFrame:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n": [len(s) for s in sets], "bits": [bitmap(s) for s in sets]})
 
     wanted = texts.join(opened.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = materialize(wanted.mapInPandas(bitmaps, "doc_id long, n long, bits binary"), "bitmaps")
+    return materialize(wanted.mapInPandas(bitmaps, "doc_id long, n long, bits binary"), "bitmaps")
+
+
+def _near(opened: DataFrame, sets: DataFrame, spanning: bool) -> DataFrame:
+    """Pairs (a, b) across components within buckets, in blocks, that may be links; see ``_crossing``.
+
+    A bucket's members are cut into blocks in order of component, and blocks
+    that hold one and the same component don't meet. Blocks hold bitmaps, not sets.
+    """
     placed = numbered(opened.select("band", "value", "doc_id", "component"), ["band", "value"], ["component", "doc_id"], "place")
     ranked = placed.withColumn("block", F.floor(F.col("place") / BLOCK)).join(sets, "doc_id")
     blocks = ranked.groupBy("band", "value", "block").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.collect_list(F.struct("doc_id", "component", "n", "bits")).alias("m"))
@@ -200,11 +221,10 @@ def _rest(opened: DataFrame, texts: DataFrame) -> DataFrame:
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = {(min(hit), max(hit)) for x, y in zip(pdf["m_x"], pdf["m_y"]) for hit in _crossing(x, y)}
+            found = {(min(hit), max(hit)) for x, y in zip(pdf["m_x"], pdf["m_y"]) for hit in _crossing(x, y, spanning)}
             yield pd.DataFrame(list(found), columns=["a", "b"], dtype="int64")
 
-    near = materialize(pairs.select("m_x", "m_y").mapInPandas(search, "a long, b long").distinct(), "near")
-    return confirm(near, texts)
+    return materialize(pairs.select("m_x", "m_y").mapInPandas(search, "a long, b long").distinct(), "near")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -244,7 +264,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         links = materialize(links.unionByName(confirm(again, texts)).distinct(), "links")
         opened = _opened(members, links)
         if not opened.isEmpty():
-            links = materialize(links.unionByName(_rest(opened, texts)).distinct(), "links")
+            # Pairs that may join what is apart come first, as few as would do; then what is left between those still apart.
+            sets_of = _bitmaps(opened, texts)
+            near = _near(opened, sets_of, spanning=True)
+            links = materialize(links.unionByName(confirm(near, texts)).distinct(), "links")
+            opened = _opened(members, links)
+            if not opened.isEmpty():
+                rest = _near(opened, sets_of, spanning=False).join(near, ["a", "b"], "left_anti")
+                links = materialize(links.unionByName(confirm(rest, texts)).distinct(), "links")
     found = components(links)
     classes = materialize(classes.join(found, classes["rep"] == found["node"], "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id")), "classes")
     # Rows without words have no class to meet; those of a large class are split by Spark, as both sides are stored.

@@ -96,6 +96,23 @@ def test_blocks_lose_no_link_across_components():
     assert len(true) > 30 and true <= told and len(told) < 3 * len(true)
 
 
+def test_near_pairs_of_a_dense_group_are_few():
+    """Of near copies that miss the threshold hardly a pair is asked for, and of a group that links throughout as many as join it."""
+    rng = np.random.default_rng(9)
+    common = rng.integers(0, 1 << 63, 150, dtype=np.uint64)
+
+    def members(shared):
+        sets = [np.unique(np.concatenate((rng.permutation(common)[:shared], rng.integers(0, 1 << 63, 150 - shared, dtype=np.uint64)))) for _ in range(64)]
+        return [{"doc_id": i, "component": i, "n": len(s), "bits": minhash.bitmap(s), "s": s} for i, s in enumerate(sets)]
+
+    apart, close = members(118), members(146)
+    assert not any(minhash.linked(a["s"], b["s"]) for a in apart[:32] for b in apart[32:])
+    assert len(minhash._crossing(apart[:32], apart[32:])) < 20
+    assert len(minhash._crossing(close[:32], close[32:])) == 1024
+    joined = minhash._crossing(close[:32], close[32:], spanning=True)
+    assert len(joined) == 63 and {i for pair in joined for i in pair} == set(range(64))
+
+
 def test_repeated_ids_with_other_words_are_defined(spark):
     """Whatever the order of rows, the same rows come out, and every row meets the copies of its own text."""
     a, b = prose(40, 1, 900), prose(40, 2, 900)
