@@ -121,12 +121,12 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of edges (a, b): the smallest node reachable.
 
-    Alternating large-star and small-star steps; every step groups by node with
-    partial aggregation, and its result is a table in the shared folder.
+    Alternating large-star and small-star steps until each node points at the end
+    of its star alone; every step groups by node with partial aggregation, and its
+    result is a table in the shared folder. Edges that are such stars take no step.
     """
     pairs = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
-    before = None
-    while True:
+    while not _are_stars(pairs):
         ways = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Stored first, the least neighbours are a join's own input, whose hot keys Spark can split.
         low = materialize(ways.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), "low")
@@ -135,16 +135,30 @@ def components(edges: DataFrame) -> DataFrame:
         low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         pairs = materialize(small.filter("u <> v").distinct(), "edges")
-        now = tuple(pairs.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
-        if now == before:
-            break
-        before = now
-    return pairs.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
+    ends = pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(ends)
 
 
-def _opened(members: DataFrame, links: DataFrame) -> DataFrame:
+def _are_stars(pairs: DataFrame) -> bool:
+    """Whether each u of distinct pairs (u, v), u > v, has one v, which is no u itself."""
+    one, none = F.lit(1), F.lit(0)
+    sides = pairs.select(F.col("u").alias("node"), one.alias("up"), none.alias("down")).unionByName(pairs.select(F.col("v").alias("node"), none.alias("up"), one.alias("down")))
+    nodes = sides.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.agg(F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))).first()[0] == 0
+
+
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (doc_id, component) after more links: these join components, of which there are ever fewer, so no link is looked at twice."""
+    ends = links
+    for side in "ab":
+        ends = ends.join(labels.select(F.col("doc_id").alias(side), F.col("component").alias(f"{side}_component")), side)
+    found = components(ends.select(F.col("a_component").alias("a"), F.col("b_component").alias("b")))
+    return materialize(labels.join(found, labels["component"] == found["node"], "left").select("doc_id", F.coalesce(found["component"], labels["component"]).alias("component")), "labels")
+
+
+def _opened(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of buckets that still hold several components, with their component."""
-    named = members.join(components(links), members["doc_id"] == F.col("node"), "left").withColumn("component", F.coalesce("component", "doc_id")).drop("node")
+    named = members.join(labels, "doc_id")
     several = named.groupBy("band", "value").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
     return materialize(named.join(several.select("band", "value"), ["band", "value"]), "open")
 
@@ -257,22 +271,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     others = members.filter("doc_id <> hub")
     first = others.groupBy(F.col("doc_id").alias("a")).agg(F.max(F.struct("weight", (-F.col("hub")).alias("neg"))).alias("best"))
     first = materialize(first.select("a", (-F.col("best.neg")).alias("b")), "pairs")
-    links = materialize(confirm(first, texts).distinct(), "links")
-    opened = _opened(members, links)
+    each = members.select("doc_id").distinct().withColumn("component", F.col("doc_id"))
+    labels = _joined(each, materialize(confirm(first, texts), "links"))
+    opened = _opened(members, labels)
     if not opened.isEmpty():
-        again = opened.filter("doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-        links = materialize(links.unionByName(confirm(again, texts)).distinct(), "links")
-        opened = _opened(members, links)
+        apart = opened.join(labels.select(F.col("doc_id").alias("hub"), F.col("component").alias("hub_component")), "hub").filter("component <> hub_component")
+        again = apart.select(F.col("doc_id").alias("a"), F.col("hub").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+        labels = _joined(labels, materialize(confirm(again, texts), "links"))
+        opened = _opened(members, labels)
         if not opened.isEmpty():
             # Pairs that may join what is apart come first, as few as would do; then what is left between those still apart.
             sets_of = _bitmaps(opened, texts)
             near = _near(opened, sets_of, spanning=True)
-            links = materialize(links.unionByName(confirm(near, texts)).distinct(), "links")
-            opened = _opened(members, links)
+            labels = _joined(labels, materialize(confirm(near, texts), "links"))
+            opened = _opened(members, labels)
             if not opened.isEmpty():
                 rest = _near(opened, sets_of, spanning=False).join(near, ["a", "b"], "left_anti")
-                links = materialize(links.unionByName(confirm(rest, texts)).distinct(), "links")
-    found = components(links)
+                labels = _joined(labels, materialize(confirm(rest, texts), "links"))
+    found = labels.withColumnRenamed("doc_id", "node")
     classes = materialize(classes.join(found, classes["rep"] == found["node"], "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id")), "classes")
     # Rows without words have no class to meet; those of a large class are split by Spark, as both sides are stored.
     has = F.col("n_shingles") > 0

@@ -75,6 +75,29 @@ def test_near_duplicates_match_brute_force(spark):
     assert got == brute_components(docs)
 
 
+def test_components_stop_at_stars(spark, monkeypatch):
+    """Random graphs against a search; edges that are stars already take no step, and joined components are the only nodes of later links."""
+    stored = []
+    plain = minhash.materialize
+    monkeypatch.setattr(minhash, "materialize", lambda df, name: stored.append(name) or plain(df, name))
+    rng = random.Random(5)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(100 + k, 101 + k) for k in range(12)]
+    low = {x: x for e in edges for x in e}
+    for _ in low:
+        for a, b in edges:
+            low[a] = low[b] = min(low[a], low[b])
+    met = {x for a, b in edges if a != b for x in (a, b)}
+    got = minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted((r.node, r.component) for r in got) == sorted((x, low[x]) for x in met)
+    stored.clear()
+    star = minhash.components(spark.createDataFrame([(1, k) for k in range(2, 9)] + [(20, 21)], "a long, b long"))
+    assert stored == ["edges"] and {(r.node, r.component) for r in star.collect()} == {(k, 1) for k in range(1, 9)} | {(20, 20), (21, 20)}
+    stored.clear()
+    labels = spark.createDataFrame([(k, k % 10) for k in range(40)], "doc_id long, component long")
+    now = minhash._joined(labels, spark.createDataFrame([(33, 14), (23, 4), (5, 15)], "a long, b long"))
+    assert stored == ["edges", "labels"] and {(r.doc_id, r.component) for r in now.collect()} == {(k, 3 if k % 10 == 4 else k % 10) for k in range(40)}
+
+
 def test_near_duplicates_odd_rows(spark):
     rows = minhash.near_duplicates(frame(spark, [(None, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (7, "A b c d e f")])).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.component_id or 0, r.kept) for r in rows) == [(False, 3, 3, True), (False, 3, 3, True), (False, 7, 3, False), (True, 0, 0, True)]
