@@ -59,10 +59,13 @@ def order_statistics(values: DataFrame, keys: list[str], ranks: Callable[[Column
         good = (F.col("_under") <= F.col("rank")) & (F.col("rank") < F.col("_under") + F.col("_held")) & (F.col("_inner") < F.col("_in"))
         new = {"_lo": "_a", "_hi": "_b", "_below": "_under", "_m": "_held", "_in": "_inner"}
         open_ = told.withColumn("_good", good).withColumns({c: F.when(F.col("_good"), F.col(x)).otherwise(F.lit(0) if c == "_in" else F.col(c)) for c, x in new.items()})
+    # Ranks of one bracket share its values, which are counted and put in order once for all of them.
+    brackets = closed.groupBy(*keys, "n", "_lo", "_hi", "_below").agg(F.array_sort(F.collect_list("rank")).alias("_ranks"))
     # Distinct values of a bracket: its two ends and at most ``most`` between them.
-    last = _meet(held, closed, keys).filter("_v between _lo and _hi").groupBy(*keys, "n", "rank", "_below", "_v").agg(F.count("*").alias("_c"))
-    run = Window.partitionBy(*keys, "rank").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    found = last.withColumn("below", F.col("_below") + F.sum("_c").over(run) - F.col("_c")).filter("below <= rank and rank < below + _c")
+    last = _meet(held, brackets, keys).filter("_v between _lo and _hi").groupBy(*keys, "n", "_ranks", "_below", "_v").agg(F.count("*").alias("_c"))
+    run = Window.partitionBy(*keys, "_ranks").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    found = last.withColumn("below", F.col("_below") + F.sum("_c").over(run) - F.col("_c"))
+    found = found.withColumn("rank", F.explode(F.filter("_ranks", lambda r: (F.col("below") <= r) & (r < F.col("below") + F.col("_c")))))
     return found.select(*keys, "n", "rank", F.col("_v").alias(value), "below")
 
 

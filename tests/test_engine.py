@@ -667,3 +667,14 @@ def test_curves_over_ranges_of_scores(spark):
         wins = sum((a > b) + (a == b) / 2 for a, p in own if p for b, q in own if not q)
         assert abs(area[c] - wins / (sum(p for _, p in own) * sum(not p for _, p in own))) < 1e-9
     assert area["w"] == 0
+
+
+def test_ranks_of_one_bracket_share_its_values(spark, monkeypatch):
+    """Four ranks of a group read each of its values once, not four times."""
+    met, plain = [], select._meet
+    monkeypatch.setattr(select, "_meet", lambda *a: met.append(plain(*a)) or met[-1])
+    df = spark.createDataFrame([(k % 3 or None, float(k // 6)) for k in range(600)], "k long, v double")
+    got = {r.k: r.q for r in select.exact_quantiles(df, ["k"], [0.01, 0.99]).collect()}
+    assert met[-1].count() == 600
+    for k in (None, 1, 2):
+        assert np.allclose(got[k], np.quantile([float(j // 6) for j in range(600) if (j % 3 or None) == k], [0.01, 0.99]))
