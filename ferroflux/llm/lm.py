@@ -23,8 +23,10 @@ others had a sweep ago. After ``burn`` sweeps the predictive probabilities of
 Training and scoring share one exchange: blocks of texts send their distinct pairs,
 counted, to buckets by context, where pairs are seated and answered. A context of
 over 1 / HOT of the tokens is dealt to several buckets by the word, and its totals
-are added up afterwards. Seated before the word restaurant, a pair's dishes have
-the word's share of its bucket as their base. In this exchange words and contexts go
+are added up afterwards. The levels take turns: a sweep seats the pairs, each on the
+predictive probability that the word restaurant gives its word without the pair's own
+tables, then the words on the tables that this leaves them, then their spelling. Only
+the first seating of the pairs, for want of a word restaurant, is on the word's share of its bucket. In this exchange words and contexts go
 by the first bytes of a hash, so many that of all the corpus's words less than one
 pair is expected to share them; such a pair would count as one word. Contexts of the spelling model are made of byte classes, so it
 has at most 2**15 * 257 cells whatever the corpus, which bounds what is sent to all
@@ -130,26 +132,35 @@ class Seating:
             row, at = row[order], at[order]
         self.row, self.at = row, at
 
-    def _drawn(self, fixed: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Openings of a fresh seating: after t tables and j customers the next one opens a table
-        with weight fixed + step * t against j - discount * t."""
+    def change(self, n: np.ndarray, others: np.ndarray, base: np.ndarray, strength: float) -> None:
+        """Let dishes have ``n`` customers: the last to come leave first, and new ones come after the old."""
+        old, self.n, stay = self.n, n.astype(np.int64), self.at < n[self.row]
+        self.row, self.at = self.row[stay], self.at[stay]
+        row, at = self._drawn((strength + self.discount * others) * base, self.discount * base, np.maximum(1, np.minimum(old, self.n)), self.tables())
+        row, at = np.concatenate((self.row, row)), np.concatenate((self.at, at))
+        order = np.argsort(row, kind="stable")
+        self.row, self.at = row[order], at[order]
+
+    def _drawn(self, fixed: np.ndarray, step: np.ndarray, seated: np.ndarray | None = None, tables: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Openings of a fresh seating, or of what follows the ``seated`` customers: after t tables and
+        j customers the next one opens a table with weight fixed + step * t against j - discount * t."""
         rows, ats = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        go = np.flatnonzero(self.n > 1)
-        j, t = np.ones(len(go), np.int64), 1
+        go = np.flatnonzero(self.n > (1 if seated is None else seated))
+        j, t = (np.ones(len(go), np.int64),) * 2 if seated is None else (seated[go], tables[go])
         while len(go) > FEW:
             away, new, u = self.discount * t, fixed[go] + step[go] * t, 1 - self.rng.random(len(go))
             x, n = j - away, self.n[go]
             # Openings are rarer than the sum of their chances, which rules most dishes out.
             may = 1 - u < new * (1 / x + np.log((n - 1 - away) / x))
-            go, j, n, new, x, u = go[may], j[may], n[may], new[may], x[may], np.log(u[may])
+            go, j, t, n, new, x, u, away = go[may], j[may], t[may], n[may], new[may], x[may], np.log(u[may]), away[may]
             # Log of the chance that none of the customers from the j-th up to the k-th opens a table.
             level = u + lgamma(x) - lgamma(x + new)
             opens = lgamma(n - away) - lgamma(n - away + new) < level
-            go, j, n, new, x, u, level = (v[opens] for v in (go, j, n, new, x, u, level))
+            go, j, t, n, new, x, u, level, away = (v[opens] for v in (go, j, t, n, new, x, u, level, away))
             half = (new - 1) / 2
             guess = np.maximum(x + half, 0.01) * np.exp(np.minimum(-u / new, 60)) - half + away - 1
             guess = np.clip(guess, j, n - 1).astype(np.int64)
-            before = lambda k, i: lgamma(k + 1 - away) - lgamma(k + 1 - away + new[i]) < level[i]
+            before = lambda k, i: lgamma(k + 1 - away[i]) - lgamma(k + 1 - away[i] + new[i]) < level[i]
             low, high = np.maximum(guess - 2, j), np.minimum(guess + 2, n - 1)
             every = slice(None)
             low, high = np.where((low > j) & before(low - 1, every), j, low), np.where(before(high, every), high, n - 1)
@@ -161,9 +172,9 @@ class Seating:
             rows.append(go)
             ats.append(low)
             more = low + 1 < n
-            go, j, t = go[more], low[more] + 1, t + 1
-        for i, first in zip(go.tolist(), j.tolist()):
-            found = self._alone(int(self.n[i]), float(fixed[i]), float(step[i]), first, t)
+            go, j, t = go[more], low[more] + 1, t[more] + 1
+        for i, first, opened in zip(go.tolist(), j.tolist(), t.tolist()):
+            found = self._alone(int(self.n[i]), float(fixed[i]), float(step[i]), first, opened)
             rows.append(np.full(len(found), i))
             ats.append(np.array(found, np.int64))
         row, at = np.concatenate(rows), np.concatenate(ats)
@@ -299,24 +310,16 @@ def count_words(blocks: DataFrame) -> DataFrame:
 
 @dataclass
 class Words:
-    """The seated word restaurant: (word, n, m, t, path) with n training tokens, m customers, and
-    over all samples t tables; what the samples' spelling models and restaurants say of any word."""
+    """The seated word restaurant: (word, n, gain) with n training tokens and what the word's customers
+    and tables give it, averaged over all samples; what the samples' spelling models and restaurants say of any word."""
 
     rows: DataFrame
     samples: list
-    discount: float
-    guests: int
 
     def known(self):
         """A function of a batch of rows that gives their probabilities."""
-        shared, discount, guests = self.rows.sparkSession.sparkContext.broadcast(self.samples), self.discount, self.guests
-        spelled = speller(shared)
-
-        def p(pdf: pd.DataFrame) -> np.ndarray:
-            words = list(pdf["word"])
-            return (pdf["m"].to_numpy(float) - discount * pdf["t"].to_numpy(float) / len(shared.value)) / (STRENGTH_WORDS + guests) + np.exp(spelled(words))
-
-        return p
+        spelled = speller(self.rows.sparkSession.sparkContext.broadcast(self.samples))
+        return lambda pdf: pdf["gain"].to_numpy(float) + np.exp(spelled(list(pdf["word"])))
 
 
 def speller(shared):
@@ -358,45 +361,85 @@ def _spelling_model(held: np.ndarray, seed: int) -> list:
     return spelling(cell, held[cell], seed)
 
 
-def seat_words(rows: DataFrame, burn: int, samples: int, seed: int) -> Words:
-    """Seat the customers ``m`` of each word of ``rows`` (word, n, m). A word of one customer has one
-    table in every sweep, so the sweeps pass over the others alone."""
+@dataclass
+class Served:
+    """A state of the word restaurant: (word, m, t) of words with more than one training token, all customers
+    and tables, and the spelling model. It gives a word its predictive probability."""
+
+    rows: DataFrame
+    guests: int
+    total: int
+    discount: float
+    levels: list
+
+    def told(self, buckets: int, width: int) -> DataFrame:
+        """(bucket, keys, m, t, s): ``s`` is what is left to the spelling, times its probability."""
+        shared, rest = self.rows.sparkSession.sparkContext.broadcast(self.levels), (STRENGTH_WORDS + self.discount * self.total) / (STRENGTH_WORDS + self.guests)
+
+        def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            log_p = log_cells(shared.value)
+            for pdf in batches:
+                words = list(pdf["word"])
+                keys, s = wide(narrow(word_hashes(words), width), width), rest * np.exp(log_spelled(words, log_p))
+                yield from dealt(keys, buckets, {"m": pdf["m"].to_numpy(np.int64), "t": pdf["t"].to_numpy(np.int64), "s": s})
+
+        return self.rows.select("word", "m", "t").mapInPandas(tell, "bucket long, keys binary, m binary, t binary, s binary")
+
+
+def without_own(m: np.ndarray, t: np.ndarray, s: np.ndarray, own: np.ndarray, guests: int, discount: float) -> np.ndarray:
+    """The predictive probabilities of words of ``m`` customers at ``t`` tables when ``own`` of these customers are taken away."""
+    m = np.maximum(m - own, 0)
+    return (m - discount * np.minimum(t, m)) / np.maximum(STRENGTH_WORDS, STRENGTH_WORDS + guests - own) + s
+
+
+def seat_words(rows: DataFrame, burn: int, samples: int, seed: int, reseat=None) -> Words:
+    """Seat the customers ``m`` of each word of ``rows`` (word, n, m, more columns). Before each sweep but the
+    first, ``reseat`` may seat the pairs on a state of this restaurant and gives the rows of that
+    state with the customers these leave it. A word of one token has one table in every sweep, so the sweeps pass over the others alone."""
     spark = rows.sparkSession
-    guests, kinds, ones, twos = rows.agg(F.sum("m"), F.count("*"), F.count_if(F.col("m") == 1), F.count_if(F.col("m") == 2)).first()
-    discount, total, singles, found = discount_of(ones, twos), kinds, ones, []
-    state = rows.select("word", "n", "m", F.lit(1).cast("long").alias("t"), F.lit(0).cast("long").alias("sum_t"), F.lit(None).cast("binary").alias("path"))
-    once, state = state.filter("m = 1"), state.filter("m > 1")
+    guests, kinds, singles, ones, twos = rows.agg(F.sum("m"), F.count("*"), F.count_if(F.col("n") == 1), F.count_if(F.col("m") == 1), F.count_if(F.col("m") == 2)).first()
+    discount, total, found, lone_gain = discount_of(ones, twos), kinds, [], 0.0
+    state = rows.select("*", F.col("m").alias("seated"), F.lit(1).cast("long").alias("t"), F.lit(0.0).alias("gain"), F.lit(None).cast("binary").alias("path"))
+    once, state = state.filter("n = 1"), state.filter("n > 1")
     lone = _spelled_tables(once)
     levels = _spelling_model(lone + _spelled_tables(state), seed)
+    schema = state.schema
     for sweep in range(burn + samples):
+        old = state
+        if sweep and reseat:
+            state = reseat(Served(state, guests, total, discount, levels), sweep)
+            guests = singles + state.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
         shared = spark.sparkContext.broadcast(levels)
 
-        def sit(batches: Iterator[pd.DataFrame], sweep=sweep, total=total, shared=shared) -> Iterator[pd.DataFrame]:
+        def sit(batches: Iterator[pd.DataFrame], sweep=sweep, total=total, guests=guests, shared=shared) -> Iterator[pd.DataFrame]:
             log_p = log_cells(shared.value)
             for pdf in batches:
                 words, m, t = list(pdf["word"]), pdf["m"].to_numpy(np.int64), pdf["t"].to_numpy(np.int64)
                 rng = np.random.default_rng([seed, sweep, len(words), *np.frombuffer(words[0][:8].ljust(8, b"\0"), np.uint32).tolist(), int(m.sum())])
                 old = [np.frombuffer(x, np.int32) if x is not None else np.zeros(0, np.int32) for x in pdf["path"]]
                 row = np.repeat(np.arange(len(words)), [len(x) for x in old])
-                seats = Seating(m, discount, rng, row, np.concatenate((np.zeros(0, np.int64), *old)).astype(np.int64))
-                seats.sweep(total - t, np.exp(log_spelled(words, log_p)), STRENGTH_WORDS, first=sweep == 0)
+                seats, base = Seating(pdf["seated"].to_numpy(np.int64), discount, rng, row, np.concatenate((np.zeros(0, np.int64), *old)).astype(np.int64)), np.exp(log_spelled(words, log_p))
+                seats.change(m, total - t, base, STRENGTH_WORDS)
+                seats.sweep(total - t, base, STRENGTH_WORDS, first=sweep == 0)
                 t, path = seats.tables(), np.full(len(m), None, object)
                 ends = np.cumsum(t - 1)
                 at = seats.at.astype(np.int32)
                 for i in np.flatnonzero(t > 1).tolist():
                     path[i] = at[ends[i] - t[i] + 1 : ends[i]].tobytes()
-                yield pd.DataFrame({"word": words, "n": pdf["n"], "m": m, "t": t, "sum_t": pdf["sum_t"] + t * (sweep >= burn), "path": path})
+                gain = pdf["gain"].to_numpy(float) + (sweep >= burn) * (m - discount * t) / (STRENGTH_WORDS + guests) / samples
+                yield pdf.assign(seated=m, t=t, gain=gain, path=path)
 
-        old, state = state, materialize(state.mapInPandas(sit, "word binary, n long, m long, t long, sum_t long, path binary"), "words")
+        state = materialize(state.select(schema.names).mapInPandas(sit, schema), "words")
         if sweep:
             forget(old)
         total = singles + state.agg(F.coalesce(F.sum("t"), F.lit(0))).first()[0]
         if sweep >= burn:
             found.append(((STRENGTH_WORDS + discount * total) / (STRENGTH_WORDS + guests), levels))
+            lone_gain += (1 - discount) / (STRENGTH_WORDS + guests) / samples
         if sweep < burn + samples - 1:
             levels = _spelling_model(lone + _spelled_tables(state), seed + sweep + 1)
-    seated = state.unionByName(once.withColumn("sum_t", F.lit(samples).cast("long")))
-    return Words(seated.select("word", "n", "m", F.col("sum_t").alias("t")), found, discount, guests)
+    seated = state.unionByName(once.withColumn("gain", F.lit(lone_gain)))
+    return Words(seated.select("word", "n", "gain"), found)
 
 
 # --- pairs ------------------------------------------------------------------------------------
@@ -451,7 +494,7 @@ class Tokens:
             hashes.append(np.insert(h, bounds[1:], END_HASH))
             docs.append(np.repeat(np.arange(first, first + len(bounds) - 1), np.diff(bounds) + 1))
         self.doc = np.concatenate(docs).astype(np.int32)
-        self.keys, word = np.unique(np.concatenate(hashes), return_inverse=True)
+        self.keys, word = factors(np.concatenate(hashes))
         self.word, end = word.astype(np.int32), np.int32(np.searchsorted(self.keys, END_HASH))
         self.context = np.concatenate((np.array([end]), self.word[:-1])) if len(self.word) else self.word
         self.marked = np.frombuffer(marks, np.uint8)[self.doc]
@@ -493,18 +536,106 @@ def wide(data: bytes, width: int) -> np.ndarray:
     return np.concatenate((raw, np.zeros((len(raw), 8 - width), np.uint8)), axis=1).copy().view(">u8").ravel().astype(np.uint64)
 
 
-def _joined(column, kind) -> np.ndarray:
-    return np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in column)])
+def thin(values: np.ndarray) -> bytes:
+    """Whole numbers byte by byte: the leading ones of small numbers are alike and compress."""
+    return squeezed(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T))
+
 
+def thick(data: bytes, kind=np.int64) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(unsqueezed([data], np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
 
-def seat_pairs(blocks: DataFrame, hot: Hot, buckets: int, word_buckets: int, width: int, burn: int, samples: int, seed: int) -> DataFrame:
-    """Seat the marked pairs of all blocks in buckets and answer every block.
 
-    Rows (block, bucket, gain, share, words, t, hot): for each block and bucket what
-    each of its pairs adds, and for each run of a context the share of the parent;
-    besides, with a null block, the tables of each word in the bucket and the totals of
-    its hot contexts. The distinct words of a block, cut into ``word_buckets``, come
-    along in buckets below zero, so that blocks are read once for both.
+def all_thick(parts, kind=np.int64) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *(thick(x, kind) for x in parts)])
+
+
+def factors(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct values in order, the place of each value): only the distinct ones are sorted."""
+    at, kinds = pd.factorize(values)
+    order = np.argsort(kinds)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return kinds[order], rank[at]
+
+
+def dealt(keys: np.ndarray, buckets: int, values: dict[str, np.ndarray]) -> Iterator[pd.DataFrame]:
+    """A row for each bucket of the keys, with the values of these."""
+    order = np.argsort(keys)
+    for k, a, b in cuts(keys[order], buckets):
+        x = order[a:b]
+        yield pd.DataFrame({"bucket": [k], "keys": [keys[x].tobytes()]} | {name: [v[x].tobytes()] for name, v in values.items()})
+
+
+def look_up(asked: DataFrame, told: DataFrame, values: dict[str, type], width: int = 8) -> DataFrame:
+    """(who, answers) for ``asked`` (bucket, who, keys): per bucket, in order, what ``told`` has under each key, 0 if it has none."""
+
+    def answer(asked: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in told["keys"])])
+        order = np.argsort(keys)
+        keys, have = np.append(keys[order], np.uint64(0)), {}
+        for name, kind in values.items():
+            v = np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in told[name])])
+            have[name] = np.append(v[order], kind(0))
+        out = []
+        for k, who, x in zip(asked["bucket"], asked["who"], asked["keys"]):
+            want = unplaned(x, width)
+            at = np.searchsorted(keys[:-1], want)
+            hit = keys[at] == want
+            got = [np.where(hit, v[at], 0) for v in have.values()]
+            out.append((who, k, *(thin(v) if v.dtype == np.int64 else squeezed(v.astype(np.float32)) for v in got)))
+        return pd.DataFrame(out, columns=["who", "bucket", *values])
+
+    schema = "who long, bucket long, " + ", ".join(f"{name} binary" for name in values)
+    answers = asked.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInPandas(answer, schema)
+    return answers.groupBy("who").agg(F.array_sort(F.collect_list(F.struct("bucket", *values))).alias("answers"))
+
+
+@dataclass
+class Dishes:
+    """The dishes of a bucket in order of context and word: ``n`` customers each, runs of one context, the place of
+    a hot one or -1 for each run. ``word`` is the place of each dish of two customers or more among the bucket's words of such dishes."""
+
+    n: np.ndarray
+    lengths: np.ndarray
+    place: np.ndarray
+    word: np.ndarray
+
+    def __post_init__(self):
+        self.of, self.many = np.repeat(np.arange(len(self.lengths)), self.lengths), np.flatnonzero(self.n > 1)
+        self.discount = discount_of(int((self.n == 1).sum()), int((self.n == 2).sum()))
+
+    @classmethod
+    def read(cls, row) -> Dishes:
+        return cls(*(thick(row[c]) for c in ("n", "lengths", "place", "word")))
+
+    def spread(self, t: np.ndarray, each: int = 1) -> np.ndarray:
+        """The tables of all dishes, where those of two customers or more have ``t``."""
+        out = each * (self.n > 0)
+        out[self.many] = t
+        return out
+
+    def others(self, t: np.ndarray, hot: Hot) -> np.ndarray:
+        """The tables of all other dishes in the restaurants of ``many``; a part of a hot context stands for all its parts."""
+        number = np.ones(len(self.lengths))
+        number[self.place >= 0] = hot.parts[self.place[self.place >= 0]]
+        return (number * np.bincount(self.of, self.spread(t), len(self.lengths)))[self.of[self.many]] - t
+
+    def seated(self, seats: Seating, sum_t: np.ndarray) -> dict[str, bytes]:
+        t = np.bincount(self.word, seats.tables(), int(self.word.max(initial=-1)) + 1).astype(np.int64)
+        return {"row": thin(seats.row), "at": thin(seats.at), "sum_t": thin(sum_t), "t": thin(t)}
+
+
+#: Rows of a bucket: its dishes and their tables, and the blocks with the dishes that each asks for; or, without ``n``,
+#: the words ``keys`` of dishes of one customer with as many tables ``t``. Below zero, distinct words ``keys`` of a block.
+PAIRS = "bucket long, block long, keys binary, t binary, n binary, lengths binary, place binary, word binary, row binary, at binary, sum_t binary, blocks binary, ends binary, gaps binary"
+
+
+def gather_pairs(blocks: DataFrame, hot: Hot, buckets: int, word_buckets: int, width: int, burn: int, seed: int) -> DataFrame:
+    """The dishes of the pairs of all blocks in buckets, see PAIRS. For want of a word restaurant, whose
+    customers are these dishes' tables, they are first seated on the words' shares of the bucket.
+
+    The distinct words of a block, cut into ``word_buckets``, come along in buckets below zero, so that blocks are read once for both.
     """
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -515,94 +646,144 @@ def seat_pairs(blocks: DataFrame, hot: Hot, buckets: int, word_buckets: int, wid
                 rows = [(-1 - k, block, b"", b"", planes(tokens.keys[a:b]), b"") for k, a, b in cuts(tokens.keys, word_buckets)]
                 for k, a, b in cuts(group, buckets):
                     at = heads_of(group[a:b])
-                    rows.append((k, block, planes(group[a:b][at[:-1]], width), squeezed(np.diff(at).astype(np.int32)), narrow(word[a:b], width), squeezed(n[a:b])))
+                    rows.append((k, block, planes(group[a:b][at[:-1]], width), thin(np.diff(at).astype(np.int32)), narrow(word[a:b], width), thin(n[a:b])))
                 yield pd.DataFrame(rows, columns=["bucket", "block", "groups", "lengths", "words", "n"])
 
+    names = [c.split()[0] for c in PAIRS.split(", ")]
+
     def sit(pdf: pd.DataFrame) -> pd.DataFrame:
         bucket = int(pdf["bucket"].iloc[0])
         if bucket < 0:
-            return pd.DataFrame({"block": pdf["block"], "bucket": bucket, "gain": None, "share": None, "words": pdf["words"], "t": None, "hot": None})
-        lengths, groups = unsqueezed(pdf["lengths"], np.int32), [unplaned(x, width) for x in pdf["groups"]]
-        ends, heads = np.cumsum([len(x) // width for x in pdf["words"]]), np.cumsum([len(x) for x in groups])
-        groups, of_run = np.unique(np.concatenate(groups), return_inverse=True)
-        word = np.concatenate([wide(x, width) for x in pdf["words"]])
-        kinds, word = np.unique(word, return_inverse=True)
+            return pd.DataFrame({"bucket": bucket, "block": pdf["block"], "keys": pdf["words"]}).reindex(columns=names).astype({c: object for c in names[3:]}).where(lambda x: x.notna(), None)
+        lengths, groups = all_thick(pdf["lengths"], np.int32), [unplaned(x, width) for x in pdf["groups"]]
+        ends = np.cumsum([len(x) // width for x in pdf["words"]])
+        groups, of_run = factors(np.concatenate(groups))
+        kinds, word = factors(np.concatenate([wide(x, width) for x in pdf["words"]]))
         # Dishes are the distinct pairs; those that no marked text holds have no customers.
         code, at = np.unique(np.repeat(of_run, lengths) * len(kinds) + word, return_inverse=True)
         of, word = np.divmod(code, len(kinds))
-        n = np.bincount(at, unsqueezed(pdf["n"], np.int32), len(code)).astype(np.int64)
-        discount = discount_of(int((n == 1).sum()), int((n == 2).sum()))
-        base = np.bincount(word, n, len(kinds))
-        base = (base / max(1.0, base.sum()))[word]
-        # A part of a hot context stands for all its parts.
-        names, owner = hot.owners()
-        names = wide(narrow(names, width), width)
-        place = np.minimum(np.searchsorted(names, groups), max(0, len(names) - 1))
-        is_hot = names[place] == groups if len(names) else np.zeros(len(groups), bool)
-        number = np.ones(len(groups))
-        number[is_hot] = hot.parts[owner[place[is_hot]]]
-        many = np.flatnonzero(n > 1)
-        seats = Seating(n[many], discount, np.random.default_rng([seed, len(code), int(n.sum())]))
-        t, mean = (n > 0).astype(np.int64), np.zeros(len(code))
-        for sweep in range(burn + samples):
-            others = (number * np.bincount(of, t, len(groups)))[of[many]] - t[many]
-            seats.sweep(others, base[many], STRENGTH_PAIRS, first=sweep == 0)
-            t[many] = seats.tables()
-            if sweep >= burn:
-                mean += t / samples
-        guests, opened = np.bincount(of, n, len(groups)), discount * np.bincount(of, mean, len(groups))
-        # What a pair adds and what its context leaves to the parent; of hot contexts the totals are not known yet.
-        whole = np.where(is_hot, 1.0, STRENGTH_PAIRS + guests)
-        gain = ((n - discount * mean) / whole[of]).astype(np.float32)
-        share = np.where(is_hot, 0.0, (STRENGTH_PAIRS + opened) / whole).astype(np.float32)
-        rows, spans = [], (np.append(0, ends), np.append(0, heads))
-        for i, block in enumerate(pdf["block"]):
-            mine, run = (v[e[i] : e[i + 1]] for v, e in zip((at, of_run), spans))
-            rows.append((block, bucket, squeezed(gain[mine]), squeezed(share[run]), None, None, None))
-        served = np.bincount(word, t, len(kinds)).astype(np.int64)
-        some = served > 0
-        told = np.array([owner[place[is_hot]], guests[is_hot], opened[is_hot]], float).tobytes()
-        rows.append((None, bucket, None, None, kinds[some].tobytes(), served[some].tobytes(), told))
-        out = pd.DataFrame(rows, columns=["block", "bucket", "gain", "share", "words", "t", "hot"])
+        n = np.bincount(at, all_thick(pdf["n"], np.int32), len(code)).astype(np.int64)
+        shares = np.bincount(word, n, len(kinds))
+        hot_groups, owner = hot.owners()
+        hot_groups = wide(narrow(hot_groups, width), width)
+        place = np.full(len(groups), -1)
+        if len(hot_groups):
+            found = np.minimum(np.searchsorted(hot_groups, groups), len(hot_groups) - 1)
+            place = np.where(hot_groups[found] == groups, owner[found], -1)
+        mine, index = np.unique(word[n > 1], return_inverse=True)
+        dishes = Dishes(n, np.bincount(of, minlength=len(groups)), place, index)
+        seats, t = Seating(n[dishes.many], dishes.discount, np.random.default_rng([seed, len(code), int(n.sum())])), np.ones(len(dishes.many), np.int64)
+        seats.sweep(dishes.others(t, hot), (shares / max(1.0, shares.sum()))[word[dishes.many]], STRENGTH_PAIRS, first=True)
+        row = {"bucket": bucket, "block": None, "keys": planes(kinds[mine], width), "n": thin(n), "lengths": thin(dishes.lengths), "place": thin(place), "word": thin(index)}
+        row |= dishes.seated(seats, seats.tables() * (burn == 0))
+        row |= {"blocks": thin(pdf["block"].to_numpy(np.int64)), "ends": thin(ends), "gaps": thin(np.diff(at, prepend=0).astype(np.int32))}
+        single = np.bincount(word[n == 1], minlength=len(kinds))
+        some = np.flatnonzero(single)
+        out = pd.DataFrame([row, {"bucket": bucket, "block": None, "keys": planes(kinds[some], width), "t": thin(single[some])}], columns=names)
         out["block"] = out["block"].astype("Int64")
-        return out
+        return out.astype({c: object for c in names[2:]}).where(lambda x: x.notna(), None)
 
     asked = blocks.select("block", "sizes", "data", "marks").mapInPandas(ask, "bucket long, block long, groups binary, lengths binary, words binary, n binary")
-    schema = "block long, bucket long, gain binary, share binary, words binary, t binary, hot binary"
-    return materialize(asked.groupBy("bucket").applyInPandas(sit, schema), "pairs")
+    return materialize(asked.groupBy("bucket").applyInPandas(sit, PAIRS), "pairs")
+
 
+def seat_pairs(pairs: DataFrame, served: Served, hot: Hot, word_buckets: int, width: int, sample: bool, sweep: int, seed: int) -> DataFrame:
+    """Seat the pairs anew, each on the predictive probability that the word restaurant gives its word without the pair's own tables."""
+    guests, discount = served.guests, served.discount
 
-def add_hot(pairs: DataFrame, hot: Hot) -> Hot:
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for bucket, x in zip(pdf["bucket"], pdf["keys"]):
+                keys = unplaned(x, width)
+                rows = [(k, bucket, planes(keys[a:b], width)) for k, a, b in cuts(keys, word_buckets)]
+                yield pd.DataFrame(rows, columns=["bucket", "who", "keys"])
+
+    def sit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i in range(len(pdf)):
+                row = pdf.iloc[i].to_dict()
+                dishes, told = Dishes.read(row), row.pop("answers")
+                told = told if told is not None else []
+                m, t, s = all_thick(x["m"] for x in told), all_thick(x["t"] for x in told), unsqueezed((x["s"] for x in told), np.float32).astype(np.float64)
+                seats = Seating(dishes.n[dishes.many], dishes.discount, np.random.default_rng([seed, sweep, int(row["bucket"])]), thick(row["row"]), thick(row["at"]))
+                own, word = seats.tables(), dishes.word
+                seats.sweep(dishes.others(own, hot), without_own(m[word], t[word], s[word], own, guests, discount), STRENGTH_PAIRS)
+                row |= dishes.seated(seats, thick(row["sum_t"]) + sample * seats.tables())
+                out = pd.DataFrame([row])
+                out["block"] = pd.array([None], dtype="Int64")
+                yield out
+
+    dishes = pairs.filter("n is not null")
+    asked = dishes.select("bucket", "keys").mapInPandas(ask, "bucket long, who long, keys binary")
+    answers = look_up(asked, served.told(word_buckets, width), {"m": np.int64, "t": np.int64, "s": np.float64}, width)
+    again = dishes.join(answers.withColumnRenamed("who", "bucket"), "bucket", "left").mapInPandas(sit, PAIRS)
+    return materialize(again.unionByName(pairs.filter("bucket < 0")), "pairs")
+
+
+def add_hot(pairs: DataFrame, hot: Hot, samples: int) -> Hot:
     """The totals of hot contexts over all buckets; a bucket's are fewer than HOT."""
 
     def total(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for x in pdf["hot"]:
-                i, guests, opened = np.frombuffer(x).reshape(3, -1)
-                yield pd.DataFrame({"i": i.astype(np.int64), "guests": guests, "opened": opened})
+            for row in pdf.to_dict("records"):
+                dishes = Dishes.read(row)
+                opened = dishes.discount * np.bincount(dishes.of, dishes.spread(thick(row["sum_t"]), samples), len(dishes.lengths)) / samples
+                is_hot = dishes.place >= 0
+                yield pd.DataFrame({"i": dishes.place[is_hot], "guests": np.bincount(dishes.of, dishes.n, len(is_hot))[is_hot], "opened": opened[is_hot]})
 
-    sums = pairs.filter("block is null").select("hot").mapInPandas(total, "i long, guests double, opened double")
+    sums = pairs.filter("n is not null").select("n", "lengths", "place", "word", "sum_t").mapInPandas(total, "i long, guests double, opened double")
     for r in sums.groupBy("i").agg(F.sum("guests").alias("guests"), F.sum("opened").alias("opened")).collect():
         hot.guests[r["i"]], hot.opened[r["i"]] = r["guests"], r["opened"]
     return hot
 
 
-def with_tables(words: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """(word, n, m): ``m`` are the tables of the pair restaurants that serve the word."""
+def tables_of(pairs: DataFrame, width: int) -> DataFrame:
+    """(h, single, m): the tables of the pair restaurants that serve a word, those of dishes of one customer and all."""
 
     def tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for w, t in zip(pdf["words"], pdf["t"]):
-                yield pd.DataFrame({"h": np.frombuffer(w, np.int64), "m": np.frombuffer(t, np.int64)})
+            for keys, t, n in zip(pdf["keys"], pdf["t"], pdf["n"]):
+                m = thick(t)
+                yield pd.DataFrame({"h": unplaned(keys, width).view(np.int64), "single": m * (n is None), "m": m})
+
+    told = pairs.filter("bucket >= 0").select("keys", "t", F.when(F.col("n").isNotNull(), F.lit(1)).cast("string").alias("n"))
+    return told.mapInPandas(tables, "h long, single long, m long").groupBy("h").agg(F.sum("single").alias("single"), F.sum("m").alias("m"))
+
+
+def with_tables(words: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """(word, n, h, single, m): ``m`` are the tables of the pair restaurants that serve the word."""
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             h = wide(narrow(word_hashes(list(pdf["word"])), width), width)
             yield pd.DataFrame({"word": pdf["word"], "n": pdf["n"], "h": h.view(np.int64)})
 
-    told = pairs.filter("block is null").select("words", "t").mapInPandas(tables, "h long, m long").groupBy("h").agg(F.sum("m").alias("m"))
-    rows = words.mapInPandas(hashed, "word binary, n long, h long").join(told, "h")
-    return materialize(rows.select("word", "n", "m"), "words")
+    rows = words.mapInPandas(hashed, "word binary, n long, h long").join(tables_of(pairs, width), "h")
+    return materialize(rows.select("word", "n", "h", "single", "m"), "words")
+
+
+def learn(blocks: DataFrame, counts: DataFrame, hot: Hot, buckets: int, word_buckets: int, width: int, burn: int, samples: int, seed: int) -> tuple[DataFrame, Words]:
+    """The pairs and the words after all sweeps, each of which seats both: pairs on the words' probabilities, words on the pairs' tables."""
+    pairs = gather_pairs(blocks, hot, buckets, word_buckets, width, burn, seed)
+    release(blocks.sparkSession)
+    if not counts.head(1):
+        uniform = spelling(np.zeros(0, np.int64), np.zeros(0, np.int64), seed)
+        return pairs, Words(counts.select("word", "n", F.lit(0.0).alias("gain")), [(1.0, uniform)])
+    rows = with_tables(counts, pairs, width)
+    forget(counts)
+    release(blocks.sparkSession)
+
+    def reseat(served: Served, sweep: int) -> DataFrame:
+        nonlocal pairs
+        release(blocks.sparkSession)  # a query that has only just ended may still be held when it is called
+        old, pairs = pairs, seat_pairs(pairs, served, hot, word_buckets, width, sweep >= burn, sweep, seed)
+        forget(old)
+        release(blocks.sparkSession)
+        now = tables_of(pairs, width).select("h", F.col("m").alias("now"))
+        return served.rows.join(now, "h", "left").withColumn("m", F.col("single") + F.coalesce("now", F.lit(0)))
+
+    words = seat_words(rows, burn, samples, seed, reseat)
+    return pairs, words
 
 
 # --- scores -----------------------------------------------------------------------------------
@@ -614,28 +795,34 @@ def word_answers(pairs: DataFrame, words: Words, buckets: int) -> DataFrame:
 
     def known(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keys, n, p = word_hashes(list(pdf["word"])), pdf["n"].to_numpy(np.int64), probability(pdf)
-            order = np.argsort(keys)
-            for k, a, b in cuts(keys[order], buckets):
-                x = order[a:b]
-                yield pd.DataFrame({"bucket": [k], "keys": [keys[x].tobytes()], "n": [n[x].tobytes()], "p": [p[x].tobytes()]})
-
-    def answer(asked: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        keys, n, p = (_joined(told[c], k) for c, k in (("keys", np.uint64), ("n", np.int64), ("p", np.float64)))
-        order = np.argsort(keys)
-        keys, n, p = np.append(keys[order], np.uint64(0)), np.append(n[order], 0), np.append(p[order], 0.0)
-        out = []
-        for k, block, x in zip(asked["bucket"], asked["block"], asked["keys"]):
-            want = unplaned(x)
-            at = np.searchsorted(keys[:-1], want)
-            hit = keys[at] == want
-            out.append((block, k, squeezed(np.where(hit, n[at], 0)), squeezed(np.where(hit, p[at], 0.0).astype(np.float32))))
-        return pd.DataFrame(out, columns=["block", "bucket", "n", "p"])
+            yield from dealt(word_hashes(list(pdf["word"])), buckets, {"n": pdf["n"].to_numpy(np.int64), "p": probability(pdf)})
 
-    asked = pairs.filter("bucket < 0").select((-1 - F.col("bucket")).alias("bucket"), "block", F.col("words").alias("keys"))
+    asked = pairs.filter("bucket < 0").select((-1 - F.col("bucket")).alias("bucket"), F.col("block").alias("who"), "keys")
     told = words.rows.mapInPandas(known, "bucket long, keys binary, n binary, p binary")
-    answers = asked.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInPandas(answer, "block long, bucket long, n binary, p binary")
-    return answers.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "n", "p"))).alias("answers"))
+    return look_up(asked, told, {"n": np.int64, "p": np.float64}).withColumnRenamed("who", "block")
+
+
+def pair_answers(pairs: DataFrame, samples: int) -> DataFrame:
+    """(block, pairs): per bucket the discount, the customers and tables of each of the block's pairs in order,
+    and those of each run of a context. Tables are of all samples."""
+
+    def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for row in pdf.to_dict("records"):
+                dishes, at = Dishes.read(row), np.cumsum(thick(row["gaps"], np.int32), dtype=np.int64)
+                t = dishes.spread(thick(row["sum_t"]), samples).astype(np.int64)
+                guests, opened = (np.bincount(dishes.of, x, len(dishes.lengths)).astype(np.int64) for x in (dishes.n, t))
+                ends, out = np.append(0, thick(row["ends"])), []
+                for i, block in enumerate(thick(row["blocks"]).tolist()):
+                    mine = at[ends[i] : ends[i + 1]]
+                    run = dishes.of[mine]
+                    run = run[heads_of(run)[:-1]]
+                    out.append((block, row["bucket"], dishes.discount, thin(dishes.n[mine]), thin(t[mine]), thin(guests[run]), thin(opened[run])))
+                yield pd.DataFrame(out, columns=["block", "bucket", "discount", "n", "t", "guests", "opened"])
+
+    rows = pairs.filter("n is not null").select("bucket", "n", "lengths", "place", "word", "sum_t", "blocks", "ends", "gaps")
+    told = rows.mapInPandas(tell, "block long, bucket long, discount double, n binary, t binary, guests binary, opened binary")
+    return told.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "discount", "n", "t", "guests", "opened"))).alias("pairs"))
 
 
 def learn_and_score(docs: DataFrame, train: str, text_col: str = "text", burn: int = BURN, samples: int = SAMPLES, seed: int = 0, pair_bucket_bytes: int = PAIR_BUCKET_BYTES, word_bucket_bytes: int = WORD_BUCKET_BYTES) -> DataFrame:
@@ -655,36 +842,32 @@ def learn_and_score(docs: DataFrame, train: str, text_col: str = "text", burn: i
     width = min(8, max(4, math.ceil((2 * math.log2(max(2, kinds)) - 1) / 8)))
     hot = hot_contexts(counts, tokens)
     release(docs.sparkSession)
-    pairs = seat_pairs(blocks, hot, pair_buckets, word_buckets, width, burn, samples, seed)
-    hot = add_hot(pairs, hot)
-    release(docs.sparkSession)
-    if tokens:
-        words = seat_words(with_tables(counts, pairs, width), burn, samples, seed)
-        forget(counts)
-    else:
-        uniform = spelling(np.zeros(0, np.int64), np.zeros(0, np.int64), seed)
-        words = Words(counts.select("word", "n", F.col("n").alias("m"), F.col("n").alias("t")), [(1.0, uniform)], 0.5, 0)
+    pairs, words = learn(blocks, counts, hot, pair_buckets, word_buckets, width, burn, samples, seed)
+    hot = add_hot(pairs, hot, samples)
     shared = docs.sparkSession.sparkContext.broadcast(words.samples)
     spelled = speller(shared)
     release(docs.sparkSession)
-    gathered = pairs.filter("block is not null and bucket >= 0").groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "gain", "share"))).alias("pairs"))
 
     def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for ids, sizes, data, marks, told, more in zip(pdf["ids"], pdf["sizes"], pdf["data"], pdf["marks"], pdf["answers"], pdf["pairs"]):
                 texts = unpack(data, sizes)
                 block = Tokens(texts, marks)
-                n, p = unsqueezed((x["n"] for x in told), np.int64), unsqueezed((x["p"] for x in told), np.float32).astype(np.float64)
+                n, p = all_thick(x["n"] for x in told), unsqueezed((x["p"] for x in told), np.float32).astype(np.float64)
                 new, log_p = n == 0, np.log10(np.where(n > 0, p, 1.0))
                 if new.any():  # a long word's probability is too small for a number
                     log_p[new] = spelled(_spelling_of(texts, block.keys[new])) / math.log(10)
                 base = np.log10((n + 1) / (tokens + kinds + 1))
                 group, _, _, at = block.pairs(hot)
-                gain, share = (unsqueezed((x[c] for x in more), np.float32).astype(np.float64) for c in ("gain", "share"))
-                gain, share = gain[at], share[(np.cumsum(np.concatenate(([False], group[1:] != group[:-1]))) if len(group) else np.zeros(0, np.int64))[at]]
+                runs = wide(narrow(group, width), width)  # as the buckets know them
+                runs = (np.cumsum(np.concatenate(([False], runs[1:] != runs[:-1]))) if len(runs) else np.zeros(0, np.int64))[at]
+                parts = [thick(x["n"]) for x in more]
+                discount = np.repeat([x["discount"] for x in more], [len(x) for x in parts]) / samples
+                gain = (np.concatenate([np.zeros(0), *parts]) - discount * all_thick(x["t"] for x in more))[at]
+                guests, opened = all_thick(x["guests"] for x in more)[runs].astype(np.float64), all_thick(x["opened"] for x in more)[runs] * discount[at]
                 hit, where = hot.find(block.keys[block.context])
-                gain[hit] /= STRENGTH_PAIRS + hot.guests[where]
-                share[hit] = (STRENGTH_PAIRS + hot.opened[where]) / (STRENGTH_PAIRS + hot.guests[where])
+                guests[hit], opened[hit] = hot.guests[where], hot.opened[where]
+                gain, share = gain / (STRENGTH_PAIRS + guests), (STRENGTH_PAIRS + opened) / (STRENGTH_PAIRS + guests)
                 # A pair without gain has the parent's share alone; so have all pairs of an unseen word.
                 score = log_p[block.word] + np.log10(share)
                 seen = np.flatnonzero(gain > 0)
@@ -692,7 +875,7 @@ def learn_and_score(docs: DataFrame, train: str, text_col: str = "text", burn: i
                 sums = [np.bincount(block.doc, x, len(texts)) for x in (np.ones(len(at)), n[block.word] > 0, base[block.word], score)]
                 yield pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "n_tokens": sums[0].astype(np.int64), "n_known": sums[1].astype(np.int64), "train_tokens": int(tokens), "base_score": sums[2], "score": sums[3]})
 
-    rows = blocks.join(word_answers(pairs, words, word_buckets), "block").join(gathered, "block").select("ids", "sizes", "data", "marks", "answers", "pairs")
+    rows = blocks.join(word_answers(pairs, words, word_buckets), "block").join(pair_answers(pairs, samples), "block").select("ids", "sizes", "data", "marks", "answers", "pairs")
     return rows.mapInPandas(tell, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ferroflux.llm import decontaminate, langid, lm, minhash, packing, queries, secrets, substrings, topk, toxicity, warc
 from ferroflux.llm.base import scratch
+from ferroflux.llm.blocks import text_blocks
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SF = "/root/testdata/sf0.001"
@@ -562,6 +563,45 @@ def test_seating_follows_the_exact_law(monkeypatch, few):
     assert np.abs(np.bincount(seats.tables(), minlength=n + 1) / runs - exact_tables(n, 0.6, 1.0, 7, 0.2)).max() < 0.03
 
 
+@pytest.mark.parametrize("few", [0, 1 << 30])
+def test_changed_seating_follows_the_exact_law(monkeypatch, few):
+    monkeypatch.setattr(lm, "FEW", few)
+    runs, others, base = 4000, np.full(4000, 7), np.full(4000, 0.2)
+    for before, after in ((9, 4), (3, 9)):
+        seats = lm.Seating(np.full(runs, before), 0.6, np.random.default_rng(0))
+        for k in range(12):
+            seats.sweep(others, base, 1.0, first=k == 0)
+        seats.change(np.full(runs, after), others, base, 1.0)
+        assert (seats.at < after).all() and (np.diff(seats.row) >= 0).all()
+        for _ in range(3):
+            seats.sweep(others, base, 1.0)
+        assert np.abs(np.bincount(seats.tables(), minlength=after + 1) / runs - exact_tables(after, 0.6, 1.0, 7, 0.2)).max() < 0.03
+
+
+def test_words_without_their_own_tables():
+    p = lm.without_own(np.array([5, 3, 1]), np.array([2, 3, 1]), np.array([0.01, 0.02, 0.03]), np.array([5, 1, 0]), 10, 0.5)
+    assert np.allclose(p, [0.01, 0.02 + (2 - 0.5 * 2) / 109, 0.03 + 0.5 / 110])
+
+
+def test_lm_seats_pairs_on_the_word_restaurant(spark):
+    """A word of half the tokens that follows one other word alone: but for its pair's own tables the
+    word restaurant knows it by its spelling only, so the pair keeps few tables, which the word's share of the tokens would not."""
+    rows = [(i, "qqqqqq zyxwvutsrq " * 400) for i in range(10)]
+    blocks = text_blocks(frame(spark, rows).withColumn("train", F.lit(True)), name="lm", mark="train")
+    counts = lm.count_words(blocks)
+    tokens = counts.agg(F.sum("n")).first()[0]
+    tables = {}
+    for burn in (0, 3):
+        held = lm.materialize(counts, "counts")
+        pairs, words = lm.learn(blocks, held, lm.hot_contexts(held, tokens), 1, 1, 8, burn, 1, 0)
+        row = pairs.filter("n is not null").first()
+        keys, t = lm.unplaned(row["keys"]), lm.thick(row["t"])
+        tables[burn] = dict(zip(keys.tolist(), t.tolist()))[int(lm.word_hashes([b"zyxwvutsrq"])[0])]
+        m = {bytes(r["word"]): r["n"] for r in words.rows.collect()}
+        assert m[b"zyxwvutsrq"] == 4000 and sum(m.values()) == tokens
+    assert tables[0] > 15 and tables[3] < 5
+
+
 def test_seating_of_large_and_empty_dishes():
     n = np.array([1, 0, 10**7, 50])
     seats = lm.Seating(n, 0.5, np.random.default_rng(0))
