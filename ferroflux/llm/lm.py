@@ -42,6 +42,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,6 +62,8 @@ BURN, SAMPLES = 1, 2
 FLUSH = 400_000
 WORD_BUCKET_BYTES = 64 << 20
 PAIR_BUCKET_BYTES = 6 << 20
+#: Words that are seated at the same time.
+SEATED = 1 << 16
 #: Dishes with customers left that are seated one after another instead of in rounds.
 FEW = 64
 HOT = 1000
@@ -260,11 +263,25 @@ def log_cells(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.nda
     """Natural log of the predictive probability of every cell of the longest contexts."""
     p = np.full((1, SYMBOLS), 1 / SYMBOLS, np.float32)
     for cell, gain, share in levels:
-        p = p[np.arange(len(share)) % len(p)] * share[:, None]
+        p = (share.reshape(-1, len(p), 1) * p).reshape(-1, SYMBOLS)
         p.reshape(-1)[cell] += gain
     return np.log(p, out=p).ravel()
 
 
+def log_some(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], some: np.ndarray) -> np.ndarray:
+    """What ``log_cells`` has of some cells, without a table of all."""
+    context, symbol = np.divmod(some, SYMBOLS)
+    p = np.full(len(some), 1 / SYMBOLS, np.float32)
+    for k, (cell, gain, share) in enumerate(levels):
+        own = context % CONTEXTS[k]
+        want = (own * SYMBOLS + symbol).astype(np.int32)
+        at = np.searchsorted(cell, want)
+        hit = np.flatnonzero(np.append(cell, np.int32(-1))[at] == want)
+        p *= share[own]
+        p[hit] += gain[at[hit]]
+    return np.log(p, out=p)
+
+
 def log_spelled(words: list[bytes], log_p: np.ndarray) -> np.ndarray:
     """Log of the probability of each word under a spelling model."""
     if not words:
@@ -273,6 +290,14 @@ def log_spelled(words: list[bytes], log_p: np.ndarray) -> np.ndarray:
     return np.add.reduceat(log_p[cell].astype(np.float64), bounds[:-1])
 
 
+def spelled_by(words: list[bytes], samples: list) -> np.ndarray:
+    """Log of what spelling adds to the probability of few words, averaged over the samples."""
+    cell, bounds = cells(words)
+    some, at = np.unique(cell, return_inverse=True)
+    each = [math.log(rest) + np.add.reduceat(log_some(levels, some).astype(np.float64)[at], bounds[:-1]) for rest, levels in samples]
+    return np.logaddexp.reduce(each, axis=0) - math.log(len(samples))
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     h = np.full(len(words), END_HASH)
     h[np.array([w != END for w in words], bool)] = word_spans(b"\n".join(w for w in words if w != END) + b"\n", space_table())[0]
@@ -285,18 +310,18 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 def count_words(blocks: DataFrame) -> DataFrame:
     """(word, n) over the marked documents of blocks, with one END each; tasks add up before the shuffle."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
 
-        def out() -> Iterator[pd.DataFrame]:
-            rows = list(held.items())
+        def out() -> Iterator[pa.RecordBatch]:
+            words, n = list(held), list(held.values())
             held.clear()
-            for at in range(0, len(rows), 20_000):
-                yield pd.DataFrame(rows[at : at + 20_000], columns=["word", "n"])
+            for at in range(0, len(words), 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array(words[at : at + 20_000], pa.binary()), pa.array(n[at : at + 20_000], pa.int64())], ["word", "n"])
 
-        for pdf in batches:
-            for sizes, data, marks in zip(pdf["sizes"], pdf["data"], pdf["marks"]):
-                for text, m in zip(unpack(data, sizes), marks):
+        for batch in batches:
+            for sizes, data, marks in zip(batch["sizes"], batch["data"], batch["marks"]):
+                for text, m in zip(unpack(data.as_py(), sizes.values.to_numpy()), marks.as_py()):
                     if m:
                         held.update(text.lower().split())
                         held[END] += 1
@@ -304,7 +329,7 @@ def count_words(blocks: DataFrame) -> DataFrame:
                     yield from out()
         yield from out()
 
-    rows = blocks.select("sizes", "data", "marks").mapInPandas(count, "word binary, n long")
+    rows = blocks.select("sizes", "data", "marks").mapInArrow(count, "word binary, n long")
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -318,24 +343,15 @@ class Words:
 
     def known(self):
         """A function of a batch of rows that gives their probabilities."""
-        spelled = speller(self.rows.sparkSession.sparkContext.broadcast(self.samples))
-        return lambda pdf: pdf["gain"].to_numpy(float) + np.exp(spelled(list(pdf["word"])))
+        shared, held = self.rows.sparkSession.sparkContext.broadcast(self.samples), []
 
+        def probability(pdf: pd.DataFrame) -> np.ndarray:
+            if not held:
+                held.extend((rest, log_cells(levels)) for rest, levels in shared.value)
+            words = list(pdf["word"])
+            return pdf["gain"].to_numpy(float) + np.mean([rest * np.exp(log_spelled(words, log_p)) for rest, log_p in held], axis=0)
 
-def speller(shared):
-    """A function of words that gives the log of what spelling adds to their probability, averaged over the samples."""
-
-    def spelled(words: list[bytes]) -> np.ndarray:
-        return np.logaddexp.reduce([math.log(rest) + log_spelled(words, log_p) for rest, log_p in tables()], axis=0) - math.log(len(shared.value))
-
-    held: list = []
-
-    def tables() -> list:
-        if not held:
-            held.extend((rest, log_cells(levels)) for rest, levels in shared.value)
-        return held
-
-    return spelled
+        return probability
 
 
 def _spelled_tables(rows: DataFrame) -> np.ndarray:
@@ -392,6 +408,19 @@ def without_own(m: np.ndarray, t: np.ndarray, s: np.ndarray, own: np.ndarray, gu
     return (m - discount * np.minimum(t, m)) / np.maximum(STRENGTH_WORDS, STRENGTH_WORDS + guests - own) + s
 
 
+def gathered(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """Batches put together until they have ``rows`` rows."""
+    held, n = [], 0
+    for pdf in batches:
+        held.append(pdf)
+        n += len(pdf)
+        if n >= rows:
+            yield pd.concat(held, ignore_index=True)
+            held, n = [], 0
+    if n:
+        yield pd.concat(held, ignore_index=True)
+
+
 def seat_words(rows: DataFrame, burn: int, samples: int, seed: int, reseat=None) -> Words:
     """Seat the customers ``m`` of each word of ``rows`` (word, n, m, more columns). Before each sweep but the
     first, ``reseat`` may seat the pairs on a state of this restaurant and gives the rows of that
@@ -413,12 +442,13 @@ def seat_words(rows: DataFrame, burn: int, samples: int, seed: int, reseat=None)
 
         def sit(batches: Iterator[pd.DataFrame], sweep=sweep, total=total, guests=guests, shared=shared) -> Iterator[pd.DataFrame]:
             log_p = log_cells(shared.value)
-            for pdf in batches:
+            for pdf in gathered(batches, SEATED):
                 words, m, t = list(pdf["word"]), pdf["m"].to_numpy(np.int64), pdf["t"].to_numpy(np.int64)
                 rng = np.random.default_rng([seed, sweep, len(words), *np.frombuffer(words[0][:8].ljust(8, b"\0"), np.uint32).tolist(), int(m.sum())])
-                old = [np.frombuffer(x, np.int32) if x is not None else np.zeros(0, np.int32) for x in pdf["path"]]
-                row = np.repeat(np.arange(len(words)), [len(x) for x in old])
-                seats, base = Seating(pdf["seated"].to_numpy(np.int64), discount, rng, row, np.concatenate((np.zeros(0, np.int64), *old)).astype(np.int64)), np.exp(log_spelled(words, log_p))
+                paths = [x or b"" for x in pdf["path"]]
+                row = np.repeat(np.arange(len(words)), [len(x) // 4 for x in paths])
+                seats = Seating(pdf["seated"].to_numpy(np.int64), discount, rng, row, np.frombuffer(b"".join(paths), np.int32).astype(np.int64))
+                base = np.exp(np.concatenate([log_spelled(words[at : at + 8192], log_p) for at in range(0, len(words), 8192)]))
                 seats.change(m, total - t, base, STRENGTH_WORDS)
                 seats.sweep(total - t, base, STRENGTH_WORDS, first=sweep == 0)
                 t, path = seats.tables(), np.full(len(m), None, object)
@@ -500,16 +530,15 @@ class Tokens:
         self.marked = np.frombuffer(marks, np.uint8)[self.doc]
 
     def pairs(self, hot: Hot) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(group, word, marked tokens) of the distinct pairs in order of group, and the pair of each token."""
+        """(group, context, word) of the distinct pairs in order of group, the latter as places in ``keys``, and the pair of each token."""
         width = max(1, len(self.keys))
         code, at = np.unique(self.context.astype(np.int64) * width + self.word, return_inverse=True)
-        word = self.keys[code % width]
-        group = hot.groups(self.keys[code // width], word)
+        context, word = np.divmod(code, width)
+        group = hot.groups(self.keys[context], self.keys[word])
         order = np.argsort(group, kind="stable")
         place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order), dtype=np.int32)
-        n = np.bincount(at, self.marked, len(code)).astype(np.int32)
-        return group[order], word[order], n[order], place[at]
+        return group[order], context[order], word[order], place[at]
 
 
 def heads_of(group: np.ndarray) -> np.ndarray:
@@ -642,7 +671,8 @@ def gather_pairs(blocks: DataFrame, hot: Hot, buckets: int, word_buckets: int, w
         for pdf in batches:
             for block, sizes, data, marks in zip(pdf["block"], pdf["sizes"], pdf["data"], pdf["marks"]):
                 tokens = Tokens(unpack(data, sizes), marks)
-                group, word, n, _ = tokens.pairs(hot)
+                group, _, word, at = tokens.pairs(hot)
+                word, n = tokens.keys[word], np.bincount(at, tokens.marked, len(word)).astype(np.int32)
                 rows = [(-1 - k, block, b"", b"", planes(tokens.keys[a:b]), b"") for k, a, b in cuts(tokens.keys, word_buckets)]
                 for k, a, b in cuts(group, buckets):
                     at = heads_of(group[a:b])
@@ -845,7 +875,6 @@ def learn_and_score(docs: DataFrame, train: str, text_col: str = "text", burn: i
     pairs, words = learn(blocks, counts, hot, pair_buckets, word_buckets, width, burn, samples, seed)
     hot = add_hot(pairs, hot, samples)
     shared = docs.sparkSession.sparkContext.broadcast(words.samples)
-    spelled = speller(shared)
     release(docs.sparkSession)
 
     def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -856,23 +885,27 @@ def learn_and_score(docs: DataFrame, train: str, text_col: str = "text", burn: i
                 n, p = all_thick(x["n"] for x in told), unsqueezed((x["p"] for x in told), np.float32).astype(np.float64)
                 new, log_p = n == 0, np.log10(np.where(n > 0, p, 1.0))
                 if new.any():  # a long word's probability is too small for a number
-                    log_p[new] = spelled(_spelling_of(texts, block.keys[new])) / math.log(10)
+                    few = [texts[i] for i in np.unique(block.doc[new[block.word]]).tolist()]
+                    log_p[new] = spelled_by(_spelling_of(few, block.keys[new]), shared.value) / math.log(10)
                 base = np.log10((n + 1) / (tokens + kinds + 1))
-                group, _, _, at = block.pairs(hot)
+                group, context, word, at = block.pairs(hot)
                 runs = wide(narrow(group, width), width)  # as the buckets know them
-                runs = (np.cumsum(np.concatenate(([False], runs[1:] != runs[:-1]))) if len(runs) else np.zeros(0, np.int64))[at]
+                runs = np.cumsum(np.concatenate(([False], runs[1:] != runs[:-1]))) if len(runs) else np.zeros(0, np.int64)
                 parts = [thick(x["n"]) for x in more]
                 discount = np.repeat([x["discount"] for x in more], [len(x) for x in parts]) / samples
-                gain = (np.concatenate([np.zeros(0), *parts]) - discount * all_thick(x["t"] for x in more))[at]
-                guests, opened = all_thick(x["guests"] for x in more)[runs].astype(np.float64), all_thick(x["opened"] for x in more)[runs] * discount[at]
-                hit, where = hot.find(block.keys[block.context])
-                guests[hit], opened[hit] = hot.guests[where], hot.opened[where]
+                gain = np.concatenate([np.zeros(0), *parts]) - discount * all_thick(x["t"] for x in more)
+                guests, opened = all_thick(x["guests"] for x in more)[runs].astype(np.float64), all_thick(x["opened"] for x in more)[runs] * discount
+                hit, where = hot.find(block.keys)
+                often, place = hit[context], np.zeros(len(hit), np.int64)
+                place[hit] = where
+                where = place[context[often]]
+                guests[often], opened[often] = hot.guests[where], hot.opened[where]
                 gain, share = gain / (STRENGTH_PAIRS + guests), (STRENGTH_PAIRS + opened) / (STRENGTH_PAIRS + guests)
                 # A pair without gain has the parent's share alone; so have all pairs of an unseen word.
-                score = log_p[block.word] + np.log10(share)
+                score = log_p[word] + np.log10(share)
                 seen = np.flatnonzero(gain > 0)
-                score[seen] = np.log10(gain[seen] + share[seen] * p[block.word[seen]])
-                sums = [np.bincount(block.doc, x, len(texts)) for x in (np.ones(len(at)), n[block.word] > 0, base[block.word], score)]
+                score[seen] = np.log10(gain[seen] + share[seen] * p[word[seen]])
+                sums = [np.bincount(block.doc, x, len(texts)) for x in (np.ones(len(at)), n[block.word] > 0, base[block.word], score[at])]
                 yield pd.DataFrame({"doc_id": pd.array(ids, dtype="Int64"), "n_tokens": sums[0].astype(np.int64), "n_known": sums[1].astype(np.int64), "train_tokens": int(tokens), "base_score": sums[2], "score": sums[3]})
 
     rows = blocks.join(word_answers(pairs, words, word_buckets), "block").join(pair_answers(pairs, samples), "block").select("ids", "sizes", "data", "marks", "answers", "pairs")
@@ -884,6 +917,7 @@ def _spelling_of(texts: list[bytes], hashes: np.ndarray) -> list[bytes]:
     out, data = {}, b"\n".join(texts).lower() + b"\n"
     h, start, end = word_spans(data, space_table())
     at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-    for i in np.flatnonzero(hashes[at] == h)[::-1].tolist():
+    found = np.flatnonzero(hashes[at] == h)
+    for i in found[np.unique(at[found], return_index=True)[1]].tolist():
         out[int(at[i])] = data[start[i] : end[i]]
     return [out.get(k, END) for k in range(len(hashes))]

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -627,6 +628,47 @@ def test_spelling_is_a_distribution():
     assert np.allclose(p.sum(axis=1), 1, atol=1e-4)
 
 
+def test_some_cells_match_the_table_of_all():
+    cell = np.unique(lm.cells([b"abc", b"abd", b"bcd", b"\xc3\xa9t\xc3\xa9"])[0])
+    levels = lm.spelling(cell, np.arange(1, len(cell) + 1), 0)
+    some, whole = np.concatenate((cell, [0, 77, lm.CELLS - 1])), lm.log_cells(levels)
+    assert np.allclose(lm.log_some(levels, some), whole[some], rtol=1e-6)
+    samples, words = [(0.5, levels), (0.2, lm.spelling(cell[:0], cell[:0], 0))], [b"abc", b"zzz", b"", "\u30c6".encode()]
+    each = [math.log(rest) + lm.log_spelled(words, lm.log_cells(x)) for rest, x in samples]
+    assert np.allclose(lm.spelled_by(words, samples), np.logaddexp(*each) - math.log(2))
+
+
+def test_lm_scores_unseen_words_without_a_table_of_all_cells(spark, monkeypatch, tmp_path):
+    """A table of all cells takes 34 MB, and a scoring task held one for each sample."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    given = DataFrame.mapInPandas
+
+    def measured(self, func, schema, *more):
+        def run(batches):
+            import os
+            import tracemalloc
+
+            tracemalloc.start()
+            yield from func(batches)
+            (tmp_path / f"{os.getpid()}").write_text(str(tracemalloc.get_traced_memory()[1]))
+            tracemalloc.stop()
+
+        return given(self, run if func.__qualname__.startswith("learn_and_score") else func, schema, *more)
+
+    monkeypatch.setattr(DataFrame, "mapInPandas", measured)
+    got = lm_scores(frame(spark, [(i, prose(80, i, 60)) for i in range(20)] + [(20, "unseen wordsofall kinds")]).coalesce(1), "doc_id < 20")
+    assert got[20].n_known == 1 and got[20].score < 0
+    peaks = [int(p.read_text()) for p in tmp_path.iterdir()]
+    assert peaks and max(peaks) < 20_000_000
+
+
+def test_batches_of_words_are_put_together():
+    batches = [pd.DataFrame({"word": [bytes([i])] * 3}) for i in range(5)]
+    assert [len(x) for x in lm.gathered(iter(batches), 6)] == [6, 6, 3]
+    assert pd.concat(lm.gathered(iter(batches), 4), ignore_index=True).equals(pd.concat(batches, ignore_index=True))
+
+
 # --- WARC -----------------------------------------------------------------------------------
 
 
