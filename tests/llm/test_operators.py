@@ -474,6 +474,43 @@ def test_suffix_sort_is_lexicographic():
     assert order.tolist() == sorted(range(2900), key=lambda k: (group[k], text[k : k + 50], k))
 
 
+def test_segments_do_not_depend_on_slices(monkeypatch):
+    rng = np.random.default_rng(5)
+    texts = [bytes(rng.integers(97, 100, n, np.uint8)) for n in (10, 700, 49, 50, 0, 3000, 51, 120)]
+
+    def strings(size):
+        monkeypatch.setattr(substrings, "SLICE", size)
+        x = substrings.Segments(texts)
+        return sorted((a, int(d), int(m), int(f + g - a)) for m, f, b, d, g in zip(x.minimizer, x.first, x.last, x.doc, x.anchor) for a in range(int(f), int(b) + 1))
+
+    whole = strings(1 << 20)
+    assert len(whole) == sum(max(0, len(t) - 49) for t in texts) and strings(64) == strings(1000) == whole
+
+
+def test_repeats_whose_hashes_clash_are_told_by_bytes(monkeypatch):
+    rng = np.random.default_rng(6)
+    raw = rng.integers(97, 123, 4000).astype(np.uint8)
+    raw[2999:3201] = [0, *raw[100:300], 0]
+    start, hashes = np.arange(3950), substrings.part_hashes
+    order, same = substrings._equal_strings(raw, start, 0 * start, np.zeros(3950, np.uint64), 50)
+    found = sorted(zip(order[np.flatnonzero(same) - 1].tolist(), order[same].tolist()))
+    monkeypatch.setattr(substrings, "part_hashes", lambda total, at, size: np.zeros(len(at), np.uint64) if np.isscalar(size) else hashes(total, at, size))
+    order, same = substrings._equal_strings(raw, start, 0 * start, np.zeros(3950, np.uint64), 50)
+    assert sorted(zip(order[np.flatnonzero(same) - 1].tolist(), order[same].tolist())) == found and len(found) == 151
+
+
+def test_repeats_move_few_rows_and_find_segments_twice(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    texts = [bytes(rng.integers(97, 123, 100_000, np.uint8)).decode() for _ in range(40)]
+    for k in range(1, 40, 2):
+        texts[k] = texts[k][:500] + "1" + texts[k - 1][7000:7100] + "2" + texts[k][500:]
+    blocks, made = substrings.text_blocks, []
+    monkeypatch.setattr(substrings, "text_blocks", lambda *a, **k: made.append(blocks(*a, **k)) or made[-1])
+    found = substrings.remove_repeats(frame(spark, list(enumerate(texts))).coalesce(1), bucket_bytes=100_000)
+    assert sorted((r.doc_id, r.n_removed, r.n_spans, len(r.kept)) for r in found.collect()) == [(k, 100 * (k % 2), k % 2, 100_000 + 2 * (k % 2)) for k in range(40)]
+    assert made[0].count() == 1
+
+
 # --- top-k ----------------------------------------------------------------------------------
 
 
