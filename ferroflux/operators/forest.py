@@ -8,6 +8,9 @@ searched. Then each drawn row moves once to its small node, groups of which are
 by ``LOCAL``, and a task grows all that is below. Several fits on parts of the same rows,
 such as folds, grow side by side.
 
+Where the learned rows as bytes take at most ``HELD`` in all, each task gets all of them instead and grows
+whole trees, so that no row moves once for each tree. Larger tables go the way above.
+
 A node is split only if it holds at least ``split`` rows; each side keeps at least
 ``leaf``. Rows are drawn for a tree with Poisson weights from a hash of their features, and
 a node's features by a hash of its place in the tree, so results don't depend on how
@@ -31,6 +34,8 @@ TREES, DEPTH, LEAF, SPLIT, SEED, BINS = 200, 12, 2, 5, 42, 64
 CHUNK, COUNTS, CELLS = 16, 1 << 20, 1 << 18
 #: Rows of a node whose whole subtree one task grows, and of a group of such nodes but for its last one.
 LOCAL = 1 << 15
+#: Bytes of the learned rows up to which every task holds all of them, and rows that a task counts at once, so that its arrays stay in a core's cache.
+HELD, STEP = 1 << 28, 1 << 13
 #: Weights above this many draws don't occur; the law is Poisson's with mean 1.
 _DRAWS = np.cumsum(np.exp(-1.0) / np.cumprod(np.concatenate(([1.0], np.arange(1.0, 8.0)))))
 
@@ -269,6 +274,9 @@ def grow(stored: DataFrame, labels: list[str], columns: list[str], edges: list[n
     none = np.zeros(0, np.int32)
     one = Forest(labels, columns, edges, trees, np.arange(total, dtype=np.int32), np.full(total, -1, np.int16), np.zeros(total, np.uint8), np.full(total, -1, np.int32), np.full(total, -1, np.int32), np.zeros((total, classes)), np.zeros(total, np.int32))
     train = stored.filter((F.col("code") >= 0) & (F.size("fits") > 0))
+    sent = hold(train, len(columns), fits)
+    if sent is not None:
+        return _whole(train, one, sent, (classes, m, bins), depth, leaf, split, seed)
 
     def sized(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = np.zeros(total, np.int64)
@@ -319,6 +327,78 @@ def grow(stored: DataFrame, labels: list[str], columns: list[str], edges: list[n
     return Grown(one, gains, members, _small(train, one, group, slot, facts, (classes, m, bins), leaf, split, seed))
 
 
+def hold(stored: DataFrame, columns: int, fits: int, keep: str | None = None):
+    """The rows of store_bins as a broadcast (see Held) if they take at most HELD bytes, else None; ``keep`` names an int column to hold too."""
+    width = columns + 16 + -(-fits // 8)
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                within = np.zeros((len(pdf), fits), bool)
+                for k, f in enumerate(pdf["fits"]):
+                    within[k, np.asarray(f, np.int64)] = True
+                parts = (pdf["h"].to_numpy(np.int64), pdf["code"].to_numpy(np.int32), pdf[keep].to_numpy(np.int32) if keep else np.zeros(0), np.packbits(within, axis=1))
+                yield pd.DataFrame([[*(x.tobytes() for x in parts), b"".join(pdf["bins"])]], columns=["h", "code", "kept", "fits", "bins"])
+
+    if stored.count() * width > HELD:
+        return None
+    found = stored.mapInPandas(packed, "h binary, code binary, kept binary, fits binary, bins binary").toArrow()
+    return stored.sparkSession.sparkContext.broadcast([b"".join(found[c].to_pylist()) for c in ("h", "code", "kept", "fits", "bins")])
+
+
+class Held:
+    """Views of what ``hold`` sent: hashes, labels' places, the kept column, bins, and the rows of a fit."""
+
+    def __init__(self, parts: list[bytes], columns: int, fits: int):
+        self.h, self.code, self.kept = np.frombuffer(parts[0], np.int64), np.frombuffer(parts[1], np.int32), np.frombuffer(parts[2], np.int32)
+        self.within, self.x = np.frombuffer(parts[3], np.uint8).reshape(len(self.h), -(-fits // 8)), np.frombuffer(parts[4], np.uint8).reshape(len(self.h), columns)
+
+    def learned(self, fit: int) -> np.ndarray:
+        return np.flatnonzero(self.within[:, fit // 8] >> np.uint8(7 - fit % 8) & np.uint8(1))
+
+    def grow(self, learned: np.ndarray, some: np.ndarray, depth: int, sizes: tuple, leaf: int, split: int, seed: int) -> tuple:
+        """See subtrees; of the trees ``some`` on the rows ``learned``."""
+        weight = draws(self.h[learned], some, seed).T
+        at, r = np.nonzero(weight)
+        row = learned[r]
+        return subtrees(self.x, self.code[row], weight[at, r], at.astype(np.int32), some.astype(np.uint64), np.full(len(some), depth), sizes, leaf, split, seed, row)
+
+
+def _whole(train: DataFrame, one: Forest, sent, sizes: tuple, depth: int, leaf: int, split: int, seed: int) -> Grown:
+    """Grown of whole trees, some of a fit in a task; ``sent`` is of ``hold``."""
+    columns, trees, fits, spark = len(one.columns), one.trees, one.fits, train.sparkSession
+    rows = Held(sent.value, columns, fits)
+    members = []
+    for fit in range(fits):
+        step = max(1, LOCAL // max(1, len(rows.learned(fit))))
+        members += [np.arange(t, min(t + step, (fit + 1) * trees)) for t in range(fit * trees, (fit + 1) * trees, step)]
+
+    def grown(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, fit, learned = Held(sent.value, columns, fits), -1, None
+        for pdf in batches:
+            for g in pdf["grp"].tolist():
+                some = members[g]
+                if some[0] // trees != fit:
+                    fit = int(some[0]) // trees
+                    learned = rows.learned(fit)
+                *nodes, gain = rows.grow(learned, some, depth, sizes, leaf, split, seed)
+                yield pd.DataFrame([_packed(g, fit, nodes, some, gain)], columns=PACKED)
+
+    tasks = min(len(members), 8 * spark.sparkContext.defaultParallelism)
+    groups = spark.range(0, len(members), 1, tasks).select(F.col("id").cast("int").alias("grp"))
+    return Grown(one, np.zeros((fits * trees, columns)), members, groups.mapInPandas(grown, SUBTREES))
+
+
+PACKED = ["grp", "fit", "sizes", "feature", "cut", "left", "counts", "rows", "tree", "gain"]
+SUBTREES = "grp int, fit int, sizes int, feature binary, cut binary, left binary, counts binary, rows binary, tree array<int>, gain array<array<double>>"
+
+
+def _packed(grp: int, fit: int, nodes: list[np.ndarray], trees: np.ndarray, gain: np.ndarray) -> tuple:
+    """A row of Grown's subtrees."""
+    kinds = (np.int16, np.uint8, np.int32, np.int32, np.int32)
+    return (grp, fit, len(nodes[0]), *[x.astype(k).tobytes() for x, k in zip(nodes, kinds)], trees.tolist(), gain.tolist())
+
+
 def _level(train: DataFrame, one: Forest, ids: np.ndarray, new: np.ndarray, level: int, sizes: tuple, leaf: int, seed: int) -> pd.DataFrame:
     """The best split of each of the nodes ``new`` at the border: node (its place in ``new``), feature, cut, gain and both sides' counts."""
     classes, m, bins = sizes
@@ -411,20 +491,22 @@ def _small(train: DataFrame, one: Forest, group: np.ndarray, slot: np.ndarray, f
         fit, ids, tree, levels = sent.value[3][int(pdf["grp"].iloc[0])]
         at, code = (np.frombuffer(b"".join(pdf[c]), np.int32) for c in ("slot", "code"))
         weight, x = np.frombuffer(b"".join(pdf["weight"]), np.uint8), np.frombuffer(b"".join(pdf["bins"]), np.uint8).reshape(len(at), columns)
-        feature, cut, left, counts, rows, gain = subtrees(x, code, weight, at, ids, levels, sizes, leaf, split, seed)
+        *nodes, gain = subtrees(x, code, weight, at, ids, levels, sizes, leaf, split, seed)
         which, place = np.unique(tree, return_inverse=True)
         added = np.zeros((len(which), columns))
         np.add.at(added, place, gain)
-        told = [x_.tobytes() for x_ in (feature.astype(np.int16), cut.astype(np.uint8), left.astype(np.int32), counts.astype(np.int32), rows.astype(np.int32))]
-        return pd.DataFrame([(int(pdf["grp"].iloc[0]), fit, len(feature), *told, which.tolist(), added.tolist())], columns=["grp", "fit", "sizes", "feature", "cut", "left", "counts", "rows", "tree", "gain"])
+        return pd.DataFrame([_packed(int(pdf["grp"].iloc[0]), fit, nodes, which, added)], columns=PACKED)
 
     moved = train.mapInPandas(dealt, "grp int, slot binary, code binary, weight binary, bins binary")
-    return moved.groupBy("grp").applyInPandas(grown, "grp int, fit int, sizes int, feature binary, cut binary, left binary, counts binary, rows binary, tree array<int>, gain array<array<double>>")
+    return moved.groupBy("grp").applyInPandas(grown, SUBTREES)
 
 
-def subtrees(x: np.ndarray, code: np.ndarray, weight: np.ndarray, at: np.ndarray, ids: np.ndarray, levels: np.ndarray, sizes: tuple, leaf: int, split: int, seed: int) -> tuple:
-    """(feature, cut, left, counts, rows) of all nodes below the roots ``ids``, roots first, right children beside left ones, and (root, feature) gains; row k lies in root ``at[k]``."""
+def subtrees(x: np.ndarray, code: np.ndarray, weight: np.ndarray, at: np.ndarray, ids: np.ndarray, levels: np.ndarray, sizes: tuple, leaf: int, split: int, seed: int, row: np.ndarray | None = None) -> tuple:
+    """(feature, cut, left, counts, rows) of all nodes below the roots ``ids``, roots first, right children beside left ones, and (root, feature) gains; row k lies in root ``at[k]`` and is row ``row[k]`` of ``x``, or k."""
     classes, m, bins = sizes
+    row, flat, weight = np.arange(len(code)) if row is None else row, x.reshape(-1), weight.astype(float)
+    slots = np.arange(CHUNK * m).reshape(CHUNK, m) * bins  # of (node, feature, bin), and what they lack to be of (node, feature, class, bin)
+    turned = slots * (classes - 1)
     roots, columns = len(ids), x.shape[1]
     counts = np.bincount(at.astype(np.int64) * classes + code, weights=weight, minlength=roots * classes).reshape(roots, classes)
     rows, gain = np.bincount(at, minlength=roots), np.zeros((roots, columns))
@@ -442,18 +524,26 @@ def subtrees(x: np.ndarray, code: np.ndarray, weight: np.ndarray, at: np.ndarray
             break
         border = np.flatnonzero(open_)
         starts = np.searchsorted(node, np.append(border, len(open_)))
-        found = []
-        for lo in range(0, len(border), 4 * CHUNK):
-            some = border[lo : lo + 4 * CHUNK]
-            mine = slice(starts[lo], starts[min(lo + 4 * CHUNK, len(border))])
+        found, lo = [], 0
+        while lo < len(border):
+            hi = max(lo + 1, min(lo + CHUNK, int(np.searchsorted(starts, starts[lo] + STEP, "right")) - 1))
+            some = border[lo:hi]
             features = chosen_features(ids[some], columns, seed)
-            rel = np.searchsorted(some, node[mine])
-            pick = order[mine]
-            cell = (rel[:, None] * m + np.arange(m)) * classes
-            key = (cell + code[pick][:, None]) * bins + x[pick[:, None], features[rel]]
-            w = np.bincount(key.ravel(), weights=np.repeat(weight[pick].astype(float), m), minlength=len(some) * m * classes * bins).reshape(len(some), m, classes, bins)
-            n = np.bincount((key - (cell // classes * (classes - 1) + code[pick][:, None]) * bins).ravel(), minlength=len(some) * m * bins).reshape(len(some), m, bins)
-            found.append(_best(w, n, features, leaf))
+            w = n = None
+            for i in range(starts[lo], starts[hi], STEP):
+                mine = slice(i, min(i + STEP, starts[hi]))
+                pick, rel = order[mine], np.repeat(np.arange(hi - lo), np.diff(np.clip(starts[lo : hi + 1], i, i + STEP)))
+                place = features.take(rel, axis=0)
+                place += (row.take(pick) * columns)[:, None]
+                key = slots.take(rel, axis=0)
+                key += flat.take(place)
+                n_ = np.bincount(key.ravel(), minlength=len(some) * m * bins)
+                key += turned.take(rel, axis=0)
+                key += (code.take(pick) * bins)[:, None]
+                w_ = np.bincount(key.ravel(), weights=np.repeat(weight.take(pick), m), minlength=len(some) * m * classes * bins)
+                w, n = (w_, n_) if w is None else (np.add(w, w_, out=w), np.add(n, n_, out=n))
+            found.append(_best(w.reshape(len(some), m, classes, bins), n.reshape(len(some), m, bins), features, leaf))
+            lo = hi
         f, cut, won, lefts, rights, n_left, n_right = (np.concatenate(v) for v in zip(*found))
         good = won > 1e-9
         at_, f, cut, won = border[good], f[good], cut[good], won[good]
@@ -466,24 +556,45 @@ def subtrees(x: np.ndarray, code: np.ndarray, weight: np.ndarray, at: np.ndarray
             told[c].append(v)
         inner = last["feature"][node] >= 0
         order, node = order[inner], node[inner]
-        node = last["left"][node] - base + (x[order, last["feature"][node]] > last["cut"][node])
+        node = last["left"].take(node) - base + (flat.take(row.take(order) * columns + last["feature"].take(node)) > last["cut"].take(node))
         again = np.argsort(node, kind="stable")
         order, node = order[again], node[again]
         ids, root, left_over, first = pair(below(ids[at_], 0), below(ids[at_], 1)), np.repeat(root[at_], 2), np.repeat(left_over[at_] - 1, 2), base
     return (*[np.concatenate(v) for v in told.values()], gain)
 
 
+def add_shares(out: np.ndarray, x: np.ndarray, rows: np.ndarray, nodes: tuple, trees: int, depth: int) -> None:
+    """Add to ``out`` the class shares of the leaves that ``rows`` of ``x`` reach in each of the trees of ``subtrees``, in order of tree."""
+    feature, cut, left, counts = nodes[:4]
+    inner = feature >= 0
+    # A node as one number: its left child (itself at a leaf, where no bin is beyond the cut), its feature and its cut.
+    told = np.where(inner, left, np.arange(len(left))) << 24 | np.maximum(feature, 0) << 8 | np.where(inner, cut, 255)
+    shares = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1e-300)
+    for lo in range(0, len(rows), 1 << 13):
+        some = x[rows[lo : lo + (1 << 13)]]
+        flat, base = some.reshape(-1), np.arange(len(some)) * x.shape[1]
+        for tree in range(trees):
+            at = np.full(len(some), tree)
+            for _ in range(depth):
+                one = told[at]
+                at = (one >> 24) + (flat[base + (one >> 8 & 0xFFFF)] > (one & 0xFF))
+            out[lo : lo + (1 << 13)] += shares[at]
+
+
 def _best(w: np.ndarray, n: np.ndarray, features: np.ndarray, leaf: int) -> tuple:
     """Of weights (node, feature, class, bin) and rows (node, feature, bin), each node's best split: feature, cut, gain, both sides' counts and rows."""
     left, n_left = np.cumsum(w, axis=3), np.cumsum(n, axis=2)
-    right, n_right = left[..., -1:] - left, n_left[..., -1:] - n_left
-    purity = lambda x: np.einsum("abcd,abcd->abd", x, x) / np.maximum(x.sum(axis=2), 1e-300)
-    pure = purity(left)
-    gain = np.where((n_left >= leaf) & (n_right >= leaf), pure + purity(right) - pure[..., -1:], 0.0)
+    # Squares of the right sides' counts follow from products of whole numbers, which are exact.
+    all_, n_right, sums = left[..., -1], n_left[..., -1:] - n_left, np.cumsum(w.sum(axis=2), axis=2)
+    squares, whole = np.einsum("abcd,abcd->abd", left, left), np.einsum("abc,abc->ab", all_, all_)[..., None]
+    others = whole - 2 * np.einsum("abc,abcd->abd", all_, left) + squares
+    over = lambda x, y: x / np.maximum(y, 1e-300)
+    gain = np.where((n_left >= leaf) & (n_right >= leaf), over(squares, sums) + over(others, sums[..., -1:] - sums) - over(whole, sums[..., -1:]), 0.0)
     flat = gain.reshape(len(w), -1)
     best, at = flat.argmax(axis=1), np.arange(len(w))
     slot, cut = best // w.shape[3], best % w.shape[3]
-    return features[at, slot], cut, flat[at, best], left[at, slot, :, cut], right[at, slot, :, cut], n_left[at, slot, cut], n_right[at, slot, cut]
+    lefts = left[at, slot, :, cut]
+    return features[at, slot], cut, flat[at, best], lefts, all_[at, slot] - lefts, n_left[at, slot, cut], n_right[at, slot, cut]
 
 
 def best_splits(w: np.ndarray, n: np.ndarray, features: np.ndarray, first: int, leaf: int) -> pd.DataFrame:

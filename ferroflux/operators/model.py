@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..store import materialize
-from .forest import DEPTH, LEAF, SEED, SPLIT, TREES, Forest, Paths, bin_edges, grow, path_tables, shap, store_bins
+from .forest import DEPTH, LEAF, LOCAL, SEED, SPLIT, TREES, Forest, Held, Paths, add_shares, bin_edges, grow, hold, path_tables, shap, store_bins
 from .prep import fit_scaler, label_codes, scaled, varying
 from .scan import numbered
 from .windows import segments
@@ -72,7 +72,8 @@ def learning_curve(rows: DataFrame, columns: list[str], key: str, label: str = "
     """(size, fold, train, validation): accuracies of forests on growing shares of each fold's training rows.
 
     Rows are dealt to folds within their label in order of a hash of ``key``. All sizes and
-    folds are grown side by side over one binned table, and scored in runs.
+    folds are grown side by side over one binned table: a fit in a task that holds the whole table,
+    if that is small enough (see HELD), else by all tasks, and then scored in runs.
     """
     labels, edges = _labels(rows, label), bin_edges(rows, columns)
     dealt = numbered(rows.withColumn("_h", F.xxhash64(key)), [label], ["_h", key], "_i")
@@ -82,11 +83,41 @@ def learning_curve(rows: DataFrame, columns: list[str], key: str, label: str = "
     every = F.sequence(F.lit(0), F.lit(sizes * folds - 1))
     mine = lambda k: (k % folds != F.col("_fold")) & (F.col("_j") < F.greatest(F.lit(1), F.round(F.col("_n") * (F.floor(k / folds) + 1) / sizes)))
     stored = store_bins(dealt, columns, edges, labels, label, F.filter(every, mine), ["_fold"])
-    grown = grow(stored, labels, columns, edges, fits=sizes * folds, trees=trees, depth=depth).stored()
+    size = F.round((F.floor(F.col("fit") / folds) + 1) / sizes, 6)
+    told = _scores(stored, labels, columns, edges, sizes * folds, folds, trees, depth)
+    told = told.groupBy("fit").pivot("part", ["train", "validation"]).agg(F.sum("hits") / F.sum("n"))
+    return told.select(size.alias("size"), (F.col("fit") % folds).cast("int").alias("fold"), "train", "validation")
+
+
+def _scores(stored: DataFrame, labels: list[str], columns: list[str], edges: list[np.ndarray], fits: int, folds: int, trees: int, depth: int) -> DataFrame:
+    """(fit, part, hits, n) of a learning curve's fits on rows that have a ``_fold``."""
+    schema, classes, m, bins = "fit int, part string, hits long, n long", len(labels), max(1, int(np.sqrt(len(columns)))), max(len(e) for e in edges) + 1
+    # A task that holds all rows holds the nodes of one step's trees.
+    every = hold(stored.filter("code >= 0"), len(columns), fits, "_fold") if NODES >= max(LOCAL, 2 << depth) else None
+    width = len(columns)
+
+    def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A task grows a fit and scores its rows tree by tree, as it holds all of them."""
+        rows = Held(every.value, width, fits)
+        for pdf in batches:
+            for fit in (fits - 1 - pdf["id"]).tolist():  # the largest come first
+                learned, fold = rows.learned(fit), np.flatnonzero(rows.kept == fit % folds)
+                asked = np.concatenate((learned, fold))
+                out = np.zeros((len(asked), classes))
+                step = max(1, LOCAL // max(1, len(learned)))
+                for t in range(fit * trees, (fit + 1) * trees, step):
+                    some = np.arange(t, min(t + step, (fit + 1) * trees))
+                    add_shares(out, rows.x, asked, rows.grow(learned, some, depth, (classes, m, bins), LEAF, SPLIT, SEED), len(some), depth)
+                hit = out.argmax(axis=1) == rows.code[asked]
+                yield pd.DataFrame([(fit, "train", int(hit[: len(learned)].sum()), len(learned)), (fit, "validation", int(hit[len(learned) :].sum()), len(fold))], columns=["fit", "part", "hits", "n"])
+
+    if every is not None:
+        return materialize(stored.sparkSession.range(0, fits, 1, fits).mapInPandas(fitted, schema), "scores")
+    grown = grow(stored, labels, columns, edges, fits=fits, trees=trees, depth=depth).stored()
 
     def score(first: int, last: int) -> DataFrame:
         """Hits of the fits ``first`` to ``last``, which are sent to all tasks."""
-        sent = rows.sparkSession.sparkContext.broadcast(vars(grown.forest(first, last)))
+        sent = stored.sparkSession.sparkContext.broadcast(vars(grown.forest(first, last)))
 
         def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             forest = Forest(**sent.value)
@@ -102,21 +133,19 @@ def learning_curve(rows: DataFrame, columns: list[str], key: str, label: str = "
                         told.append((fit, part, int((hit & some).sum()), int(some.sum())))
                 yield pd.DataFrame(told, columns=["fit", "part", "hits", "n"])
 
-        found = materialize(stored.filter("code >= 0").mapInPandas(scored, "fit int, part string, hits long, n long").groupBy("fit", "part").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n")), "scores")
+        found = materialize(stored.filter("code >= 0").mapInPandas(scored, schema).groupBy("fit", "part").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n")), "scores")
         sent.destroy()
         return found
 
     # Fits are scored in runs of about NODES nodes, one at least, so what is sent doesn't grow with their number.
     nodes = {r["fit"]: r["n"] for r in grown.subtrees.groupBy("fit").agg(F.sum("sizes").alias("n")).collect()}
     told, first, held = None, 0, 0
-    for fit in range(sizes * folds):
+    for fit in range(fits):
         held += nodes.get(fit, 0)
-        if fit + 1 == sizes * folds or held + nodes.get(fit + 1, 0) > NODES:
+        if fit + 1 == fits or held + nodes.get(fit + 1, 0) > NODES:
             part = score(first, fit + 1)
             told, first, held = part if told is None else told.unionByName(part), fit + 1, 0
-    told = told.groupBy("fit").pivot("part", ["train", "validation"]).agg(F.sum("hits") / F.sum("n"))
-    size = F.round((F.floor(F.col("fit") / folds) + 1) / sizes, 6)
-    return told.select(size.alias("size"), (F.col("fit") % folds).cast("int").alias("fold"), "train", "validation")
+    return told
 
 
 @dataclass

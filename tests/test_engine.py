@@ -572,6 +572,48 @@ def test_learning_curve_sends_bounded_runs_of_fits(spark, monkeypatch):
     assert curve() == whole and sizes == [(k, k + 1) for k in range(6)]
 
 
+def test_small_tables_are_held_whole_and_no_row_moves_per_tree(spark, monkeypatch):
+    df, columns = labelled_points(spark, 300)
+    curve = lambda: sorted(map(tuple, model.learning_curve(df, columns, "id", sizes=2, folds=3, trees=4, depth=4).collect()))
+
+    def all_of() -> tuple:
+        one = model.fit_forest(df.repartition(3), columns, trees=8, depth=6)
+        shape = sorted((int(c), int(f), tuple(map(float, k))) for c, f, k in zip(one.cut, one.feature, one.counts))
+        return curve(), shape, [sorted(map(tuple, model.segment_importances(df.selectExpr("*", "1 AS series", "id AS i"), columns, columns, count=2, trees=3).collect()))]
+
+    with monkeypatch.context() as m:
+        m.setattr(forest, "HELD", 0)
+        m.setattr(forest, "LOCAL", 100)
+        m.setattr(model, "LOCAL", 100)
+        moved = all_of()
+    monkeypatch.setattr(forest, "LOCAL", 100)
+    monkeypatch.setattr(model, "LOCAL", 100)
+    for name in ("_level", "_small"):
+        monkeypatch.setattr(forest, name, None)
+    held = all_of()
+    assert held[:2] == moved[:2] and np.allclose([r[2] for r in held[2][0]], [r[2] for r in moved[2][0]])
+
+
+def test_subtrees_do_not_depend_on_steps(monkeypatch):
+    rng = np.random.default_rng(3)
+    x, code, weight, at = rng.integers(0, 20, (500, 9), np.uint8), rng.integers(0, 3, 500).astype(np.int32), rng.integers(1, 4, 500).astype(np.uint8), rng.integers(0, 2, 500).astype(np.int32)
+    grow = lambda **more: forest.subtrees(x, code, weight, at, np.arange(2, dtype=np.uint64), np.array([7, 6]), (3, 3, 20), 2, 5, 1, **more)
+    one = grow()
+    monkeypatch.setattr(forest, "STEP", 32)
+    assert all((a == b).all() for a, b in zip(one, grow())) and one[1].max() > 0
+    assert all((a == b).all() for a, b in zip(one, grow(row=np.arange(500))))
+    out = np.zeros((500, 3))
+    forest.add_shares(out, x, np.arange(500), one, 2, 7)
+    feature, cut, left, counts = one[:4]
+    for k, row in enumerate(x):
+        told = 0
+        for node in (0, 1):
+            while feature[node] >= 0:
+                node = left[node] + (row[feature[node]] > cut[node])
+            told = told + counts[node] / counts[node].sum()
+        assert (out[k] == told).all()
+
+
 def test_shap_of_many_leaves_takes_seconds():
     """30 trees of 1024 leaves each and 256 rows: a run of products per point and leaf took 16 points for each of 10 entries."""
     rng = np.random.default_rng(5)
