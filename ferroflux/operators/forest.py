@@ -343,7 +343,7 @@ def hold(stored: DataFrame, columns: int, fits: int, keep: str | None = None):
     if stored.count() * width > HELD:
         return None
     found = stored.mapInPandas(packed, "h binary, code binary, kept binary, fits binary, bins binary").toArrow()
-    return stored.sparkSession.sparkContext.broadcast([b"".join(found[c].to_pylist()) for c in ("h", "code", "kept", "fits", "bins")])
+    return stored.sparkSession.sparkContext.broadcast([b"".join(v.as_buffer() for part in found[c].chunks for v in part) for c in ("h", "code", "kept", "fits", "bins")])
 
 
 class Held:
@@ -677,6 +677,33 @@ def _products(one: np.ndarray, yes: np.ndarray, no: np.ndarray) -> np.ndarray:
     return out
 
 
+def _points(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Gauss's points and weights between 0 and 1."""
+    t, w = np.polynomial.legendre.leggauss(n)
+    return (t + 1) / 2, w / 2
+
+
+def _terms(zero: np.ndarray, points: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of ``zero`` (leaf, entry): ``yes`` and ``no`` of _products, and Gauss's weights over the divided-out term (leaf, entry, point), for each feature that is met, and once, as the last entry, for those that aren't."""
+    t, w = points
+    no = zero[:, :, None] * (1 - t)
+    yes = no + t
+    return yes, no, np.concatenate((w * (1 - zero[:, :, None]) / yes, np.broadcast_to(-w / (1 - t), (len(zero), 1, len(t)))), axis=1)
+
+
+def _answers(zero: np.ndarray, points: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """(leaf, entry, bits): what each entry adds for each set of met features, the bits' places being the entries."""
+    yes, no, parts = _terms(zero, points)
+    product = np.ones((len(zero), 1, yes.shape[2]))
+    for j in range(zero.shape[1]):
+        product = np.concatenate((product * no[:, j, None], product * yes[:, j, None]), axis=1)
+    told = np.matmul(parts, product.transpose(0, 2, 1))
+    for j in range(zero.shape[1]):  # where it isn't met
+        halves = (len(zero), -1, 2, 1 << j)
+        told[:, j].reshape(halves)[:, :, 0] = told[:, -1].reshape(halves)[:, :, 0]
+    return told[:, :-1]
+
+
 def shap(paths: Paths, x: np.ndarray, columns: int, cells: int = 1 << 21) -> np.ndarray:
     """(row, feature, class) SHAP values of rows of bins, conditional on the trees' paths.
 
@@ -684,7 +711,8 @@ def shap(paths: Paths, x: np.ndarray, columns: int, cells: int = 1 << 21) -> np.
     t of the product of ``zero + (one - zero) * t`` over the path's other features, a polynomial
     that half as many of Gauss's points as there are features integrate exactly. The product over
     all features of a path is looked up once for each row and leaf; a matrix product over the
-    points divides each feature out, and features that are not met share one result.
+    points divides each feature out, and features that are not met share one result. Where there are
+    at least as many rows as sets of features on a path, that is done once for each set, and rows look theirs up.
     """
     classes = paths.value.shape[1] if len(paths.value) else len(paths.alone)
     out = np.zeros((columns, classes, len(x)))
@@ -693,26 +721,31 @@ def shap(paths: Paths, x: np.ndarray, columns: int, cells: int = 1 << 21) -> np.
     lo = 0
     while lo < len(many) and len(x):
         d = int(many[lo])
-        hi = min(int(np.searchsorted(many, d, side="right")), lo + max(1, cells // (d * len(x))))
+        points, sets = _points((d + 1) // 2), d <= 16 and 1 << d <= len(x)
+        hi = min(int(np.searchsorted(many, d, side="right")), lo + max(1, (4 if sets else 1) * cells // (d * len(x))))
         rows = slice(paths.start[lo], paths.start[lo] + d * (hi - lo))
-        t, w = np.polynomial.legendre.leggauss((d + 1) // 2)
-        t, w = (t + 1) / 2, w / 2
         f, zero = paths.feature[rows].astype(np.int64), paths.zero[rows].reshape(-1, d)
         low = (paths.low[rows] + 1).astype(np.uint8)[:, None]
         one = (turned[f] - low < np.maximum(paths.high[rows] - paths.low[rows], 0).astype(np.uint8)[:, None]).reshape(hi - lo, d, -1)
-        no = zero[:, :, None] * (1 - t)
-        yes = no + t
-        product = _products(one, yes, no)
-        # Gauss's weights over the divided-out term, for each feature that is met, and once for those that aren't.
-        parts = np.concatenate((w * (1 - zero[:, :, None]) / yes, np.broadcast_to(-w / (1 - t), (hi - lo, 1, len(t)))), axis=1)
-        told = np.matmul(parts, product.transpose(0, 2, 1))
-        told = np.where(one, told[:, :d], told[:, d:]).reshape(-1, len(x))
-        value = np.repeat(paths.value[lo:hi], d, axis=0)
         order = np.argsort(f, kind="stable")
+        if sets:
+            told, place = np.empty((len(f), len(x))), np.argsort(order).reshape(-1, d)
+            for i in range(0, hi - lo, 4):
+                for k, answers in enumerate(_answers(zero[i : i + 4], points), i):
+                    met = np.zeros(len(x), np.uint16)
+                    for j in range(d):
+                        met |= one[k, j].astype(np.uint16) << np.uint16(j)
+                    met = met.astype(np.int64)
+                    for j in range(d):
+                        np.take(answers[j], met, out=told[place[k, j]], mode="clip")
+        else:
+            yes, no, parts = _terms(zero, points)
+            told = np.matmul(parts, _products(one, yes, no).transpose(0, 2, 1))
+            told = np.where(one, told[:, :d], told[:, d:]).reshape(-1, len(x))[order]
+        value = np.repeat(paths.value[lo:hi], d, axis=0)[order]
         cuts = np.flatnonzero(np.diff(f[order], prepend=-1))
         for i, j in zip(cuts, np.append(cuts[1:], len(f))):
-            some = order[i:j]
-            out[f[some[0]]] += value[some].T @ told[some]
+            out[f[order[i]]] += value[i:j].T @ told[i:j]
         lo = hi
     return out.transpose(2, 0, 1)
 

@@ -18,6 +18,8 @@ from .windows import segments
 
 #: Nodes of forests that a task holds at once to score rows by.
 NODES = 1 << 20
+#: Rows whose SHAP values a task sums up at once.
+EXPLAINED = 1 << 13
 
 
 def _labels(rows: DataFrame, label: str) -> list[str]:
@@ -27,8 +29,14 @@ def _labels(rows: DataFrame, label: str) -> list[str]:
 
 def fit_forest(rows: DataFrame, columns: list[str], label: str = "label", trees: int = TREES, depth: int = DEPTH, leaf: int = LEAF, split: int = SPLIT, seed: int = SEED) -> Forest:
     """A forest of rows with a label; those without one aren't learned from."""
+    return _fitted(rows, columns, label, trees=trees, depth=depth, leaf=leaf, split=split, seed=seed)[0]
+
+
+def _fitted(rows: DataFrame, columns: list[str], label: str, **options) -> tuple[Forest, DataFrame]:
+    """A forest and the bins of its rows, as stored."""
     labels, edges = _labels(rows, label), bin_edges(rows, columns)
-    return grow(store_bins(rows, columns, edges, labels, label), labels, columns, edges, trees=trees, depth=depth, leaf=leaf, split=split, seed=seed).forest()
+    stored = store_bins(rows, columns, edges, labels, label)
+    return grow(stored, labels, columns, edges, **options).forest(), stored
 
 
 def predict(model: Forest, rows: DataFrame, label: str = "label") -> DataFrame:
@@ -204,6 +212,49 @@ def shap_values(model: Forest, rows: DataFrame, key: str) -> DataFrame:
     return wide.select(key, name(model.labels, F.floor(F.col("_at") / n)).alias("class"), name(model.columns, F.col("_at") % n).alias("feature"), "shap")
 
 
+def fitted_shap_summary(rows: DataFrame, columns: list[str], label: str = "label", **options) -> DataFrame:
+    """shap_summary of the values of a forest's own rows, told by fit_forest.
+
+    A row's values depend on its bins only, so equal rows are explained once and counted; absolute values are
+    added up in the tasks, so no value leaves them alone.
+    """
+    model, stored = _fitted(rows, columns, label, **options)
+    spark, n, m = rows.sparkSession, len(columns), len(model.labels)
+    sent, count = spark.sparkContext.broadcast(vars(path_tables(model))), stored.count()
+    tasks = max(spark.sparkContext.defaultParallelism, -(-count // (8 * EXPLAINED)))  # large runs of rows share more
+
+    def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        paths, total = Paths(**sent.value), np.zeros(n * m)
+        for x, often in _runs(batches, EXPLAINED):
+            total += often @ np.abs(shap(paths, x, n).transpose(0, 2, 1).reshape(len(x), -1))
+        yield pd.DataFrame([[total]], columns=["total"])
+
+    distinct = stored.select("bins").repartition(tasks, "bins").groupBy("bins").agg(F.count("*").alias("n"))
+    parts = distinct.mapInPandas(explain, "total array<double>").select(F.posexplode("total").alias("at", "total"))
+    name = lambda names, at: F.get(F.array(*[F.lit(x) for x in names]), at.cast("int"))
+    found = parts.groupBy("at").agg((F.sum("total") / F.lit(count)).alias("mean_abs")) if count else parts.select("at", F.col("total").alias("mean_abs")).limit(0)
+    return found.select(name(model.labels, F.floor(F.col("at") / n)).alias("class"), name(model.columns, F.col("at") % n).alias("feature"), "mean_abs")
+
+
+def _runs(batches: Iterator[pd.DataFrame], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows of bins, how often each occurs) of about ``most`` rows, whatever the batches' sizes."""
+    held, size = [], 0
+    for pdf in batches:
+        for lo in range(0, len(pdf), most):
+            held.append(pdf.iloc[lo : lo + most])
+            size += len(held[-1])
+            if size >= most:
+                yield _joined(held)
+                held, size = [], 0
+    if size:
+        yield _joined(held)
+
+
+def _joined(held: list[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray]:
+    often = np.concatenate([pdf["n"].to_numpy(float) for pdf in held])
+    return np.frombuffer(b"".join(b for pdf in held for b in pdf["bins"]), np.uint8).reshape(len(often), -1), often
+
+
 def shap_summary(values: DataFrame) -> DataFrame:
     """(class, feature, mean_abs)."""
     return values.groupBy("class", "feature").agg(F.avg(F.abs("shap")).alias("mean_abs"))

@@ -308,9 +308,9 @@ def forest_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def forest_shap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean absolute SHAP values of a forest with its defaults over the 126 features of all windows."""
-    rows = s.feature_rows(spark, sf_dir).select(F.concat_ws("/", "series", "win_start").alias("window"), "label", *feature_names())
+    rows = s.feature_rows(spark, sf_dir).select("label", *feature_names())
     rows = materialize(rows, "features")
-    return model.shap_summary(model.shap_values(model.fit_forest(rows, feature_names()), rows, "window"))
+    return model.fitted_shap_summary(rows, feature_names())
 
 
 def segment_importance(spark: SparkSession, sf_dir: str) -> DataFrame:

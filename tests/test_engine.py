@@ -1,10 +1,14 @@
 """Kernels, parsers, windows, sources and streams on small fixtures."""
 
 import math
+import subprocess
+import sys
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -614,6 +618,40 @@ def test_subtrees_do_not_depend_on_steps(monkeypatch):
         assert (out[k] == told).all()
 
 
+def test_shap_by_sets_of_met_features(monkeypatch):
+    """With many rows each set of met features is answered once; rows alone are explained one by one."""
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 16, (600, 7), np.uint8)
+    grown = forest.subtrees(x, (x[:, 0] // 4 + x[:, 1] // 9).astype(np.int32), np.ones(600, np.uint8), np.zeros(600, np.int32), np.arange(1, dtype=np.uint64), np.array([8]), (5, 2, 16), 2, 5, 1)
+    feature, cut, left, counts, rows, _ = grown
+    one = forest.Forest(list("abcde"), list("stuvwxy"), [np.arange(15)] * 7, 1, np.zeros(1, int), feature, cut, left, np.where(left >= 0, left + 1, -1), counts, rows)
+    paths, made, answers = forest.path_tables(one), [], forest._answers
+    monkeypatch.setattr(forest, "_answers", lambda zero, points: made.append(len(zero)) or answers(zero, points))
+    whole = forest.shap(paths, x, 7)
+    assert sum(made) == len(paths.start) > 20
+    assert np.allclose(whole[:40], np.concatenate([forest.shap(paths, x[k : k + 1], 7) for k in range(40)]), rtol=1e-12, atol=1e-14) and sum(made) == len(paths.start)
+
+
+def test_workers_need_no_installed_copy(tmp_path):
+    """What tasks call is pickled by value, with all that it calls."""
+    for k, f in enumerate((forest.shap, forest.Held, forest.add_shares, model._runs)):
+        (tmp_path / f"{k}").write_bytes(cloudpickle.dumps(f))
+        subprocess.run([sys.executable, "-I", "-c", f"import pickle; pickle.load(open('{k}', 'rb'))"], cwd=tmp_path, check=True)
+
+
+def test_shap_summary_counts_equal_rows(spark, monkeypatch):
+    df, columns = labelled_points(spark, 60)
+    many = df.unionByName(df).unionByName(df.filter("id < 20"))
+    fitted = model.fit_forest(many, columns, trees=6, depth=4)
+    expected = {(r["class"], r.feature): r.mean_abs for r in model.shap_summary(model.shap_values(fitted, many, "id")).collect()}
+    monkeypatch.setattr(model, "shap_values", None)
+    got = {(r["class"], r.feature): r.mean_abs for r in model.fitted_shap_summary(many, columns, trees=6, depth=4).collect()}
+    assert got.keys() == expected.keys() and all(abs(got[k] - v) < 1e-12 for k, v in expected.items())
+    runs = list(model._runs(iter([pd.DataFrame({"bins": [b"ab"] * 5, "n": [1, 2, 3, 4, 5]}), pd.DataFrame({"bins": [b"cd"], "n": [6]})]), 4))
+    assert [len(x) for x, _ in runs] == [4, 2]
+    assert np.concatenate([n for _, n in runs]).tolist() == [1, 2, 3, 4, 5, 6]
+
+
 def test_shap_of_many_leaves_takes_seconds():
     """30 trees of 1024 leaves each and 256 rows: a run of products per point and leaf took 16 points for each of 10 entries."""
     rng = np.random.default_rng(5)
